@@ -226,7 +226,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((DONE, doc_id, ck, n, 0, hashlib.sha256(norm).hexdigest(), None))
         else:
             rows.append((PENDING, doc_id, ck, n, None, None, z))
-        if not copy and (places >= 0).any():
+        if (leads or not copy) and (places >= 0).any():  # rows that repeat a doc_id and text hear both
             todo.append((doc_id, ck, places, norm))
             size += len(norm)
         if size > 8 << 20 or len(rows) >= 4096:

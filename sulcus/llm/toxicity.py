@@ -71,11 +71,19 @@ TARGETED = _countdown(TARGET, 1.25)
 #: After reported speech begins, the rest of the clause is someone else's.
 REPORTED = Transducer((tuple((1 if tag == REPORT else 0, 1.0) for tag in range(6)), tuple((1, 0.7) for _ in range(6))))
 INSULTING = Transducer((tuple((0, 1.0 if tag == INSULT else 0.0) for tag in range(6)),))
-#: A threat needs its target within reach, before or after it: states 1..REACH wait for one that follows.
-THREATENING = Transducer(
-    (tuple((REACH if tag == THREAT else 0, 0.0) for tag in range(6)),)
-    + tuple(tuple((0, 2.0) if tag == TARGET else (REACH if tag == THREAT else k - 1, 0.0) for tag in range(6)) for k in range(1, REACH + 1))
-)
+
+
+def _threatening() -> Transducer:
+    """A threat needs its target within reach: states 1..REACH have read a threat, the states above those a target."""
+    rows = [tuple((REACH if tag == THREAT else 2 * REACH if tag == TARGET else 0, 0.0) for tag in range(6))]
+    for k in range(1, REACH + 1):
+        rows.append(tuple((2 * REACH, 2.0) if tag == TARGET else (REACH if tag == THREAT else k - 1, 0.0) for tag in range(6)))
+    for k in range(1, REACH + 1):
+        rows.append(tuple((0, 2.0) if tag == THREAT else (2 * REACH if tag == TARGET else REACH + k - 1 if k > 1 else 0, 0.0) for tag in range(6)))
+    return Transducer(tuple(rows))
+
+
+THREATENING = _threatening()
 FACTORS, EMITTERS = (NEGATED, TARGETED, REPORTED), (INSULTING, THREATENING)
 
 

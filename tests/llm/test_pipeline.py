@@ -1,0 +1,35 @@
+"""The pipeline's stages on small rows, and the rule that nothing else needs this subpackage."""
+
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).parents[2]
+
+
+def test_stages(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, counts = docs.columns, [docs.count()]
+    for name, stage in pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        counts.append(docs.count())
+        if name != "encode":
+            assert docs.columns == columns
+    assert counts[0] > counts[1] > counts[2] >= counts[3] > 0 and counts[4] == counts[5] > 0
+    assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_nothing_else_imports_it():
+    for p in (ROOT / "sulcus").rglob("*.py"):
+        if "llm" not in p.relative_to(ROOT).parts:
+            assert "llm" not in p.read_text()
+
+
+def test_entry_without_it(tmp_path):
+    code = "import sys; sys.modules['sulcus.llm'] = None; import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
