@@ -177,7 +177,8 @@ def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # Rows that repeat a doc_id are one document: the first text by order stands for it.
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, "doc_id long, z binary")
-    texts = materialize(packed.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("z").alias("z")), "near-dedup-texts")
+    # The same plan at every size: the ids needed grow with the documents, so they are not broadcast while they are few.
+    texts = materialize(packed.join(needed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("z").alias("z")), "near-dedup-texts")
     release(docs.sparkSession)
     met = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
     met = met.join(texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
