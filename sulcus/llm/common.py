@@ -6,10 +6,15 @@ UTF-8 text cuts at exactly these six characters, so the Python kernels use it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +56,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps, which it does when the JVM collects their handles."""
+    """Let Spark's cleaner drop the shuffle files of finished steps, which it does once Python and the JVM let go of their handles."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def word_count(text: Column) -> Column:
@@ -134,3 +141,15 @@ def slices(norms: list[bytes]) -> list[tuple[int, int]]:
 def normal_words(texts: list[str | None]) -> list[bytes]:
     """The words of each text joined by one space."""
     return [b" ".join((t or "").encode().split()) for t in texts]
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], most: int = 8 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about `most` bytes of text; a longer text is alone."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy().astype(np.int64)
+        at = 0
+        for k in np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1 if len(size) else ():
+            yield b.slice(at, k - at)
+            at = int(k)
+        if at < len(size):
+            yield b.slice(at)

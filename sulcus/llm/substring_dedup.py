@@ -9,8 +9,9 @@ WINDOW - PERIOD + 1 words that both begin at cover positions.  The steps:
 3. removal: drop the words that recurring windows cover, on the input as it was.
 
 Whole documents with equal words meet in step 1 by one digest: all their words go, and only one of them is extended.
-Equal hashes of a batch are combined before each shuffle, so a passage that a third of all documents hold sends one row
-per batch to its hash's task; the other occurrences are known to recur and are dealt evenly.  Nothing is sampled.
+Equal hashes of a batch are combined before each shuffle, so a passage that a third of all documents hold sends two
+occurrences per batch to its hash's bucket; the others are known to recur and are dealt evenly.  Occurrences travel packed
+by bucket, in compressed columns.  Nothing is sampled.
 
 Defined cases: null and empty texts have no words and keep none; texts shorter than a window lose nothing; rows that
 repeat a doc_id and text recur like any copies; null doc_ids are told apart by their text; extra columns are ignored.
@@ -19,6 +20,7 @@ repeat a doc_id and text recur like any copies; null doc_ids are told apart by t
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialize, mix, normal_words, range_hash, release, slices
+from .common import SLICE_BYTES, hash_words, mix, normal_words, range_hash, slices, text_slices
 
 WINDOW = 35
 PERIOD = 21
@@ -39,7 +41,7 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Values of `at` in answers that speak of a whole document: it has copies and stands for them; it has copies and another stands for them.
 LEADER, COPY = -1, -2
 
-MEET = "key long, key2 int, sure boolean, doc_id long, ck int, at int"
+MEET = "bucket int, packed binary"
 ANSWER = "doc_id long, ck int, at int, z binary"
 
 
@@ -48,95 +50,135 @@ def _key_of(norm: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:12], "little", signed=True)
 
 
-def _batch(cols: dict[str, np.ndarray | pa.Array], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(cols[f.name], f.type, from_pandas=False) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in schema], schema)
+_ANSWER = pa.schema([("doc_id", pa.int64()), ("ck", pa.int32()), ("at", pa.int32()), ("z", pa.binary())])
 
 
-_MEET = pa.schema([("key", pa.int64()), ("key2", pa.int32()), ("sure", pa.bool_()), ("doc_id", pa.int64()), ("ck", pa.int32()), ("at", pa.int32())])
-_ANSWER = pa.schema([("doc_id", pa.int64()), ("ck", pa.int32()), ("at", pa.int32()), ("z", pa.binary())])
+#: Columns of an occurrence as it travels: key, second key, doc_id, whether there is one, text key, place.
+_FIELDS = (("key", "<u8"), ("key2", "<u4"), ("doc_id", "<i8"), ("known", "u1"), ("ck", "<i4"), ("at", "<i4"))
+_WIDTH = sum(np.dtype(t).itemsize for _, t in _FIELDS)
+
+
+def _planes(rows: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Rows of bytes, transposed and compressed: equal high bytes of a column then lie together."""
+    return squeeze.compress(np.ascontiguousarray(rows.T).tobytes())
+
 
+def _columns(raw: bytes, n: int) -> dict[str, np.ndarray]:
+    rows = np.frombuffer(raw, dtype=np.uint8).reshape(_WIDTH, n)
+    out, at = {}, 0
+    for name, kind in _FIELDS:
+        size = np.dtype(kind).itemsize
+        out[name] = np.ascontiguousarray(rows[at : at + size].T).view(kind).reshape(n)
+        at += size
+    return out
 
-def combine(key: np.ndarray, key2: np.ndarray, owner: np.ndarray, at: np.ndarray, ids: pa.Array, cks: np.ndarray) -> pa.RecordBatch:
-    """Rows for one batch: of each key one occurrence to meet others; the key's further occurrences recur for certain and are dealt by place.
 
-    A key that recurs within the batch sends a second row to the meeting, so that its group there has two.
+def combine(cols: dict[str, np.ndarray], bits: int) -> pa.RecordBatch:
+    """One batch's occurrences by bucket (the key's first bits), packed.
+
+    Of each key two occurrences at most go to its bucket to meet those of other batches; further ones recur for certain, so
+    they are dealt evenly by place and are marked by a bucket's own count of them.
     """
+    key, key2, n = cols["key"], cols["key2"], len(cols["key"])
     order = np.lexsort((key2, key))
-    k, k2 = key[order], key2[order]
-    first = np.ones(len(k), dtype=bool)
-    first[1:] = (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])
-    again = ~first
-    second = again.copy()
-    second[1:] &= first[:-1]  # the second occurrence goes to the meeting as well
-    sure = again & ~second
-    o, a = owner[order], at[order].astype(np.int32)
-    place = mix(o.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + a.astype(np.uint64)).view(np.int64)
-    return _batch({"key": np.where(sure, place, k), "key2": np.where(sure, 0, k2).astype(np.int32), "sure": sure, "doc_id": ids.take(pa.array(o)), "ck": cks[o], "at": a}, _MEET)
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    same = np.zeros(n, dtype=bool)
+    same[1:] = (key[order][1:] == key[order][:-1]) & (key2[order][1:] == key2[order][:-1])
+    sure = same.copy()
+    sure[1:] &= same[:-1]
+    meet, rest = order[~sure], order[sure]
+    place = mix(rest.astype(np.uint64) + np.uint64(n))
+    rest, place = rest[np.argsort(place)], np.sort(place)
+    rows = np.empty((n, _WIDTH), dtype=np.uint8)
+    at = 0
+    for name, kind in _FIELDS:
+        size = np.dtype(kind).itemsize
+        rows[:, at : at + size] = np.ascontiguousarray(cols[name], dtype=kind).view(np.uint8).reshape(n, size)
+        at += size
+    of_meet, of_rest = (x >> np.uint64(64 - bits) for x in (key[meet], place))
+    buckets = np.union1d(of_meet, of_rest)
+    cuts = [np.searchsorted(x, buckets, side) for x in (of_meet, of_rest) for side in ("left", "right")]
+    squeeze, packed = zstandard.ZstdCompressor(level=1), []
+    for a, b, c, d in zip(*cuts):
+        packed.append(struct.pack("<II", b - a, d - c) + _planes(rows[np.concatenate([meet[a:b], rest[c:d]])], squeeze))
+    return pa.record_batch([pa.array(buckets.astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+
+
+def _owners(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _anchor_rows(bits: int):
     cover = np.zeros(PERIOD, dtype=bool)
     cover[list(COVER)] = True
-    for b in batches:
-        norms = normal_words(b.column("text").to_pylist())
-        if not norms:
-            continue
-        keys = np.array([_key_of(x) for x in norms], dtype=np.int64).reshape(-1, 2)
-        hs, owners, ats = [], [], []
-        for lo, hi in slices(norms):
-            words, first = hash_words(norms[lo:hi])
-            n = np.diff(first)
-            own = np.repeat(np.arange(lo, hi), n)
-            pos = np.arange(len(words)) - np.repeat(first[:-1], n)
-            use = cover[pos % PERIOD] & (pos + ANCHOR <= np.repeat(n, n)) & (np.repeat(n, n) >= WINDOW)
-            start = np.flatnonzero(use)
-            hs.append(range_hash(words, start, start + ANCHOR))
-            owners.append(own[start])
-            ats.append(pos[start])
-            long = np.flatnonzero(n >= WINDOW)  # whole documents meet by digest
-            hs.append(keys[lo + long, 0].view(np.uint64))
-            owners.append(lo + long)
-            ats.append(np.full(len(long), LEADER))
-        key, owner, at = np.concatenate(hs).view(np.int64), np.concatenate(owners), np.concatenate(ats)
-        # Digests and anchors don't meet each other, for key2 tells them apart.
-        key2 = np.where(at == LEADER, 1, 0).astype(np.int32)
-        yield combine(key, key2, owner, at, b.column("doc_id"), keys[:, 1].astype(np.int32))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches):
+            norms = normal_words(b.column("text").to_pylist())
+            if not norms:
+                continue
+            keys = np.array([_key_of(x) for x in norms], dtype=np.int64).reshape(-1, 2)
+            hs, owners, ats = [], [], []
+            for lo, hi in slices(norms):
+                words, first = hash_words(norms[lo:hi])
+                n = np.diff(first)
+                own = np.repeat(np.arange(lo, hi), n)
+                pos = np.arange(len(words)) - np.repeat(first[:-1], n)
+                size = np.repeat(n, n)
+                start = np.flatnonzero(cover[pos % PERIOD] & (pos + ANCHOR <= size) & (size >= WINDOW))
+                hs.append(range_hash(words, start, start + ANCHOR))
+                owners.append(own[start])
+                ats.append(pos[start])
+                long = np.flatnonzero(n >= WINDOW)  # whole documents meet by digest
+                hs.append(keys[lo + long, 0].view(np.uint64))
+                owners.append(lo + long)
+                ats.append(np.full(len(long), LEADER))
+            owner, at = np.concatenate(owners), np.concatenate(ats)
+            ids, known = _owners(b.column("doc_id"))
+            # Digests and anchors don't meet each other, for their second keys differ.
+            cols = {"key": np.concatenate(hs), "key2": (at == LEADER), "doc_id": ids[owner], "known": known[owner], "ck": keys[owner, 1], "at": at}
+            if len(at):
+                yield combine(cols, bits)
+
+    return run
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key is another row's too, and the sure ones.  A batch's last row waits for the next batch."""
-    held: pa.RecordBatch | None = None
-    held_same = False
 
-    def told(b: pa.RecordBatch, same: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-        sure, at = b.column("sure").to_numpy(zero_copy_only=False), b.column("at").to_numpy()
-        at = np.where((at == LEADER) & (same | sure), COPY, at).astype(np.int32)
-        keep = np.flatnonzero(more | sure)
-        out = b.take(pa.array(keep))
-        return pa.record_batch([out.column("doc_id"), out.column("ck"), pa.array(at[keep]), pa.nulls(len(keep), pa.binary())], _ANSWER)
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket, the occurrences whose key is another's too.  One bucket is in memory at a time."""
+    unpack = zstandard.ZstdDecompressor()
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        if held is not None:
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-        k, k2, sure = b.column("key").to_numpy(), b.column("key2").to_numpy(), b.column("sure").to_numpy(zero_copy_only=False)
-        same = np.zeros(len(k), dtype=bool)  # as the row before
-        same[1:] = (k[1:] == k[:-1]) & (k2[1:] == k2[:-1]) & ~sure[1:] & ~sure[:-1]
-        same[0] = held_same
+    def told(parts: list[bytes]) -> pa.RecordBatch:
+        found, sure = [], []
+        for x in parts:
+            m, r = struct.unpack("<II", x[:8])
+            found.append(_columns(unpack.decompress(x[8:]), m + r))
+            sure.append(np.arange(m + r) >= m)
+        c = {name: np.concatenate([f[name] for f in found]) for name, _ in _FIELDS}
+        sure = np.concatenate(sure)
+        order = np.lexsort((c["key2"], c["key"], sure))
+        c, sure = {k: v[order] for k, v in c.items()}, sure[order]
+        same = np.zeros(len(order), dtype=bool)  # as the row before
+        same[1:] = (c["key"][1:] == c["key"][:-1]) & (c["key2"][1:] == c["key2"][:-1]) & ~sure[1:]
         more = same.copy()
         more[:-1] |= same[1:]
-        n = len(k) - 1
-        if n:
-            yield told(b.slice(0, n), same[:n], more[:n])
-        held, held_same = b.slice(n), bool(same[n])
-    if held is not None:
-        yield told(held, np.array([held_same]), np.array([held_same]))
+        at = np.where((c["at"] == LEADER) & (same | sure), COPY, c["at"])
+        keep = more | sure
+        return pa.record_batch([pa.array(c["doc_id"][keep], mask=c["known"][keep] == 0), pa.array(c["ck"][keep]), pa.array(at[keep].astype(np.int32)), pa.nulls(int(keep.sum()), pa.binary())], _ANSWER)
+
+    bucket, parts = None, []
+    for b in batches:
+        for k, x in zip(b.column("bucket").to_pylist(), b.column("packed").to_pylist()):
+            if k != bucket and parts:
+                yield told(parts)
+                parts = []
+            bucket = k
+            parts.append(x)
+    if parts:
+        yield told(parts)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True)
-    for b in batches:
+    for b in text_slices(batches):
         norms = normal_words(b.column("text").to_pylist())
         ck = np.array([_key_of(x)[1] for x in norms], dtype=np.int32)
         yield pa.record_batch([b.column("doc_id"), pa.array(ck), pa.nulls(len(norms), pa.int32()).fill_null(2**31 - 1), pa.array([squeeze.compress(x) for x in norms], pa.binary())], _ANSWER)
@@ -179,59 +221,63 @@ def candidates(places: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edge)[: max(0, n - WINDOW + 1)] > 0)
 
 
-STEP2 = "kind int, doc_id long, ck int, n_words long, n_removed long, kept_sha256 string, z binary, key long, key2 int, sure boolean, at int"
-_STEP2 = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("ck", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("z", pa.binary()), ("key", pa.int64()), ("key2", pa.int32()), ("sure", pa.bool_()), ("at", pa.int32())])
+STEP2 = "kind int, doc_id long, ck int, n_words long, n_removed long, kept_sha256 string, z binary, bucket int"
+_STEP2 = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("ck", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("z", pa.binary()), ("bucket", pa.int32())])
 DONE, PENDING, WINDOWS = 0, 1, 2
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document: the result if nothing can recur or all does; else its words, and a row for each candidate window."""
-    unpack = zstandard.ZstdDecompressor()
-    rows: list[tuple] = []
-    todo: list[tuple[object, int, np.ndarray, bytes]] = []
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal rows, todo, size
-        if rows:
-            cols = list(zip(*rows))
-            n = len(rows)
-            named = dict(zip(("kind", "doc_id", "ck", "n_words", "n_removed", "kept_sha256", "z"), cols))
-            yield pa.record_batch([pa.array(named[f.name], f.type) if f.name in named else pa.nulls(n, f.type) for f in _STEP2], _STEP2)
-        h1, h2, owners, ats = [], [], [], []
-        norms = [x[3] for x in todo]
-        for lo, hi in slices(norms):
-            words, first = hash_words(norms[lo:hi])
-            own = [candidates(todo[i][2], int(first[i - lo + 1] - first[i - lo])) for i in range(lo, hi)]
-            start = np.concatenate([x + first[i] for i, x in enumerate(own)])
-            h1.append(range_hash(words, start, start + WINDOW))
-            h2.append(range_hash(words, start, start + WINDOW, 2))
-            owners += [np.full(len(x), lo + i) for i, x in enumerate(own)]
-            ats += own
-        if todo and sum(map(len, ats)):
-            key, key2 = np.concatenate(h1).view(np.int64), (np.concatenate(h2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            met = combine(key, key2, np.concatenate(owners), np.concatenate(ats), pa.array([x[0] for x in todo], pa.int64()), np.array([x[1] for x in todo], dtype=np.int32))
-            n = met.num_rows
-            yield pa.record_batch([pa.array(np.full(n, WINDOWS, dtype=np.int32)) if f.name == "kind" else met.column(f.name) if f.name in met.schema.names else pa.nulls(n, f.type) for f in _STEP2], _STEP2)
-        rows, todo, size = [], [], 0
-
-    for doc_id, ck, places, z in _per_document(batches):
-        norm = unpack.decompress(z)
-        n = norm.count(b" ") + 1 if norm else 0
-        copy, leads = bool((places == COPY).any()), bool((places == LEADER).any())
-        if copy or leads:  # all its windows start in a copy too
-            rows.append((DONE, doc_id, ck, n, n, _EMPTY, None))
-        elif not (places >= 0).any():
-            rows.append((DONE, doc_id, ck, n, 0, hashlib.sha256(norm).hexdigest(), None))
-        else:
-            rows.append((PENDING, doc_id, ck, n, None, None, z))
-        if (leads or not copy) and (places >= 0).any():  # rows that repeat a doc_id and text hear both
-            todo.append((doc_id, ck, places, norm))
-            size += len(norm)
-        if size > 8 << 20 or len(rows) >= 4096:
-            yield from flush()
-    yield from flush()
+def _extend(bits: int):
+    """Of each document: the result if nothing can recur or all does; else its words; and its candidate windows, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        rows: list[tuple] = []
+        todo: list[tuple[object, int, np.ndarray, bytes]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal rows, todo, size
+            if rows:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip([*zip(*rows), [None] * len(rows)], _STEP2)], _STEP2)
+            h1, h2, owners, ats = [], [], [], []
+            norms = [x[3] for x in todo]
+            for lo, hi in slices(norms):
+                words, first = hash_words(norms[lo:hi])
+                own = [candidates(todo[i][2], int(first[i - lo + 1] - first[i - lo])) for i in range(lo, hi)]
+                start = np.concatenate([x + first[i] for i, x in enumerate(own)])
+                h1.append(range_hash(words, start, start + WINDOW))
+                h2.append(range_hash(words, start, start + WINDOW, 2))
+                owners += [np.full(len(x), lo + i) for i, x in enumerate(own)]
+                ats += own
+            if sum(map(len, ats)):
+                owner = np.concatenate(owners)
+                ids, known = _owners(pa.array([x[0] for x in todo], pa.int64()))
+                cks = np.array([x[1] for x in todo], dtype=np.int32)
+                met = combine({"key": np.concatenate(h1), "key2": np.concatenate(h2) >> np.uint64(32), "doc_id": ids[owner], "known": known[owner], "ck": cks[owner], "at": np.concatenate(ats)}, bits)
+                n = met.num_rows
+                named = {"kind": pa.array(np.full(n, WINDOWS, dtype=np.int32)), "z": met.column("packed"), "bucket": met.column("bucket")}
+                yield pa.record_batch([named.get(f.name, pa.nulls(n, f.type)) for f in _STEP2], _STEP2)
+            rows, todo, size = [], [], 0
+
+        for doc_id, ck, places, z in _per_document(batches):
+            norm = unpack.decompress(z)
+            n = norm.count(b" ") + 1 if norm else 0
+            copy, leads = bool((places == COPY).any()), bool((places == LEADER).any())
+            if copy or leads:  # all its windows start in a copy too
+                rows.append((DONE, doc_id, ck, n, n, _EMPTY, None))
+            elif not (places >= 0).any():
+                rows.append((DONE, doc_id, ck, n, 0, hashlib.sha256(norm).hexdigest(), None))
+            else:
+                rows.append((PENDING, doc_id, ck, n, None, None, z))
+            if (leads or not copy) and (places >= 0).any():  # rows that repeat a doc_id and text hear both
+                todo.append((doc_id, ck, places, norm))
+                size += len(norm)
+            if size > 4 * SLICE_BYTES or len(rows) >= 8192:
+                yield from flush()
+        yield from flush()
+
+    return run
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -260,8 +306,13 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _RESULT)], _RESULT)
 
 
+def _bits(spark) -> int:
+    """Buckets are this power of two: 64 or more to a shuffle partition, so that one in memory is a small part of a task's input."""
+    return max(6, (64 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
 def _meet(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key", "key2").sortWithinPartitions("key", "key2", "sure").mapInArrow(_met, ANSWER)
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, ANSWER)
 
 
 def _gather(rows: DataFrame) -> DataFrame:
@@ -270,11 +321,12 @@ def _gather(rows: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
+    bits = _bits(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    answers = _meet(texts.mapInArrow(_anchor_rows, MEET))
-    step2 = materialize(_gather(answers.unionByName(texts.mapInArrow(_pack, ANSWER))).mapInArrow(_extend, STEP2), "substring-dedup")
-    release(docs.sparkSession)
-    windows = step2.where(F.col("kind") == WINDOWS).select("key", "key2", "sure", "doc_id", "ck", "at")
+    answers = _meet(texts.mapInArrow(_anchor_rows(bits), MEET))
+    # The three uses of step2 read one exchange: extending is cheaper to repeat than its windows are to write.
+    step2 = _gather(answers.unionByName(texts.mapInArrow(_pack, ANSWER))).mapInArrow(_extend(bits), STEP2)
+    windows = step2.where(F.col("kind") == WINDOWS).select("bucket", F.col("z").alias("packed"))
     pending = step2.where(F.col("kind") == PENDING).select("doc_id", "ck", F.lit(2**31 - 1).alias("at"), "z")
     removed = _gather(_meet(windows).unionByName(pending)).mapInArrow(_remove, RESULT)
     return step2.where(F.col("kind") == DONE).select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(removed)
