@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialize, mix, normal_words, range_hash, release, slices
+from .common import hash_words, materialize, mix, normal_words, range_hash, release, slices, text_slices
 
 SHINGLE = 5
 LEAST = 0.8
@@ -107,7 +107,7 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in text_slices(batches):
         norms = normal_words(b.column("text").to_pylist())
         ids = b.column("doc_id")
         for lo, hi in slices(norms):
@@ -149,7 +149,7 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True)
-    for b in batches:
+    for b in text_slices(batches):
         yield pa.record_batch([b.column("doc_id"), pa.array([squeeze.compress(x) for x in normal_words(b.column("text").to_pylist())], pa.binary())], names=["doc_id", "z"])
 
 
