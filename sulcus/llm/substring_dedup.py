@@ -307,8 +307,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(spark) -> int:
-    """Buckets are this power of two: 64 or more to a shuffle partition, so that one in memory is a small part of a task's input."""
-    return max(6, (64 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    """Buckets are this power of two: 4 or more to a shuffle partition, so that one in memory is a part of a task's input."""
+    return max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
 def _meet(rows: DataFrame) -> DataFrame:
