@@ -1,0 +1,157 @@
+"""The same results in plain SQL, for an independent engine on the same tables."""
+
+from __future__ import annotations
+
+F1 = """f1 AS (SELECT CAST(label AS BIGINT) AS subject, CAST(rn - 1 AS BIGINT) AS channel, y, CAST(unnest(range(0, 64)) AS BIGINT) AS sample, CAST(unnest(embedding) AS DOUBLE) AS value
+ FROM (SELECT label, embedding, CAST(vec_id % 4 = 0 AS INT) AS y, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 8)"""
+F2 = """f2v AS (SELECT event_type AS subject, CAST(user_id % 8 AS BIGINT) AS channel, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 14400) AS BIGINT) AS sample, sum(value) AS v FROM events GROUP BY 1, 2, 3),
+ f2 AS (SELECT g.subject, g.channel, g.sample, coalesce(v, 0.0::DOUBLE) AS value FROM (SELECT DISTINCT subject, channel, CAST(s AS BIGINT) AS sample FROM f2v, range(0, 180) r(s)) g LEFT JOIN f2v USING (subject, channel, sample))"""
+F3 = """f3 AS (SELECT CAST(s_nationkey AS BIGINT) AS u, CAST(c_nationkey AS BIGINT) AS v, sum(l_extendedprice) / 1e6 AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey
+ WHERE s_nationkey <> c_nationkey GROUP BY 1, 2)"""
+F4 = """f4 AS (SELECT subject, channel, CAST(p // 4 AS BIGINT) AS op_window, CAST((p % 4) // 2 AS BIGINT) AS mode, CAST(p % 2 AS BIGINT) AS metric, value, y FROM (
+ SELECT CAST(label AS BIGINT) AS subject, CAST(rn - 1 AS BIGINT) AS channel, y, unnest(range(0, 64)) AS p, CAST(unnest(embedding) AS DOUBLE) AS value
+ FROM (SELECT label, embedding, CAST(vec_id % 4 = 0 AS INT) AS y, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)))"""
+F5 = """f5 AS (SELECT source AS subject, lang AS run, doc_id AS channel, CAST(toxic AS INT) AS y, CAST(n_chars / 1000.0 AS DOUBLE) AS score FROM documents JOIN labels USING (doc_id))"""
+F6 = """f6 AS (SELECT p_brand AS subject, p_partkey AS row, CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_size <= 40 THEN 'good' ELSE 'bad' END AS status,
+ CASE p_type WHEN 'SMALL' THEN 'soz' WHEN 'PROMO' THEN 'soz,resect' WHEN 'LARGE' THEN 'resect' END AS status_description FROM part)"""
+WIN = "win AS (SELECT CAST(k AS BIGINT) AS win, CAST(k * 8 AS BIGINT) AS st FROM range(0, {n}) r(k))"
+
+
+def _corr(src: str, n: int = 7) -> str:
+    """Windowed correlations of src(subject, channel, sample, value) as fc(subject, win, i, j, w)."""
+    return f"""{WIN.format(n=n)}, wx AS (SELECT subject, channel, sample, value, win FROM {src}, win WHERE sample >= st AND sample < st + 16),
+ fc AS (SELECT a.subject, a.win, a.channel AS i, b.channel AS j, covar_samp(a.value, b.value) / (greatest(stddev_samp(a.value), 1e-10) * greatest(stddev_samp(b.value), 1e-10)) AS w
+ FROM wx a JOIN wx b ON a.subject = b.subject AND a.win = b.win AND a.sample = b.sample AND a.channel < b.channel GROUP BY ALL)"""
+
+
+BOTH = "fb AS (SELECT subject, win, i, j, w FROM fc UNION ALL SELECT subject, win, j, i, w FROM fc)"
+
+
+def _hilbert(src: str, n: int, name: str = "an") -> str:
+    """Analytic signal by the circulant kernel of even length n."""
+    return f"""{name} AS (SELECT a.subject, a.channel, a.sample, max(a.value) AS re,
+ sum(CASE WHEN abs(a.sample - b.sample) % 2 = 1 THEN b.value * 2.0 / {n} * (cos(pi() * (a.sample - b.sample) / {n}.0) / sin(pi() * (a.sample - b.sample) / {n}.0)) ELSE 0.0 END) AS im
+ FROM {src} a JOIN {src} b ON a.subject = b.subject AND a.channel = b.channel GROUP BY a.subject, a.channel, a.sample)"""
+
+
+_HFO = f"""WITH {F2}, md AS (SELECT subject, channel, median(value) AS m FROM f2 GROUP BY ALL), cx AS (SELECT subject, channel, sample, value - m AS value FROM f2 JOIN md USING (subject, channel)),
+ {_hilbert('cx', 180)}, en AS (SELECT subject, channel, sample, sqrt(re * re + im * im) AS env FROM an),
+ em AS (SELECT subject, channel, median(env) AS mid FROM en GROUP BY ALL), ed AS (SELECT subject, channel, max(mid) + 1.5 * 1.4826 * (median(abs(env - mid)) + 1e-12) AS thr FROM en JOIN em USING (subject, channel) GROUP BY ALL),
+ ab AS (SELECT subject, channel, sample, sample - row_number() OVER (PARTITION BY subject, channel ORDER BY sample) AS g FROM en JOIN ed USING (subject, channel) WHERE env > thr),
+ isl AS (SELECT subject, channel, min(sample) AS s, max(sample) + 1 AS e FROM ab GROUP BY subject, channel, g),
+ nw AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY subject, channel ORDER BY s) <= 1 THEN 0 ELSE 1 END AS n FROM isl),
+ gr AS (SELECT *, sum(n) OVER (PARTITION BY subject, channel ORDER BY s) AS g FROM nw),
+ mg AS (SELECT subject, channel, min(s) AS start, max(e) AS stop FROM gr GROUP BY subject, channel, g),
+ ev AS (SELECT mg.subject, mg.channel, start, stop, max(env) AS peak_amp, avg(env) AS mean_amp, avg(value * value) AS power, (stop - start) / 100.0::DOUBLE AS duration_s
+ FROM mg JOIN en ON en.subject = mg.subject AND en.channel = mg.channel AND en.sample >= start AND en.sample < stop JOIN cx ON cx.subject = en.subject AND cx.channel = en.channel AND cx.sample = en.sample
+ WHERE stop - start BETWEEN 2 AND 10 GROUP BY ALL)"""
+
+_COH = f"""{F1}, {_hilbert('f1', 64)}, {WIN.format(n=7)}, wz AS (SELECT subject, channel, sample, re, im, win FROM an, win WHERE sample >= st AND sample < st + 16),
+ c0 AS (SELECT a.subject, a.win, a.channel AS i, b.channel AS j, avg(a.re * b.re + a.im * b.im) AS re, avg(a.im * b.re - a.re * b.im) AS im, greatest(avg(a.re * a.re + a.im * a.im), 1e-12) AS pa, greatest(avg(b.re * b.re + b.im * b.im), 1e-12) AS pb
+ FROM wz a JOIN wz b ON a.subject = b.subject AND a.win = b.win AND a.sample = b.sample AND a.channel < b.channel GROUP BY ALL),
+ fc AS (SELECT subject, win, i, j, abs(im / sqrt(pa * pb)) / sqrt(greatest(1 - pow(re / sqrt(pa * pb), 2), 1e-12)) AS w FROM c0)"""
+
+_ENVFC = f"{F1}, {_hilbert('f1', 64)}, en AS (SELECT subject, channel, sample, sqrt(re * re + im * im) AS value FROM an), {_corr('en')}"
+
+
+def _sparse(q: float) -> str:
+    return f"{F3}, sp AS (SELECT u, v, w FROM f3 WHERE w > 0 AND w >= (SELECT quantile_cont(w, {q}) FROM f3 WHERE w > 0))"
+
+
+def _minplus(edges: str, eps: str, levels: int = 5) -> str:
+    """Shortest distances by repeated min-plus squaring: dN(a, b, d), zero on the diagonal."""
+    out = f"nd AS (SELECT DISTINCT u AS a FROM {edges} UNION SELECT DISTINCT v FROM {edges}), d0 AS MATERIALIZED (SELECT a, b, min(d) AS d FROM (SELECT u AS a, v AS b, 1 / (w + {eps}) AS d FROM {edges} UNION ALL SELECT a, a, 0.0 FROM nd) GROUP BY a, b)"
+    for k in range(levels):
+        out += f", d{k + 1} AS MATERIALIZED (SELECT x.a, y.b, min(x.d + y.d) AS d FROM d{k} x JOIN d{k} y ON x.b = y.a GROUP BY x.a, y.b)"
+    return out
+
+
+def _closeness(a: str, b: str) -> str:
+    return f"""WITH {_sparse(0.9)}, {_minplus('sp', '1e-12')}, c AS (SELECT {a} AS channel, count(*) - 1 AS r, sum(d) AS t FROM d5 GROUP BY 1)
+SELECT channel, round(CASE WHEN t > 0 THEN r / t * r / ((SELECT count(*) FROM nd) - 1) ELSE 0 END, 6) AS value FROM c"""
+
+
+def _pagerank(rounds: int = 60) -> str:
+    return f"""WITH RECURSIVE {_sparse(0.9)}, nd AS (SELECT DISTINCT u AS a FROM sp UNION SELECT DISTINCT v FROM sp), n AS (SELECT count(*) AS n FROM nd), ot AS (SELECT u, sum(w) AS t FROM sp GROUP BY u),
+ m AS (SELECT sp.u, v, w / t AS p FROM sp JOIN ot ON ot.u = sp.u UNION ALL SELECT x.a, y.a, 1.0 / n FROM nd x, nd y, n WHERE x.a NOT IN (SELECT u FROM sp)),
+ it AS (SELECT 0 AS k, a, 1.0::DOUBLE / n AS x FROM nd, n UNION ALL SELECT k + 1, a, x FROM (SELECT i.k, m.v AS a, 0.85 * sum(i.x * m.p) + 0.15 / max(n) AS x FROM it i JOIN m ON m.u = i.a, n WHERE i.k < {rounds} GROUP BY i.k, m.v))
+SELECT nd.a AS channel, round(coalesce(x, 0.15 / n), 4) AS value FROM nd JOIN n ON true LEFT JOIN it ON it.a = nd.a AND k = {rounds}"""
+
+
+_RANK = f"{F5}, rk AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, channel DESC) AS r, sum(y) OVER (PARTITION BY subject) AS pos, count(*) OVER (PARTITION BY subject) AS n FROM f5)"
+_CONF = f"{F5}, cf AS (SELECT subject, count(*) FILTER (score >= 2.5 AND y = 1) AS tp, count(*) FILTER (score >= 2.5 AND y = 0) AS fp, count(*) FILTER (score < 2.5 AND y = 1) AS fn, count(*) FILTER (score < 2.5 AND y = 0) AS tn FROM f5 GROUP BY subject), cm AS (SELECT subject, tp, fp, fn, tn, coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0) AS acc, coalesce(tp / nullif(tp + fn, 0), 0) AS sen, coalesce(tn / nullif(tn + fp, 0), 0) AS spec FROM cf)"
+_BAL = f"{F5}, bl AS (SELECT *, row_number() OVER (PARTITION BY subject, y ORDER BY md5(CAST(channel AS VARCHAR) || '|42'), channel) AS r, sum(y) OVER (PARTITION BY subject) AS p, sum(1 - y) OVER (PARTITION BY subject) AS n FROM f5)"
+_GOOD = f"{F6}, gd AS (SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY row) - 1 AS channel, name, CAST(coalesce(contains(status_description, 'soz'), false) AS INT) AS soz, CAST(coalesce(contains(status_description, 'resect'), false) AS INT) AS resected FROM f6 WHERE status = 'good')"
+_EDGES = "SELECT subject, win AS \"window\", i, j, round(w, 6) AS w FROM fc"
+_X1 = "round(value, 6) AS value"
+_MM = f"{F4}, mn AS (SELECT subject, metric, min(value) AS lo, max(value) AS hi FROM f4 GROUP BY ALL), mm AS (SELECT subject, channel, op_window, mode, metric, y, CASE WHEN hi = lo THEN 0.5 ELSE (value - lo) / (hi - lo) END AS value FROM f4 JOIN mn USING (subject, metric))"
+_BINS = "bn AS (SELECT op_window, CAST(ntile(3) OVER (ORDER BY op_window) - 1 AS BIGINT) AS bin FROM (SELECT DISTINCT op_window FROM f4))"
+
+ORACLE: dict[str, str] = {
+    "fc_sliding_edges": f"WITH {F1}, {_corr('f1')} {_EDGES}",
+    "fc_sliding_edges_kernel": f"WITH {F1}, {_corr('f1')} {_EDGES}",
+    "fc_sliding_edges_exclusive": f"WITH {F1}, {_corr('f1', 6)} {_EDGES}",
+    "fc_edge_vectors": f"WITH {F1}, {_corr('f1')} SELECT subject, win AS \"window\", count(*) AS n_edges, round(sum(w), 6) AS total FROM fc GROUP BY ALL",
+    "fc_node_strength": f"WITH {F1}, {_corr('f1')}, {BOTH} SELECT subject, win AS \"window\", i AS channel, round(sum(abs(w)), 6) AS strength FROM fb GROUP BY subject, win, i",
+    "fc_degree_std": f"WITH {F1}, {_corr('f1')}, {BOTH}, z AS (SELECT subject, win, i, abs(w) AS w FROM fb UNION ALL SELECT DISTINCT subject, win, i, 0.0 FROM fb) SELECT subject, win AS \"window\", i AS channel, round(stddev_pop(w), 6) AS degree_std FROM z GROUP BY subject, win, i",
+    "average_reference": f"WITH {F1} SELECT subject, channel, sample, round(value - avg(value) OVER (PARTITION BY subject, sample), 6) AS value FROM f1",
+    "percentile_scale": f"WITH {F1}, q AS (SELECT subject, quantile_cont(value, 0.95) AS t FROM f1 GROUP BY subject) SELECT subject, channel, sample, round(value / t, 6) AS value FROM f1 JOIN q USING (subject)",
+    "channel_zscore": f"WITH {F2} SELECT subject, channel, sample, round((value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-12), 6) AS value FROM f2 WINDOW w AS (PARTITION BY subject, channel)",
+    "safe_standardise": f"WITH {F2}, z AS (SELECT subject, channel, sample, value - avg(value) OVER (PARTITION BY subject, channel) AS c FROM f2) SELECT subject, channel, sample, round(coalesce(c / nullif(sqrt(avg(c * c) OVER (PARTITION BY subject, channel)), 0), 0), 6) AS value FROM z",
+    "robust_zscore": f"WITH {F1}, m AS (SELECT subject, channel, median(value) AS m FROM f1 GROUP BY ALL), a AS (SELECT subject, channel, median(abs(value - m)) AS mad FROM f1 JOIN m USING (subject, channel) GROUP BY ALL) SELECT subject, channel, sample, round((value - m) / (1.4826 * mad + 1e-12), 6) AS value FROM f1 JOIN m USING (subject, channel) JOIN a USING (subject, channel)",
+    "windows_seconds": f"WITH {F2}, n AS (SELECT subject, max(sample) + 1 AS n FROM f2 GROUP BY subject) SELECT subject, CAST(k AS BIGINT) AS \"window\", CAST(k * 6 AS BIGINT) AS start, CAST(k * 6 + 25 AS BIGINT) AS stop FROM n, range(0, 1000) r(k) WHERE k * 6 + 25 <= n",
+    "segments_and_targets": f"WITH {F2}, n AS (SELECT subject, (max(sample) + 1) // 20 AS n FROM f2 GROUP BY subject) SELECT subject, CAST(t AS BIGINT) AS target, CAST(t - 4 AS BIGINT) AS first, CAST(t - 1 AS BIGINT) AS last, CAST(t >= 6 AS INT) AS y FROM n, range(4, 1000) r(t) WHERE t < n",
+    "delay_embedding": f"WITH {F2}, e AS (SELECT subject, channel, sample, value AS e0, lead(value, 2) OVER w AS e1, lead(value, 4) OVER w AS e2 FROM f2 WINDOW w AS (PARTITION BY subject, channel ORDER BY sample)) SELECT subject, channel, sample, round(e0, 6) AS e0, round(e1, 6) AS e1, round(e2, 6) AS e2 FROM e WHERE e2 IS NOT NULL",
+    "linspace_decimate": f"WITH {F1}, p AS (SELECT CAST(k AS BIGINT) AS point, CAST(floor(k * 63 / 24.0) AS BIGINT) AS sample FROM range(0, 25) r(k)) SELECT subject, channel, point, sample, {_X1} FROM f1 JOIN p USING (sample)",
+    "band_power": f"WITH {F1} SELECT subject, channel, round(avg(value * value), 6) AS power FROM f1 GROUP BY ALL",
+    "onset_crop": f"WITH {F1} SELECT subject, channel, sample, {_X1} FROM f1 WHERE sample / 16.0 BETWEEN 1.0 AND 2.5",
+    "hilbert_envelope": f"WITH {F1}, {_hilbert('f1', 64)} SELECT subject, channel, sample, round(sqrt(re * re + im * im), 6) AS env FROM an",
+    "hfo_events": f"{_HFO} SELECT subject, channel, start, stop, round(peak_amp, 6) AS peak_amp, round(mean_amp, 6) AS mean_amp, round(power, 6) AS power, round(duration_s, 6) AS duration_s FROM ev",
+    "hfo_rate": f"{_HFO} SELECT m.subject, m.channel, count(start) AS n_events, round(count(start) / (1.8 / 60), 6) AS rate FROM md m LEFT JOIN ev ON ev.subject = m.subject AND ev.channel = m.channel GROUP BY m.subject, m.channel",
+    "hfo_features": f"{_HFO}, bp AS (SELECT subject, channel, avg(value * value) AS b FROM cx GROUP BY ALL) SELECT m.subject, m.channel, count(start) AS n_events, round(count(start) / (1.8 / 60), 6) AS rate, round(max(b), 6) AS band_power, round(coalesce(avg(peak_amp), 0), 6) AS peak_mean, round(coalesce(median(peak_amp), 0), 6) AS peak_median, round(coalesce(avg(power), 0), 6) AS power_mean, round(coalesce(avg(duration_s), 0), 6) AS duration_mean FROM bp m LEFT JOIN ev ON ev.subject = m.subject AND ev.channel = m.channel GROUP BY m.subject, m.channel",
+    "envelope_corr_layers": f"WITH {_ENVFC}, q AS (SELECT subject, win, quantile_cont(abs(w), 0.8) AS t FROM fc WHERE w <> 0 GROUP BY ALL) SELECT subject, win AS \"window\", i, j, round(abs(w), 6) AS w FROM fc JOIN q USING (subject, win) WHERE abs(w) >= t",
+    "lagged_coherence": f"WITH {_COH} {_EDGES}",
+    "preictal_mapped": f"WITH {_COH}, b AS (SELECT subject, i, j, avg(w) AS m, stddev_pop(w) AS s FROM fc WHERE (win * 8 + 8) / 16.0 < 2.0 GROUP BY ALL) SELECT subject, win AS \"window\", i, j, round(1 - exp(-least(greatest((w - m) / (s + 1e-12), 0), 50)), 4) AS w FROM fc JOIN b USING (subject, i, j)",
+    "quantile_sparsify": f"WITH {_sparse(0.9)} SELECT u, v, round(w, 6) AS w FROM sp",
+    "directed_strength": f"WITH {_sparse(0.5)}, a AS (SELECT v AS channel, w AS i, 0.0 AS o FROM sp UNION ALL SELECT u, 0.0, w FROM sp) SELECT channel, round(sum(i), 6) AS in_strength, round(sum(o), 6) AS out_strength FROM a GROUP BY channel",
+    "supra_adjacency": f"WITH {F1}, {_corr('f1')}, {BOTH}, nd AS (SELECT DISTINCT subject, win, i FROM fb WHERE w > 0) SELECT subject, win AS layer_a, i AS node_a, win AS layer_b, j AS node_b, round(w, 6) AS w FROM fc WHERE w > 0 UNION ALL SELECT a.subject, a.win, a.i, b.win, b.i, 1.0 FROM nd a JOIN nd b ON a.subject = b.subject AND a.i = b.i AND b.win = a.win + 1",
+    "in_closeness": _closeness("b", "a"),
+    "out_closeness": _closeness("a", "b"),
+    "pagerank": _pagerank(),
+    "clustering": f"""WITH {_sparse(0.9)}, nd AS (SELECT DISTINCT u AS a FROM sp UNION SELECT DISTINCT v FROM sp), c AS (SELECT u, v, cbrt(w / (SELECT max(w) FROM sp)) AS c FROM sp), s AS (SELECT u, v, sum(c) AS c FROM (SELECT u, v, c FROM c UNION ALL SELECT v, u, c FROM c) GROUP BY u, v),
+ t AS (SELECT x.u AS a, sum(x.c * y.c * z.c) / 2 AS t FROM s x JOIN s y ON x.v = y.u JOIN s z ON y.v = z.u AND z.v = x.u GROUP BY x.u),
+ g AS (SELECT a, (SELECT count(*) FROM sp WHERE u = a OR v = a) AS k, (SELECT count(*) FROM sp x JOIN sp y ON x.u = y.v AND x.v = y.u WHERE x.u = a) AS m FROM nd)
+SELECT g.a AS channel, round(CASE WHEN coalesce(t, 0) > 0 AND k * (k - 1) - 2 * m > 0 THEN t / (k * (k - 1) - 2 * m) ELSE 0 END, 6) AS value FROM g LEFT JOIN t ON t.a = g.a""",
+    "nodal_efficiency": f"""WITH {_sparse(0.9)}, un AS (SELECT least(u, v) AS i, greatest(u, v) AS j, sum(w) AS w FROM sp GROUP BY ALL), ub AS (SELECT i AS u, j AS v, w FROM un UNION ALL SELECT j, i, w FROM un), {_minplus('ub', '1e-8')}
+SELECT nd.a AS channel, round(coalesce(avg(1 / d) FILTER (d > 0), 0), 6) AS value FROM nd LEFT JOIN d5 ON d5.a = nd.a GROUP BY nd.a""",
+    "mlevc_quantised": "",
+    "minmax_metrics": f"WITH {_MM} SELECT subject, channel, op_window, mode, metric, {_X1} FROM mm",
+    "time_bins": f"WITH {F4}, {_BINS} SELECT subject, channel, mode, metric, bin, round(avg(value), 6) AS value FROM f4 JOIN bn USING (op_window) GROUP BY ALL",
+    "feature_vectors": f"WITH {_MM}, {_BINS} SELECT subject, channel, y, CAST((bin * 2 + mode) * 2 + metric AS BIGINT) AS k, round(avg(value), 6) AS value FROM mm JOIN bn USING (op_window) GROUP BY ALL",
+    "normalize_scores": f"WITH {F5} SELECT subject, run, channel, y, round(CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-12) END, 6) AS score FROM f5 WINDOW w AS (PARTITION BY subject)",
+    "confusion_metrics": f"WITH {_CONF} SELECT subject, tp, fp, fn, tn, round(acc, 6) AS acc, round(sen, 6) AS sen, round(spec, 6) AS spec FROM cm",
+    "roc_auc": f"WITH {F5}, r AS (SELECT subject, y, rank() OVER (PARTITION BY subject ORDER BY score) + (count(*) OVER (PARTITION BY subject, score) - 1) / 2 AS ar FROM f5) SELECT subject, round(coalesce((sum(ar * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0), 0.5), 6) AS auc FROM r GROUP BY subject",
+    "average_precision": f"WITH {F5}, g AS (SELECT subject, score, sum(y) AS p, count(*) AS n FROM f5 GROUP BY ALL), c AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER (PARTITION BY subject) AS tp FROM g WINDOW w AS (PARTITION BY subject ORDER BY score DESC)) SELECT subject, round(sum(p / tp * cp / cn), 6) AS ap FROM c WHERE tp > 0 GROUP BY subject",
+    "topk_metrics": f"""WITH {_RANK}, c AS (SELECT subject, count(*) FILTER (r <= greatest(pos, 1) AND y = 1) AS tp, count(*) FILTER (r <= greatest(pos, 1) AND y = 0) AS fp, count(*) FILTER (r > greatest(pos, 1) AND y = 1) AS fn, count(*) FILTER (r > greatest(pos, 1) AND y = 0) AS tn FROM rk GROUP BY subject)
+SELECT subject, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(CASE WHEN tp + fn = 0 THEN tn / nullif(tn + fp, 0) WHEN tn + fp = 0 THEN tp / (tp + fn) ELSE (tp / (tp + fn) + tn / (tn + fp)) / 2 END, 6) AS balanced_accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c""",
+    "hit_recall_at_k": f"WITH {_RANK}, k AS (SELECT DISTINCT subject, CAST(least(unnest([1, 3, 5, greatest(pos, 1)]), n) AS BIGINT) AS k FROM rk) SELECT subject, k, CAST(sum(y) FILTER (r <= k) > 0 AS BIGINT) AS hit, round(coalesce(sum(y) FILTER (r <= k) / nullif(max(pos), 0), 0), 6) AS recall FROM rk JOIN k USING (subject) GROUP BY subject, k",
+    "summary_metrics": f"WITH {_CONF}, u AS (SELECT 'acc' AS metric, acc AS v FROM cm UNION ALL SELECT 'sen', sen FROM cm UNION ALL SELECT 'spec', spec FROM cm) SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, count(v) AS n FROM u GROUP BY metric",
+    "subject_mean_score": f"WITH {F5} SELECT subject, channel % 5 AS channel, round(avg(score), 6) AS score, max(y) AS y FROM f5 GROUP BY 1, 2",
+    "balanced_sample": f"WITH {_BAL} SELECT subject, run, channel, y, round(score, 6) AS score FROM bl WHERE least(p, n) = 0 OR r <= least(p, n)",
+    "balanced_negatives": f"WITH {_BAL} SELECT subject, run, channel, y, round(score, 6) AS score FROM bl WHERE least(p, n) = 0 OR r <= least(p, n) OR y = 1",
+    "oversample": f"WITH {_BAL}, t AS (SELECT *, CASE WHEN y = 1 THEN p ELSE n END AS own FROM bl) SELECT subject, channel, y, CAST(c AS BIGINT) AS copy FROM t, range(1, 10000) q(c) WHERE c <= greatest(p, n) // own + CASE WHEN r <= greatest(p, n) % own THEN 1 ELSE 0 END",
+    "loso_split": f"WITH {F5}, s AS (SELECT DISTINCT subject FROM f5) SELECT a.subject AS fold, b.subject FROM s a JOIN s b ON a.subject <> b.subject",
+    "label_consistency": f"WITH {F5}, l AS (SELECT subject, run, list_sort(list((channel % 5, y))) AS l FROM f5 GROUP BY ALL) SELECT subject, count(*) AS n_runs, count(DISTINCT l) > 1 AS inconsistent FROM l GROUP BY subject",
+    "channel_filter": f"WITH {_GOOD} SELECT subject, channel, name FROM gd",
+    "label_assignment": f"WITH {_GOOD} SELECT subject, channel, name, soz, resected FROM gd",
+    "soz_first_order": f"WITH {_GOOD} SELECT subject, name, row_number() OVER (PARTITION BY subject ORDER BY soz DESC, channel) AS place FROM gd",
+    "valid_subjects": f"WITH {F5}, m AS (SELECT subject, min(run) AS run FROM f5 GROUP BY subject), v AS (SELECT DISTINCT subject FROM f5 JOIN m USING (subject, run) WHERE y = 1) SELECT subject, run, channel, y, round(score, 6) AS score FROM f5 SEMI JOIN v USING (subject)",
+    "union_missing_columns": f"WITH {F5} SELECT subject, channel, round(score, 6) AS score, NULL::VARCHAR AS run FROM f5 WHERE run = 'en' UNION ALL SELECT subject, channel, NULL, run FROM f5 WHERE run <> 'en'",
+    "ccm_scores": f"""WITH {F2}, m AS (SELECT subject, channel, sample AS t, value AS e0, lead(value) OVER (PARTITION BY subject, channel ORDER BY sample) AS e1 FROM f2), e AS (SELECT * FROM m WHERE e1 IS NOT NULL),
+ d AS (SELECT a.subject, a.channel, a.t, b.t AS q, sqrt((a.e0 - b.e0) * (a.e0 - b.e0) + (a.e1 - b.e1) * (a.e1 - b.e1)) AS d FROM e a JOIN e b ON a.subject = b.subject AND a.channel = b.channel AND a.t <> b.t),
+ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, channel, t ORDER BY d, q) AS r FROM d) WHERE r <= 3),
+ x AS (SELECT *, exp(-d / (min(d) OVER (PARTITION BY subject, channel, t) + 1e-12)) AS w FROM k), z AS (SELECT *, w / sum(w) OVER (PARTITION BY subject, channel, t) AS p FROM x),
+ g AS (SELECT z.subject, z.channel AS i, y.channel AS j, z.t, sum(p * y.e1) AS guess FROM z JOIN e y ON y.subject = z.subject AND y.t = z.q AND y.channel <> z.channel GROUP BY ALL)
+SELECT g.subject, i, j, round(CASE WHEN stddev_pop(e1) < 1e-12 OR stddev_pop(guess) < 1e-12 THEN 0 ELSE greatest(0, corr(e1, guess)) END, 5) AS w FROM g JOIN e ON e.subject = g.subject AND e.channel = g.j AND e.t = g.t GROUP BY g.subject, i, j""",
+}
+del ORACLE["mlevc_quantised"]
