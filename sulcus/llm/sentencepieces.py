@@ -65,12 +65,22 @@ class ChunkTable:
         return [known.get(c) or look(c) for c in _CUT.findall(" " + text.replace(MARK, " "))]
 
 
+_TABLES: dict[str, ChunkTable] = {}
+
+
+def table_of(model: str) -> ChunkTable:
+    """The worker's table, which its next tasks find filled."""
+    if model not in _TABLES:
+        _TABLES[model] = ChunkTable(model)
+    return _TABLES[model]
+
+
 _SCHEMA = "doc_id long, n_tokens long, ids string, decoded string"
 
 
 def _encoder(model: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model)
+        table = table_of(model)
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo in range(0, len(texts), 512):

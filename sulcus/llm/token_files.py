@@ -18,6 +18,7 @@ another; an empty table gives files without frames and an empty result.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
@@ -37,7 +38,7 @@ from .common import new_path
 
 #: Fixed values of the zstandard seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
-MOST_WORDS, LONGEST_WORD = 400_000, 48
+MOST_WORDS, MOST_PIECES, LONGEST_WORD = 800_000, 500_000, 48
 END_ID = 2
 LEVEL = 3
 
@@ -48,8 +49,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words for which splitting and lower-casing here is certain to be the tokenizer's: printable ASCII and Latin-1 letters.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's own split of lower-case plain words.
+_PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
 class WordTable:
-    """Ids of words as bytes; words are cut at the six ASCII white space characters only, which no token spans."""
+    """Ids of words as bytes; words are cut at the six ASCII white space characters only, which no token spans.
+
+    A plain word that is new is put together from its pre-tokens, which are fewer and have a table of their own.  A full
+    table becomes the old one, whose entries come back when they are met, so frequent words stay.
+    """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
@@ -57,27 +68,76 @@ class WordTable:
         with open(tokenizer, encoding="utf-8") as f:
             spec = json.load(f)
         steps = spec["normalizer"]["normalizers"] if spec.get("normalizer") else []
-        if not any(s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} for s in steps) or any(re.search(r"\s", t["content"]) for t in spec["added_tokens"]):
+        if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or steps[1]["pattern"] != {"Regex": r"\s+"} or any(re.search(r"\s", t["content"]) for t in spec["added_tokens"]):
             raise ValueError("this tokenizer may put white space into tokens")
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
         self.tok = Tokenizer.from_file(tokenizer)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.pre: dict[str, bytes] = {}
+        self.old_pre: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def look(self, word: bytes) -> bytes:
-        got = self.known.get(word)
-        if got is None:
-            got = self._ids(word.decode())
-            if len(word) <= LONGEST_WORD:
-                if len(self.known) >= MOST_WORDS:
-                    self.known.clear()
-                self.known[word] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        known, look = self.known, self.look
-        return b"".join([got if (got := known.get(w)) is not None else look(w) for w in text.encode().split()])
+        ids = self.tok.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _fill(self, pres: set[str]) -> None:
+        """Puts pre-tokens into their table; new ones are encoded as one text, whose ids are cut where a token ends a word."""
+        if len(self.pre) >= MOST_PIECES:
+            self.old_pre, self.pre = self.pre, {}
+        new = []
+        for p in pres.difference(self.pre):
+            if (got := self.old_pre.get(p)) is None:
+                new.append(p)
+            else:
+                self.pre[p] = got
+        if new:
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) != len(new):
+                raise ValueError("pre-tokens here are not the tokenizer's")
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.pre.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        if len(self.known) + len(words) >= MOST_WORDS:
+            self.old, self.known = self.known, {}
+        out, rest, split = {}, {}, {}
+        old, plain, cut, longest = self.old.get, _PLAIN.fullmatch, _PRE.findall, LONGEST_WORD
+        for w in words:
+            if (got := old(w)) is not None:
+                out[w] = got
+            elif len(w) <= longest and plain(t := w.decode()) and (b"<" not in w or not self.added.search(t)):
+                split[w] = cut(t.lower())
+            else:
+                rest[w] = self._ids(w.decode())
+        self._fill(set(itertools.chain.from_iterable(split.values())))
+        of, join = self.pre.__getitem__, b"".join
+        for w, ps in split.items():
+            out[w] = of(ps[0]) if len(ps) == 1 else join(map(of, ps))
+        self.known.update(out)
+        self.known.update((w, x) for w, x in rest.items() if len(w) <= longest)
+        return out | rest
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        docs = [t.encode().split() for t in texts]
+        found = [list(map(self.known.get, ws)) for ws in docs]
+        missing = {w for ws, xs in zip(docs, found) if None in xs for w, x in zip(ws, xs) if x is None}
+        new = self._learn(missing) if missing else {}
+        return [b"".join([x if x is not None else new[w] for w, x in zip(ws, xs)] if None in xs else xs) for ws, xs in zip(docs, found)]
+
+
+_TABLES: dict[str, WordTable] = {}
+
+
+def table_of(tokenizer: str) -> WordTable:
+    """The worker's table, which its next tasks find filled."""
+    if tokenizer not in _TABLES:
+        _TABLES[tokenizer] = WordTable(tokenizer)
+    return _TABLES[tokenizer]
 
 
 class FrameWriter:
@@ -143,15 +203,16 @@ def _writer(path: str, tokenizer: str):
         fs, root = pafs.FileSystem.from_uri(path)
         part = TaskContext.get().partitionId()
         name, mine = f"{root}/part-{part:06d}.zst", f"{root}/.attempt-{uuid.uuid4().hex}"
-        words, total = WordTable(tokenizer), 0
+        words, total = table_of(tokenizer), 0
         end = struct.pack("<I", END_ID)
         with fs.open_output_stream(mine) as out:
             to = FrameWriter(out)
             for b in batches:
-                for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                    data = words.encode(text.as_py() or "") + end
-                    total += len(data) // 4
-                    to.add(doc_id, data)
+                for lo in range(0, b.num_rows, 128):
+                    texts = [t or "" for t in b.column("text").slice(lo, 128).to_pylist()]
+                    for doc_id, data in zip(b.column("doc_id").slice(lo, 128).to_pylist(), words.encode(texts)):
+                        total += len(data) // 4 + 1
+                        to.add(doc_id, data + end)
             to.close()
         fs.move(mine, name)
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([name.rpartition("/")[2]]), pa.array([len(to.table)], pa.int64()), pa.array([total], pa.int64())], names=["part", "file", "n_docs", "n_ids"])
