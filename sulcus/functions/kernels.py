@@ -341,6 +341,9 @@ def perturbation_norms(a: np.ndarray, angles: int = 64) -> np.ndarray:
 
 
 def fragility(x: np.ndarray) -> np.ndarray:
+    """Inverse perturbation norms of the standardised window's channels, scaled to 0..1."""
+    if not np.isfinite(x).all():
+        raise ValueError("a window needs finite samples")
     scale = np.abs(x - x.mean(1, keepdims=True)).max(1, keepdims=True)
     z = (x - x.mean(1, keepdims=True)) / np.where(scale > 0, scale, 1)
     rms = np.sqrt((z * z).mean(1, keepdims=True))
