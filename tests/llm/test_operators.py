@@ -385,6 +385,16 @@ def test_near_dedup_similarity():
         assert mine == pytest.approx(probability_jaccard(sets[0], sets[1]))
 
 
+def test_near_dedup_takes_exactly_least(spark):
+    """216 of 270 shingles in common: the sum of shares is a little less than 0.8 in floating point."""
+    own = [[f"{d}{i}" for i in range(n)] for d, n in (("a", 28), ("b", 26))]
+    rows = [(k, " ".join([f"w{i}" for i in range(220)] + w)) for k, w in enumerate(own)]
+    sets = shingle_sets(rows)
+    assert len(sets[0].keys() & sets[1].keys()) == 216 and len(sets[0].keys() | sets[1].keys()) == 270
+    got = {r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0}
+
+
 def test_prob_min_hash_estimates():
     rng = np.random.default_rng(0)
     h = rng.integers(1, 2**63, 300, dtype=np.uint64)
