@@ -64,7 +64,8 @@ def _marked(docs: DataFrame, salts: int, p: str) -> DataFrame:
 
 def assign(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    m = _marked(docs.select("doc_id", "text"), salts, "").drop("text")
+    # Dealt anew before the window: a window on the join's own partitioning would keep a hot digest from being split.
+    m = _marked(docs.select("doc_id", "text"), salts, "").drop("text").repartition("doc_id", "sha")
     first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("keep_len"))
     # Rows that repeat both doc_id and text are the only ties left; one of them stays.
     nth = F.row_number().over(Window.partitionBy("sha", "doc_id").orderBy(F.col("len").desc()))
