@@ -1,14 +1,11 @@
 import random
 
 import pytest
+from corpus_text import prose
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, n_words string"
 
 
-def prose(rng: random.Random, n: int, words: int = 400) -> str:
-    return " ".join(f"w{rng.randrange(words)}" + ("." if rng.random() < 0.1 else "") for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def fixture_rows():
     """Nulls, empty and very long texts, copies, near copies, shared passages, repeated rows, and columns with clashing names."""

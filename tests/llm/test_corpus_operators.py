@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import prose
+from corpus_text import prose
 
 from sulcus.llm import exact_dedup, language, mixing, near_dedup, quality_rules, sentencepieces, substring_dedup, token_counts, token_files, toxicity
 from sulcus.llm.common import hash_words, normal_words
