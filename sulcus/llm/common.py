@@ -34,12 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests on one machine), a new one."""
+    global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sulcus-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    if not found:  # the setting can't be changed in a running session, so the folder is remembered here
+        _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="sulcus-")
+        found = _own_dir
     return found.rstrip("/")
 
 

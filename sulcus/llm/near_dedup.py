@@ -10,11 +10,15 @@ probability Jaccard similarity of their weights.  Documents that agree in all re
   members by a fixed hash order.  The order is the same everywhere, so the same few pairs turn up again and are
   compared once; the count of pairs is linear in bucket sizes;
 * compared pairs of exact similarity LEAST or more are links; classes are the connected components of links, named by
-  their smallest doc_id.
+  their smallest doc_id;
+* a bucket is open while its members are of several classes.  In open buckets, the most central members of up to PIVOTS
+  classes are compared with the members of other classes, which is linear too and joins most of what belongs together;
+* in the buckets that are still open, every pair of members of different classes is compared, unless fewer than
+  LEAST_AGREEING registers agree (at similarity LEAST that has a probability of some 1e-6).
 
-Bucket extremes are map-side combined aggregates and ways back are equi-joins, which adaptive execution splits when one
-bucket is hot.  Nothing is dropped, capped or sampled.  A link between two members that both differ from the extremes of
-every bucket they share can be missed as such; the README gives the measured recall.
+So two documents that share a bucket are in one class if they are similar enough, whatever the first two steps met.
+Aggregates by bucket are map-side combined and ways back are equi-joins, which adaptive execution splits when one bucket
+is hot.  Nothing is dropped, capped or sampled.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; texts without words (null, empty)
 are each a class of their own; null doc_ids are classes of their own and stay; rows that repeat a doc_id are one document.
@@ -40,6 +44,9 @@ ROUNDING = 1e-9
 BANDS = 20
 ROWS = 5
 REGISTERS = BANDS * ROWS
+#: Classes of an open bucket whose most central member meets the others before all pairs do.
+PIVOTS = 8
+LEAST_AGREEING = 60
 
 
 # ---------------------------------------------------------------------------------------------
@@ -105,7 +112,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 # ---------------------------------------------------------------------------------------------
 # Documents to signatures.
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("rank", pa.int64())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("rank", pa.int64()), ("sketch", pa.binary())])
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +132,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.where(words_in, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
             rank = mix(keys[:, 0].view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
-            yield pa.record_batch([ids.slice(lo, hi - lo), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, pa.array(rank)], _SIGNED)
+            low = (mix(sign) & np.uint64(255)).astype(np.uint8)  # a byte of each register
+            sketch = pa.array([x.tobytes() for x in low], pa.binary())
+            yield pa.record_batch([ids.slice(lo, hi - lo), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, pa.array(rank), sketch], _SIGNED)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, "doc_id long, d1 long, d2 long, bands array<long>, rank long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, "doc_id long, d1 long, d2 long, bands array<long>, rank long, sketch binary")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -149,6 +158,41 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def open_members(members: DataFrame) -> DataFrame:
+    """The rows (b, class, key) of buckets that hold several classes."""
+    several = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    return members.join(several, "key", "left_semi").select("b", "class", "key")
+
+
+def pivot_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs of open buckets' members with the most central members of other classes.  Central is who has most neighbours over all its buckets."""
+    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    near = members.join(size, "key").groupBy("b").agg(F.sum("n").alias("near"))
+    best = members.join(near, "b").groupBy("key", "class").agg(F.max(F.struct("near", "b")).alias("best"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("best")))
+    pivots = best.withColumn("nth", nth).where(F.col("nth") <= PIVOTS).select("key", F.col("class").alias("other"), F.col("best.b").alias("a"))
+    pivots = materialize(pivots, "near-dedup-pivots")
+    met = members.join(pivots, "key").where("class <> other")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches agree in LEAST_AGREEING registers or more."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS) for c in ("sa", "sb"))
+        keep = pa.array((x == y).sum(axis=1) >= LEAST_AGREEING)
+        yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+
+
+def rest_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct pairs of open buckets' members of different classes whose sketches agree well enough."""
+    m = materialize(members.join(sketches, "b"), "near-dedup-open-sketches")
+    x = m.select("key", F.col("b").alias("a"), F.col("class").alias("ca"), F.col("sketch").alias("sa"))
+    y = m.select("key", "b", F.col("class").alias("cb"), F.col("sketch").alias("sb"))
+    met = x.join(y.hint("merge"), "key").where("ca < cb").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True)
     for b in text_slices(batches):
@@ -174,14 +218,19 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
-def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of exact similarity LEAST or more."""
+def packed_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The words of the documents that pairs name: doc_id, z."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # Rows that repeat a doc_id are one document: the first text by order stands for it.
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, "doc_id long, z binary")
     # The same plan at every size: the ids needed grow with the documents, so they are not broadcast while they are few.
     texts = materialize(packed.join(needed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("z").alias("z")), "near-dedup-texts")
     release(docs.sparkSession)
+    return texts
+
+
+def links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of exact similarity LEAST or more."""
     met = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
     met = met.join(texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
     return met.select("a", "b", "za", "zb").mapInArrow(_verified, "a long, b long")
@@ -212,6 +261,25 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def _between(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Links of documents as links of their classes."""
+    of = members.select("b", "class").distinct()
+    found = found.join(of.select(F.col("b").alias("a"), F.col("class").alias("ca")), "a").join(of.select("b", F.col("class").alias("cb")), "b")
+    return found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+
+def _moved(df: DataFrame, merged: DataFrame, column: str) -> DataFrame:
+    """df with its classes as they are after the merge (node, root) of classes."""
+    to = merged.select(F.col("node").alias("_from"), F.col("root").alias("_to"))
+    return df.join(to, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
+
+
+def _merged(root: DataFrame, merged: DataFrame) -> DataFrame:
+    """(node, root) after a merge of classes; a document without links is a class under its own id."""
+    lone = merged.join(root.select("node"), "node", "left_anti")
+    return materialize(_moved(root, merged, "root").unionByName(lone), "near-dedup-roots")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row per distinct doc_id (and per row of null doc_id): doc_id, class_id, kept."""
     signed = materialize(signatures(docs), "near-dedup-signatures")
@@ -220,12 +288,22 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = materialize(known.where(F.size("bands") > 0).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "near-dedup-reps")
     member = materialize(known.select("doc_id", "d1", "d2").join(reps, ["d1", "d2"]).select("doc_id", "rep"), "near-dedup-members")
     stands = reps.select(F.col("rep").alias("doc_id")).distinct()
-    signs = materialize(known.join(stands, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("rank").alias("rank"), F.min("bands").alias("bands")), "near-dedup-signs")
+    signs = materialize(known.join(stands, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("rank").alias("rank"), F.min(F.struct("bands", "sketch")).alias("s")).select("doc_id", "rank", "s.bands", "s.sketch"), "near-dedup-signs")
     pairs = materialize(candidate_pairs(signs), "near-dedup-pairs")
     release(docs.sparkSession)
     # A doc_id of several texts has several representatives; that links them.
     several = member.withColumn("a", F.min("rep").over(Window.partitionBy("doc_id"))).where("a <> rep").select("a", F.col("rep").alias("b"))
-    root = components(links(docs, pairs).unionByName(several))
+    texts = packed_texts(docs, pairs)
+    root = components(links(texts, pairs).unionByName(several))
+    # Whoever shares a bucket was in a pair above, so its text is at hand.
+    members = signs.join(root, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("b"), F.coalesce("root", "doc_id").alias("class"), F.explode("bands").alias("key"))
+    sketches = signs.select(F.col("doc_id").alias("b"), "sketch")
+    for find in (pivot_pairs, lambda m: rest_pairs(m, sketches)):
+        members = materialize(open_members(members), "near-dedup-open")
+        if members.isEmpty():
+            break
+        merged = components(_between(links(texts, materialize(find(members), "near-dedup-pairs")), members))
+        members, root = _moved(members, merged, "class"), _merged(root, merged)
     out = member.join(root, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("class_id")).distinct()
     bare = known.where(F.size("bands") == 0).select("doc_id").distinct().join(member.select("doc_id").distinct(), "doc_id", "left_anti")
     out = out.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id"))).withColumn("kept", F.col("doc_id") == F.col("class_id"))

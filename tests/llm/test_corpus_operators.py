@@ -372,6 +372,35 @@ def test_near_dedup_against_all_pairs(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_dedup_joins_what_extremes_do_not(spark):
+    """Many variants of two texts, most of them too far from one another: links run through a few of them only."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(2):
+        w = prose(rng, 90, 4000).split()
+        for _ in range(70):
+            v = list(w)
+            for _ in range(rng.choice((0, 1, 2, 2, 3, 3, 4))):
+                v[rng.randrange(len(v))] = f"n{rng.randrange(99999)}"
+            rows.append((len(rows), " ".join(v)))
+    rng.shuffle(rows)
+    want = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(set(want.values())) > 2 and got == want
+
+
+def test_near_dedup_open_buckets(spark):
+    """Members of an open bucket meet the central members of other classes, and then all members of other classes whose sketches agree."""
+    rows = [(b, c, 1) for b, c in ((1, 1), (2, 1), (3, 3), (4, 4))] + [(2, 1, 2), (3, 3, 2), (5, 5, 3), (6, 5, 3)]
+    m = near_dedup.open_members(spark.createDataFrame(rows, "b long, class long, key long"))
+    assert {tuple(r) for r in m.collect()} == {r for r in rows if r[2] < 3}
+    # The pivots of bucket 1 are 2, 3 and 4; of bucket 2, 2 and 3.
+    assert {tuple(r) for r in near_dedup.pivot_pairs(m).collect()} == {(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
+    sketch = lambda k: bytes([7] * k + [k % 251] * (near_dedup.REGISTERS - k))
+    s = spark.createDataFrame([(1, sketch(100)), (2, sketch(60)), (3, sketch(59)), (4, sketch(100))], "b long, sketch binary")
+    assert {tuple(r) for r in near_dedup.rest_pairs(m, s).collect()} == {(1, 4), (2, 4)}
+
+
 def test_near_dedup_similarity():
     rng = random.Random(2)
     for _ in range(20):
