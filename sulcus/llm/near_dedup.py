@@ -13,8 +13,9 @@ probability Jaccard similarity of their weights.  Documents that agree in all re
   their smallest doc_id;
 * a bucket is open while its members are of several classes.  In open buckets, the most central members of up to PIVOTS
   classes are compared with the members of other classes, which is linear too and joins most of what belongs together;
-* in the buckets that are still open, every pair of members of different classes is compared, unless fewer than
-  LEAST_AGREEING registers agree (at similarity LEAST that has a probability of some 1e-6).
+* in the buckets that are still open, every pair of members of different classes is compared, unless the shingles that
+  no other member of an open bucket has rule it out (see `most_similar`, an exact bound), or fewer than LEAST_AGREEING
+  registers agree (at similarity LEAST that has a probability of some 1e-6).
 
 So two documents that share a bucket are in one class if they are similar enough, whatever the first two steps met.
 Aggregates by bucket are map-side combined and ways back are equi-joins, which adaptive execution splits when one bucket
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_words, materialize, mix, normal_words, range_hash, release, slices, text_slices
@@ -184,12 +185,42 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
 
-def rest_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Distinct pairs of open buckets' members of different classes whose sketches agree well enough."""
-    m = materialize(members.join(sketches, "b"), "near-dedup-open-sketches")
-    x = m.select("key", F.col("b").alias("a"), F.col("class").alias("ca"), F.col("sketch").alias("sa"))
-    y = m.select("key", "b", F.col("class").alias("cb"), F.col("sketch").alias("sb"))
-    met = x.join(y.hint("merge"), "key").where("ca < cb").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
+def most_similar(u: Column, v: Column) -> Column:
+    """The largest similarity of two documents of which shares u and v of the weights are on shingles that the other lacks.
+
+    With weights scaled to a sum of 1, the inner sum of `similarity` is 1 / x_d + v / y_d at least; what that leaves of each
+    term is concave and homogeneous, so the sum over d is what one shingle of weights 1 - u and 1 - v would give.
+    """
+    return (1 - u) * (1 - v) / F.greatest(1 - u * v, F.lit(1e-12))
+
+
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for b in batches:
+        norms = [unpack.decompress(x) for x in b.column("z").to_pylist()]
+        ids = b.column("doc_id").to_numpy()
+        for lo, hi in slices(norms):
+            own, h, n = shingles(*hash_words(norms[lo:hi]))
+            share = n / np.bincount(own, n, hi - lo)[own]
+            yield pa.record_batch([pa.array(ids[lo:hi][own]), pa.array(h.view(np.int64)), pa.array(share)], names=["b", "h", "share"])
+
+
+def lone_shares(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(b, lone): the share of each member's weight on shingles that no other member has."""
+    here = texts.join(members.select(F.col("b").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    by = here.mapInArrow(_shares, "b long, h long, share double").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"), F.sum("share").alias("share"))
+    return by.groupBy("b").agg(F.sum(F.when(F.col("n") == 1, F.col("share")).otherwise(F.lit(0.0))).alias("lone"))
+
+
+def rest_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct pairs of open buckets' members of different classes that may be similar enough and whose sketches agree well enough."""
+    lone = lone_shares(members, texts)
+    m = members.join(sketches, "b").join(lone, "b", "left").withColumn("lone", F.coalesce("lone", F.lit(0.0)))
+    m = materialize(m, "near-dedup-open-sketches")
+    x = m.select("key", F.col("b").alias("a"), F.col("class").alias("ca"), F.col("sketch").alias("sa"), F.col("lone").alias("la"))
+    y = m.select("key", "b", F.col("class").alias("cb"), F.col("sketch").alias("sb"), F.col("lone").alias("lb"))
+    may = (F.col("ca") < F.col("cb")) & (most_similar(F.col("la"), F.col("lb")) >= LEAST - ROUNDING)
+    met = x.join(y.hint("merge"), "key").where(may).select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -298,7 +329,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # Whoever shares a bucket was in a pair above, so its text is at hand.
     members = signs.join(root, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("b"), F.coalesce("root", "doc_id").alias("class"), F.explode("bands").alias("key"))
     sketches = signs.select(F.col("doc_id").alias("b"), "sketch")
-    for find in (pivot_pairs, lambda m: rest_pairs(m, sketches)):
+    for find in (pivot_pairs, lambda m: rest_pairs(m, sketches, texts)):
         members = materialize(open_members(members), "near-dedup-open")
         if members.isEmpty():
             break

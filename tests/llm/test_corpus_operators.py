@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from corpus_text import prose
 
 from sulcus.llm import exact_dedup, language, mixing, near_dedup, quality_rules, sentencepieces, substring_dedup, token_counts, token_files, toxicity
@@ -398,7 +399,27 @@ def test_near_dedup_open_buckets(spark):
     assert {tuple(r) for r in near_dedup.pivot_pairs(m).collect()} == {(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
     sketch = lambda k: bytes([7] * k + [k % 251] * (near_dedup.REGISTERS - k))
     s = spark.createDataFrame([(1, sketch(100)), (2, sketch(60)), (3, sketch(59)), (4, sketch(100))], "b long, sketch binary")
-    assert {tuple(r) for r in near_dedup.rest_pairs(m, s).collect()} == {(1, 4), (2, 4)}
+    squeeze = zstandard.ZstdCompressor()
+    texts = [(b, bytearray(squeeze.compress(b"a b c d e f g"))) for b in (1, 2, 3, 4)]
+    t = spark.createDataFrame(texts, "doc_id long, z binary")
+    assert {tuple(r) for r in near_dedup.rest_pairs(m, s, t).collect()} == {(1, 4), (2, 4)}
+    # 4 now has one shingle in two to itself: no similarity of 0.8 with anyone.
+    t = spark.createDataFrame([*texts[:3], (4, bytearray(squeeze.compress(b"a b c d e f g x y z")))], "doc_id long, z binary")
+    assert {r.b: r.lone for r in near_dedup.lone_shares(m, t).collect()}.get(4) == pytest.approx(0.5)
+    assert near_dedup.rest_pairs(m, s, t).count() == 0
+
+
+def test_near_dedup_bound_holds(spark):
+    """No pair of random weighted sets is more similar than the bound says."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(300):
+        x, y = (Counter({k: rng.randrange(1, 5) for k in range(12) if rng.random() < 0.9}) for _ in range(2))
+        if x and y:
+            u, v = (sum(n for k, n in p.items() if k not in q) / sum(p.values()) for p, q in ((x, y), (y, x)))
+            rows.append((u, v, probability_jaccard(x, y)))
+    d = spark.createDataFrame(rows, "u double, v double, s double")
+    assert d.where(near_dedup.most_similar(d.u, d.v) < d.s - 1e-9).count() == 0
 
 
 def test_near_dedup_similarity():
