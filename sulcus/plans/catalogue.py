@@ -25,53 +25,59 @@ def query(f):
     return f
 
 
+def recording(f):
+    """Registers a query of recordings over F1 and, as ..._whole, over every channel of the table."""
+    QUERIES[f"{f.__name__}_whole"] = lambda s, d: f(s, d, None)
+    return query(f)
+
+
 def r6(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
-def fc(s, d, inclusive=True):
-    return N.sliding_correlation(X.dense(s, d), W, STEP, inclusive)
+def fc(s, d, n=X.CHANNELS, inclusive=True):
+    return N.sliding_correlation(X.dense(s, d, n), W, STEP, inclusive)
 
 
-@query
-def fc_sliding_edges(s, d):
-    return r6(fc(s, d))
+@recording
+def fc_sliding_edges(s, d, n=X.CHANNELS):
+    return r6(fc(s, d, n))
 
 
-@query
-def fc_sliding_edges_exclusive(s, d):
-    return r6(fc(s, d, False))
+@recording
+def fc_sliding_edges_exclusive(s, d, n=X.CHANNELS):
+    return r6(fc(s, d, n, False))
 
 
-@query
-def fc_sliding_edges_kernel(s, d):
-    return r6(N.sliding_correlation_kernel(X.dense_wide(s, d), W, STEP))
+@recording
+def fc_sliding_edges_kernel(s, d, n=X.CHANNELS):
+    return r6(N.sliding_correlation_kernel(X.dense_wide(s, d, n), W, STEP))
 
 
-@query
-def fc_edge_vectors(s, d):
-    v = N.edge_vectors(fc(s, d))
+@recording
+def fc_edge_vectors(s, d, n=X.CHANNELS):
+    v = N.edge_vectors(fc(s, d, n))
     return r6(v.select("subject", "window", F.size("edge").cast("long").alias("n_edges"), F.aggregate("edge", F.lit(0.0), lambda a, x: a + x).alias("total")))
 
 
-@query
-def fc_node_strength(s, d):
-    return r6(N.node_strength(fc(s, d), ["subject", "window"]))
+@recording
+def fc_node_strength(s, d, n=X.CHANNELS):
+    return r6(N.node_strength(fc(s, d, n), ["subject", "window"]))
 
 
-@query
-def fc_degree_std(s, d):
-    return r6(N.degree_std(fc(s, d), ["subject", "window"]))
+@recording
+def fc_degree_std(s, d, n=X.CHANNELS):
+    return r6(N.degree_std(fc(s, d, n), ["subject", "window"]))
 
 
-@query
-def average_reference(s, d):
-    return r6(S.average_reference(X.dense(s, d)).select("subject", "channel", "sample", "value"))
+@recording
+def average_reference(s, d, n=X.CHANNELS):
+    return r6(S.average_reference(X.dense(s, d, n)).select("subject", "channel", "sample", "value"))
 
 
-@query
-def percentile_scale(s, d):
-    return r6(S.percentile_scale(X.dense(s, d)).select("subject", "channel", "sample", "value"))
+@recording
+def percentile_scale(s, d, n=X.CHANNELS):
+    return r6(S.percentile_scale(X.dense(s, d, n)).select("subject", "channel", "sample", "value"))
 
 
 @query
@@ -84,9 +90,9 @@ def safe_standardise(s, d):
     return r6(S.safe_standardise(X.bursts(s, d)))
 
 
-@query
-def robust_zscore(s, d):
-    return r6(S.robust_zscore(X.dense(s, d)).select("subject", "channel", "sample", "value"))
+@recording
+def robust_zscore(s, d, n=X.CHANNELS):
+    return r6(S.robust_zscore(X.dense(s, d, n)).select("subject", "channel", "sample", "value"))
 
 
 @query
@@ -106,24 +112,24 @@ def delay_embedding(s, d):
     return r6(S.delay_embedding(X.bursts(s, d), 3, 2))
 
 
-@query
-def linspace_decimate(s, d):
-    return r6(S.point_cap(X.dense(s, d), 25).select("subject", "channel", "point", "sample", "value"))
+@recording
+def linspace_decimate(s, d, n=X.CHANNELS):
+    return r6(S.point_cap(X.dense(s, d, n), 25).select("subject", "channel", "point", "sample", "value"))
 
 
-@query
-def band_power(s, d):
-    return r6(S.band_power(X.dense(s, d)))
+@recording
+def band_power(s, d, n=X.CHANNELS):
+    return r6(S.band_power(X.dense(s, d, n)))
 
 
-@query
-def onset_crop(s, d):
-    return r6(S.crop(X.dense(s, d), FS, 2.0, 1.0, 0.5).select("subject", "channel", "sample", "value"))
+@recording
+def onset_crop(s, d, n=X.CHANNELS):
+    return r6(S.crop(X.dense(s, d, n), FS, 2.0, 1.0, 0.5).select("subject", "channel", "sample", "value"))
 
 
-@query
-def hilbert_envelope(s, d):
-    return r6(X.long_form(S.envelope(X.dense_wide(s, d))).select("subject", "channel", "sample", F.col("value").alias("env")))
+@recording
+def hilbert_envelope(s, d, n=X.CHANNELS):
+    return r6(X.long_form(S.envelope(X.dense_wide(s, d, n))).select("subject", "channel", "sample", F.col("value").alias("env")))
 
 
 def _hfo(s, d):
@@ -152,24 +158,24 @@ def hfo_features(s, d):
     return r6(E.features(ev, x, 100.0))
 
 
-@query
-def envelope_corr_layers(s, d):
-    return r6(N.envelope_layers(X.long_form(S.envelope(X.dense_wide(s, d))), W, STEP))
+@recording
+def envelope_corr_layers(s, d, n=X.CHANNELS):
+    return r6(N.envelope_layers(X.long_form(S.envelope(X.dense_wide(s, d, n))), W, STEP))
 
 
-def _coherence(s, d):
-    z = S.analytic(X.dense_wide(s, d)).select("subject", "channel", F.posexplode(F.arrays_zip("re", "im")).alias("sample", "z")).select("subject", "channel", F.col("sample").cast("long").alias("sample"), "z.re", "z.im")
+def _coherence(s, d, n=X.CHANNELS):
+    z = S.analytic(X.dense_wide(s, d, n)).select("subject", "channel", F.posexplode(F.arrays_zip("re", "im")).alias("sample", "z")).select("subject", "channel", F.col("sample").cast("long").alias("sample"), "z.re", "z.im")
     return N.lagged_coherence(z, W, STEP)
 
 
-@query
-def lagged_coherence(s, d):
-    return r6(_coherence(s, d))
+@recording
+def lagged_coherence(s, d, n=X.CHANNELS):
+    return r6(_coherence(s, d, n))
 
 
-@query
-def preictal_mapped(s, d):
-    return r6(N.preictal_map(_coherence(s, d), (F.col("window") * STEP + W / 2) / FS, 2.0), 4)
+@recording
+def preictal_mapped(s, d, n=X.CHANNELS):
+    return r6(N.preictal_map(_coherence(s, d, n), (F.col("window") * STEP + W / 2) / FS, 2.0), 4)
 
 
 @query
@@ -182,9 +188,9 @@ def directed_strength(s, d):
     return r6(G.directed_strength(N.quantile_sparsify(X.trade_graph(s, d), 0.5, [])))
 
 
-@query
-def supra_adjacency(s, d):
-    return r6(N.supra_edges(fc(s, d).where("w > 0"), 1.0))
+@recording
+def supra_adjacency(s, d, n=X.CHANNELS):
+    return r6(N.supra_edges(fc(s, d, n).where("w > 0"), 1.0))
 
 
 def _sparse(s, d):
@@ -225,26 +231,26 @@ def eigenvector_centrality(s, d):
     return r6(G.node_metrics(_undirected(s, d), []).where("metric = 'eigenvector'").select("channel", "value"), 4)
 
 
-def _modes(s, d):
-    edges = fc(s, d, False)
+def _modes(s, d, n=X.CHANNELS):
+    edges = fc(s, d, n, False)
     pairs = edges.select("subject", "i", "j").distinct().groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("p")).select("subject", F.posexplode("p").alias("edge", "p")).select("subject", "edge", "p.i", "p.j")
     return N.evolution(N.edge_vectors(edges), OPW, 1, 2), pairs
 
 
-@query
-def evolution_operator_svd(s, d):
-    return r6(_modes(s, d)[0].select("subject", "op_window", "mode", "sigma", "energy"), 4)
+@recording
+def evolution_operator_svd(s, d, n=X.CHANNELS):
+    return r6(_modes(s, d, n)[0].select("subject", "op_window", "mode", "sigma", "energy"), 4)
 
 
-@query
-def evolution_node_metrics(s, d):
-    modes, pairs = _modes(s, d)
+@recording
+def evolution_node_metrics(s, d, n=X.CHANNELS):
+    modes, pairs = _modes(s, d, n)
     return r6(G.node_metrics(N.mode_graphs(modes, pairs), ["subject", "op_window", "mode"]), 4)
 
 
-@query
-def evolution_success_rate(s, d):
-    modes, pairs = _modes(s, d)
+@recording
+def evolution_success_rate(s, d, n=X.CHANNELS):
+    modes, pairs = _modes(s, d, n)
     return G.success_rate(G.node_metrics(N.mode_graphs(modes, pairs), ["subject", "op_window", "mode"]), ["subject"])
 
 
@@ -259,24 +265,24 @@ def ccm_centralities(s, d):
     return r6(G.centralities(N.quantile_sparsify(N.cross_mapping(w, 2, 1), 0.5, ["subject"]), ["subject"]), 5)
 
 
-@query
-def fragility_heatmap(s, d):
-    return r6(G.fragility_heatmap(X.dense_wide(s, d), W, STEP, FS), 5)
+@recording
+def fragility_heatmap(s, d, n=X.CHANNELS):
+    return r6(G.fragility_heatmap(X.dense_wide(s, d, n), W, STEP, FS), 5)
 
 
-@query
-def mlevc(s, d):
-    return r6(G.multilayer_centrality(N.envelope_layers(X.long_form(S.envelope(X.dense_wide(s, d))), W, STEP)), 5)
+@recording
+def mlevc(s, d, n=X.CHANNELS):
+    return r6(G.multilayer_centrality(N.envelope_layers(X.long_form(S.envelope(X.dense_wide(s, d, n))), W, STEP)), 5)
 
 
-@query
-def mlevc_quantised(s, d):
-    return G.quantise(mlevc(s, d), 20.0, ["subject"])
+@recording
+def mlevc_quantised(s, d, n=X.CHANNELS):
+    return G.quantise(mlevc(s, d, n), 20.0, ["subject"])
 
 
-@query
-def mlevc_consensus(s, d):
-    return r6(G.consensus(N.envelope_layers(X.long_form(S.envelope(X.dense_wide(s, d))), W, STEP), (1, 5)), 5)
+@recording
+def mlevc_consensus(s, d, n=X.CHANNELS):
+    return r6(G.consensus(N.envelope_layers(X.long_form(S.envelope(X.dense_wide(s, d, n))), W, STEP), (1, 5)), 5)
 
 
 @query
@@ -405,12 +411,12 @@ def union_missing_columns(s, d):
     return r6(a.where("run = 'en'").select("subject", "channel", "score").unionByName(a.where("run <> 'en'").select("subject", "channel", "run"), allowMissingColumns=True))
 
 
-@query
-def gnn_attention_score(s, d):
-    return r6(G.attention_score(X.dense_wide(s, d)), 5)
+@recording
+def gnn_attention_score(s, d, n=X.CHANNELS):
+    return r6(G.attention_score(X.dense_wide(s, d, n)), 5)
 
 
-@query
-def filtered_signals(s, d):
-    w = S.resample(S.butterworth(S.bandpass(S.notch(X.dense_wide(s, d), 512.0), 512.0), 512.0, 80.0, 200.0), 512.0, 500.0)
+@recording
+def filtered_signals(s, d, n=X.CHANNELS):
+    w = S.resample(S.butterworth(S.bandpass(S.notch(X.dense_wide(s, d, n), 512.0), 512.0), 512.0, 80.0, 200.0), 512.0, 500.0)
     return r6(X.long_form(w).select("subject", "channel", "sample", "value"), 5)

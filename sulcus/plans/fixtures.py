@@ -10,8 +10,12 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def dense_wide(spark: SparkSession, d: str, channels: int | None = 8) -> DataFrame:
-    """subject, channel, samples (64 doubles), y; the first channels of each label."""
+#: F1 has the first channels of each label.
+CHANNELS = 8
+
+
+def dense_wide(spark: SparkSession, d: str, channels: int | None = CHANNELS) -> DataFrame:
+    """subject, channel, samples (64 doubles), y; the first channels of each label, or all of them with None."""
     rn = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
     e = _read(spark, d, "embeddings").select("label", "vec_id", "embedding", rn.alias("rn"))
     if channels:
@@ -24,8 +28,8 @@ def long_form(wide: DataFrame) -> DataFrame:
     return wide.select(*keep, F.posexplode("samples").alias("sample", "value")).withColumn("sample", F.col("sample").cast("long"))
 
 
-def dense(spark: SparkSession, d: str) -> DataFrame:
-    return long_form(dense_wide(spark, d))
+def dense(spark: SparkSession, d: str, channels: int | None = CHANNELS) -> DataFrame:
+    return long_form(dense_wide(spark, d, channels))
 
 
 BINS = 180

@@ -155,3 +155,5 @@ SELECT subject, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(CAS
 SELECT g.subject, i, j, round(CASE WHEN stddev_pop(e1) < 1e-12 OR stddev_pop(guess) < 1e-12 THEN 0 ELSE greatest(0, corr(e1, guess)) END, 5) AS w FROM g JOIN e ON e.subject = g.subject AND e.channel = g.j AND e.t = g.t GROUP BY g.subject, i, j""",
 }
 del ORACLE["mlevc_quantised"]
+#: The queries over every channel: the same SQL without F1's cap.
+ORACLE |= {f"{name}_whole": sql.replace(F1, F1.replace(" WHERE rn <= 8", "")) for name, sql in ORACLE.items() if F1 in sql}

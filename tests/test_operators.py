@@ -42,6 +42,34 @@ def test_the_rest_runs(spark, sf, name):
     assert len(rows) and not rows.isna().any().any()
 
 
+@pytest.fixture(scope="module")
+def twelve(spark, tmp_path_factory):
+    """Two labels of twelve channels each."""
+    d, rng = str(tmp_path_factory.mktemp("twelve")), np.random.default_rng(3)
+    spark.createDataFrame([(k, k % 2, rng.normal(size=64).tolist()) for k in range(24)], "vec_id long, label int, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    return d
+
+
+def test_whole_edges_by_brute_force(spark, twelve):
+    want = {}
+    for r in spark.read.parquet(f"{twelve}/embeddings.parquet").collect():
+        want.setdefault(r.label, []).append((r.vec_id, r.embedding))
+    want = {s: np.array([x for _, x in sorted(v)]) for s, v in want.items()}
+    got = QUERIES["fc_sliding_edges_whole"](spark, twelve).collect()
+    assert len(got) == 2 * 7 * 66
+    assert all(abs(r.w - np.corrcoef(want[r.subject][[r.i, r.j], 8 * r.window : 8 * r.window + 16])[0, 1]) < 2e-6 for r in got)
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.endswith("_whole")))
+def test_whole_queries_read_every_channel(spark, twelve, name):
+    rows = QUERIES[name](spark, twelve).toPandas()
+    assert len(rows) and not rows.isna().any().any()
+    seen = {int(c) for k in ("channel", "i", "j", "node_a", "node_b") if k in rows for c in rows[k]}
+    assert seen == set(range(12)) or not seen and name in ("fc_edge_vectors_whole", "evolution_operator_svd_whole", "evolution_success_rate_whole")
+    if name == "fc_edge_vectors_whole":
+        assert set(rows.n_edges) == {66}
+
+
 @pytest.mark.parametrize("parts", ["1", "17"])
 def test_partitions_do_not_matter(spark, sf, parts):
     want = plain(QUERIES["fc_node_strength"](spark, sf).toPandas())
