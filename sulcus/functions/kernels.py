@@ -376,47 +376,80 @@ def quantise(x: np.ndarray, percent: float) -> np.ndarray:
     return np.where(x >= high, 1, np.where(x <= low, -1, 0))
 
 
-def centroid_cut(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters by centroid linkage."""
-    groups = [[i] for i in range(len(x))]
-    while len(groups) > k:
-        c = np.array([x[g].mean(0) for g in groups])
-        d = ((c[:, None] - c[None]) ** 2).sum(2)
-        np.fill_diagonal(d, np.inf)
-        i, j = sorted(np.unravel_index(d.argmin(), d.shape))
-        groups[i] += groups.pop(j)
-    out = np.zeros(len(x), dtype=int)
-    for k, g in enumerate(groups):
-        out[g] = k
+def centroid_tree(x: np.ndarray) -> list[tuple[list[int], int, int, float]]:
+    """Nodes (members, left, right, height), leaves first: merges by centroid linkage, heights not below those of the subtree."""
+    n = len(x)
+    nodes = [([k], -1, -1, 0.0) for k in range(n)]
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    at, size = list(range(n)), np.ones(n)
+    for _ in range(n - 1):
+        i, j = divmod(int(d.argmin()), n)
+        a, b = sorted((at[i], at[j]))
+        nodes.append((nodes[a][0] + nodes[b][0], a, b, max(d[i, j], nodes[a][3], nodes[b][3])))
+        both = size[i] + size[j]
+        row = np.maximum((size[i] * d[i] + size[j] * d[j]) / both - size[i] * size[j] * d[i, j] / both**2, 0)
+        row[[i, j]] = np.inf
+        d[i] = d[:, i] = row
+        d[j] = d[:, j] = np.inf
+        at[i], size[i] = len(nodes) - 1, both
+    return nodes
+
+
+def cut_tree(nodes: list[tuple[list[int], int, int, float]], k: int) -> np.ndarray:
+    """Labels along the tree, cut at the least height that leaves k clusters or fewer."""
+    n = (len(nodes) + 1) // 2
+    cut = sorted(h for *_, h in nodes[n:])[n - k - 1] if k < n else -1.0
+    out, stack, label = np.zeros(n, dtype=int), [len(nodes) - 1], 0
+    while stack:
+        members, left, right, h = nodes[stack.pop()]
+        if left < 0 or h <= cut:
+            out[members] = label
+            label += 1
+        else:
+            stack += [right, left]
     return out
 
 
+def centroid_cut(x: np.ndarray, k: int) -> np.ndarray:
+    """Labels of k clusters (fewer where heights tie) by centroid linkage."""
+    return cut_tree(centroid_tree(x), k)
+
+
 def two_clusters(x: np.ndarray) -> np.ndarray:
     """1 for the smaller of two clusters of z-scored rows; all 1 for two rows or fewer."""
     if len(x) <= 2:
         return np.ones(len(x), dtype=int)
     s = x.std(0)
     lab = centroid_cut((x - x.mean(0)) / np.where(s > 0, s, 1), 2)
-    return (lab == np.bincount(lab, minlength=2).argmin()).astype(int)
+    return (lab == np.bincount(lab).argmin()).astype(int)
 
 
 def target_cluster(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Members of the smaller cluster (second-smallest of three, if the smaller has under 5 %), and how well it stands apart."""
+    """Members of the smaller cluster of z-scored rows (second-smallest of three, if the smaller has under 5 %), and how well it stands apart.
+
+    Fewer than three rows, targets of one member and targets of all are worth nothing.
+    """
     n = len(x)
-    lab = centroid_cut(x, min(2, n))
+    if n < 3:
+        return np.ones(n, dtype=bool), 0.0
+    x = (x - x.mean(0)) / (x.std(0) + 1e-12)
+    tree = centroid_tree(x)
+    lab = cut_tree(tree, 2)
     size = np.bincount(lab)
     pick = size.argmin()
     if size.min() < 0.05 * n and n >= 4:
-        lab = centroid_cut(x, 3)
-        pick = np.argsort(np.bincount(lab), kind="stable")[1]
+        lab = cut_tree(tree, 3)
+        size = np.bincount(lab)
+        pick = np.argsort(size, kind="stable")[min(1, len(size) - 1)]
     inside = lab == pick
-    if inside.all() or not inside.any():
+    if inside.sum() < 2 or inside.all():
         return inside, 0.0
     a, b = x[inside], x[~inside]
-    gap = np.linalg.norm(a.mean(0) - b.mean(0))
-    pair = np.mean([np.linalg.norm(p - q) for i, p in enumerate(a) for q in a[:i]]) if len(a) > 1 else 1.0
-    radius = np.linalg.norm(a - a.mean(0), axis=1).max() if len(a) > 1 else 1.0
-    return inside, float(gap / max(pair * radius, 1e-12))
+    gap = ((a.mean(0) - b.mean(0)) ** 2).sum()
+    i, j = np.triu_indices(len(a), 1)
+    spread = np.linalg.norm(a[i] - a[j], axis=1).mean() * np.linalg.norm(a - a.mean(0), axis=1).max()
+    return inside, float(gap / (spread + 1e-12)) if spread > 0 else 0.0
 
 
 def three_means(v: np.ndarray) -> np.ndarray:
@@ -432,24 +465,34 @@ def three_means(v: np.ndarray) -> np.ndarray:
     return np.searchsorted([s[i], s[j]], v, side="right")
 
 
-def consensus(mats: dict[float, np.ndarray], percents=tuple(range(5, 45, 5)), components: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(score in 0..1, member of the top group) per channel, from votes over couplings, percentiles and feature combinations."""
-    combos = [(0,), (0, 1), (0, 1, 2), (0, 1, 2, 3), (1, 2)]
-    n = len(next(iter(mats.values())))
+def consensus(mats: dict[float, list[np.ndarray]], percents=tuple(range(10, 90, 10)), components: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(score in 0..1, member of the top group) per channel.  mats: by coupling, [channel, layer] of each run and band.
+
+    A case is a coupling and a percentile, its runs and bands joined.  Feature combinations vote by what they are worth, a channel
+    is in the case's target if it has more than (m - 1) / m of the votes of m combinations, and cases weigh what theirs are worth.
+    """
+    combos = [(0, 1), (0, 2), (1, 2), (0, 1, 2), (0, 1, 2, 3)]
+    mats = {c: [m] if isinstance(m, np.ndarray) else m for c, m in mats.items()}
+    n = len(next(iter(mats.values()))[0])
     votes, weights = np.zeros(n), 0.0
-    for m in mats.values():
+    for sets in mats.values():
         for p in percents:
-            u = np.linalg.svd(quantise(m, p).astype(float), full_matrices=False)[0][:, :components]
-            for c in combos:
-                use = [k for k in c if k < u.shape[1]]
-                if not use:
-                    continue
-                inside, worth = target_cluster(u[:, use])
-                votes += worth * inside
-                weights += worth
-    score = votes / weights if weights > 0 else votes
+            u = np.linalg.svd(np.concatenate([quantise(m, p) for m in sets], 1).astype(float), full_matrices=False)[0][:, :components]
+            use = [[k for k in c if k < u.shape[1]] for c in combos]
+            found = [target_cluster(u[:, c]) for c in use if len(c) > 1]
+            found = [(inside, worth) for inside, worth in found if worth > 0 and np.isfinite(worth)]
+            if not found:
+                continue
+            worth = np.array([w for _, w in found])
+            m = len(found)
+            part = np.average([inside for inside, _ in found], axis=0, weights=worth)
+            votes += worth.sum() * (part > ((m - 1) / m if m > 1 else 0.5))
+            weights += worth.sum()
+    if not weights:
+        return np.zeros(n), np.zeros(n, dtype=bool)
+    score = votes / weights
     spread = score.max() - score.min()
-    score = (score - score.min()) / spread if spread > 1e-12 else np.zeros(n)
+    score = (score - score.min()) / (spread + 1e-12) if spread >= 1e-12 else np.zeros(n)
     return score, three_means(score) == 2
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from . import signal as S
 
 RUN = ["subject"]
 
@@ -120,6 +122,14 @@ def preictal_map(edges: DataFrame, centre_s: Column, onset_s: float, run: list[s
     return e.withColumn("w", 1 - F.exp(-F.least(F.greatest(zed, F.lit(0.0)), F.lit(50.0)))).select(*run, "window", "i", "j", "w")
 
 
+def coherence_layers(wide: DataFrame, sfreq: float, width: int, step: int, onset_s: float, bands=((80.0, 140.0), (140.0, 200.0)), run: list[str] = RUN) -> DataFrame:
+    """Edges (run, band, window, i, j, w) of each band: lagged coherence of the filtered signals, mapped by its windows before the onset."""
+    z = [S.analytic(S.butterworth(wide, sfreq, *b)).select(*run, F.lit(f"{b[0]:g}-{b[1]:g}").alias("band"), "channel", F.posexplode(F.arrays_zip("re", "im")).alias("sample", "z")) for b in bands]
+    z = functools.reduce(DataFrame.unionByName, z).select(*run, "band", "channel", F.col("sample").cast("long").alias("sample"), "z.re", "z.im")
+    by = [*run, "band"]
+    return preictal_map(lagged_coherence(z, width, step, by), (F.col("window") * step + width / 2) / sfreq, onset_s, by)
+
+
 def cross_mapping(wide: DataFrame, dim: int = 3, tau: int = 1) -> DataFrame:
     """Directed edges (subject, i, j, w): channel i's neighbourhoods predict channel j.  One graph is one task."""
 

@@ -88,13 +88,19 @@ def quantise(x: DataFrame, percent: float, keys: list[str]) -> DataFrame:
     return x.join(cut, keys).withColumn("value", level).drop("_lo", "_hi")
 
 
-def consensus(layers: DataFrame, couplings=(*range(1, 11), 15)) -> DataFrame:
-    """subject, channel, score, top: votes over couplings, percentiles and singular-vector combinations."""
+def consensus(layers: DataFrame, couplings=(*range(1, 11), 15), percents=tuple(range(10, 90, 10)), sets: list[str] | None = None) -> DataFrame:
+    """subject, channel, score, top: votes over couplings, percentiles and singular-vector combinations.
+
+    sets: columns that tell a subject's runs and bands apart; all of them must have the same channels.
+    """
     kind = dict(layers.dtypes)["subject"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        nodes, _, x = _layers(g)
-        score, top = K.consensus({c: K.multilayer_centrality(x, c) for c in couplings})
+        built = [_layers(h) for _, h in g.groupby(sets)] if sets else [_layers(g)]
+        nodes = built[0][0]
+        if any(not np.array_equal(nodes, other) for other, _, _ in built):
+            raise ValueError("all runs and bands of a subject need the same channels")
+        score, top = K.consensus({c: [K.multilayer_centrality(x, c) for _, _, x in built] for c in couplings}, percents)
         return pd.DataFrame({"subject": g.subject.iloc[0], "channel": nodes, "score": score, "top": top})
 
     return layers.groupBy("subject").applyInPandas(run, f"subject {kind}, channel long, score double, top boolean")

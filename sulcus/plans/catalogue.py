@@ -282,7 +282,7 @@ def mlevc_quantised(s, d, n=X.CHANNELS):
 
 @recording
 def mlevc_consensus(s, d, n=X.CHANNELS):
-    return r6(G.consensus(N.envelope_layers(X.long_form(S.envelope(X.dense_wide(s, d, n))), W, STEP), (1, 5)), 5)
+    return r6(G.consensus(N.coherence_layers(X.dense_wide(s, d, n), 512.0, W, STEP, 32 / 512.0), sets=["band"]), 5)
 
 
 @query

@@ -101,6 +101,50 @@ def test_multilayer_and_clusters():
     assert 0 <= score.min() and score.max() <= 1
 
 
+def test_target_cluster_weights():
+    x = np.array([[0.0, 0], [0.1, 90], [0, -80], [0.1, 10], [0.05, 50], [5, 4000], [5.2, 4100]])
+    inside, worth = K.target_cluster(x)
+    z = (x - x.mean(0)) / x.std(0)
+    a, b = z[inside], z[~inside]
+    assert inside.tolist() == [False] * 5 + [True] * 2
+    assert worth == pytest.approx(((a.mean(0) - b.mean(0)) ** 2).sum() / (np.linalg.norm(a[0] - a[1]) * np.linalg.norm(a[0] - a[1]) / 2))
+    one, worth = K.target_cluster(np.array([[0.0, 0], [0.1, 0], [0, 0.1], [0.1, 0.1], [9, 9]]))
+    assert one.tolist() == [False] * 4 + [True] and worth == 0
+    assert K.target_cluster(np.zeros((2, 2)))[1] == 0
+
+
+def test_centroid_cut_by_brute_force():
+    for _ in range(20):
+        x = np.concatenate([RNG.normal(c, 0.3, (k, 3)) for c, k in ((0, 5), (6, 4), (20, 3))])
+        groups = [[k] for k in range(12)]
+        while len(groups) > 3:
+            _, i, j = min((((x[a].mean(0) - x[b].mean(0)) ** 2).sum(), i, j) for j, b in enumerate(groups) for i, a in enumerate(groups[:j]))
+            groups[i] += groups.pop(j)
+        lab = K.centroid_cut(x, 3)
+        assert {tuple(np.flatnonzero(lab == k)) for k in range(3)} == {tuple(sorted(g)) for g in groups}
+
+
+def test_consensus_votes_by_case():
+    mats = {c: [RNG.normal(size=(14, 5)), RNG.normal(size=(14, 7))] for c in (1.0, 5.0)}
+    labels, weights = [], []
+    for sets in mats.values():
+        for p in (10, 20, 30, 40, 50, 60, 70, 80):
+            u = np.linalg.svd(np.hstack([K.quantise(m, p) for m in sets]).astype(float))[0]
+            found = [K.target_cluster(u[:, list(c)]) for c in ((0, 1), (0, 2), (1, 2), (0, 1, 2), (0, 1, 2, 3))]
+            found = [(t, w) for t, w in found if w > 0]
+            if found:
+                total = sum(w for _, w in found)
+                part = sum(w * t for t, w in found) / total
+                labels.append(part > ((len(found) - 1) / len(found) if len(found) > 1 else 0.5))
+                weights.append(total)
+    want = np.average(labels, axis=0, weights=weights)
+    want = (want - want.min()) / (want.max() - want.min() + 1e-12)
+    score, top = K.consensus(mats)
+    assert np.allclose(score, want) and top[score.argmax()] and not top.all()
+    none, top = K.consensus({1.0: [np.eye(2)]})
+    assert not none.any() and not top.any()
+
+
 def test_network_forward():
     rng = np.random.default_rng(0)
     assert K.gated_convolutions(RNG.normal(size=(4, 16)), rng).shape == (4, 10)

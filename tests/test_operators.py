@@ -9,7 +9,9 @@ from sulcus.operators import channels as C
 from sulcus.operators import connectivity as N
 from sulcus.operators import evaluation as L
 from sulcus.operators import events as E
+from sulcus.operators import graphs as G
 from sulcus.operators import signal as S
+from sulcus.plans import fixtures as X
 from sulcus.plans.catalogue import QUERIES
 from sulcus.plans.oracle import ORACLE
 from sulcus.sources import readers, sinks
@@ -81,6 +83,17 @@ def test_partitions_do_not_matter(spark, sf, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_consensus_joins_bands(spark, twelve):
+    layers = N.coherence_layers(X.dense_wide(spark, twelve, None), 512.0, 16, 8, 32 / 512.0)
+    assert {r.band for r in layers.select("band").distinct().collect()} == {"80-140", "140-200"}
+    assert layers.count() == 2 * 2 * 7 * 66 and layers.where("w < 0 or w > 1").count() == 0
+    rows = G.consensus(layers, (1, 5), sets=["band"]).toPandas()
+    one = G.consensus(layers.where("band = '80-140'"), (1, 5), sets=["band"]).toPandas()
+    assert len(rows) == 24 and rows.score.between(0, 1).all() and plain(rows) != plain(one)
+    with pytest.raises(Exception, match="same channels"):
+        G.consensus(layers.where("band = '80-140' or j < 11"), (1,), sets=["band"]).count()
+
+
 def test_flat_and_short_signals(spark):
     x = spark.createDataFrame([("a", c, t, float(t * (c == 1))) for c in range(2) for t in range(20)], "subject string, channel long, sample long, value double")
     got = N.sliding_correlation(x, 8, 4).collect()
