@@ -134,10 +134,25 @@ def standardise(train: DataFrame, test: DataFrame, n: int) -> tuple[DataFrame, D
     return apply(train), apply(test)
 
 
-def loso(x: DataFrame, model: str = "forest", trees: int = 20, depth: int = 10, seed: int = 42) -> dict[str, DataFrame]:
+def balance_rows(x: DataFrame, how: str, seed: int) -> DataFrame:
+    """x: subject, channel, y.  none: all rows; undersample, oversample: classes of equal size; positives: all of class 1 and as many others."""
+    if how == "none":
+        return x
+    ids, x = ["subject", "channel"], x.withColumn("_all", F.lit(1))
+    if how == "undersample":
+        return undersample(x, seed, ["_all"], ids).drop("_all")
+    if how == "positives":
+        return undersample(x, seed, ["_all"], ids, True).drop("_all")
+    if how == "oversample":
+        return oversample(x, seed, ["_all"], ids).drop("_all", "copy")
+    raise ValueError(f"no way to balance called {how!r}")
+
+
+def loso(x: DataFrame, model: str = "forest", trees: int = 300, depth: int = 20, seed: int = 42, balance: str = "undersample") -> dict[str, DataFrame]:
     """Leave one subject out.  x: subject, channel, features (array), y.  Gives predictions, importances, and skipped folds.
 
-    The driver loops over subjects, of which there are tens; the rows stay distributed.
+    balance: see balance_rows; classes left unequal weigh the same.  The driver loops over subjects, of which there are tens; the rows
+    stay distributed.  With a checkpoint folder, predictions are kept there, and the trees of a fold can go.
     """
     spark = x.sparkSession
     # Each fold reads the features again, so they are kept.
@@ -146,18 +161,24 @@ def loso(x: DataFrame, model: str = "forest", trees: int = 20, depth: int = 10,
     preds, imps, skipped = [], [], []
     for s in sorted(r["subject"] for r in x.select("subject").distinct().collect()):
         train, test = x.where(F.col("subject") != s), x.where(F.col("subject") == s)
-        train = undersample(train.withColumn("_all", F.lit(1)), seed, ["_all"], ["subject", "channel"]).drop("_all")
-        if train.select("y").distinct().count() < 2:
+        train = balance_rows(train, balance, seed).persist()
+        count = dict(train.groupBy("y").count().collect())
+        if len(count) < 2:
             skipped.append((s,))
+            train.unpersist()
             continue
+        balanced = train
         train, test = (d.withColumn("v", array_to_vector("features")) for d in standardise(train, test, n))
+        rows = sum(count.values())
+        train = train.withColumn("weight", F.when(F.col("y") == 1, rows / 2 / count[1.0]).otherwise(rows / 2 / count[0.0]))
         if model == "forest":
-            m = RandomForestClassifier(featuresCol="v", labelCol="y", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed).fit(train)
+            m = RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed).fit(train)
             imps.append([(s, k, float(v)) for k, v in enumerate(m.featureImportances.toArray())])
         else:
-            rows = train.count()
-            m = LogisticRegression(featuresCol="v", labelCol="y", regParam=1.0 / rows, standardization=False, maxIter=100).fit(train)
-        preds.append(m.transform(test).select("subject", "channel", F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score")))
+            m = LogisticRegression(featuresCol="v", labelCol="y", weightCol="weight", regParam=1.0 / rows, standardization=False, maxIter=100).fit(train)
+        balanced.unpersist()
+        p = m.transform(test).select("subject", "channel", F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))
+        preds.append(p.checkpoint() if spark.sparkContext.getCheckpointDir() else p)
     out = preds[0] if preds else spark.createDataFrame([], "subject long, channel long, y int, score double")
     for p in preds[1:]:
         out = out.unionByName(p)

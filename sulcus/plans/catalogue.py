@@ -367,7 +367,7 @@ def loso_split(s, d):
 
 @query
 def loso_random_forest(s, d):
-    return r6(L.loso(_features(s, d), "forest", 10, 5)["predictions"])
+    return r6(L.loso(_features(s, d), "forest")["predictions"])
 
 
 @query
@@ -377,7 +377,7 @@ def loso_logreg(s, d):
 
 @query
 def feature_importance(s, d):
-    return r6(L.importance_summary(L.loso(_features(s, d), "forest", 10, 5)["importances"]))
+    return r6(L.importance_summary(L.loso(_features(s, d), "forest")["importances"]))
 
 
 @query

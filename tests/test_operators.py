@@ -143,6 +143,28 @@ def test_loso_learns(spark):
     assert flat["skipped"].count() == 3 and flat["predictions"].count() == 0
 
 
+def test_loso_sizes_and_balance(spark, monkeypatch):
+    rows = [(s, c, [float((7 * c + s) % 11), float(c % 5)], int(c % 4 == 0)) for s in range(3) for c in range(20)]
+    x = spark.createDataFrame(rows, "subject long, channel long, features array<double>, y int")
+    sizes = {how: tuple(L.balance_rows(x, how, 42).where(F.col("y") == k).count() for k in (0, 1)) for how in ("none", "undersample", "positives", "oversample")}
+    assert sizes == {"none": (45, 15), "undersample": (15, 15), "positives": (15, 15), "oversample": (45, 45)}
+    more = L.balance_rows(x.withColumn("y", 1 - F.col("y")), "positives", 42)
+    assert more.where("y = 1").count() == 45 and more.where("y = 0").count() == 15
+    with pytest.raises(ValueError, match="smote"):
+        L.loso(x, balance="smote")
+    made = []
+
+    class Seen(L.RandomForestClassifier):
+        def __init__(self, **given):
+            made.append((given["numTrees"], given["maxDepth"]))
+            super().__init__(**given | {"numTrees": 3, "maxDepth": 3})
+
+    monkeypatch.setattr(L, "RandomForestClassifier", Seen)
+    two = x.where("subject < 2")
+    scores = [plain(L.loso(two, balance=how)["predictions"].toPandas()) for how in ("none", "undersample")]
+    assert set(made) == {(300, 20)} and scores[0] != scores[1]
+
+
 def test_channels(spark):
     f = spark.createDataFrame([("a", 0), ("a", 1)], "subject string, channel long")
     soz = spark.createDataFrame([("a", 1), ("a", 9)], "subject string, channel long")
