@@ -32,16 +32,14 @@ def dense(spark: SparkSession, d: str, channels: int | None = CHANNELS) -> DataF
     return long_form(dense_wide(spark, d, channels))
 
 
-BINS = 180
-
-
 def bursts(spark: SparkSession, d: str) -> DataFrame:
-    """subject, channel, sample (0..179), value; empty bins are 0."""
+    """subject, channel, sample, value: sums over bins of 4 hours, counted from the first bin of any event to the last; empty bins are 0."""
     e = _read(spark, d, "events")
     at = F.floor(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / F.lit(1e6) / 14400)
-    sums = e.groupBy(F.col("event_type").alias("subject"), (F.col("user_id") % 8).cast("long").alias("channel"), at.cast("long").alias("sample")).agg(F.sum("value").alias("v"))
-    grid = sums.select("subject", "channel").distinct().select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long"))).alias("sample"))
-    return grid.join(sums, ["subject", "channel", "sample"], "left").select("subject", "channel", "sample", F.coalesce("v", F.lit(0.0)).alias("value"))
+    sums = e.groupBy(F.col("event_type").alias("subject"), (F.col("user_id") % 8).cast("long").alias("channel"), at.cast("long").alias("at")).agg(F.sum("value").alias("v"))
+    ends = sums.agg(F.min("at").alias("first"), F.max("at").alias("last"))  # one row
+    grid = sums.select("subject", "channel").distinct().crossJoin(F.broadcast(ends)).select("subject", "channel", "first", F.explode(F.sequence("first", "last")).alias("at"))
+    return grid.join(sums, ["subject", "channel", "at"], "left").select("subject", "channel", (F.col("at") - F.col("first")).alias("sample"), F.coalesce("v", F.lit(0.0)).alias("value"))
 
 
 def bursts_wide(spark: SparkSession, d: str) -> DataFrame:

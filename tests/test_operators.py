@@ -94,6 +94,14 @@ def test_consensus_joins_bands(spark, twelve):
         G.consensus(layers.where("band = '80-140' or j < 11"), (1,), sets=["band"]).count()
 
 
+def test_bursts_keep_every_event(spark, tmp_path):
+    days = ["2023-12-30 01:00:00", "2024-01-05 00:00:00", "2024-03-01 00:00:00"]
+    e = spark.createDataFrame([("a", k, t, 1.0 + k) for k, t in enumerate(days)], "event_type string, user_id long, ts string, value double")
+    e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    rows = X.bursts(spark, str(tmp_path)).collect()
+    assert len(rows) == 3 * 373 and {(r.channel, r.sample, r.value) for r in rows if r.value} == {(0, 0, 1.0), (1, 36, 2.0), (2, 372, 3.0)}
+
+
 def test_flat_and_short_signals(spark):
     x = spark.createDataFrame([("a", c, t, float(t * (c == 1))) for c in range(2) for t in range(20)], "subject string, channel long, sample long, value double")
     got = N.sliding_correlation(x, 8, 4).collect()
