@@ -6,9 +6,8 @@ UTF-8 text cuts at exactly these six characters, so the Python kernels use it.
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -38,10 +37,12 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests on one machine), a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, one machine gets a new folder and a cluster an error."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:  # the setting can't be changed in a running session, so the folder is remembered here
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="sulcus-")
         found = _own_dir
     return found.rstrip("/")
@@ -51,19 +52,27 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/sulcus/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation.
+
+    The folder is added to `paths`, if given, for `clear` once nothing reads from it any more.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps, which it does once Python and the JVM let go of their handles."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        delete(spark, paths.pop())
 
 
 def word_count(text: Column) -> Column:

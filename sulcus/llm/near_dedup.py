@@ -5,24 +5,25 @@ is its weight; a document keeps, for each of REGISTERS registers, the shingle th
 stops as soon as its next arrival is later than every register's first.  Two documents agree in a register with the
 probability Jaccard similarity of their weights.  Documents that agree in all registers of a band are compared:
 
-* documents with equal words are one class representative from the start (they meet by a 128-bit digest);
+* documents with equal words are one node from the start (they meet by a 128-bit digest);
 * in each band bucket, and in each pair of neighbouring buckets, members are compared with the bucket's two extreme
   members by a fixed hash order.  The order is the same everywhere, so the same few pairs turn up again and are
   compared once; the count of pairs is linear in bucket sizes;
 * compared pairs of exact similarity LEAST or more are links; classes are the connected components of links, named by
   their smallest doc_id;
-* a bucket is open while its members are of several classes.  In open buckets, the most central members of up to PIVOTS
-  classes are compared with the members of other classes, which is linear too and joins most of what belongs together;
-* in the buckets that are still open, every pair of members of different classes is compared, unless the shingles that
-  no other member of an open bucket has rule it out (see `most_similar`, an exact bound), or fewer than LEAST_AGREEING
-  registers agree (at similarity LEAST that has a probability of some 1e-6).
+* a bucket is open while its members are of several classes.  Which members of open buckets can still link classes is
+  said by an exact prefix filter (see `prefixes`): shingles that one class has to itself count against a member, and two
+  members meet only at a shingle that is rare enough in both.  First each shingle's most promising member meets the
+  others, which merges most of what belongs together; then all pairs that the filter leaves are compared.
 
-So two documents that share a bucket are in one class if they are similar enough, whatever the first two steps met.
-Aggregates by bucket are map-side combined and ways back are equi-joins, which adaptive execution splits when one bucket
-is hot.  Nothing is dropped, capped or sampled.
+So two documents that share a bucket are in one class if they are similar enough, whatever the first step met.  Pairs are
+never made by bucket: what the filter leaves is what may be similar by weight.  Aggregates are map-side combined and ways
+back are equi-joins, which adaptive execution splits when one key is hot.  Nothing is dropped, capped or sampled.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; texts without words (null, empty)
-are each a class of their own; null doc_ids are classes of their own and stay; rows that repeat a doc_id are one document.
+are each a class of their own; null doc_ids are classes of their own and stay; rows that repeat a doc_id are one document,
+which belongs with the near copies of each of its texts; a long text is one row and is hashed in one pass, its shingles in
+proportion to its length; an empty table has no classes; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialize, mix, normal_words, range_hash, release, slices, text_slices
+from .common import clear, hash_words, materialize, mix, normal_words, range_hash, slices, text_slices
 
 SHINGLE = 5
 LEAST = 0.8
@@ -45,9 +46,6 @@ ROUNDING = 1e-9
 BANDS = 20
 ROWS = 5
 REGISTERS = BANDS * ROWS
-#: Classes of an open bucket whose most central member meets the others before all pairs do.
-PIVOTS = 8
-LEAST_AGREEING = 60
 
 
 # ---------------------------------------------------------------------------------------------
@@ -113,7 +111,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 # ---------------------------------------------------------------------------------------------
 # Documents to signatures.
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("rank", pa.int64()), ("sketch", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("rank", pa.int64())])
+
+
+def digests(norms: list[bytes]) -> np.ndarray:
+    """128-bit digests of texts as two long columns."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in norms), dtype=np.int64).reshape(-1, 2)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,36 +130,36 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # One 64-bit key a band; the band's number is in it, so buckets of different bands don't meet.
             bands = range_hash(sign.reshape(-1), np.arange(0, sign.size, ROWS), np.arange(ROWS, sign.size + 1, ROWS)).reshape(-1, BANDS)
             bands = mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in norms[lo:hi]), dtype=np.int64).reshape(-1, 2)
+            keys = digests(norms[lo:hi])
             words_in = np.diff(first) > 0
             flat = pa.array(bands[words_in].view(np.int64).reshape(-1))
             sizes = np.where(words_in, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
             rank = mix(keys[:, 0].view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
-            low = (mix(sign) & np.uint64(255)).astype(np.uint8)  # a byte of each register
-            sketch = pa.array([x.tobytes() for x in low], pa.binary())
-            yield pa.record_batch([ids.slice(lo, hi - lo), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, pa.array(rank), sketch], _SIGNED)
+            yield pa.record_batch([ids.slice(lo, hi - lo), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, pa.array(rank)], _SIGNED)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, "doc_id long, d1 long, d2 long, bands array<long>, rank long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, "doc_id long, d1 long, d2 long, bands array<long>, rank long")
 
 
 # ---------------------------------------------------------------------------------------------
 # Candidate pairs, verification, classes.
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of representatives: members of buckets with the buckets' extremes by rank."""
+def candidate_pairs(signs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes: members of buckets with the buckets' extremes by rank."""
     size = F.size("bands")
     keys = F.concat(F.col("bands"), F.transform(F.col("bands"), lambda x, i: F.xxhash64(x, F.get(F.col("bands"), (i + 1) % size))))
-    members = reps.where(size > 0).select(F.col("doc_id").alias("b"), "rank", F.explode(keys).alias("key"))
+    members = signs.where(size > 0).select(F.col("node").alias("b"), "rank", F.explode(keys).alias("key"))
     # Written first, so that the join has an exchange on either side and a hot bucket's members can be split.
     ends = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("b", "rank").alias("low"), F.max_by("b", "rank").alias("high")).where("n > 1").drop("n")
-    ends = materialize(ends, "near-dedup-buckets")
-    met = members.drop("rank").join(ends, "key")
+    paths: list[str] = []
+    met = members.drop("rank").join(materialize(ends, "near-dedup-buckets", paths), "key")
     pairs = met.select("b", F.explode(F.array("low", "high")).alias("a")).where("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-dedup-pairs")
+    clear(signs.sparkSession, paths)
+    return pairs
 
 
 def open_members(members: DataFrame) -> DataFrame:
@@ -165,69 +168,83 @@ def open_members(members: DataFrame) -> DataFrame:
     return members.join(several, "key", "left_semi").select("b", "class", "key")
 
 
-def pivot_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs of open buckets' members with the most central members of other classes.  Central is who has most neighbours over all its buckets."""
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    near = members.join(size, "key").groupBy("b").agg(F.sum("n").alias("near"))
-    best = members.join(near, "b").groupBy("key", "class").agg(F.max(F.struct("near", "b")).alias("best"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("best")))
-    pivots = best.withColumn("nth", nth).where(F.col("nth") <= PIVOTS).select("key", F.col("class").alias("other"), F.col("best.b").alias("a"))
-    pivots = materialize(pivots, "near-dedup-pivots")
-    met = members.join(pivots, "key").where("class <> other")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for b in batches:
+        norms = [unpack.decompress(x) for x in b.column("z").to_pylist()]
+        ids = b.column("node").to_numpy()
+        for lo, hi in slices(norms):
+            own, h, n = shingles(*hash_words(norms[lo:hi]))
+            size = np.bincount(own, n, hi - lo).astype(np.int64)
+            yield pa.record_batch([pa.array(ids[lo:hi][own]), pa.array(h.view(np.int64)), pa.array(n), pa.array(size[own])], names=["b", "h", "n", "size"])
+
 
+def weights(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(b, h, n, size): each member's shingles, their counts, and the sum of its counts."""
+    here = texts.join(members.select(F.col("b").alias("node")).distinct().hint("merge"), "node", "left_semi")
+    return here.mapInArrow(_weights, "b long, h long, n long, size long")
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches agree in LEAST_AGREEING registers or more."""
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-        keep = pa.array((x == y).sum(axis=1) >= LEAST_AGREEING)
-        yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
+def prefixes(members: DataFrame, weighted: DataFrame) -> DataFrame:
+    """(h, class, b, a, size, left, extra): the shingles at which a member can meet a similar member of another class.
 
-def most_similar(u: Column, v: Column) -> Column:
-    """The largest similarity of two documents of which shares u and v of the weights are on shingles that the other lacks.
+    Let D be what members x and y of different classes have in common, and f(x) D's share of x's weight.  With weights
+    scaled to a sum of 1, the inner sum of `similarity` is (1 - f(x)) / x_d + (1 - f(y)) / y_d and the largest of the two
+    at least; its inverse is concave and homogeneous in (x_d, y_d), so the sum over D is at most
+    1 / (1 / f(x) + 1 / f(y) - 1), and LEAST asks that f(x) and f(y) be LEAST or more (see `may_link` for both at once).
 
-    With weights scaled to a sum of 1, the inner sum of `similarity` is 1 / x_d + v / y_d at least; what that leaves of each
-    term is concave and homogeneous, so the sum over d is what one shingle of weights 1 - u and 1 - v would give.
+    Shingles are put in one order for all: by number of members, those that only one class has left out, as D has none of
+    them.  D's first shingle in that order has before it only what x or y has alone, so a share a of LEAST's complement at
+    most; a counts the shingles left out.  From there on x has `left` shingles, whose counts add up to `extra` more.
     """
-    return (1 - u) * (1 - v) / F.greatest(1 - u * v, F.lit(1e-12))
+    mine = members.select("b", "class").distinct()
+    rows = weighted.join(mine, "b")
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("of"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("h", "of")
+    rows = rows.join(shared, "h")
+    # These windows hold one document's own shingles.
+    whole, upto = Window.partitionBy("b"), Window.partitionBy("b").orderBy("of", "h").rowsBetween(Window.unboundedPreceding, 0)
+    rest = F.sum("n").over(whole) - F.sum("n").over(upto) + F.col("n")
+    rows = rows.withColumn("rest", rest).withColumn("left", F.count(F.lit(1)).over(whole) - F.count(F.lit(1)).over(upto) + 1)
+    rows = rows.select("h", "class", "b", (1 - F.col("rest") / F.col("size")).alias("a"), "size", "left", (F.col("rest") - F.col("left")).alias("extra"))
+    return rows.where(F.col("a") <= 1 - LEAST + ROUNDING)
+
+
+def may_link(x: str, y: str) -> Column:
+    """Whether members may be similar enough whose first common shingle is this one: prefixes of the columns of both sides.
+
+    D is at most what either has from here on, and has no more of y's weight than the shingles that x has left can carry.
+    """
+    share = [F.least(1 - F.col(f"{p}a"), (F.col(f"{q}left") + F.col(f"{p}extra")) / F.col(f"{p}size")) for p, q in ((x, y), (y, x))]
+    return 1 / share[0] + 1 / share[1] <= 1 + 1 / LEAST + ROUNDING
 
 
-def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for b in batches:
-        norms = [unpack.decompress(x) for x in b.column("z").to_pylist()]
-        ids = b.column("doc_id").to_numpy()
-        for lo, hi in slices(norms):
-            own, h, n = shingles(*hash_words(norms[lo:hi]))
-            share = n / np.bincount(own, n, hi - lo)[own]
-            yield pa.record_batch([pa.array(ids[lo:hi][own]), pa.array(h.view(np.int64)), pa.array(share)], names=["b", "h", "share"])
+def _sided(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("h", *[F.col(c).alias(f"{side}{c}") for c in rows.columns if c != "h"])
 
 
-def lone_shares(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(b, lone): the share of each member's weight on shingles that no other member has."""
-    here = texts.join(members.select(F.col("b").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    by = here.mapInArrow(_shares, "b long, h long, share double").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"), F.sum("share").alias("share"))
-    return by.groupBy("b").agg(F.sum(F.when(F.col("n") == 1, F.col("share")).otherwise(F.lit(0.0))).alias("lone"))
+def _met(x: DataFrame, y: DataFrame) -> DataFrame:
+    met = _sided(x, "x_").join(_sided(y, "y_").hint("merge"), "h").where((F.col("x_class") != F.col("y_class")) & may_link("x_", "y_"))
+    return met.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
 
 
-def rest_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct pairs of open buckets' members of different classes that may be similar enough and whose sketches agree well enough."""
-    lone = lone_shares(members, texts)
-    m = members.join(sketches, "b").join(lone, "b", "left").withColumn("lone", F.coalesce("lone", F.lit(0.0)))
-    m = materialize(m, "near-dedup-open-sketches")
-    x = m.select("key", F.col("b").alias("a"), F.col("class").alias("ca"), F.col("sketch").alias("sa"), F.col("lone").alias("la"))
-    y = m.select("key", "b", F.col("class").alias("cb"), F.col("sketch").alias("sb"), F.col("lone").alias("lb"))
-    may = (F.col("ca") < F.col("cb")) & (most_similar(F.col("la"), F.col("lb")) >= LEAST - ROUNDING)
-    met = x.join(y.hint("merge"), "key").where(may).select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def least_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of each shingle's member with the least weight before it with the members of other classes: linear."""
+    best = rows.groupBy("h").agg(F.min(F.struct("a", "class", "b", "size", "left", "extra")).alias("best")).select("h", "best.*")
+    return _met(best, rows)
+
+
+def filtered_pairs(rows: DataFrame) -> DataFrame:
+    """All distinct pairs of different classes that the filter leaves.  One of the two has no more than half of what both may have before."""
+    half = 2 / (1 + 1 / LEAST)
+    return _met(rows.where(F.col("a") <= 1 - half + ROUNDING), rows)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True)
     for b in text_slices(batches):
-        yield pa.record_batch([b.column("doc_id"), pa.array([squeeze.compress(x) for x in normal_words(b.column("text").to_pylist())], pa.binary())], names=["doc_id", "z"])
+        norms = normal_words(b.column("text").to_pylist())
+        keys = digests(norms)
+        yield pa.record_batch([b.column("doc_id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([squeeze.compress(x) for x in norms], pa.binary())], names=["doc_id", "d1", "d2", "z"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,42 +266,47 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
-def packed_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The words of the documents that pairs name: doc_id, z."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Rows that repeat a doc_id are one document: the first text by order stands for it.
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, "doc_id long, z binary")
+def packed_texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The words of the nodes that pairs name: node, z."""
+    needed = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    needed = needed.select(F.col("rep").alias("doc_id"), "d1", "d2", "node")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, "doc_id long, d1 long, d2 long, z binary")
     # The same plan at every size: the ids needed grow with the documents, so they are not broadcast while they are few.
-    texts = materialize(packed.join(needed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("z").alias("z")), "near-dedup-texts")
-    release(docs.sparkSession)
-    return texts
+    # Rows of equal doc_id and words have equal z.
+    return packed.join(needed.hint("merge"), ["doc_id", "d1", "d2"]).groupBy("node").agg(F.min("z").alias("z"))
 
 
 def links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of exact similarity LEAST or more."""
-    met = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
-    met = met.join(texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
+    met = pairs.join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
+    met = met.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
     return met.select("a", "b", "za", "zb").mapInArrow(_verified, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b): alternating large-star and small-star steps until nothing changes.
 
-    Each step is a combined minimum and an equi-join with it; both are written, so a hub's edges can be split.
+    Each step is a combined minimum and an equi-join with it; both are written, so a hub's edges can be split.  What a round
+    has written is deleted when the next one's edges are there.
     """
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
+    spark = edges.sparkSession
+    old: list[str] = []
+    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components", old)
     before = None
     for _ in range(most_rounds):
+        paths: list[str] = []
         # Large star: neighbours above a node are linked to the least node of its neighbourhood.
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-low")
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-low", old)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: neighbours below a node, and the node, are linked to the least of them.
-        large = materialize(large, "components-large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "components-least")
+        large = materialize(large, "components-large", old)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "components-least", old)
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = materialize(small, "components")
+        e = materialize(small, "components", paths)
+        clear(spark, old)
+        old = paths
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))  # each node has one edge by now
@@ -293,7 +315,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _between(found: DataFrame, members: DataFrame) -> DataFrame:
-    """Links of documents as links of their classes."""
+    """Links of nodes as links of their classes."""
     of = members.select("b", "class").distinct()
     found = found.join(of.select(F.col("b").alias("a"), F.col("class").alias("ca")), "a").join(of.select("b", F.col("class").alias("cb")), "b")
     return found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
@@ -306,44 +328,66 @@ def _moved(df: DataFrame, merged: DataFrame, column: str) -> DataFrame:
 
 
 def _merged(root: DataFrame, merged: DataFrame) -> DataFrame:
-    """(node, root) after a merge of classes; a document without links is a class under its own id."""
+    """(node, root) after a merge of classes; a node without links is a class under its own name."""
     lone = merged.join(root.select("node"), "node", "left_anti")
-    return materialize(_moved(root, merged, "root").unionByName(lone), "near-dedup-roots")
+    return _moved(root, merged, "root").unionByName(lone)
+
+
+def distinct_texts(known: DataFrame, paths: list[str]) -> DataFrame:
+    """(d1, d2, rep, node): each text with words, the smallest doc_id that has it, and the text's node.
+
+    The node is rep, or for a doc_id that is the smallest of several texts a negative hash of the digest.
+    """
+    reps = materialize(known.where(F.size("bands") > 0).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "near-dedup-reps", paths)
+    several = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    node = F.when(F.col("texts").isNotNull(), -1 - F.shiftrightunsigned(F.xxhash64("d1", "d2"), 1)).otherwise(F.col("rep"))
+    return materialize(reps.join(several, "rep", "left").select("d1", "d2", "rep", node.alias("node")), "near-dedup-nodes", paths)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per distinct doc_id (and per row of null doc_id): doc_id, class_id, kept."""
-    signed = materialize(signatures(docs), "near-dedup-signatures")
+    paths: list[str] = []
+
+    def put(df: DataFrame, label: str) -> DataFrame:
+        return materialize(df, f"near-dedup-{label}", paths)
+
+    signed = put(signatures(docs), "signatures")
     known = signed.where("doc_id is not null")
-    # The smallest doc_id stands for a digest; its own row carries the signature.
-    reps = materialize(known.where(F.size("bands") > 0).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "near-dedup-reps")
-    member = materialize(known.select("doc_id", "d1", "d2").join(reps, ["d1", "d2"]).select("doc_id", "rep"), "near-dedup-members")
-    stands = reps.select(F.col("rep").alias("doc_id")).distinct()
-    signs = materialize(known.join(stands, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("rank").alias("rank"), F.min(F.struct("bands", "sketch")).alias("s")).select("doc_id", "rank", "s.bands", "s.sketch"), "near-dedup-signs")
-    pairs = materialize(candidate_pairs(signs), "near-dedup-pairs")
-    release(docs.sparkSession)
-    # A doc_id of several texts has several representatives; that links them.
-    several = member.withColumn("a", F.min("rep").over(Window.partitionBy("doc_id"))).where("a <> rep").select("a", F.col("rep").alias("b"))
-    texts = packed_texts(docs, pairs)
+    nodes = distinct_texts(known, paths)
+    member = put(known.select("doc_id", "d1", "d2").join(nodes, ["d1", "d2"]).select("doc_id", "node"), "members")
+    # The representative's own row carries the signature.
+    carried = known.join(nodes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"])
+    signs = put(carried.groupBy("node").agg(F.min("rank").alias("rank"), F.min("bands").alias("bands")), "signs")
+    pairs = candidate_pairs(signs)
+    # A doc_id of several texts has several nodes; that links them.
+    first = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+    several = member.join(first, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
+    texts = put(packed_texts(docs, nodes, pairs), "texts")
     root = components(links(texts, pairs).unionByName(several))
     # Whoever shares a bucket was in a pair above, so its text is at hand.
-    members = signs.join(root, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("b"), F.coalesce("root", "doc_id").alias("class"), F.explode("bands").alias("key"))
-    sketches = signs.select(F.col("doc_id").alias("b"), "sketch")
-    for find in (pivot_pairs, lambda m: rest_pairs(m, sketches, texts)):
-        members = materialize(open_members(members), "near-dedup-open")
+    members = signs.join(root, "node", "left").select(F.col("node").alias("b"), F.coalesce("root", "node").alias("class"), F.explode("bands").alias("key"))
+    weighted = None
+    for find in (least_pairs, filtered_pairs):
+        members = put(open_members(members), "open")
         if members.isEmpty():
             break
-        merged = components(_between(links(texts, materialize(find(members), "near-dedup-pairs")), members))
-        members, root = _moved(members, merged, "class"), _merged(root, merged)
-    out = member.join(root, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("class_id")).distinct()
+        weighted = weighted or put(weights(members, texts), "weights")
+        found = put(find(put(prefixes(members, weighted), "prefixes")), "pairs")
+        merged = components(_between(links(texts, found), members))
+        members, root = _moved(members, merged, "class"), put(_merged(root, merged), "roots")
+    out = member.join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class")).distinct()
+    name = out.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    out = out.join(name, "class").select("doc_id", "class_id")
     bare = known.where(F.size("bands") == 0).select("doc_id").distinct().join(member.select("doc_id").distinct(), "doc_id", "left_anti")
     out = out.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id"))).withColumn("kept", F.col("doc_id") == F.col("class_id"))
     alone = signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
-    return out.unionByName(alone)
+    out = materialize(out.unionByName(alone), "near-dedup")
+    clear(docs.sparkSession, paths)
+    return out
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """One document of each class, with its own columns; of rows that repeat a doc_id and text one stays."""
+    """The rows of one doc_id of each class, and rows of null doc_id, with their own columns; rows that repeat a doc_id stay together."""
     kept = classes(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_near_dedup_id"))
     some = docs.where(F.col("doc_id").isNull())
     return docs.join(kept, F.col("doc_id").cast("long") == F.col("_near_dedup_id"), "left_semi").select(*docs.columns).unionByName(some)

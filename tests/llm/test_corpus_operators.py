@@ -390,36 +390,59 @@ def test_near_dedup_joins_what_extremes_do_not(spark):
     assert len(set(want.values())) > 2 and got == want
 
 
-def test_near_dedup_open_buckets(spark):
-    """Members of an open bucket meet the central members of other classes, and then all members of other classes whose sketches agree."""
+def test_near_dedup_open_members(spark):
     rows = [(b, c, 1) for b, c in ((1, 1), (2, 1), (3, 3), (4, 4))] + [(2, 1, 2), (3, 3, 2), (5, 5, 3), (6, 5, 3)]
     m = near_dedup.open_members(spark.createDataFrame(rows, "b long, class long, key long"))
     assert {tuple(r) for r in m.collect()} == {r for r in rows if r[2] < 3}
-    # The pivots of bucket 1 are 2, 3 and 4; of bucket 2, 2 and 3.
-    assert {tuple(r) for r in near_dedup.pivot_pairs(m).collect()} == {(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
-    sketch = lambda k: bytes([7] * k + [k % 251] * (near_dedup.REGISTERS - k))
-    s = spark.createDataFrame([(1, sketch(100)), (2, sketch(60)), (3, sketch(59)), (4, sketch(100))], "b long, sketch binary")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_dedup_filter_loses_no_pair(spark, seed):
+    """Every pair of members of different classes that is similar enough is left by the filter; those of one class are not made."""
+    rng = random.Random(seed)
+    rows, of = [], {}
+    for k in range(60):
+        base = ["line a b c d"] * rng.choice((0, 0, 40)) + [f"w{i}" for i in range(rng.randrange(20, 60))]
+        for _ in range(5):
+            v = list(base)
+            for _ in range(rng.randrange(3)):
+                v[rng.randrange(len(v))] = f"n{rng.randrange(6)}"
+            of[len(rows)] = rng.randrange(40)
+            rows.append((len(rows), " ".join(v)))
+    sets = shingle_sets(rows)
+    want = {(a, b) for b in sets for a in range(b) if of[a] != of[b] and sets[a].keys() & sets[b].keys() and probability_jaccard(sets[a], sets[b]) >= 0.8}
     squeeze = zstandard.ZstdCompressor()
-    texts = [(b, bytearray(squeeze.compress(b"a b c d e f g"))) for b in (1, 2, 3, 4)]
-    t = spark.createDataFrame(texts, "doc_id long, z binary")
-    assert {tuple(r) for r in near_dedup.rest_pairs(m, s, t).collect()} == {(1, 4), (2, 4)}
-    # 4 now has one shingle in two to itself: no similarity of 0.8 with anyone.
-    t = spark.createDataFrame([*texts[:3], (4, bytearray(squeeze.compress(b"a b c d e f g x y z")))], "doc_id long, z binary")
-    assert {r.b: r.lone for r in near_dedup.lone_shares(m, t).collect()}.get(4) == pytest.approx(0.5)
-    assert near_dedup.rest_pairs(m, s, t).count() == 0
-
-
-def test_near_dedup_bound_holds(spark):
-    """No pair of random weighted sets is more similar than the bound says."""
-    rng = random.Random(4)
+    texts = spark.createDataFrame([(i, bytearray(squeeze.compress(t.encode()))) for i, t in rows], "node long, z binary")
+    m = spark.createDataFrame([(i, c, k) for i, c in of.items() for k in (1, 2)], "b long, class long, key long")
+    found = near_dedup.prefixes(m, near_dedup.weights(m, texts))
+    got = {tuple(r) for r in near_dedup.filtered_pairs(found).collect()}
+    assert want and want <= got and all(of[a] != of[b] for a, b in got)
+    assert {tuple(r) for r in near_dedup.least_pairs(found).collect()} <= got
+
+
+def test_near_dedup_filter_is_linear_on_private_changes(spark):
+    """Members with a tenth and more of their words changed, each in its own way, are too far from one another: no pair is made."""
+    rng = random.Random(6)
+    base = prose(rng, 120, 90000).split()
     rows = []
-    for _ in range(300):
-        x, y = (Counter({k: rng.randrange(1, 5) for k in range(12) if rng.random() < 0.9}) for _ in range(2))
-        if x and y:
-            u, v = (sum(n for k, n in p.items() if k not in q) / sum(p.values()) for p, q in ((x, y), (y, x)))
-            rows.append((u, v, probability_jaccard(x, y)))
-    d = spark.createDataFrame(rows, "u double, v double, s double")
-    assert d.where(near_dedup.most_similar(d.u, d.v) < d.s - 1e-9).count() == 0
+    for k in range(200):
+        v = list(base)
+        for j in range(4):
+            v[10 + 25 * j + rng.randrange(20)] = f"own{k}x{j}"
+        rows.append((k, " ".join(v)))
+    squeeze = zstandard.ZstdCompressor()
+    texts = spark.createDataFrame([(i, bytearray(squeeze.compress(t.encode()))) for i, t in rows], "node long, z binary")
+    m = spark.createDataFrame([(i, i, 1) for i, _ in rows], "b long, class long, key long")
+    assert near_dedup.filtered_pairs(near_dedup.prefixes(m, near_dedup.weights(m, texts))).count() == 0
+
+
+def test_near_dedup_doc_id_of_several_texts(spark):
+    """A doc_id's several texts each bring their near copies into its class."""
+    rng = random.Random(8)
+    one, two = (prose(rng, 100, 5000) for _ in range(2))
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (4, prose(rng, 100, 5000)), (1, one)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
 def test_near_dedup_similarity():
