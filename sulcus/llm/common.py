@@ -166,3 +166,49 @@ def text_slices(batches: Iterator[pa.RecordBatch], most: int = 8 * SLICE_BYTES)
             at = int(k)
         if at < len(size):
             yield b.slice(at)
+
+
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(first, codes, words): text k has the words numbered codes[first[k]:first[k + 1]], an empty one wherever white space begins or ends it."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # cuts at the same six characters as bytes.split()
+    found = lists.flatten().dictionary_encode()
+    first = lists.offsets.to_numpy().astype(np.int64)
+    return first - first[0], found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[k], start[k] + 1, ... (size[k] of them) for each k in turn."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class LongTable:
+    """Values of distinct non-negative 64-bit keys, looked up by numpy: open addressing, whoever finds its slot taken goes on to the next."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.mask = (1 << (4 * len(keys) + 1).bit_length()) - 1
+        self.keys, self.values = np.full(self.mask + 1, -1), np.zeros(self.mask + 1, dtype=np.int64)
+        slot = self._home(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[free]], self.values[slot[free]] = keys[free], values[free]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[free] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return mix(keys.view(np.uint64)).view(np.int64) & self.mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's value, or -1."""
+        slot = self._home(keys)
+        have = self.keys[slot]
+        out = np.where(have == keys, self.values[slot], -1)
+        at = np.flatnonzero((have != keys) & (have >= 0))
+        while len(at):
+            slot[at] = (slot[at] + 1) & self.mask
+            have = self.keys[slot[at]]
+            hit = have == keys[at]
+            out[at[hit]] = self.values[slot[at[hit]]]
+            at = at[~hit & (have >= 0)]
+        return out
