@@ -6,19 +6,19 @@ for each frame its compressed size, its size, and the low 32 bits of the XXH64 o
 frames, a descriptor byte and the magic number.  Any zstandard reader can read the ids; a reader of one document reads
 the tail, then only that document's bytes.
 
-Encoding looks up each distinct space-separated word in a bounded table: the tokenizer drops white space before it splits,
-so no token spans it.
+Encoding looks up each distinct space-separated word in a bounded table of the worker: the tokenizer drops white space before
+it splits, so no token spans it.  New words are split and merged together in numpy, by the tokenizer's own rules and merges.
 
 Order: documents are range-partitioned by doc_id (ties by text hash), and file k holds the k-th range.  Files are written
 under a name of the attempt and renamed, so a lost executor's repetition leaves one whole file.
 
 Defined cases: null and empty texts hold the end id alone; null doc_ids come first; rows that repeat a doc_id follow one
-another; an empty table gives files without frames and an empty result.
+another; a long text is one frame, encoded whole; an empty table gives files without frames and an empty result; columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 import re
 import struct
@@ -28,17 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import LongTable, new_path, spread, text_slices, word_codes
 
 #: Fixed values of the zstandard seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
-MOST_WORDS, MOST_PIECES, LONGEST_WORD = 800_000, 500_000, 48
+#: Words in a worker's table, ids that they may have, and characters of a word that is kept.
+MOST_WORDS, MOST_IDS, LONGEST_WORD = 1_000_000, 4_000_000, 48
 END_ID = 2
 LEVEL = 3
 
@@ -49,17 +51,77 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Words for which splitting and lower-casing here is certain to be the tokenizer's: printable ASCII and Latin-1 letters.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-#: The tokenizer's own split of lower-case plain words.
-_PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Words for which splitting and lower-casing here is certain to be the tokenizer's: printable ASCII but apostrophes, and Latin-1 letters.
+_PLAIN = r"\A[!-&(-~À-ÖØ-öø-ÿ]+\z"
+#: Classes of the bytes of plain lower-case words: letters, digits (each a pre-token of its own), the rest.
+_CLASS = np.full(256, 2, dtype=np.int8)
+_CLASS[[*range(97, 123), *range(128, 256)]] = 0
+_CLASS[48:58] = 1
+
+
+def byte_names() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if it prints, else the next one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in prints else next(rest)) for b in range(256)]
+
+
+class Merges:
+    """Byte pair merges of many pre-tokens at once: in each round every pre-token makes its first merge of the lowest rank."""
+
+    def __init__(self, model: dict):
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+            raise ValueError("merges of this kind are not made here")
+        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
+        names = byte_names()
+        self.inside, self.last = (np.array([vocab[c + x] for c in names], dtype=np.int64) for x in ("", end))
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        left, right = (np.array([vocab[p[k]] for p in pairs], dtype=np.int64) for k in (0, 1))
+        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        self.ranks = LongTable(left << 32 | right, np.arange(len(pairs)))
+
+    def _ranks(self, sym: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank of the pair that begins at each place; a number above all ranks where there is none."""
+        none = len(self.made)
+        nxt = np.minimum(at + 1, len(sym) - 1)
+        r = self.ranks.get(sym[at] << 32 | sym[nxt])
+        return np.where((r >= 0) & (own[nxt] == own[at]) & (at + 1 < len(sym)), r, none)
+
+    def encode(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first id of each and the end) of the pre-tokens data[first[k]:first[k + 1]], none of them empty."""
+        n, none = len(first) - 1, len(self.made)
+        sym = self.inside[data]
+        sym[first[1:] - 1] = self.last[data[first[1:] - 1]]
+        own = np.repeat(np.arange(n), np.diff(first))
+        rank = self._ranks(sym, own, np.arange(len(sym)))
+        done_own, done_sym = [], []
+        while len(sym):
+            begin = np.flatnonzero(np.diff(own, prepend=-1))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(sym)), begin)  # of equal ranks the first place
+            going = (best >> 32) < none
+            at = best[going] & 0xFFFFFFFF
+            size = np.diff(begin, append=len(sym))
+            live = np.repeat(going, size)
+            done_own.append(own[~live])
+            done_sym.append(sym[~live])
+            sym[at] = self.made[rank[at]]
+            live[at + 1] = False
+            moved = (np.cumsum(live) - 1)[at]
+            sym, own, rank = sym[live], own[live], rank[live]
+            if not len(sym):
+                break
+            rank[moved] = self._ranks(sym, own, moved)
+            before = moved[(moved > 0) & (own[np.maximum(moved - 1, 0)] == own[moved])] - 1
+            rank[before] = self._ranks(sym, own, before)
+        own, sym = np.concatenate([*done_own, own]), np.concatenate([*done_sym, sym])
+        return sym[np.argsort(own, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(own, minlength=n))])
 
 
 class WordTable:
-    """Ids of words as bytes; words are cut at the six ASCII white space characters only, which no token spans.
+    """Ids of words; words are cut at the six ASCII white space characters only, which no token spans.
 
-    A plain word that is new is put together from its pre-tokens, which are fewer and have a table of their own.  A full
-    table becomes the old one, whose entries come back when they are met, so frequent words stay.
+    Plain words are split and merged here, all others by the library.  A full table keeps the words of the texts at hand, so
+    frequent words stay.
     """
 
     def __init__(self, tokenizer: str):
@@ -72,62 +134,78 @@ class WordTable:
             raise ValueError("this tokenizer may put white space into tokens")
         self.added = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
         self.tok = Tokenizer.from_file(tokenizer)
-        vocab = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.pre: dict[str, bytes] = {}
-        self.old_pre: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        ids = self.tok.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _fill(self, pres: set[str]) -> None:
-        """Puts pre-tokens into their table; new ones are encoded as one text, whose ids are cut where a token ends a word."""
-        if len(self.pre) >= MOST_PIECES:
-            self.old_pre, self.pre = self.pre, {}
-        new = []
-        for p in pres.difference(self.pre):
-            if (got := self.old_pre.get(p)) is None:
-                new.append(p)
-            else:
-                self.pre[p] = got
-        if new:
-            ids = np.asarray(self.tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(ends) != len(new):
-                raise ValueError("pre-tokens here are not the tokenizer's")
-            raw, ends = ids.tobytes(), ends.tolist()
-            self.pre.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends], ends))))
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        if len(self.known) + len(words) >= MOST_WORDS:
-            self.old, self.known = self.known, {}
-        out, rest, split = {}, {}, {}
-        old, plain, cut, longest = self.old.get, _PLAIN.fullmatch, _PRE.findall, LONGEST_WORD
-        for w in words:
-            if (got := old(w)) is not None:
-                out[w] = got
-            elif len(w) <= longest and plain(t := w.decode()) and (b"<" not in w or not self.added.search(t)):
-                split[w] = cut(t.lower())
-            else:
-                rest[w] = self._ids(w.decode())
-        self._fill(set(itertools.chain.from_iterable(split.values())))
-        of, join = self.pre.__getitem__, b"".join
-        for w, ps in split.items():
-            out[w] = of(ps[0]) if len(ps) == 1 else join(map(of, ps))
-        self.known.update(out)
-        self.known.update((w, x) for w, x in rest.items() if len(w) <= longest)
-        return out | rest
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        docs = [t.encode().split() for t in texts]
-        found = [list(map(self.known.get, ws)) for ws in docs]
-        missing = {w for ws, xs in zip(docs, found) if None in xs for w, x in zip(ws, xs) if x is None}
-        new = self._learn(missing) if missing else {}
-        return [b"".join([x if x is not None else new[w] for w, x in zip(ws, xs)] if None in xs else xs) for ws, xs in zip(docs, found)]
+        self.merges = Merges(spec["model"])
+        self.clear()
+        probe = ["don#t", "ab12é...", "x"]
+        if [self.ids(p) for p in probe] != [self.tok.encode(p, add_special_tokens=False).ids for p in probe]:
+            raise ValueError("this tokenizer splits words in another way")
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.flat, self.start, self.size = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def ids(self, text: str) -> list[int]:
+        return self.encode(pa.array([text], pa.string()))[0].tolist()
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words and how many each has: cut where the class of bytes changes and at digits, then merged by distinct pre-token."""
+        size = pc.binary_length(words).to_numpy().astype(np.int64)
+        data = np.frombuffer("".join(words.to_pylist()).lower().encode(), dtype=np.uint8)  # these letters keep their length
+        kind = _CLASS[data]
+        cut = np.ones(len(data), dtype=bool)
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+        cut[np.cumsum(size) - size] = True
+        first = np.append(np.flatnonzero(cut), len(data))
+        pres = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        codes, distinct = pres.indices.to_numpy(), pres.dictionary
+        offsets = np.frombuffer(distinct.buffers()[1], dtype=np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+        ids, at = self.merges.encode(np.frombuffer(distinct.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0])
+        many = np.diff(at)[codes]
+        of = np.searchsorted(np.cumsum(size), first[:-1], side="right")
+        return ids[spread(at[:-1][codes], many)].astype(np.uint32), np.bincount(of, many, len(size)).astype(np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Puts new words at the end of the table."""
+        array = pa.array(words, pa.string())
+        plain = pc.match_substring_regex(array, _PLAIN).to_numpy(zero_copy_only=False).copy()
+        for k in np.flatnonzero(pc.match_substring(array, "<").to_numpy(zero_copy_only=False) & plain):
+            plain[k] = not self.added.search(words[k])
+        other = np.flatnonzero(~plain)
+        found = [self.tok.encode(words[k], add_special_tokens=False).ids for k in other]
+        size = np.zeros(len(words), dtype=np.int64)
+        size[other] = [len(x) for x in found]
+        own = np.empty(0, dtype=np.uint32)
+        if plain.any():
+            own, size[plain] = self._plain(array.filter(pa.array(plain)))
+        start = np.zeros(len(words), dtype=np.int64)
+        for some, base in ((plain, len(self.flat)), (~plain, len(self.flat) + len(own))):
+            start[some] = base + np.cumsum(size[some]) - size[some]
+        rest = np.array([i for x in found for i in x], dtype=np.uint32)
+        self.row.update(zip(words, range(len(self.start), len(self.start) + len(words))))
+        self.flat, self.start, self.size = np.concatenate([self.flat, own, rest]), np.concatenate([self.start, start]), np.concatenate([self.size, size])
+
+    def _keep(self, words: list[str], rows: np.ndarray) -> None:
+        """Leaves in the table these words alone, but for long ones."""
+        some = [k for k, w in enumerate(words) if len(w) <= LONGEST_WORD]
+        start, size = self.start[rows[some]], self.size[rows[some]]
+        self.row = {words[k]: i for i, k in enumerate(some)}
+        self.flat, self.start, self.size = self.flat[spread(start, size)], np.cumsum(size) - size, size
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        first, codes, words = word_codes(texts)
+        rows = np.fromiter((self.row.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = len(self.start) + np.arange(len(new))
+            self._learn([words[k] for k in new])
+        size = self.size[rows][codes]
+        ids = self.flat[spread(self.start[rows][codes], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[first]
+        if len(self.row) > MOST_WORDS or len(self.flat) > MOST_IDS:
+            self._keep(words, rows)
+        return np.split(ids, ends[1:-1]) if len(texts) else []
 
 
 _TABLES: dict[str, WordTable] = {}
@@ -207,12 +285,10 @@ def _writer(path: str, tokenizer: str):
         end = struct.pack("<I", END_ID)
         with fs.open_output_stream(mine) as out:
             to = FrameWriter(out)
-            for b in batches:
-                for lo in range(0, b.num_rows, 128):
-                    texts = [t or "" for t in b.column("text").slice(lo, 128).to_pylist()]
-                    for doc_id, data in zip(b.column("doc_id").slice(lo, 128).to_pylist(), words.encode(texts)):
-                        total += len(data) // 4 + 1
-                        to.add(doc_id, data + end)
+            for b in text_slices(batches):
+                for doc_id, ids in zip(b.column("doc_id").to_pylist(), words.encode(b.column("text"))):
+                    total += len(ids) + 1
+                    to.add(doc_id, ids.astype("<u4").tobytes() + end)
             to.close()
         fs.move(mine, name)
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([name.rpartition("/")[2]]), pa.array([len(to.table)], pa.int64()), pa.array([total], pa.int64())], names=["part", "file", "n_docs", "n_ids"])

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from corpus_text import prose
@@ -269,11 +270,24 @@ def test_word_table_equals_the_library():
     @settings(max_examples=400, deadline=None)
     @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\tabÀ́'. Σ \x1c"), st.characters(exclude_categories=["Cs"])), max_size=40))
     def same(text):
-        assert t.encode([text, "a b.", text]) == [t._ids(text), t._ids("a b."), t._ids(text)]
+        want = t.tok.encode(text, add_special_tokens=False).ids
+        assert [x.tolist() for x in t.encode(pa.array([text, "a b.", None, text]))] == [want, t.tok.encode("a b.").ids, [], want]
 
     same()
 
 
+def test_word_table_merges_as_the_library_does(monkeypatch):
+    """Long plain words, digits, signs and accents; and a table that is full again and again."""
+    t = token_files.WordTable(token_files.default_tokenizer())
+    rng = random.Random(12)
+    parts = ["tion", "the", "Ä", "é", "ß", "ÿ", "12", "7", "...", "#", "<", "'s", "'", "n't", "ab", "q", "zz", "ing", "À", "%&", "<|endoftext|>", "x" * 60]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(30)) for _ in range(60)]
+    want = [t.tok.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [x.tolist() for x in t.encode(pa.array(texts))] == want
+    monkeypatch.setattr(token_files, "MOST_WORDS", 50)
+    assert [t.ids(x) for x in texts] == want and len(t.row) <= 100
+
+
 # -- language
 
 
