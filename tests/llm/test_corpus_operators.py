@@ -1,8 +1,10 @@
 """Each operator against a brute-force version on a small fixture, and its defined edge cases."""
 
 import hashlib
+import math
 import random
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -162,15 +164,80 @@ def test_toxicity_held_out(spark):
     assert got.predicted[got.toxic == 0].mean() < 0.02
 
 
-def test_toxicity_grammar():
-    t = toxicity
-    g = t.Grammar({"idiot$": 2.0, "bocoo": 1.0})
-    plain, meant, denied, told = (g.features(x)[0] for x in ("an idiot here", "you are an idiot", "not an idiot", "she wrote that idiot"))
-    assert meant > plain > denied > 0 and told < meant
-    assert g.features("idiotic talk")[0] == 0 and g.features("they kill time")[0] > 0 == g.features("to kill time")[0]
-    assert g.features("xbocoos")[0] == 0 < g.features("bocoos")[0]
-    one, two = g.features("idiot"), g.features("idiot. idiot.")
-    assert two[0] > one[0] and two[1] == one[1]
+def brute_events(tags):
+    """By definition: an insult, or the later of a threat and a target that are REACH words apart or less and not yet used up."""
+    out, reach = [], toxicity.REACH
+    near = lambda k, tag, back=True: any(tags[j][0] == tag for j in (range(max(0, k - reach), k) if back else range(k + 1, min(len(tags), k + 1 + reach))))
+    held, age = None, 0  # the last threat or target, and words since
+    for k, (tag, w) in enumerate(tags):
+        context = near(k, toxicity.NEGATION) + 4 * any(tags[j][0] == toxicity.REPORT for j in range(k))
+        if tag == toxicity.INSULT:
+            out.append((context + 2 * (near(k, toxicity.TARGET) or near(k, toxicity.TARGET, False)), w))
+        age += 1
+        if held is not None and age > reach:
+            held = None
+        if {held, tag} == {toxicity.THREAT, toxicity.TARGET}:
+            out.append((8 + context + 2, 1.0))
+            held, age = (toxicity.TARGET, 0) if tag == toxicity.TARGET else (None, 0)
+        elif tag in (toxicity.THREAT, toxicity.TARGET):
+            held, age = tag, 0
+    return out
+
+
+def test_toxicity_machine_against_definitions():
+    rng, m = random.Random(3), toxicity.Machine()
+    for _ in range(3000):
+        tags = [(t, float(rng.randrange(1, 4)) if t == toxicity.INSULT else 0.0) for t in (rng.choice((0, 1, 2, 3, 4, 5, 5, 5, 5)) for _ in range(rng.randrange(14)))]
+        assert m.events(tags) == brute_events(tags), tags
+
+
+CLAUSES = {"insult": "an idiot here", "threat": "they kill", "negated": "not an idiot", "targeted": "an idiot you", "reported": "she wrote that idiot"}
+
+
+@pytest.mark.parametrize("name", list(CLAUSES))
+def test_toxicity_each_transducer_counts(name):
+    """Without a transducer the score of its clause is another one."""
+    x = {}
+    for without in ((), (name,)):
+        g = toxicity.Grammar({"idiot$": 2.0}, without)
+        x[without] = toxicity.features(np.array([g.sums(CLAUSES[name])]), toxicity.PRIOR)[0, 0]
+    assert x[()] != x[name,]
+    assert (x[()] < x[name,]) == (name in ("negated", "reported"))
+
+
+def test_toxicity_clauses():
+    g = toxicity.Grammar({"idiot$": 2.0, "bocoo": 1.0})
+    score = lambda t: float(toxicity.features(np.array([g.sums(t)]), toxicity.PRIOR)[0, 0])
+    assert score("you are an idiot") == score("an idiot you are") > score("an idiot here") > score("not an idiot") > 0
+    assert score("idiotic talk") == 0 == score("to kill time") < score("they kill time")
+    assert score("xbocoos") == 0 < score("bocoos")
+    assert score("not here. an idiot") == score("an idiot")  # what holds ends with its clause
+    assert g.sums("idiot. idiot.")[-2] == 2 and g.sums("idiot idiot")[-2] == 1
+
+
+def test_toxicity_learns_what_contexts_mean(spark):
+    """Labels by which negated and reported insults are fine, and targeted ones are not, move the factors that way."""
+    rng, rows, labels = random.Random(2), [], []
+    for i in range(1200):
+        kind = i % 4
+        said = {0: "you idiot", 1: "not idiot", 2: "wrote idiot", 3: "you wrote not"}[kind]
+        rows.append((i, ". ".join([prose(rng, 6, 300), said, prose(rng, 6, 300)])))
+        labels.append((i, int(kind == 0)))
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = toxicity.fit(d, lab)
+    assert m.weights["negated"] < toxicity.PRIOR["negated"] and m.weights["targeted"] >= toxicity.PRIOR["targeted"]
+    got = toxicity.score(d, m).join(lab, "doc_id").where("held_out").toPandas()
+    assert (got.predicted == got.toxic).all()
+    plain = toxicity.score(d, toxicity.fit(d, lab, without=("negated", "targeted", "reported"))).join(lab, "doc_id").where("held_out").toPandas()
+    assert (plain.predicted == plain.toxic).mean() < 0.9
+
+
+def test_toxicity_reads_long_texts_in_linear_time():
+    g = toxicity.Grammar({"idiot$": 2.0})
+    text = "the kill. " * 150_000
+    begin = time.perf_counter()
+    assert g.sums(text)[-1] == 300_001 and g.sums("you idiot. " * 1000)[2] == 2000
+    assert time.perf_counter() - begin < 15
 
 
 def test_toxicity_edges(spark, docs, empty, fixture_rows):
@@ -297,13 +364,79 @@ def test_language_held_out(spark):
     assert (got.lang_pred == got.lang).mean() > 0.95
 
 
+def brute_grams(t):
+    """Character n-grams of the letters of a text, other characters as one space, in buckets."""
+    x = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+    out = Counter()
+    for n in (1, 2, 3):
+        for k in range(len(x) - n + 1):
+            h = 0
+            for c in x[k : k + n]:
+                h = (h * 0x100000001B3 + ord(c)) % 2**64
+            v = (h + (n << 56)) % 2**64
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                v = (v ^ v >> shift) * factor % 2**64
+            out[v >> 50] += 1
+    return out if x.strip() else Counter()
+
+
+def test_language_against_plain_bayes(spark):
+    """Three languages of unequal size, predicted by a naive Bayes of a few lines."""
+    rng = random.Random(7)
+    sound = {"a": "bdgou äé", "b": "ptkai éñ", "c": "ptkou ñä"}
+    rows = []
+    for i in range(240):
+        lang = "aabc"[i % 4]
+        rows.append((i, "".join(rng.choice(sound[lang]) for _ in range(rng.randrange(0, 40))) + "12! " * (i % 3), None if i % 11 == 0 else lang))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1 and r[2]]
+    sums, size = {x: Counter() for x in "abc"}, Counter(r[2] for r in train)
+    for _, t, lang in train:
+        sums[lang].update(brute_grams(t))
+    weight = {x: math.log(size[x] / len(train)) for x in "abc"}
+    total = {x: sum(sums[x].values()) + language.ALPHA * language.BUCKETS for x in "abc"}
+    got = {r.doc_id: r for r in language.predict(d, language.fit(d)).collect()}
+    for i, t, _ in rows:
+        g = brute_grams(t)
+        if not g:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        z = {x: weight[x] + sum(n * math.log((sums[x][k] + language.ALPHA) / total[x]) for k, n in g.items()) for x in "abc"}
+        best = max(z, key=z.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(1 / sum(math.exp(z[x] - z[best]) for x in z), rel=0.02)
+
+
+def test_language_slices_do_not_matter(monkeypatch):
+    text = "  Überall  12 Straße, naïve… " * 30 + "x"
+    want = language.counts(text)
+    assert {k: n for k, n in enumerate(want) if n} == brute_grams(text)
+    for size in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(language, "SLICE_CHARS", size)
+        assert (language.counts(text) == want).all() and language.counts(" 1 2 3 ") is None
+        assert {k: n for k, n in enumerate(language.counts(" a")) if n} == brute_grams("a")
+
+
+def test_language_refuses_too_many(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 3)
+    d = spark.createDataFrame([(i, "some words", f"l{i % 4}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3"):
+        language.fit(d)
+
+
+def test_language_rare_languages_are_learned(spark):
+    """A language of few documents among very many of another is learned from all of them."""
+    rows = [(i, "bdg ou bdg", "a") for i in range(3000)] + [(5000 + i, "ptk ai ptk", "b") for i in range(6)]
+    m = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50)
+    assert m.langs == ["a", "b"] and language.score_batch(["ptk ai", "ou bdg"], m)[0] == ["b", "a"]
+
+
 def test_language_edges(docs, empty):
     m = language.fit(docs)
     got = {r.doc_id: r for r in language.predict(docs, m).collect()}
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (0, 1, 2)) and got[3].lang_pred in m[0]
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (0, 1, 2)) and got[3].lang_pred in m.langs
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items() if i is not None)
     none = language.fit(empty)
-    assert none[0] == [] and {r.lang_pred for r in language.predict(docs, none).collect()} == {"und"}
+    assert none.langs == [] and {r.lang_pred for r in language.predict(docs, none).collect()} == {"und"}
     assert language.predict(empty, m).count() == 0
 
 
