@@ -1,7 +1,7 @@
 """Exact deduplication by skew-safe combining, comparing full content at every stage.
 
 1. Locally: the map side of an aggregation on (digest, content, salt) leaves one winner of each content per task and salt.
-2. Salted: the reduce side merges (digest, content, salt), so a hot content is spread over SALTS groups.
+2. Salted: the reduce side merges (digest, content, salt), so a hot content is spread over SALTS groups, by task.
 3. Globally: salt winners, at most SALTS of a content, are merged on (digest, content).
 
 Content is the text without white space, and is itself a grouping key, so equal digests alone never make a group.  The
@@ -9,7 +9,9 @@ way back to documents goes by SHA-256; should step 3 ever show two contents of o
 (SHA-512 of the reversed content) as well.
 
 Defined cases: a null text counts as empty; a null doc_id loses to any other; rows that repeat a doc_id and text are
-members of one group of which one row stays; an empty table gives an empty result.
+members of one group of which one row stays; equal lengths go to the smaller doc_id; a long text is a key of its own
+length in each merge; an empty table gives an empty result; other columns, of whatever names, are not read by `assign` and
+pass through `filter_documents`.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ def groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     k = _keyed(docs.select("doc_id", "text"), "")
     best = F.struct((-F.col("len")).alias("len"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
     salted = (
-        k.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+        # One salt a task: a task's rows of a content meet in it, whatever their doc_ids, and go on as one.
+        k.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         .groupBy("sha", "content", "salt")
         .agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))
     )
