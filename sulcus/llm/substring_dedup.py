@@ -14,7 +14,9 @@ occurrences per batch to its hash's bucket; the others are known to recur and ar
 by bucket, in compressed columns.  Nothing is sampled.
 
 Defined cases: null and empty texts have no words and keep none; texts shorter than a window lose nothing; rows that
-repeat a doc_id and text recur like any copies; null doc_ids are told apart by their text; extra columns are ignored.
+repeat a doc_id and text recur like any copies; of equal documents the smallest doc_id is extended; null doc_ids are told
+apart by their text; a long text is hashed whole, alone in its slice; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -154,7 +156,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sure.append(np.arange(m + r) >= m)
         c = {name: np.concatenate([f[name] for f in found]) for name, _ in _FIELDS}
         sure = np.concatenate(sure)
-        order = np.lexsort((c["key2"], c["key"], sure))
+        # The smallest doc_id leads, in whatever order the rows came, so a task that runs again names the same leader.
+        order = np.lexsort((c["doc_id"], c["known"], c["key2"], c["key"], sure))
         c, sure = {k: v[order] for k, v in c.items()}, sure[order]
         same = np.zeros(len(order), dtype=bool)  # as the row before
         same[1:] = (c["key"][1:] == c["key"][:-1]) & (c["key2"][1:] == c["key2"][:-1]) & ~sure[1:]
