@@ -43,6 +43,8 @@ SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50,
 MOST_WORDS, MOST_IDS, LONGEST_WORD = 1_000_000, 4_000_000, 48
 END_ID = 2
 LEVEL = 3
+#: Bytes of text and documents of a file, about; there are as many files as that takes, and as shuffle partitions at least.
+FILE_BYTES, FILE_DOCS = 256 << 20, 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -302,7 +304,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> list[tupl
     fs.create_dir(root, recursive=True)
     spark = docs.sparkSession
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = some.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, size["bytes"] // FILE_BYTES, size["n"] // FILE_DOCS)
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     ranged = some.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").drop("tie")
     rows = sorted(ranged.mapInArrow(_writer(path, tokenizer or default_tokenizer()), "part int, file string, n_docs long, n_ids long").collect())
