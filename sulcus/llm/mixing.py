@@ -6,7 +6,9 @@ lower half.  The result is one threshold per source: documents below it are take
 are nested: the documents in a smaller mix of a source are in every larger one.  Nothing is sorted but histograms.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents that repeat a
-doc_id share a key and so a fate; a source of size 0 has target 0; an empty table gives an empty result.
+doc_id share a key and so a fate; of two keys equally near to a budget the smaller one ends it; a long text is counted whole
+and is taken or left whole; a source of size 0 has target 0; an empty table gives an empty result; other columns, of
+whatever names, are not read by `plan` and pass through `take_documents`.
 """
 
 from __future__ import annotations

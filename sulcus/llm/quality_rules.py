@@ -4,8 +4,10 @@ Everything that touches rows is a built-in DataFrame expression.  The driver see
 rows are put into cells of a grid of thresholds, and the covering works on the cells' counts.
 
 Defined cases: a null or empty text has no words and fails the base rule; no labels, or labels of one class, give an
-empty list, so the base rule alone decides; repeated rows are each judged alike; null labels are left out; extra
-columns stay out of the result of ``score`` and untouched in that of ``filter_documents``.
+empty list, so the base rule alone decides; repeated rows are each judged alike; null labels are left out; conditions of
+equal gain go to the first feature and the lowest threshold, and labels of a doc_id that tie are of high quality; a long text
+is counted whole within its row; an empty table gives an empty list and result; extra columns stay out of the result of
+``score`` and untouched in that of ``filter_documents``.
 """
 
 from __future__ import annotations

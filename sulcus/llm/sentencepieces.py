@@ -6,7 +6,8 @@ once by the library and kept in a bounded table of the worker; a document's ids
 goes chunk by chunk in the same way.
 
 Defined cases: null counts as empty; an empty text has no ids and decodes to an empty text; U+2581 in a text is a marker
-like a space, as in the library; repeated rows are each encoded; extra columns stay out of `encode`'s result.
+like a space, as in the library; repeated rows are each encoded; a long text is encoded whole, and a chunk longer than
+LONGEST_CHUNK is not kept; an empty table gives an empty result; extra columns stay out of `encode`'s result.
 """
 
 from __future__ import annotations
