@@ -206,21 +206,22 @@ def local_efficiency(w: np.ndarray, eps: float = 1e-12) -> np.ndarray:
 
 
 def betweenness(w: np.ndarray, eps: float = 1e-12) -> np.ndarray:
-    """Share of shortest paths through each node, over ordered pairs, by path counting on the distance matrix."""
+    """Share of shortest paths through each node, over ordered pairs: paths are counted from each source in order of distance."""
     n, step = len(w), lengths(w, eps)
     d = shortest(step)
     out = np.zeros(n)
     for s in range(n):
-        order = [v for v in np.argsort(d[s], kind="stable") if np.isfinite(d[s, v])]
-        paths, pred = np.zeros(n), {}
+        order = np.argsort(d[s], kind="stable")
+        order = order[np.isfinite(d[s, order])]
+        with np.errstate(invalid="ignore"):
+            tight = np.abs(d[s][:, None] + step - d[s][None]) <= 1e-12 * d[s][None]  # edges of shortest paths
+        tight &= np.isfinite(step)
+        paths, share = np.zeros(n), np.zeros(n)
         paths[s] = 1
         for v in order[1:]:
-            pred[v] = [u for u in order if u != v and np.isfinite(step[u, v]) and math.isclose(d[s, u] + step[u, v], d[s, v], rel_tol=1e-12)]
-            paths[v] = sum(paths[u] for u in pred[v])
-        share = np.zeros(n)
-        for v in reversed(order[1:]):
-            for u in pred[v]:
-                share[u] += paths[u] / paths[v] * (1 + share[v])
+            paths[v] = paths @ tight[:, v]
+        for v in order[:0:-1]:
+            share += tight[:, v] * paths / paths[v] * (1 + share[v])
             out[v] += share[v]
     return out / ((n - 1) * (n - 2)) if n > 2 else out
 
@@ -247,12 +248,26 @@ def hits(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h / h.sum(), a / a.sum()
 
 
-def ten_centralities(w: np.ndarray) -> dict[str, np.ndarray]:
-    """Each metric is zero where it fails, and where it is not finite."""
-    out = {"in_strength": w.sum(0), "out_strength": w.sum(1)}
-    for name, f in (("in_closeness", lambda: closeness(w)), ("out_closeness", lambda: closeness(w.T)), ("clustering", lambda: directed_clustering(w)), ("local_efficiency", lambda: local_efficiency(w)), ("betweenness", lambda: betweenness(w)), ("pagerank", lambda: pagerank(w)), ("hubs", lambda: hits(w)[0]), ("authorities", lambda: hits(w)[1])):
+CENTRALITIES = {
+    "in_strength": lambda w: w.sum(0),
+    "out_strength": lambda w: w.sum(1),
+    "in_closeness": closeness,
+    "out_closeness": lambda w: closeness(w.T),
+    "clustering": directed_clustering,
+    "local_efficiency": local_efficiency,
+    "betweenness": betweenness,
+    "pagerank": pagerank,
+    "hubs": lambda w: hits(w)[0],
+    "authorities": lambda w: hits(w)[1],
+}
+
+
+def ten_centralities(w: np.ndarray, wanted: tuple[str, ...] | None = None) -> dict[str, np.ndarray]:
+    """Each metric (of those wanted) is zero where it fails, and where it is not finite."""
+    out = {}
+    for name in wanted or CENTRALITIES:
         try:
-            out[name] = f()
+            out[name] = CENTRALITIES[name](w)
         except (np.linalg.LinAlgError, FloatingPointError, ZeroDivisionError):
             out[name] = np.zeros(len(w))
     return {k: np.nan_to_num(v, nan=0.0, posinf=0.0, neginf=0.0) for k, v in out.items()}
@@ -267,6 +282,22 @@ def four_metrics(w: np.ndarray) -> tuple[dict[str, np.ndarray], bool]:
         return {k: np.zeros(len(w)) for k in ("strength", "degree_std", "eigenvector", "global_efficiency")}, False
 
 
+# -- bursts ---------------------------------------------------------------------------------------
+
+
+def burst_events(x: np.ndarray, env: np.ndarray, least: int, most: int, gap: int, k: float = 5.0) -> list[tuple[int, int, float, float, float]]:
+    """(start, stop, largest envelope, mean envelope, mean square of x) of runs above median + k * 1.4826 * MAD, joined over short gaps."""
+    mid = np.median(env)
+    up = env > mid + k * 1.4826 * (np.median(np.abs(env - mid)) + 1e-12)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], up, [False]]).astype(np.int8)))
+    start, stop = edge[::2], edge[1::2]
+    if len(start):
+        new = np.concatenate([[True], start[1:] - stop[:-1] > gap])
+        start, stop = start[new], stop[np.concatenate([new[1:], [True]])]
+    ok = (stop - start >= least) & (stop - start <= most)
+    return [(int(a), int(b), float(env[a:b].max()), float(env[a:b].mean()), float((x[a:b] ** 2).mean())) for a, b in zip(start[ok], stop[ok])]
+
+
 # -- cross mapping --------------------------------------------------------------------------------
 
 
@@ -303,24 +334,34 @@ def cross_map(x: np.ndarray, dim: int = 3, tau: int = 1) -> np.ndarray:
 # -- fragility ------------------------------------------------------------------------------------
 
 
+#: What is tried on a singular system, as shares of its largest diagonal entry.
+JITTERS = (1e-10, 1e-8, 1e-6, 1e-4)
+
+
 def ridge_transition(x: np.ndarray, alpha: float = 1e-4, radius: float = 0.99) -> np.ndarray:
     """A with x[:, 1:] ~ A x[:, :-1], shrunk by a ridge and scaled to a stable spectral radius."""
     if x.ndim != 2 or x.shape[1] < 2 or not np.isfinite(x).all():
         raise ValueError("a window needs two finite samples at least")
-    a, b = x[:, :-1], x[:, 1:]
-    gram, cross = a @ a.T, b @ a.T
-    eye, ridge = np.eye(len(x)), max(alpha, np.finfo(float).eps)
-    for lift in (0, 1e-8, 1e-6, 1e-4, 1e-2):
+    if alpha < 0:
+        raise ValueError("a ridge can't be negative")
+    now, then = x[:, :-1], x[:, 1:]
+    gram, cross, eye = now @ now.T, then @ now.T, np.eye(len(x))
+    eps = np.finfo(float).eps
+    system = (gram + gram.T) / 2 + max(alpha, eps) * eye
+    unit = max(float(np.abs(gram.diagonal()).max(initial=0)), 1.0)
+    k = None
+    for lift in (0.0, *JITTERS):
         try:
-            k = np.linalg.solve(gram + (ridge + lift * max(np.trace(gram) / len(x), 1)) * eye, cross.T).T
-            break
+            k = np.linalg.solve(system + lift * unit * eye, cross.T).T
         except np.linalg.LinAlgError:
             continue
-    else:
-        values, vectors = np.linalg.eigh(gram)
-        k = cross @ (vectors / np.maximum(values + ridge, ridge)) @ vectors.T
+        break
+    if k is None:
+        values, vectors = np.linalg.eigh(system)
+        large = values > eps * len(x) * max(float(np.abs(values).max(initial=0)), 1.0)
+        k = cross @ (vectors[:, large] / values[large]) @ vectors[:, large].T
     top = np.abs(np.linalg.eigvals(k)).max(initial=0)
-    return k * (radius / top) if top > radius else k
+    return k * (radius / (top + 1e-12)) if top > radius else k
 
 
 def perturbation_norms(a: np.ndarray, angles: int = 64) -> np.ndarray:
@@ -341,14 +382,8 @@ def perturbation_norms(a: np.ndarray, angles: int = 64) -> np.ndarray:
 
 
 def fragility(x: np.ndarray) -> np.ndarray:
-    """Inverse perturbation norms of the standardised window's channels, scaled to 0..1."""
-    if not np.isfinite(x).all():
-        raise ValueError("a window needs finite samples")
-    scale = np.abs(x - x.mean(1, keepdims=True)).max(1, keepdims=True)
-    z = (x - x.mean(1, keepdims=True)) / np.where(scale > 0, scale, 1)
-    rms = np.sqrt((z * z).mean(1, keepdims=True))
-    z = np.where(rms > 0, z / np.where(rms > 0, rms, 1), 0)
-    norm = perturbation_norms(ridge_transition(z))
+    """Inverse perturbation norms of the channels of a window of standardised signals, scaled to 0..1."""
+    norm = perturbation_norms(ridge_transition(x))
     score = np.where(np.isfinite(norm), 1 / (np.where(np.isfinite(norm), norm, 1) + 1e-12), 0)
     spread = score.max() - score.min()
     return (score - score.min()) / (spread + 1e-12) if spread >= 1e-12 else np.zeros(len(score))
@@ -357,18 +392,63 @@ def fragility(x: np.ndarray) -> np.ndarray:
 # -- multilayer graphs ----------------------------------------------------------------------------
 
 
+#: Supra-graphs up to this many nodes are decomposed whole.
+MOST_DENSE = 1500
+
+
+def supra_product(layers: np.ndarray, coupling: float, v: np.ndarray) -> np.ndarray:
+    """The supra-graph's matrix times a vector, without the matrix: layers on the diagonal, couplings of a node to itself beside it."""
+    x = v.reshape(layers.shape[:2])
+    y = np.einsum("tij,tj->ti", layers, x)
+    y[:-1] += coupling * x[1:]
+    y[1:] += coupling * x[:-1]
+    return y.ravel()
+
+
+def largest_pairs(product, n: int, k: int, tol: float = 1e-9, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues, ascending, and their vectors of a symmetric n x n operator: Lanczos steps, kept orthogonal, until k residuals are small."""
+    rng = np.random.default_rng(seed)
+    most, m = n, min(n, 2 * k + 40)
+    q = np.zeros((m, n))
+    alpha, beta = np.zeros(most), np.zeros(most)
+    v = rng.normal(size=n)
+    q[0] = v / np.linalg.norm(v)
+    j = 0
+    while True:
+        while j < m:
+            u = product(q[j])
+            alpha[j] = u @ q[j]
+            for _ in range(2):
+                u -= q[: j + 1].T @ (q[: j + 1] @ u)
+            beta[j] = np.linalg.norm(u)
+            if beta[j] <= 1e-12 * max(1.0, np.abs(alpha[: j + 1]).max()):
+                beta[j] = 0.0  # an invariant subspace is whole: go on in what is left
+                u = rng.normal(size=n)
+                for _ in range(2):
+                    u -= q[: j + 1].T @ (q[: j + 1] @ u)
+            if j + 1 < m:
+                q[j + 1] = u / np.linalg.norm(u)
+            j += 1
+        values, s = np.linalg.eigh(np.diag(alpha[:m]) + np.diag(beta[: m - 1], 1) + np.diag(beta[: m - 1], -1))
+        if m == n or (beta[m - 1] * np.abs(s[-1, -k:])).max() <= tol * max(1.0, np.abs(values).max()) and beta[m - 1] > 0:
+            return values[-k:], q[:m].T @ s[:, -k:]
+        last, m = m, min(n, m + max(40, k))
+        q = np.vstack([q, np.zeros((m - last, n))])
+        q[last] = u / np.linalg.norm(u)
+
+
 def multilayer_centrality(layers: np.ndarray, coupling: float = 1.0, most: int | None = None) -> np.ndarray:
     """[node, layer]: sum over the largest eigenpairs of the supra-graph of |value * vector|."""
     t, n, _ = layers.shape
-    full = np.zeros((t * n, t * n))
-    for k in range(t):
-        full[k * n : (k + 1) * n, k * n : (k + 1) * n] = layers[k]
-        if k + 1 < t:
-            at = np.arange(n)
-            full[k * n + at, (k + 1) * n + at] = full[(k + 1) * n + at, k * n + at] = coupling
-    values, vectors = np.linalg.eigh(full)
-    top = max(1, min(max(2, most or t), t * n - 2))
-    return np.abs(values[-top:] * vectors[:, -top:]).sum(1).reshape(t, n).T
+    size = t * n
+    top = max(1, min(max(2, t if most is None else min(t, most)), size - 2))
+    if size <= MOST_DENSE:
+        full = np.stack([supra_product(layers, coupling, row) for row in np.eye(size)])
+        values, vectors = np.linalg.eigh(full)
+        values, vectors = values[-top:], vectors[:, -top:]
+    else:
+        values, vectors = largest_pairs(lambda v: supra_product(layers, coupling, v), size, top)
+    return np.abs(values * vectors).sum(1).reshape(t, n).T
 
 
 def quantise(x: np.ndarray, percent: float) -> np.ndarray:
@@ -510,32 +590,61 @@ def softmax(x: np.ndarray, axis: int) -> np.ndarray:
     return z / z.sum(axis=axis, keepdims=True)
 
 
-def gated_convolutions(x: np.ndarray, rng: np.random.Generator, width: int = 12, out: int = 10) -> np.ndarray:
-    """[channels, samples] -> [channels, out]: causal dilated gated blocks with residuals, attention over time, linear map."""
-    h = np.einsum("wk,cks->cws", rng.normal(0, 0.3, (width, 5)), np.stack([np.pad(x, ((0, 0), (4, 0)))[:, k : k + x.shape[1]] for k in range(5)], 1))
-    h = (h - h.mean((0, 2), keepdims=True)) / (h.std((0, 2), keepdims=True) + 1e-5)
-    for dilation in (1, 2, 4):
-        shifted = np.pad(h, ((0, 0), (0, 0), (dilation, 0)))[:, :, : h.shape[2]]
-        f, g = (np.einsum("vw,cws->cvs", a, h) + np.einsum("vw,cws->cvs", b, shifted) for a, b in ((rng.normal(0, 0.3, (width, width)), rng.normal(0, 0.3, (width, width))) for _ in range(2)))
-        h = h + np.tanh(f) / (1 + np.exp(-g))
-    h = np.einsum("vw,cws->cvs", rng.normal(0, 0.3, (24, width)), h)
-    att = softmax(np.einsum("v,cvs->cs", rng.normal(0, 0.3, 24), h), 1)
-    return np.einsum("cs,cvs->cv", att, h) @ rng.normal(0, 0.3, (24, out))
-
-
-def graph_attention(seq: np.ndarray, rng: np.random.Generator, hidden: int = 32) -> np.ndarray:
-    """[time, channel, attribute] -> [time, channel] attention: embedding, graph convolution, LSTM, softmax over channels."""
-    t, n, k = seq.shape
-    adj = adaptive_adjacency(rng.normal(0, 1, (n, 8)))
-    mix = rng.normal(0, 0.3, (k, 8))
-    weights = [(rng.normal(0, 0.3, (8, hidden)), rng.normal(0, 0.3, (hidden, hidden))) for _ in range(4)]
-    h = c = np.zeros((n, hidden))
-    ask, out = rng.normal(0, 0.3, hidden), []
-    sig = lambda v: 1 / (1 + np.exp(-v))
-    for s in seq:
-        g = np.maximum(adj @ s @ mix, 0)
-        i, f, o, z = (g @ a + h @ b for a, b in weights)
-        c = sig(f) * c + sig(i) * np.tanh(z)
-        h = sig(o) * np.tanh(c)
-        out.append(softmax(h @ ask, 0))
-    return np.array(out)
+def network_weights(seed: int = 0, width: int = 12, wide: int = 24, attributes: int = 10, graph: int = 8, hidden: int = 32) -> dict[str, np.ndarray]:
+    """Names and shapes of the network's weights, drawn at random; trained ones come as a dict of the same form (npz files hold such).
+
+    Normalisations are scale and shift per feature, as they are after training.
+    """
+    rng = np.random.default_rng(seed)
+    draw = lambda *shape: rng.normal(0, 1 / np.sqrt(np.prod(shape[1:]) or 1), shape)
+    w = {"in": draw(width, 5), "in_scale": np.ones(width), "in_shift": np.zeros(width), "out": draw(wide, width), "out_scale": np.ones(wide), "out_shift": np.zeros(wide)}
+    for k in range(3):
+        w |= {f"filter{k}": draw(width, width, 3), f"gate{k}": draw(width, width, 3), f"scale{k}": np.ones(width), f"shift{k}": np.zeros(width)}
+    w |= {"time": draw(wide, 1)[:, 0], "attributes": draw(attributes, wide), "embedding": draw(graph, attributes), "gcn": draw(graph, attributes)}
+    w |= {"cell_in": draw(4 * hidden, attributes + graph), "cell_state": draw(4 * hidden, hidden), "cell_bias": np.zeros(4 * hidden)}
+    return w | {"node": draw(hidden, 1)[:, 0], "classes": draw(2, hidden), "classes_bias": np.zeros(2)}
+
+
+def _normed(h: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    return h * scale[:, None] + shift[:, None]
+
+
+def gated_convolutions(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """[channels, samples] -> [channels, attributes]: dilated gated blocks that look back only, with residuals; attention over time; a linear map."""
+    n = x.shape[1]
+    padded = np.pad(x, ((0, 0), (2, 2)))
+    h = sum(w["in"][:, k][None, :, None] * padded[:, None, k : k + n] for k in range(5))
+    h = np.maximum(_normed(h, w["in_scale"], w["in_shift"]), 0)
+    for k in range(3):
+        reach = 2 << k
+        past = np.pad(h, ((0, 0), (0, 0), (reach, 0)))
+        taps = np.stack([past[:, :, j * (1 << k) : j * (1 << k) + n] for j in range(3)], axis=-1)
+        f, g = (np.einsum("vwj,cwsj->cvs", w[name + str(k)], taps) for name in ("filter", "gate"))
+        h = np.maximum(h + _normed(np.tanh(f) * sigmoid(g), w[f"scale{k}"], w[f"shift{k}"]), 0)
+    h = np.maximum(_normed(np.einsum("vw,cws->cvs", w["out"], h), w["out_scale"], w["out_shift"]), 0)
+    att = softmax(np.einsum("v,cvs->cs", w["time"], np.tanh(h)), 1)
+    return np.einsum("cvs,cs->cv", h, att) @ w["attributes"].T
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def graph_attention(seq: np.ndarray, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """[time, channel, attribute] -> attention [time, channel] and the last step's two class logits.
+
+    Each step: a graph from the channels' embeddings, one convolution over it, a recurrent cell per channel, softmax over channels.
+    """
+    hidden = len(w["node"])
+    h = c = np.zeros((seq.shape[1], hidden))
+    out, logits = [], np.zeros(2)
+    for x in seq:
+        near = adaptive_adjacency(x @ w["embedding"].T)
+        both = np.concatenate([x, np.maximum(near @ (x @ w["gcn"].T), 0)], axis=1)
+        i, f, g, o = np.split(both @ w["cell_in"].T + h @ w["cell_state"].T + w["cell_bias"], 4, axis=1)
+        c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
+        h = sigmoid(o) * np.tanh(c)
+        att = softmax(np.tanh(h) @ w["node"], 0)
+        out.append(att)
+        logits = w["classes"] @ (att @ h) + w["classes_bias"]
+    return np.array(out), logits

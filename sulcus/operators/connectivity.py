@@ -16,6 +16,11 @@ from . import signal as S
 RUN = ["subject"]
 
 
+def _typed(df: DataFrame, cols: list[str]) -> str:
+    kinds = dict(df.dtypes)
+    return "".join(f"{c} {kinds[c]}, " for c in cols)
+
+
 def _pairs(x: DataFrame, cols: list[str], run: list[str]) -> DataFrame:
     a = x.select(*run, "sample", F.col("channel").alias("i"), *[F.col(c).alias(f"a_{c}") for c in cols])
     b = x.select(*run, "sample", F.col("channel").alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols])
@@ -46,10 +51,10 @@ def sliding_correlation(x: DataFrame, width: int, step: int, inclusive: bool = T
     return s.select(*run, "window", "i", "j", r.alias("w"))
 
 
-def sliding_correlation_kernel(wide: DataFrame, width: int, step: int, inclusive: bool = True) -> DataFrame:
+def sliding_correlation_kernel(wide: DataFrame, width: int, step: int, inclusive: bool = True, run: list[str] = RUN) -> DataFrame:
     """The same edges by one matrix product per window; for runs whose channels fit in one task."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("channel")
         x, ch = np.stack(g.samples.to_numpy()), g.channel.to_numpy()
         i, j = np.triu_indices(len(ch), 1)
@@ -57,10 +62,11 @@ def sliding_correlation_kernel(wide: DataFrame, width: int, step: int, inclusive
         for k, at in enumerate(range(0, x.shape[1] - width + (1 if inclusive else 0), step)):
             z = x[:, at : at + width]
             z = (z - z.mean(1, keepdims=True)) / np.maximum(z.std(1, ddof=1, keepdims=True), 1e-10)
-            out.append(pd.DataFrame({"subject": g.subject.iloc[0], "window": k, "i": ch[i], "j": ch[j], "w": (z @ z.T / (width - 1))[i, j]}))
-        return pd.concat(out) if out else pd.DataFrame({"subject": [], "window": [], "i": [], "j": [], "w": []})
+            out.append(pd.DataFrame({"window": k, "i": ch[i], "j": ch[j], "w": (z @ z.T / (width - 1))[i, j]}))
+        got = pd.concat(out) if out else pd.DataFrame({"window": [], "i": [], "j": [], "w": []})
+        return got.assign(**{c: g[c].iloc[0] for c in run})
 
-    return wide.groupBy("subject").applyInPandas(run, "subject long, window long, i long, j long, w double")
+    return wide.groupBy(*run).applyInPandas(one, _typed(wide, run) + "window long, i long, j long, w double")
 
 
 def edge_vectors(edges: DataFrame, run: list[str] = RUN) -> DataFrame:
@@ -73,14 +79,31 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(*keep, "i", "j").unionByName(edges.select(*keep, F.col("j").alias("i"), F.col("i").alias("j")))
 
 
-def node_strength(edges: DataFrame, keys: list[str]) -> DataFrame:
-    return both_ways(edges).groupBy(*keys, F.col("i").alias("channel")).agg(F.sum(F.abs("w")).alias("strength"))
+def _every_node(per_node: DataFrame, nodes: DataFrame | None, keys: list[str], value: str) -> DataFrame:
+    """Rows of the nodes (some of the keys, channel) that no edge has: the value is 0 in each graph."""
+    if nodes is None:
+        return per_node
+    by = [k for k in keys if k in nodes.columns]
+    rest = [k for k in keys if k not in by]
+    graphs = per_node.select(*keys).distinct()
+    every = graphs.join(nodes.select(*by, "channel"), by) if by else graphs.crossJoin(F.broadcast(nodes.select("channel")))
+    return every.join(per_node, [*by, *rest, "channel"], "left").select(*keys, "channel", F.coalesce(value, F.lit(0.0)).alias(value))
+
+
+def node_strength(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> DataFrame:
+    """nodes: run keys and channel of all nodes; those without edges have strength 0."""
+    g = both_ways(edges).groupBy(*keys, F.col("i").alias("channel")).agg(F.sum(F.abs("w")).alias("strength"))
+    return _every_node(g, nodes, keys, "strength")
 
 
-def degree_std(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Population deviation of a node's row of magnitudes, its zero on the diagonal included."""
-    g = both_ways(edges).groupBy(*keys, F.col("i").alias("channel")).agg(F.sum(F.abs("w")).alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"), (F.count(F.lit(1)) + 1).alias("n"))
-    return g.select(*keys, "channel", F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0))).alias("degree_std"))
+def degree_std(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> DataFrame:
+    """Population deviation of a node's row of magnitudes over all nodes, its zero on the diagonal and those of missing edges included."""
+    g = both_ways(edges).groupBy(*keys, F.col("i").alias("channel")).agg(F.sum(F.abs("w")).alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
+    by = keys if nodes is None else [k for k in keys if k in nodes.columns]
+    n = (g if nodes is None else nodes).groupBy(*by).agg(F.count_distinct("channel").alias("n"))
+    g = g.join(n, by) if by else g.crossJoin(F.broadcast(n))  # one row
+    g = g.select(*keys, "channel", F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0))).alias("degree_std"))
+    return _every_node(g, nodes, keys, "degree_std")
 
 
 def quantile_sparsify(edges: DataFrame, q: float, keys: list[str], keep_all_if_none: bool = False) -> DataFrame:
@@ -130,46 +153,60 @@ def coherence_layers(wide: DataFrame, sfreq: float, width: int, step: int, onset
     return preictal_map(lagged_coherence(z, width, step, by), (F.col("window") * step + width / 2) / sfreq, onset_s, by)
 
 
-def cross_mapping(wide: DataFrame, dim: int = 3, tau: int = 1) -> DataFrame:
-    """Directed edges (subject, i, j, w): channel i's neighbourhoods predict channel j.  One graph is one task."""
+def cross_mapping(wide: DataFrame, dim: int = 3, tau: int = 1, run: list[str] = RUN) -> DataFrame:
+    """Directed edges (run, i, j, w): channel i's neighbourhoods predict channel j.  One graph is one task."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("channel")
         w, ch = K.cross_map(np.stack(g.samples.to_numpy()), dim, tau), g.channel.to_numpy()
         i, j = np.nonzero(~np.eye(len(ch), dtype=bool))
-        return pd.DataFrame({"subject": g.subject.iloc[0], "i": ch[i], "j": ch[j], "w": w[i, j]})
+        return pd.DataFrame({"i": ch[i], "j": ch[j], "w": w[i, j]}).assign(**{c: g[c].iloc[0] for c in run})
 
-    return wide.groupBy("subject").applyInPandas(run, f"subject {dict(wide.dtypes)['subject']}, i long, j long, w double")
+    return wide.groupBy(*run).applyInPandas(one, _typed(wide, run) + "i long, j long, w double")
+
+
+def cross_mapping_connectivity(wide: DataFrame, sfreq: float, target: float = 50.0, most: int = 1500, dim: int = 3, tau: int = 1, run: list[str] = RUN) -> DataFrame:
+    """The whole method: envelope, decimation, at most `most` evenly spaced points, z-scores, all ordered pairs."""
+    w = S.decimate(S.envelope(wide), sfreq, target)
+    n = F.size("samples")
+    points = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.get("samples", F.floor(k * (n - 1) / (most - 1)).cast("int")))
+    w = w.withColumn("samples", F.when(n <= most, F.col("samples")).otherwise(points) if most > 1 else F.col("samples"))
+    total = lambda f: F.aggregate("samples", F.lit(0.0), lambda a, v: a + f(v)) / F.size("samples")
+    w = w.withColumn("_m", total(lambda v: v)).withColumn("_s", F.sqrt(total(lambda v: (v - F.col("_m")) * (v - F.col("_m")))))
+    w = w.withColumn("samples", F.transform("samples", lambda v: (v - F.col("_m")) / (F.col("_s") + 1e-12))).drop("_m", "_s")
+    return cross_mapping(w, dim, tau, run)
 
 
 def evolution(vectors: DataFrame, width: int = 20, step: int = 5, modes: int = 10, run: list[str] = RUN) -> DataFrame:
     """Singular modes of windowed evolution operators: run, op_window, mode, sigma, energy, left, right (arrays over edges).
 
-    Windows hold width + 1 edge vectors; the last possible start is left out, as for `inclusive=False`.
+    Windows hold width + 1 edge vectors; the last possible start is left out, as for `inclusive=False`.  A vector is sent to the
+    windows that hold it, and a window is decomposed where its vectors meet.
     """
-    w = Window.partitionBy(*run).orderBy("window")
-    some = vectors.select(*run, "window", F.collect_list("edge").over(w.rowsBetween(0, width)).alias("x"), F.count(F.lit(1)).over(Window.partitionBy(*run)).alias("_n"))
-    some = some.where((F.col("window") % step == 0) & (F.col("window") < F.col("_n") - width - 1)).select(*run, (F.col("window") / step).cast("long").alias("op_window"), "x")
+    n = vectors.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("window") - width) / step)).cast("long")
+    last = F.least(F.floor(F.col("window") / step), F.floor((F.col("_n") - width - 2) / step)).cast("long")
+    some = vectors.join(n, run).where(last >= first).select(*run, F.explode(F.sequence(first, last)).alias("op_window"), "window", "edge")
+
+    def decompose(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(g.sort_values("window").edge.to_numpy())
+        s, u, v, energy = K.evolution_modes(x[:-1], x[1:], modes)
+        rows = [(k, s[k], energy, list(u[:, k]), list(v[:, k])) for k in range(len(s))]
+        return pd.DataFrame(rows, columns=["mode", "sigma", "energy", "left", "right"]).assign(**{c: g[c].iloc[0] for c in [*run, "op_window"]})
+
+    return some.groupBy(*run, "op_window").applyInPandas(decompose, _typed(vectors, run) + "op_window long, mode long, sigma double, energy double, left array<double>, right array<double>")
 
-    def decompose(batches):
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                x = np.stack([np.asarray(v) for v in r.x])
-                s, u, v, energy = K.evolution_modes(x[:-1], x[1:], modes)
-                rows += [(*r[: len(run)], r.op_window, k, s[k], energy, list(u[:, k]), list(v[:, k])) for k in range(len(s))]
-            yield pd.DataFrame(rows, columns=[*run, "op_window", "mode", "sigma", "energy", "left", "right"])
 
-    kinds = dict(vectors.dtypes)
-    return some.mapInPandas(decompose, ", ".join(f"{c} {kinds[c]}" for c in run) + ", op_window long, mode long, sigma double, energy double, left array<double>, right array<double>")
+def mode_statistics(modes: DataFrame, side: str = "right", run: list[str] = RUN) -> DataFrame:
+    """What a run's vectors are z-scored by: n, mean, std (population), min, max over all windows, edges and modes."""
+    x = modes.select(*run, F.explode(side).alias("x"))
+    return x.groupBy(*run).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
 
 
 def mode_graphs(modes: DataFrame, pairs: DataFrame, side: str = "right", run: list[str] = RUN) -> DataFrame:
     """Edges (run, op_window, mode, i, j, w): a run's vectors, z-scored over all its windows, edges and modes.  pairs: run, edge, i, j."""
-    x = modes.select(*run, "op_window", "mode", F.posexplode(side).alias("edge", "x"))
-    over = Window.partitionBy(*run)
-    sd = F.stddev_pop("x").over(over)
-    x = x.withColumn("w", (F.col("x") - F.avg("x").over(over)) / F.when(sd > 0, sd).otherwise(1.0))
+    x = modes.select(*run, "op_window", "mode", F.posexplode(side).alias("edge", "x")).join(mode_statistics(modes, side, run).select(*run, "mean", "std"), run)
+    x = x.withColumn("w", (F.col("x") - F.col("mean")) / F.when(F.col("std") > 0, F.col("std")).otherwise(1.0))
     return x.join(pairs, [*run, "edge"]).select(*run, "op_window", "mode", "i", "j", "w")
 
 

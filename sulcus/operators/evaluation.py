@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 
 def minmax_metrics(x: DataFrame, keys: list[str]) -> DataFrame:
-    """Finite range per group to 0..1; infinities to the ends; a constant group is 0.5, one without finite values 0."""
+    """Finite range per group to 0..1; infinities to the ends, NaN stays; a constant group is 0.5 throughout, one without finite values 0."""
     v = F.col("value")
     finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
     w = Window.partitionBy(*keys)
     lo, hi = F.min(finite).over(w), F.max(finite).over(w)
-    scaled = F.least(F.greatest(F.try_divide(v - lo, hi - lo), F.lit(0.0)), F.lit(1.0))
+    # Spark orders NaN above all numbers, so it must not meet least().
+    scaled = F.when(F.isnan(v), v).otherwise(F.least(F.greatest(F.try_divide(v - lo, hi - lo), F.lit(0.0)), F.lit(1.0)))
     return x.withColumn("value", F.when(lo.isNull(), 0.0).when(hi == lo, 0.5).otherwise(scaled))
 
 
@@ -26,6 +27,14 @@ def time_bins(x: DataFrame, bins: int, keys: list[str], time: str = "op_window")
     return x.join(place, [*keys, time]).groupBy(*keys, *rest, "bin").agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("value"))
 
 
+def top_modes(x: DataFrame, modes: int) -> DataFrame:
+    """The first modes of each window; asking for more than there are is an error."""
+    have = x.agg(F.max("mode")).first()[0]
+    if modes < 1 or have is not None and modes > have + 1:
+        raise ValueError(f"{modes} modes are asked for, and there are {0 if have is None else have + 1}")
+    return x.where(F.col("mode") < modes)
+
+
 def feature_vectors(binned: DataFrame, modes: int, metrics: int, keys: list[str]) -> DataFrame:
     """One array per channel, in order of ((bin * modes) + mode) * metrics + metric."""
     index = (F.col("bin") * modes + F.col("mode")) * metrics + F.col("metric")
@@ -134,56 +143,147 @@ def standardise(train: DataFrame, test: DataFrame, n: int) -> tuple[DataFrame, D
     return apply(train), apply(test)
 
 
+def first_by_hash(x: DataFrame, n: int, seed: int, ids: list[str]) -> DataFrame:
+    """The n rows of the smallest hashes, ties by ids: whole buckets of hashes, and of the bucket at the edge its first rows.
+
+    Only the edge bucket, one of 65,536, is sorted; the buckets' counts come to the driver.
+    """
+    h = x.withColumn("_h", order_hash(seed, *ids)).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    edge, left = -1, n
+    for r in sorted(h.groupBy("_b").count().collect()):
+        edge = r["_b"]
+        if r["count"] >= left:
+            break
+        left -= r["count"]
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *ids))
+    some = h.where(F.col("_b") == edge).withColumn("_r", place).where(F.col("_r") <= left)
+    return h.where(F.col("_b") < edge).select(*x.columns).unionByName(some.select(*x.columns))
+
+
 def balance_rows(x: DataFrame, how: str, seed: int) -> DataFrame:
-    """x: subject, channel, y.  none: all rows; undersample, oversample: classes of equal size; positives: all of class 1 and as many others."""
-    if how == "none":
+    """x: subject, (run,) channel, y.  none: all rows; undersample, oversample: classes of equal size; positives: all of class 1 and as many others.
+
+    Rows of one class only stay as they are.
+    """
+    if how not in ("none", "undersample", "oversample", "positives"):
+        raise ValueError(f"no way to balance called {how!r}")
+    n = {int(r["y"]): r["count"] for r in x.groupBy("y").count().collect()}
+    if how == "none" or len(n) < 2 or n[0] == n[1]:
         return x
-    ids, x = ["subject", "channel"], x.withColumn("_all", F.lit(1))
-    if how == "undersample":
-        return undersample(x, seed, ["_all"], ids).drop("_all")
-    if how == "positives":
-        return undersample(x, seed, ["_all"], ids, True).drop("_all")
+    ids = [c for c in ("subject", "run", "channel") if c in x.columns]
+    few, many = sorted(n, key=n.get)
     if how == "oversample":
-        return oversample(x, seed, ["_all"], ids).drop("_all", "copy")
-    raise ValueError(f"no way to balance called {how!r}")
+        copies = x.where(F.col("y") == few).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(n[many] // n[few])))).drop("_k")
+        out = x.where(F.col("y") == many).unionByName(copies)
+        return out.unionByName(first_by_hash(x.where(F.col("y") == few), n[many] % n[few], seed, ids)) if n[many] % n[few] else out
+    if how == "positives" and many == 1:
+        return x
+    return x.where(F.col("y") == few).unionByName(first_by_hash(x.where(F.col("y") == many), n[few], seed, ids))
 
 
-def loso(x: DataFrame, model: str = "forest", trees: int = 300, depth: int = 20, seed: int = 42, balance: str = "undersample") -> dict[str, DataFrame]:
-    """Leave one subject out.  x: subject, channel, features (array), y.  Gives predictions, importances, and skipped folds.
+def loso(x: DataFrame, model: str = "forest", trees: int = 300, depth: int = 20, seed: int = 42, balance: str = "undersample", leaf: int = 2) -> dict[str, DataFrame]:
+    """Leave one subject out.  x: subject, (run,) channel, features (array), y.  Gives predictions, importances, folds and skipped folds.
 
     balance: see balance_rows; classes left unequal weigh the same.  The driver loops over subjects, of which there are tens; the rows
     stay distributed.  With a checkpoint folder, predictions are kept there, and the trees of a fold can go.
     """
     spark = x.sparkSession
+    keys = [c for c in ("subject", "run", "channel") if c in x.columns]
     # Each fold reads the features again, so they are kept.
     x = x.withColumn("y", F.col("y").cast("double")).persist()
-    n = len(x.first()["features"])
-    preds, imps, skipped = [], [], []
+    first = x.first()
+    n = len(first["features"]) if first else 0
+    preds, imps, folds, skipped = [], [], [], []
     for s in sorted(r["subject"] for r in x.select("subject").distinct().collect()):
-        train, test = x.where(F.col("subject") != s), x.where(F.col("subject") == s)
-        train = balance_rows(train, balance, seed).persist()
-        count = dict(train.groupBy("y").count().collect())
-        if len(count) < 2:
-            skipped.append((s,))
-            train.unpersist()
+        raw, test = x.where(F.col("subject") != s), x.where(F.col("subject") == s)
+        before = {r["y"]: r["count"] for r in raw.groupBy("y").count().collect()}
+        if len(before) < 2:
+            skipped.append((s, "training data has only one class"))
             continue
-        balanced = train
-        train, test = (d.withColumn("v", array_to_vector("features")) for d in standardise(train, test, n))
+        balanced = balance_rows(raw, balance, seed).persist()
+        count = {r["y"]: r["count"] for r in balanced.groupBy("y").count().collect()}
+        train, test = (d.withColumn("v", array_to_vector("features")) for d in standardise(balanced, test, n))
         rows = sum(count.values())
+        folds.append((s, sum(before.values()), before[1.0], rows, count[1.0]))
         train = train.withColumn("weight", F.when(F.col("y") == 1, rows / 2 / count[1.0]).otherwise(rows / 2 / count[0.0]))
         if model == "forest":
-            m = RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed).fit(train)
+            m = RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed).fit(train)
             imps.append([(s, k, float(v)) for k, v in enumerate(m.featureImportances.toArray())])
+        elif model == "logistic":
+            m = LogisticRegression(featuresCol="v", labelCol="y", weightCol="weight", regParam=1.0 / rows, standardization=False, maxIter=2000).fit(train)
         else:
-            m = LogisticRegression(featuresCol="v", labelCol="y", weightCol="weight", regParam=1.0 / rows, standardization=False, maxIter=100).fit(train)
+            raise ValueError(f"no model called {model!r}")
         balanced.unpersist()
-        p = m.transform(test).select("subject", "channel", F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))
+        p = m.transform(test).select(*keys, F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))
         preds.append(p.checkpoint() if spark.sparkContext.getCheckpointDir() else p)
-    out = preds[0] if preds else spark.createDataFrame([], "subject long, channel long, y int, score double")
+    kinds = dict(x.dtypes)
+    empty = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", y int, score double"
+    out = preds[0] if preds else spark.createDataFrame([], empty)
     for p in preds[1:]:
         out = out.unionByName(p)
-    kind = dict(x.dtypes)["subject"]
-    return {"predictions": out, "importances": spark.createDataFrame([r for f in imps for r in f], f"fold {kind}, feature long, importance double"), "skipped": spark.createDataFrame(skipped, f"fold {kind}")}
+    kind = kinds["subject"]
+    return {
+        "predictions": out,
+        "importances": spark.createDataFrame([r for f in imps for r in f], f"fold {kind}, feature long, importance double"),
+        "folds": spark.createDataFrame(folds, f"subject {kind}, train_rows long, train_positives long, balanced_rows long, balanced_positives long"),
+        "skipped": spark.createDataFrame(skipped, f"subject {kind}, reason string"),
+    }
+
+
+def baseline(x: DataFrame, model: str = "forest", seed: int = 0) -> dict[str, DataFrame]:
+    """The baselines' evaluation: NaN and infinities as 0, all positives and as many others, trees as deep as Spark's can be, ranking metrics per subject."""
+    clean = x.withColumn("features", F.transform("features", lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(F.coalesce(v, F.lit(0.0)))))
+    out = loso(clean, model, 300, 30, seed, "positives", 1)
+    return out | {"metrics": ranking_metrics(out["predictions"])}
+
+
+def ranking_metrics(p: DataFrame) -> DataFrame:
+    """p: subject, channel, y, score, judged as they are.  Per subject: areas (null for one class), metrics of the top k, sizes."""
+    size = p.groupBy("subject").agg(F.count(F.lit(1)).alias("n_channels"), F.sum("y").cast("long").alias("n_soz"))
+    return size.join(roc_auc(p, ["subject"], None), "subject").join(average_precision(p, ["subject"]), "subject", "left").join(topk_metrics(p, ["subject"]), "subject")
+
+
+def with_auc(p: DataFrame, cut: float, keys: list[str]) -> DataFrame:
+    size = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_channels"), F.sum("y").cast("long").alias("n_soz"))
+    return size.join(confusion(p, cut, keys), keys).join(roc_auc(p, keys), keys)
+
+
+def loso_tables(result: dict[str, DataFrame], cut: float = 0.5) -> dict[str, DataFrame]:
+    """The tables of a LOSO run: metrics by run and by subject (a channel's score is its mean over runs), predictions, summary, importances, and what was skipped."""
+    p = result["predictions"]
+    per_run = with_auc(p, cut, ["subject", "run"])
+    mean = mean_score(p)
+    n = p.groupBy("subject").agg(F.count_distinct("run").alias("n_runs"))
+    subjects = with_auc(mean, cut, ["subject"]).join(n, "subject").join(result["folds"], "subject")
+    odd = label_consistency(p).where("inconsistent").select("subject", F.lit("labels or channels differ between runs; the subject's mean may be invalid").alias("reason"))
+    return {
+        "subject_metrics": subjects,
+        "run_metrics": per_run,
+        "channel_predictions": mean.withColumn("y_pred", (F.col("score") >= cut).cast("int")),
+        "summary_metrics": summary(subjects, ["acc", "sen", "spec", "auc"]),
+        "skipped_subjects": result["skipped"].unionByName(odd),
+        "feature_importance_by_fold": result["importances"],
+        "feature_importance_mean": importance_summary(result["importances"]),
+    }
+
+
+def feature_names(bins: int, modes: int, metrics: list[str]) -> list[dict]:
+    """What each place of a feature vector is: the bin varies slowest, the metric fastest."""
+    return [{"feature": (b * modes + m) * len(metrics) + k, "bin": b, "mode": m, "metric": name} for b in range(bins) for m in range(modes) for k, name in enumerate(metrics)]
+
+
+def scores_of_runs(runs: DataFrame, scores: DataFrame) -> DataFrame:
+    """Scores by subject, run and channel joined to the runs' channels; a channel without a score has 0."""
+    keys = ["subject", "run", "channel"]
+    return runs.join(scores.select(*keys, "score"), keys, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def subject_runs(metrics: DataFrame, soz: DataFrame, bins: int = 6, modes: int = 10, n_metrics: int = 4) -> DataFrame:
+    """Node metrics (subject, run, channel, op_window, mode, metric 0.., value) as labelled feature vectors of runs with windows in `bins` bins."""
+    x = top_modes(minmax_metrics(metrics, ["subject", "run", "metric"]), modes)
+    vectors = feature_vectors(time_bins(x, bins, ["subject", "run"]), modes, n_metrics, ["subject", "run", "channel"])
+    listed = soz.select("subject", "channel", F.lit(1).alias("_y")).distinct()
+    return vectors.join(listed, ["subject", "channel"], "left").withColumn("y", F.coalesce("_y", F.lit(0))).drop("_y")
 
 
 def importance_summary(imp: DataFrame) -> DataFrame:

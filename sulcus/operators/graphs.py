@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 
+RUN = ["subject"]
+
 
 def _dense(g: pd.DataFrame, a: str, b: str, both: bool) -> tuple[np.ndarray, np.ndarray]:
     nodes, at = np.unique(np.concatenate([g[a], g[b]]), return_inverse=True)
@@ -20,44 +22,67 @@ def _dense(g: pd.DataFrame, a: str, b: str, both: bool) -> tuple[np.ndarray, np.
     return nodes, w
 
 
-def per_graph(edges: DataFrame, keys: list[str], metrics, both: bool, a: str = "i", b: str = "j") -> DataFrame:
-    """metrics(matrix) -> {name: values}; rows (keys, channel, metric, value).  An Arrow group is one graph."""
+def with_nodes(edges: DataFrame, nodes: DataFrame | None, keys: list[str], a: str = "i", b: str = "j") -> DataFrame:
+    """The edges and, as loops of weight 0, all nodes (some of the keys, channel), so that nodes without edges keep their place."""
+    if nodes is None:
+        return edges
+    by = [k for k in keys if k in nodes.columns]
+    graphs = edges.select(*keys).distinct()
+    every = graphs.join(nodes.select(*by, "channel"), by) if by else graphs.crossJoin(F.broadcast(nodes.select("channel"))) if keys else nodes
+    return edges.select(*keys, a, b, "w").unionByName(every.select(*keys, F.col("channel").alias(a), F.col("channel").alias(b), F.lit(0.0).alias("w")))
+
+
+def per_graph(edges: DataFrame, keys: list[str], metrics, both: bool, a: str = "i", b: str = "j", nodes: DataFrame | None = None) -> DataFrame:
+    """metrics(matrix) -> {name: values}; rows (keys, channel, metric, value).  An Arrow group is one graph; see `with_nodes`."""
     kinds = dict(edges.dtypes)
-    use = edges if keys else edges.withColumn("_g", F.lit(0))
+    use = with_nodes(edges, nodes, keys, a, b)
+    use = use if keys else use.withColumn("_g", F.lit(0))
     by = keys or ["_g"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        nodes, w = _dense(g, a, b, both)
-        parts = [pd.DataFrame({**{k: g[k].iloc[0] for k in keys}, "channel": nodes, "metric": m, "value": np.asarray(v, dtype=float)}) for m, v in metrics(w).items()]
+        names, w = _dense(g, a, b, both)
+        parts = [pd.DataFrame({**{k: g[k].iloc[0] for k in keys}, "channel": names, "metric": m, "value": np.asarray(v, dtype=float)}) for m, v in metrics(w).items()]
         return pd.concat(parts)
 
     schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "channel long, metric string, value double"
     return use.groupBy(*by).applyInPandas(run, schema)
 
 
-def directed_strength(edges: DataFrame) -> DataFrame:
-    ins = edges.groupBy(F.col("v").alias("channel")).agg(F.sum("w").alias("in_strength"))
-    outs = edges.groupBy(F.col("u").alias("channel")).agg(F.sum("w").alias("out_strength"))
-    j = ins.join(outs, "channel", "full")
-    return j.select("channel", F.coalesce("in_strength", F.lit(0.0)).alias("in_strength"), F.coalesce("out_strength", F.lit(0.0)).alias("out_strength"))
+def directed_strength(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    ins = edges.select(F.col("v").alias("channel"), F.col("w").alias("a"), F.lit(0.0).alias("b"))
+    outs = edges.select(F.col("u").alias("channel"), F.lit(0.0).alias("a"), F.col("w").alias("b"))
+    rows = ins.unionByName(outs)
+    if nodes is not None:
+        rows = rows.unionByName(nodes.select("channel", F.lit(0.0).alias("a"), F.lit(0.0).alias("b")))
+    return rows.groupBy("channel").agg(F.sum("a").alias("in_strength"), F.sum("b").alias("out_strength"))
 
 
-def centralities(edges: DataFrame, keys: list[str], a: str = "i", b: str = "j") -> DataFrame:
-    return per_graph(edges, keys, K.ten_centralities, False, a, b)
+def centralities(edges: DataFrame, keys: list[str], a: str = "i", b: str = "j", nodes: DataFrame | None = None, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """The ten centralities of each graph, or only those wanted."""
+    return per_graph(edges, keys, lambda w: K.ten_centralities(w, wanted), False, a, b, nodes)
 
 
-def node_metrics(edges: DataFrame, keys: list[str]) -> DataFrame:
+def node_metrics(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> DataFrame:
     """Strength, degree spread, eigenvector centrality and nodal efficiency, with `ok`."""
 
     def metrics(w: np.ndarray) -> dict[str, np.ndarray]:
         found, ok = K.four_metrics(w)
         return found | {"ok": np.full(len(w), float(ok))}
 
-    return per_graph(edges, keys, metrics, True)
+    return per_graph(edges, keys, metrics, True, nodes=nodes)
+
+
+def success_rate(metrics: DataFrame, run: list[str], runs: DataFrame | None = None) -> DataFrame:
+    """Share of graphs whose metrics went well; runs (of the same keys) without any graph count as 0."""
+    rate = metrics.where("metric = 'ok'").groupBy(*run).agg(F.avg("value").alias("success_rate"))
+    if runs is None:
+        return rate
+    return runs.select(*run).distinct().join(rate, run, "left").select(*run, F.coalesce("success_rate", F.lit(0.0)).alias("success_rate"))
 
 
-def success_rate(metrics: DataFrame, run: list[str]) -> DataFrame:
-    return metrics.where("metric = 'ok'").groupBy(*run).agg(F.avg("value").alias("success_rate"))
+def mean_success(rates: DataFrame) -> DataFrame:
+    """Per subject the number of runs and their mean success rate, a failed run being 0."""
+    return rates.groupBy("subject").agg(F.count(F.lit(1)).alias("n_runs"), F.avg(F.coalesce("success_rate", F.lit(0.0))).alias("mean_success_rate"))
 
 
 def _layers(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,16 +94,26 @@ def _layers(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return nodes, times, out
 
 
-def multilayer_centrality(layers: DataFrame, coupling: float = 1.0, most: int | None = None) -> DataFrame:
-    """subject, channel, layer, value."""
-    kind = dict(layers.dtypes)["subject"]
+def layer_nodes(layers: DataFrame, nodes: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The layers' edges and all nodes, as loops of weight 0 in the first window."""
+    if nodes is None:
+        return layers
+    by = [k for k in keys if k in nodes.columns]
+    first = layers.groupBy(*keys).agg(F.min("window").alias("window"))
+    every = first.join(nodes.select(*by, "channel"), by).select(*keys, "window", F.col("channel").alias("i"), F.col("channel").alias("j"), F.lit(0.0).alias("w"))
+    return layers.select(*keys, "window", "i", "j", "w").unionByName(every)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        nodes, times, x = _layers(g)
+
+def multilayer_centrality(layers: DataFrame, coupling: float = 1.0, most: int | None = None, run: list[str] = RUN, nodes: DataFrame | None = None) -> DataFrame:
+    """run, channel, layer, value."""
+    kinds = dict(layers.dtypes)
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        names, times, x = _layers(g)
         m = K.multilayer_centrality(x, coupling, most)
-        return pd.DataFrame({"subject": g.subject.iloc[0], "channel": np.repeat(nodes, len(times)), "layer": np.tile(times, len(nodes)), "value": m.ravel()})
+        return pd.DataFrame({"channel": np.repeat(names, len(times)), "layer": np.tile(times, len(names)), "value": m.ravel()}).assign(**{c: g[c].iloc[0] for c in run})
 
-    return layers.groupBy("subject").applyInPandas(run, f"subject {kind}, channel long, layer long, value double")
+    return layer_nodes(layers, nodes, run).groupBy(*run).applyInPandas(one, "".join(f"{c} {kinds[c]}, " for c in run) + "channel long, layer long, value double")
 
 
 def quantise(x: DataFrame, percent: float, keys: list[str]) -> DataFrame:
@@ -88,71 +123,70 @@ def quantise(x: DataFrame, percent: float, keys: list[str]) -> DataFrame:
     return x.join(cut, keys).withColumn("value", level).drop("_lo", "_hi")
 
 
-def consensus(layers: DataFrame, couplings=(*range(1, 11), 15), percents=tuple(range(10, 90, 10)), sets: list[str] | None = None) -> DataFrame:
-    """subject, channel, score, top: votes over couplings, percentiles and singular-vector combinations.
+def consensus(layers: DataFrame, couplings=(*range(1, 11), 15), percents=tuple(range(10, 90, 10)), sets: list[str] | None = None, keys: list[str] = RUN, nodes: DataFrame | None = None) -> DataFrame:
+    """keys, channel, score, top: votes over couplings, percentiles and singular-vector combinations.
 
-    sets: columns that tell a subject's runs and bands apart; all of them must have the same channels.
+    sets: columns that tell the runs and bands apart that are joined; all of them must have the same channels.
     """
-    kind = dict(layers.dtypes)["subject"]
+    kinds = dict(layers.dtypes)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def one(g: pd.DataFrame) -> pd.DataFrame:
         built = [_layers(h) for _, h in g.groupby(sets)] if sets else [_layers(g)]
-        nodes = built[0][0]
-        if any(not np.array_equal(nodes, other) for other, _, _ in built):
+        names = built[0][0]
+        if any(not np.array_equal(names, other) for other, _, _ in built):
             raise ValueError("all runs and bands of a subject need the same channels")
         score, top = K.consensus({c: [K.multilayer_centrality(x, c) for _, _, x in built] for c in couplings}, percents)
-        return pd.DataFrame({"subject": g.subject.iloc[0], "channel": nodes, "score": score, "top": top})
+        return pd.DataFrame({"channel": names, "score": score, "top": top}).assign(**{c: g[c].iloc[0] for c in keys})
 
-    return layers.groupBy("subject").applyInPandas(run, f"subject {kind}, channel long, score double, top boolean")
+    whole = layer_nodes(layers, nodes, [*keys, *(sets or [])])
+    return whole.groupBy(*keys).applyInPandas(one, "".join(f"{c} {kinds[c]}, " for c in keys) + "channel long, score double, top boolean")
 
 
-def fragility_heatmap(wide: DataFrame, width: int, step: int, sfreq: float) -> DataFrame:
-    """subject, window, t_sec, channel, value.  Windows are spread over tasks; one window's channels are one kernel call."""
-    kind = dict(wide.dtypes)["subject"]
+def standardised(wide: DataFrame) -> DataFrame:
+    """Each channel centred, divided by its largest magnitude and then by its root mean square; constant channels are 0."""
+    mean = lambda f: F.aggregate("samples", F.lit(0.0), lambda a, v: a + f(v)) / F.size("samples")
+    w = wide.withColumn("_m", mean(lambda v: v)).withColumn("samples", F.transform("samples", lambda v: v - F.col("_m")))
+    w = w.withColumn("_m", F.array_max(F.transform("samples", F.abs))).withColumn("samples", F.transform("samples", lambda v: v / F.when(F.col("_m") > 0, F.col("_m")).otherwise(1.0)))
+    w = w.withColumn("_m", F.sqrt(mean(lambda v: v * v)))
+    return w.withColumn("samples", F.transform("samples", lambda v: v / F.when(F.col("_m") > 1e-12, F.col("_m")).otherwise(1.0))).drop("_m")
+
+
+def fragility_heatmap(wide: DataFrame, width: int, step: int, sfreq: float, run: list[str] = RUN) -> DataFrame:
+    """run, window, t_sec, channel, value.  Channels are standardised as wholes; windows are spread over tasks, and one window's channels are one kernel call."""
+    kinds = dict(wide.dtypes)
+    wide = standardised(wide)
     n = F.size("samples")
-    parts = wide.where(n >= width).select("subject", "channel", F.posexplode(F.sequence(F.lit(0), n - width, F.lit(step))).alias("window", "start"), "samples")
-    parts = parts.select("subject", F.col("window").cast("long").alias("window"), "start", "channel", F.slice("samples", F.col("start") + 1, width).alias("x"))
+    parts = wide.where(n >= width).select(*run, "channel", F.posexplode(F.sequence(F.lit(0), n - width, F.lit(step))).alias("window", "start"), "samples")
+    parts = parts.select(*run, F.col("window").cast("long").alias("window"), "start", "channel", F.slice("samples", F.col("start") + 1, width).alias("x"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("channel")
         v = K.fragility(np.stack(g.x.to_numpy()))
-        return pd.DataFrame({"subject": g.subject.iloc[0], "window": g.window.iloc[0], "t_sec": (g.start.iloc[0] + width / 2) / sfreq, "channel": g.channel, "value": v})
+        return pd.DataFrame({"window": g.window.iloc[0], "t_sec": (g.start.iloc[0] + width / 2) / sfreq, "channel": g.channel, "value": v}).assign(**{c: g[c].iloc[0] for c in run})
 
-    return parts.groupBy("subject", "window").applyInPandas(run, f"subject {kind}, window long, t_sec double, channel long, value double")
+    return parts.groupBy(*run, "window").applyInPandas(one, "".join(f"{c} {kinds[c]}, " for c in run) + "window long, t_sec double, channel long, value double")
 
 
-def attention_score(wide: DataFrame, length: int = 8, length_seq: int = 4, seed: int = 0) -> DataFrame:
-    """Per channel the attention summed over time, scaled to 0..1, of the network's forward pass with seeded weights."""
-    kind = dict(wide.dtypes)["subject"]
+def attention_score(wide: DataFrame, length: int = 8, length_seq: int = 4, seed: int = 0, weights: dict[str, np.ndarray] | None = None, run: list[str] = RUN) -> DataFrame:
+    """Per channel the attention summed over time, scaled to 0..1, of the network's forward pass.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    weights: see `kernels.network_weights`; without them they are drawn by the seed, and the score says nothing about a subject.
+    """
+    kinds = dict(wide.dtypes)
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("channel")
         x = np.stack(g.samples.to_numpy())
         x = (x - x.mean(1, keepdims=True)) / (x.std(1, keepdims=True) + 1e-6)
-        rng = np.random.default_rng(seed)
-        state = rng.bit_generator.state
-        seg = []
-        for k in range(x.shape[1] // length):
-            rng.bit_generator.state = state  # the same weights for each segment
-            seg.append(K.gated_convolutions(x[:, k * length : (k + 1) * length], rng))
-        seq = np.array(seg)
+        w = weights or K.network_weights(seed)
+        seq = np.array([K.gated_convolutions(x[:, k * length : (k + 1) * length], w) for k in range(x.shape[1] // length)])
         total = np.zeros(len(x))
         for t in range(length_seq, len(seq)):
-            total += K.graph_attention(seq[t - length_seq : t], np.random.default_rng(seed + 1)).sum(0)
+            total += K.graph_attention(seq[t - length_seq : t], w)[0].sum(0)
         spread = total.max() - total.min()
-        return pd.DataFrame({"subject": g.subject.iloc[0], "channel": g.channel, "score": (total - total.min()) / (spread + 1e-12) if spread >= 1e-12 else 0 * total})
-
-    return wide.groupBy("subject").applyInPandas(run, f"subject {kind}, channel long, score double")
-
+        return pd.DataFrame({"channel": g.channel, "score": (total - total.min()) / (spread + 1e-12) if spread >= 1e-12 else 0 * total}).assign(**{c: g[c].iloc[0] for c in run})
 
-def train_attention(*_args, **_kwargs):
-    """Gradient training needs torch on the executors."""
-    try:
-        import torch  # noqa: F401
-        from pyspark.ml.torch.distributor import TorchDistributor  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("training the graph network needs torch, which is not installed") from e
-    raise NotImplementedError("give TorchDistributor a training function for your data")
+    return wide.groupBy(*run).applyInPandas(one, "".join(f"{c} {kinds[c]}, " for c in run) + "channel long, score double")
 
 
 def rank_channels(x: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,8 +13,12 @@ from ..operators import evaluation as L
 from ..operators import events as E
 from ..operators import graphs as G
 from ..operators import signal as S
+from ..session import shared_path
+from ..sources import readers, sinks
 from . import fixtures as X
 
+#: Keys of recordings in F1.
+R = X.RUN
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Sizes on the fixtures: correlation window and step, evolution window, sampling rate.
 W, STEP, OPW, FS = 16, 8, 3, 16.0
@@ -25,59 +29,57 @@ def query(f):
     return f
 
 
-def recording(f):
-    """Registers a query of recordings over F1 and, as ..._whole, over every channel of the table."""
-    QUERIES[f"{f.__name__}_whole"] = lambda s, d: f(s, d, None)
-    return query(f)
-
-
 def r6(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
-def fc(s, d, n=X.CHANNELS, inclusive=True):
-    return N.sliding_correlation(X.dense(s, d, n), W, STEP, inclusive)
+def _nodes(s, d):
+    return X.dense_wide(s, d).select(*R, "channel")
+
 
+def fc(s, d, inclusive=True):
+    return N.sliding_correlation(X.dense(s, d), W, STEP, inclusive, R)
 
-@recording
-def fc_sliding_edges(s, d, n=X.CHANNELS):
-    return r6(fc(s, d, n))
+
+@query
+def fc_sliding_edges(s, d):
+    return r6(fc(s, d))
 
 
-@recording
-def fc_sliding_edges_exclusive(s, d, n=X.CHANNELS):
-    return r6(fc(s, d, n, False))
+@query
+def fc_sliding_edges_exclusive(s, d):
+    return r6(fc(s, d, False))
 
 
-@recording
-def fc_sliding_edges_kernel(s, d, n=X.CHANNELS):
-    return r6(N.sliding_correlation_kernel(X.dense_wide(s, d, n), W, STEP))
+@query
+def fc_sliding_edges_kernel(s, d):
+    return r6(N.sliding_correlation_kernel(X.dense_wide(s, d), W, STEP, run=R))
 
 
-@recording
-def fc_edge_vectors(s, d, n=X.CHANNELS):
-    v = N.edge_vectors(fc(s, d, n))
-    return r6(v.select("subject", "window", F.size("edge").cast("long").alias("n_edges"), F.aggregate("edge", F.lit(0.0), lambda a, x: a + x).alias("total")))
+@query
+def fc_edge_vectors(s, d):
+    v = N.edge_vectors(fc(s, d), R)
+    return r6(v.select(*R, "window", F.size("edge").cast("long").alias("n_edges"), F.aggregate("edge", F.lit(0.0), lambda a, x: a + x).alias("total")))
 
 
-@recording
-def fc_node_strength(s, d, n=X.CHANNELS):
-    return r6(N.node_strength(fc(s, d, n), ["subject", "window"]))
+@query
+def fc_node_strength(s, d):
+    return r6(N.node_strength(fc(s, d), [*R, "window"], _nodes(s, d)))
 
 
-@recording
-def fc_degree_std(s, d, n=X.CHANNELS):
-    return r6(N.degree_std(fc(s, d, n), ["subject", "window"]))
+@query
+def fc_degree_std(s, d):
+    return r6(N.degree_std(fc(s, d), [*R, "window"], _nodes(s, d)))
 
 
-@recording
-def average_reference(s, d, n=X.CHANNELS):
-    return r6(S.average_reference(X.dense(s, d, n)).select("subject", "channel", "sample", "value"))
+@query
+def average_reference(s, d):
+    return r6(S.average_reference(X.dense(s, d), R).select(*R, "channel", "sample", "value"))
 
 
-@recording
-def percentile_scale(s, d, n=X.CHANNELS):
-    return r6(S.percentile_scale(X.dense(s, d, n)).select("subject", "channel", "sample", "value"))
+@query
+def percentile_scale(s, d):
+    return r6(S.percentile_scale(X.dense(s, d), run=R).select(*R, "channel", "sample", "value"))
 
 
 @query
@@ -90,9 +92,9 @@ def safe_standardise(s, d):
     return r6(S.safe_standardise(X.bursts(s, d)))
 
 
-@recording
-def robust_zscore(s, d, n=X.CHANNELS):
-    return r6(S.robust_zscore(X.dense(s, d, n)).select("subject", "channel", "sample", "value"))
+@query
+def robust_zscore(s, d):
+    return r6(S.robust_zscore(X.dense(s, d), run=R).select(*R, "channel", "sample", "value"))
 
 
 @query
@@ -112,70 +114,75 @@ def delay_embedding(s, d):
     return r6(S.delay_embedding(X.bursts(s, d), 3, 2))
 
 
-@recording
-def linspace_decimate(s, d, n=X.CHANNELS):
-    return r6(S.point_cap(X.dense(s, d, n), 25).select("subject", "channel", "point", "sample", "value"))
+@query
+def linspace_decimate(s, d):
+    return r6(S.point_cap(X.dense(s, d), 25, R).select(*R, "channel", "point", "sample", "value"))
 
 
-@recording
-def band_power(s, d, n=X.CHANNELS):
-    return r6(S.band_power(X.dense(s, d, n)))
+@query
+def band_power(s, d):
+    return r6(S.band_power(X.dense(s, d), R))
 
 
-@recording
-def onset_crop(s, d, n=X.CHANNELS):
-    return r6(S.crop(X.dense(s, d, n), FS, 2.0, 1.0, 0.5).select("subject", "channel", "sample", "value"))
+@query
+def onset_crop(s, d):
+    return r6(S.crop(X.dense(s, d), FS, 2.0, 1.0, 0.5).select(*R, "channel", "sample", "value"))
 
 
-@recording
-def hilbert_envelope(s, d, n=X.CHANNELS):
-    return r6(X.long_form(S.envelope(X.dense_wide(s, d, n))).select("subject", "channel", "sample", F.col("value").alias("env")))
+@query
+def hilbert_envelope(s, d):
+    return r6(X.long_form(S.envelope(X.dense_wide(s, d))).select(*R, "channel", "sample", F.col("value").alias("env")))
 
 
 def _hfo(s, d):
+    return E.detect_wide(X.bursts_wide(s, d), 100.0, 2, 10, 1, 1.5)
+
+
+@query
+def hfo_events(s, d):
+    """By relational steps over the long table."""
     wide = X.bursts_wide(s, d)
     mid = X.long_form(wide).groupBy("subject", "channel").agg(F.median("value").alias("mid"))
     centred = wide.join(mid, ["subject", "channel"]).withColumn("samples", F.transform("samples", lambda v: v - F.col("mid"))).drop("mid")
-    x = X.long_form(centred)
     env = X.long_form(S.envelope(centred)).withColumnRenamed("value", "env")
-    return x, E.detect(x, env, 100.0, 2, 10, 1, 1.5)
+    return r6(E.detect(X.long_form(centred), env, 100.0, 2, 10, 1, 1.5))
 
 
 @query
-def hfo_events(s, d):
-    return r6(_hfo(s, d)[1])
+def hfo_events_kernel(s, d):
+    """By one kernel call a channel."""
+    return r6(_hfo(s, d).where("start is not null").drop("n", "band_power"))
 
 
 @query
 def hfo_rate(s, d):
-    x, ev = _hfo(s, d)
-    return r6(E.rate(ev, x.groupBy("subject", "channel").agg(F.count(F.lit(1)).alias("n")), 100.0))
+    found = _hfo(s, d)
+    return r6(E.rate(found.where("start is not null"), found.select("subject", "channel", "n").distinct(), 100.0))
 
 
 @query
 def hfo_features(s, d):
-    x, ev = _hfo(s, d)
-    return r6(E.features(ev, x, 100.0))
+    return r6(E.features(_hfo(s, d), 100.0))
 
 
-@recording
-def envelope_corr_layers(s, d, n=X.CHANNELS):
-    return r6(N.envelope_layers(X.long_form(S.envelope(X.dense_wide(s, d, n))), W, STEP))
+@query
+def envelope_corr_layers(s, d):
+    return r6(N.envelope_layers(X.long_form(S.envelope(X.dense_wide(s, d))), W, STEP, run=R))
 
 
-def _coherence(s, d, n=X.CHANNELS):
-    z = S.analytic(X.dense_wide(s, d, n)).select("subject", "channel", F.posexplode(F.arrays_zip("re", "im")).alias("sample", "z")).select("subject", "channel", F.col("sample").cast("long").alias("sample"), "z.re", "z.im")
-    return N.lagged_coherence(z, W, STEP)
+def _coherence(s, d):
+    z = S.analytic(X.dense_wide(s, d)).select(*R, "channel", F.posexplode(F.arrays_zip("re", "im")).alias("sample", "z")).select(*R, "channel", F.col("sample").cast("long").alias("sample"), "z.re", "z.im")
+    return N.lagged_coherence(z, W, STEP, R)
 
 
-@recording
-def lagged_coherence(s, d, n=X.CHANNELS):
-    return r6(_coherence(s, d, n))
+@query
+def lagged_coherence(s, d):
+    return r6(_coherence(s, d))
 
 
-@recording
-def preictal_mapped(s, d, n=X.CHANNELS):
-    return r6(N.preictal_map(_coherence(s, d, n), (F.col("window") * STEP + W / 2) / FS, 2.0), 4)
+@query
+def preictal_mapped(s, d):
+    return r6(N.preictal_map(_coherence(s, d), (F.col("window") * STEP + W / 2) / FS, 2.0, R), 4)
 
 
 @query
@@ -185,12 +192,12 @@ def quantile_sparsify(s, d):
 
 @query
 def directed_strength(s, d):
-    return r6(G.directed_strength(N.quantile_sparsify(X.trade_graph(s, d), 0.5, [])))
+    return r6(G.directed_strength(N.quantile_sparsify(X.trade_graph(s, d), 0.5, []), X.nations(s, d)))
 
 
-@recording
-def supra_adjacency(s, d, n=X.CHANNELS):
-    return r6(N.supra_edges(fc(s, d, n).where("w > 0"), 1.0))
+@query
+def supra_adjacency(s, d):
+    return r6(N.supra_edges(fc(s, d).where("w > 0"), 1.0, R))
 
 
 def _sparse(s, d):
@@ -199,20 +206,21 @@ def _sparse(s, d):
 
 def _one_metric(name: str, digits: int = 6):
     def run(s, d):
-        return r6(G.centralities(_sparse(s, d), [], "u", "v").where(F.col("metric") == name).select("channel", "value"), digits)
+        return r6(G.centralities(_sparse(s, d), [], "u", "v", X.nations(s, d), (name,)).select("channel", "value"), digits)
 
     run.__name__ = name
     return run
 
 
-for _m in ("in_closeness", "out_closeness", "clustering", "local_efficiency", "betweenness", "hubs", "authorities"):
+for _m in ("in_closeness", "out_closeness", "clustering", "local_efficiency", "betweenness"):
     QUERIES[_m] = _one_metric(_m)
-QUERIES["pagerank"] = _one_metric("pagerank", 4)
+for _m in ("pagerank", "hubs", "authorities"):
+    QUERIES[_m] = _one_metric(_m, 4)
 
 
 @query
 def ten_centralities(s, d):
-    return r6(G.centralities(_sparse(s, d), [], "u", "v"))
+    return r6(G.centralities(_sparse(s, d), [], "u", "v", X.nations(s, d)), 4)
 
 
 def _undirected(s, d):
@@ -223,35 +231,50 @@ def _undirected(s, d):
 
 @query
 def nodal_efficiency(s, d):
-    return r6(G.node_metrics(_undirected(s, d), []).where("metric = 'global_efficiency'").select("channel", "value"))
+    return r6(G.node_metrics(_undirected(s, d), [], X.nations(s, d)).where("metric = 'global_efficiency'").select("channel", "value"))
 
 
 @query
 def eigenvector_centrality(s, d):
-    return r6(G.node_metrics(_undirected(s, d), []).where("metric = 'eigenvector'").select("channel", "value"), 4)
+    return r6(G.node_metrics(_undirected(s, d), [], X.nations(s, d)).where("metric = 'eigenvector'").select("channel", "value"), 4)
 
 
-def _modes(s, d, n=X.CHANNELS):
-    edges = fc(s, d, n, False)
-    pairs = edges.select("subject", "i", "j").distinct().groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("p")).select("subject", F.posexplode("p").alias("edge", "p")).select("subject", "edge", "p.i", "p.j")
-    return N.evolution(N.edge_vectors(edges), OPW, 1, 2), pairs
+def _modes(s, d):
+    edges = fc(s, d, False)
+    pairs = edges.select(*R, "i", "j").distinct().groupBy(*R).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("p")).select(*R, F.posexplode("p").alias("edge", "p")).select(*R, "edge", "p.i", "p.j")
+    return N.evolution(N.edge_vectors(edges, R), OPW, 1, 2, R), pairs
+
+
+@query
+def evolution_operator_svd(s, d):
+    return r6(_modes(s, d)[0].select(*R, "op_window", "mode", "sigma", "energy"), 3)
+
+
+def _mode_metrics(s, d):
+    modes, pairs = _modes(s, d)
+    return G.node_metrics(N.mode_graphs(modes, pairs, run=R), [*R, "op_window", "mode"], _nodes(s, d))
+
+
+@query
+def evolution_node_metrics(s, d):
+    return r6(_mode_metrics(s, d), 4)
 
 
-@recording
-def evolution_operator_svd(s, d, n=X.CHANNELS):
-    return r6(_modes(s, d, n)[0].select("subject", "op_window", "mode", "sigma", "energy"), 4)
+@query
+def mode_statistics(s, d):
+    """How many entries a run's modes have, and the sum of their squares: each mode is a unit vector."""
+    m = N.mode_statistics(_modes(s, d)[0], run=R)
+    return r6(m.select(*R, "n", (F.col("n") * (F.col("std") * F.col("std") + F.col("mean") * F.col("mean"))).alias("squares")), 4)
 
 
-@recording
-def evolution_node_metrics(s, d, n=X.CHANNELS):
-    modes, pairs = _modes(s, d, n)
-    return r6(G.node_metrics(N.mode_graphs(modes, pairs), ["subject", "op_window", "mode"]), 4)
+@query
+def evolution_success_rate(s, d):
+    return G.success_rate(_mode_metrics(s, d), R, _nodes(s, d))
 
 
-@recording
-def evolution_success_rate(s, d, n=X.CHANNELS):
-    modes, pairs = _modes(s, d, n)
-    return G.success_rate(G.node_metrics(N.mode_graphs(modes, pairs), ["subject", "op_window", "mode"]), ["subject"])
+@query
+def mean_success_rate(s, d):
+    return G.mean_success(G.success_rate(_mode_metrics(s, d), R, _nodes(s, d)))
 
 
 @query
@@ -261,38 +284,44 @@ def ccm_scores(s, d):
 
 @query
 def ccm_centralities(s, d):
-    w = S.decimate(S.envelope(X.bursts_wide(s, d)), 100.0, 50.0)
-    return r6(G.centralities(N.quantile_sparsify(N.cross_mapping(w, 2, 1), 0.5, ["subject"]), ["subject"]), 5)
+    w = N.cross_mapping_connectivity(X.bursts_wide(s, d), 100.0, 50.0, 60, 2)
+    return r6(G.centralities(N.quantile_sparsify(w, 0.5, ["subject"]), ["subject"], nodes=X.bursts_wide(s, d).select("subject", "channel")), 5)
 
 
-@recording
-def fragility_heatmap(s, d, n=X.CHANNELS):
-    return r6(G.fragility_heatmap(X.dense_wide(s, d, n), W, STEP, FS), 5)
+@query
+def fragility_heatmap(s, d):
+    return r6(G.fragility_heatmap(X.dense_wide(s, d), W, STEP, FS, R), 5)
 
 
-@recording
-def mlevc(s, d, n=X.CHANNELS):
-    return r6(G.multilayer_centrality(N.envelope_layers(X.long_form(S.envelope(X.dense_wide(s, d, n))), W, STEP)), 5)
+@query
+def mlevc(s, d):
+    return r6(G.multilayer_centrality(N.envelope_layers(X.long_form(S.envelope(X.dense_wide(s, d))), W, STEP, run=R), run=R, nodes=_nodes(s, d)), 5)
 
 
-@recording
-def mlevc_quantised(s, d, n=X.CHANNELS):
-    return G.quantise(mlevc(s, d, n), 20.0, ["subject"])
+@query
+def mlevc_quantised(s, d):
+    return G.quantise(mlevc(s, d), 20.0, R)
 
 
-@recording
-def mlevc_consensus(s, d, n=X.CHANNELS):
-    return r6(G.consensus(N.coherence_layers(X.dense_wide(s, d, n), 512.0, W, STEP, 32 / 512.0), sets=["band"]), 5)
+@query
+def mlevc_consensus(s, d):
+    layers = N.coherence_layers(X.dense_wide(s, d), 512.0, W, STEP, 32 / 512.0, run=R)
+    return r6(G.consensus(layers, sets=["band"], keys=R, nodes=_nodes(s, d)), 5)
+
+
+def _known(c: str):
+    """NaN as null, which both engines compare alike."""
+    return F.when(~F.isnan(c), F.col(c))
 
 
 @query
 def minmax_metrics(s, d):
-    return r6(L.minmax_metrics(X.metric_tensor(s, d), ["subject", "metric"]).drop("y"))
+    return r6(L.minmax_metrics(X.metric_tensor(s, d), ["subject", "metric"]).drop("y").withColumn("value", _known("value")))
 
 
 @query
 def time_bins(s, d):
-    return r6(L.time_bins(X.metric_tensor(s, d).drop("y"), 3, ["subject"]))
+    return r6(L.time_bins(L.minmax_metrics(X.metric_tensor(s, d), ["subject", "metric"]).drop("y"), 3, ["subject"]))
 
 
 def _features(s, d):
@@ -411,12 +440,117 @@ def union_missing_columns(s, d):
     return r6(a.where("run = 'en'").select("subject", "channel", "score").unionByName(a.where("run <> 'en'").select("subject", "channel", "run"), allowMissingColumns=True))
 
 
-@recording
-def gnn_attention_score(s, d, n=X.CHANNELS):
-    return r6(G.attention_score(X.dense_wide(s, d, n)), 5)
+@query
+def gnn_attention_score(s, d):
+    return r6(G.attention_score(X.dense_wide(s, d), run=R), 5)
+
+
+@query
+def filtered_signals(s, d):
+    w = S.resample(S.butterworth(S.bandpass(S.notch(X.dense_wide(s, d), 512.0), 512.0), 512.0, 80.0, 200.0), 512.0, 500.0)
+    return r6(X.long_form(w).select(*R, "channel", "sample", "value"), 5)
+
+
+@query
+def signal_round_trip(s, d):
+    """Recordings written by subject and run, and read again."""
+    path = shared_path(s, "signals")
+    sinks.signals(X.dense_wide(s, d), path)
+    x = X.long_form(s.read.parquet(path))
+    return r6(x.groupBy(F.col("subject").cast("long").alias("subject"), F.col("run").cast("long").alias("run"), "channel").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("y").alias("y")))
+
+
+@query
+def csv_round_trip(s, d):
+    path = shared_path(s, "scores")
+    sinks.report(X.scores(s, d), path)
+    return r6(s.read.schema("subject string, run string, channel long, y int, score double").option("header", "true").csv(path))
+
+
+@query
+def log_round_trip(s, d):
+    path = shared_path(s, "log")
+    sinks.log(L.confusion(X.scores(s, d), 2.5, ["subject"]), path)
+    return r6(s.read.schema("subject string, tp long, fp long, fn long, tn long, acc double, sen double, spec double").json(path))
+
+
+@query
+def label_lists(s, d):
+    """The onset-zone and resected channels of each subject, through the labels' sink."""
+    path = shared_path(s, "labels")
+    sinks.labels(C.labels(X.channels(s, d)), path)
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
+    return s.read.parquet(path).select("subject", *[text(c) for c in ("soz_channels", "soz_names", "resected_channels", "resected_names")])
+
+
+@query
+def wide_features(s, d):
+    x = _features(s, d).select("subject", "channel", F.posexplode(F.slice("features", 1, 4)).alias("k", "value"))
+    return r6(sinks.wide_features(x.select("subject", "channel", F.concat(F.lit("f_"), "k").alias("feature"), "value"), [f"f_{k}" for k in range(4)]))
+
+
+@query
+def path_parts(s, d):
+    """Subject, run and run number from paths of recordings."""
+    p = X._read(s, d, "part").select("p_partkey", "p_size")
+    path = F.concat(F.lit("/data/"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("HUP"), F.col("p_partkey"), F.lit("_Run_"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("sub-"), F.col("p_partkey"), F.lit("_task-x_run-"))).otherwise(F.concat(F.lit("rec"), F.col("p_partkey"), F.lit("_run"))), F.col("p_size"), F.lit(".edf"))
+    return p.select("p_partkey", readers.subject_of(path).alias("subject"), readers.run_of(path).alias("run"), readers.run_index(path).alias("number"))
+
+
+@query
+def acquisitions(s, d):
+    p = X._read(s, d, "part")
+    path = F.concat(F.lit("/data/acq-"), F.when(F.col("p_size") % 2 == 0, "SEEG").otherwise("ecog"), F.lit("_run.edf"))
+    return p.groupBy(C.acquisition(path).alias("acquisition")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@recording
-def filtered_signals(s, d, n=X.CHANNELS):
-    w = S.resample(S.butterworth(S.bandpass(S.notch(X.dense_wide(s, d, n), 512.0), 512.0), 512.0, 80.0, 200.0), 512.0, 500.0)
-    return r6(X.long_form(w).select("subject", "channel", "sample", "value"), 5)
+@query
+def fast_enough(s, d):
+    """Recordings of subjects whose first run has 500 samples a second."""
+    rec = X._read(s, d, "part").select(F.col("p_brand").alias("subject"), F.col("p_partkey").cast("long").alias("run"), F.when(F.col("p_size") % 2 == 0, 512.0).otherwise(256.0).alias("sfreq"))
+    return C.fast_enough(rec)
+
+
+@query
+def attached_labels(s, d):
+    """Listed channels are labelled, and listed ones that do not exist are ignored."""
+    x = X.scores(s, d).select("subject", (F.col("channel") % 7).alias("channel")).distinct()
+    listed = X.scores(s, d).where("y = 1").select("subject", (F.col("channel") % 9).alias("channel"))
+    return C.attach_labels(x, listed)
+
+
+@query
+def standardised_features(s, d):
+    """Subject 0's features by the other subjects' means and deviations."""
+    x = _features(s, d)
+    out = L.standardise(x.where("subject <> 0"), x.where("subject = 0"), 12)[1]
+    return r6(out.select("channel", F.posexplode("features").alias("k", "value")).withColumn("k", F.col("k").cast("long")))
+
+
+@query
+def balanced_rows(s, d):
+    """All rows as one training set: as many of each class, by hash order without one big sort."""
+    return r6(L.balance_rows(X.scores(s, d), "undersample", 42))
+
+
+@query
+def top_modes(s, d):
+    return r6(L.top_modes(L.minmax_metrics(X.metric_tensor(s, d), ["subject", "metric"]).drop("y"), 1).withColumn("value", _known("value")))
+
+
+@query
+def run_scores(s, d):
+    """Scores joined to the runs' channels; those without a score have 0."""
+    x = X.scores(s, d)
+    return r6(L.scores_of_runs(x.select("subject", "run", "channel", "y"), x.where("score >= 1").select("subject", "run", "channel", "score")))
+
+
+@query
+def ranking_metrics(s, d):
+    """The unsupervised evaluation: a score column judged as it is."""
+    return r6(L.ranking_metrics(X.scores(s, d)))
+
+
+@query
+def run_metrics(s, d):
+    return r6(L.with_auc(X.scores(s, d), 2.5, ["subject", "run"]))

@@ -10,17 +10,18 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-#: F1 has the first channels of each label.
+#: Channels of a recording of F1, at most; a label's vectors are dealt into as many runs as that takes.
 CHANNELS = 8
+#: What tells recordings apart.
+RUN = ["subject", "run"]
 
 
-def dense_wide(spark: SparkSession, d: str, channels: int | None = CHANNELS) -> DataFrame:
-    """subject, channel, samples (64 doubles), y; the first channels of each label, or all of them with None."""
-    rn = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    e = _read(spark, d, "embeddings").select("label", "vec_id", "embedding", rn.alias("rn"))
-    if channels:
-        e = e.where(F.col("rn") <= channels)
-    return e.select(F.col("label").cast("long").alias("subject"), (F.col("rn") - 1).cast("long").alias("channel"), F.col("embedding").cast("array<double>").alias("samples"), (F.col("vec_id") % 4 == 0).cast("int").alias("y"))
+def dense_wide(spark: SparkSession, d: str) -> DataFrame:
+    """subject, run, channel, samples (64 doubles), y: every vector of a label is a channel of one of its runs."""
+    by = Window.partitionBy("label")
+    rn, runs = F.row_number().over(by.orderBy("vec_id")) - 1, F.ceil(F.count(F.lit(1)).over(by) / CHANNELS)
+    e = _read(spark, d, "embeddings").select("label", "vec_id", "embedding", rn.alias("rn"), runs.alias("runs"))
+    return e.select(F.col("label").cast("long").alias("subject"), (F.col("rn") % F.col("runs")).cast("long").alias("run"), F.floor(F.col("rn") / F.col("runs")).cast("long").alias("channel"), F.col("embedding").cast("array<double>").alias("samples"), (F.col("vec_id") % 4 == 0).cast("int").alias("y"))
 
 
 def long_form(wide: DataFrame) -> DataFrame:
@@ -28,8 +29,8 @@ def long_form(wide: DataFrame) -> DataFrame:
     return wide.select(*keep, F.posexplode("samples").alias("sample", "value")).withColumn("sample", F.col("sample").cast("long"))
 
 
-def dense(spark: SparkSession, d: str, channels: int | None = CHANNELS) -> DataFrame:
-    return long_form(dense_wide(spark, d, channels))
+def dense(spark: SparkSession, d: str) -> DataFrame:
+    return long_form(dense_wide(spark, d))
 
 
 def bursts(spark: SparkSession, d: str) -> DataFrame:
@@ -55,10 +56,18 @@ def trade_graph(spark: SparkSession, d: str) -> DataFrame:
     return j.where("s_nationkey <> c_nationkey").groupBy(F.col("s_nationkey").cast("long").alias("u"), F.col("c_nationkey").cast("long").alias("v")).agg((F.sum("l_extendedprice") / 1e6).alias("w"))
 
 
+def nations(spark: SparkSession, d: str) -> DataFrame:
+    """The trade graph's nodes, with and without edges."""
+    return _read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("channel"))
+
+
 def metric_tensor(spark: SparkSession, d: str) -> DataFrame:
-    """subject, channel, op_window, mode, metric, value, y."""
-    p = F.col("sample")
-    return long_form(dense_wide(spark, d, None)).select("subject", "channel", F.floor(p / 4).cast("long").alias("op_window"), F.floor(p % 4 / 2).cast("long").alias("mode"), (p % 2).cast("long").alias("metric"), "value", "y")
+    """subject, channel, op_window, mode, metric, value, y; some values are NaN or infinite, and one metric of a subject is constant."""
+    rn = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    e = _read(spark, d, "embeddings").select(F.col("label").cast("long").alias("subject"), (rn - 1).cast("long").alias("channel"), F.col("embedding").cast("array<double>").alias("samples"), (F.col("vec_id") % 4 == 0).cast("int").alias("y"), "vec_id")
+    p, odd = F.col("sample"), (F.col("vec_id") * 64 + F.col("sample")) % 997
+    value = F.when(odd == 0, float("nan")).when(odd == 1, float("inf")).when(odd == 2, float("-inf")).when((F.col("subject") == 9) & (p % 2 == 1), 0.25).otherwise(F.col("value"))
+    return long_form(e).select("subject", "channel", F.floor(p / 4).cast("long").alias("op_window"), F.floor(p % 4 / 2).cast("long").alias("mode"), (p % 2).cast("long").alias("metric"), value.alias("value"), "y")
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:

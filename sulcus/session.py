@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -37,3 +39,13 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(name)
     sc._sulcus_shipped = True
     return spark
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); one machine may do with a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="sulcus-")
+    return f"{root.rstrip('/')}/sulcus/{label}-{uuid.uuid4().hex}"

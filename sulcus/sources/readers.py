@@ -6,10 +6,10 @@ import io
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Names under which a run file may hold each field, in order of preference.
+#: Names under which a run file may hold each field, in order of preference.
 ALIASES = {
     "data": ("data", "X", "x", "signals", "ieeg", "eeg"),
     "sfreq": ("sfreq", "fs", "sampling_rate", "sample_rate"),
@@ -23,22 +23,41 @@ ALIASES = {
 SIGNAL = "path string, subject string, run string, channel long, name string, sfreq double, samples array<double>, y int, status string"
 
 
+def _stem(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+
+
 def subject_of(path: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(path, r"(?i)sub-([A-Za-z0-9]+)", 1), F.lit("")), F.nullif(F.regexp_extract(path, r"(?i)([A-Z]+\d+)[^/]*/", 1), F.lit("")))
+    """By the file's name, or else by its folders; a name that says nothing gives its part before the first '_'."""
+    said = r"(?i)(HUP\d+|sub-[A-Za-z0-9]+|pt\d+|patient\d+)"
+    found = [F.nullif(F.regexp_extract(x, said, 1), F.lit("")) for x in (_stem(path), path)]
+    return F.coalesce(*found, F.substring_index(_stem(path), "_", 1))
 
 
 def run_of(path: Column) -> Column:
-    return F.replace(F.nullif(F.regexp_extract(path, r"(?i)((?:run|seizure|sz)[-_]?\d+)", 1), F.lit("")), F.lit("_"), F.lit("-"))
+    said = F.nullif(F.regexp_extract(_stem(path), r"(?i)(run[-_]?\d+|sz[-_]?\d+|seizure[-_]?\d+)", 1), F.lit(""))
+    return F.coalesce(F.replace(said, F.lit("_"), F.lit("-")), F.lit("run-unknown"))
 
 
 def run_index(path: Column) -> Column:
     return F.try_to_number(F.regexp_extract(path, r"run(\d+)", 1), F.lit("999999")).cast("int")
 
 
-def scan(spark: SparkSession, root: str, pattern: str = "*.edf", containing: str = "") -> DataFrame:
-    """Files below root: path, subject, run, length.  Contents are not read."""
+def scan(spark: SparkSession, root: str, pattern: str = "*.edf", containing: str = "", first_run: bool = False) -> DataFrame:
+    """Files below root: path, subject, run, length; with first_run the first run of each subject only.  Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "length")
-    return files.where(F.contains("path", F.lit(containing))).select("path", subject_of(F.col("path")).alias("subject"), run_of(F.col("path")).alias("run"), "length")
+    files = files.where(F.contains("path", F.lit(containing))).select("path", subject_of(F.col("path")).alias("subject"), run_of(F.col("path")).alias("run"), "length")
+    if not first_run:
+        return files
+    place = F.row_number().over(Window.partitionBy("subject").orderBy("run", "path"))
+    return files.withColumn("_r", place).where("_r = 1").drop("_r")
+
+
+def subjects(files: DataFrame, labels: DataFrame, requested: list[str] | None = None) -> DataFrame:
+    """The subjects to evaluate, in order: those asked for, or else those of the files that have labels."""
+    if requested:
+        return files.sparkSession.createDataFrame([(x,) for x in sorted({r.removeprefix("subject_") for r in requested})], "subject string")
+    return files.select("subject").distinct().join(labels.select("subject").distinct(), "subject", "left_semi").orderBy("subject")
 
 
 def tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -56,9 +75,10 @@ def participants(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_run(raw: bytes, default_sfreq: float | None = None) -> dict:
-    """One run file (npz): fields by their aliases; channels are rows; labels from a mask or from in-range indices.  Pickles are refused."""
-    with np.load(io.BytesIO(raw), allow_pickle=False) as z:
-        some = {k: next((z[a] for a in names if a in z.files), None) for k, names in ALIASES.items()}
+    """One run file (npz, or npy that is the signal): fields by their aliases; channels are rows; labels from a mask or from in-range indices.  Pickles are refused."""
+    z = np.load(io.BytesIO(raw), allow_pickle=False)
+    z = {"data": z} if isinstance(z, np.ndarray) else dict(z)
+    some = {k: next((z[a] for a in names if a in z), None) for k, names in ALIASES.items()}
     x = some["data"]
     if x is None:
         raise ValueError("no signal in the file")
@@ -83,7 +103,7 @@ def decode_run(raw: bytes, default_sfreq: float | None = None) -> dict:
     return {"x": x, "y": y, "names": names, "sfreq": float(fs), **text}
 
 
-def runs(spark: SparkSession, root: str, pattern: str = "*.npz", sfreq: float | None = None) -> DataFrame:
+def runs(spark: SparkSession, root: str, pattern: str = "*.np[yz]", sfreq: float | None = None) -> DataFrame:
     """One row per channel of every run file; a file that can't be read is one row whose status says why."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     files = files.select("path", subject_of(F.col("path")).alias("subject"), run_of(F.col("path")).alias("run"), "content")
@@ -101,6 +121,16 @@ def runs(spark: SparkSession, root: str, pattern: str = "*.npz", sfreq: float |
     return files.mapInPandas(decode, SIGNAL)
 
 
+def dataset(spark: SparkSession, root: str, pattern: str = "*.np[yz]", sfreq: float | None = None) -> DataFrame:
+    """The readable channels of all run files; an error if no file could be read."""
+    every = runs(spark, root, pattern, sfreq)
+    good = every.where("status = 'ok'").drop("status")
+    if good.isEmpty():
+        why = [f"{r['path']}: {r['status']}" for r in every.select("path", "status").limit(5).collect()]
+        raise ValueError(f"no readable run below {root}; {'; '.join(why) or 'no file'}")
+    return good
+
+
 def decode_edf(raw: bytes) -> dict:
     """An EDF file: names, rates and physical samples of its channels (annotation channels are left out)."""
     text = lambda a, n: raw[a : a + n].decode("latin-1").strip()
@@ -122,14 +152,21 @@ def decode_edf(raw: bytes) -> dict:
 
 
 def edf(spark: SparkSession, root: str, containing: str = "task-ictal") -> DataFrame:
-    """One row per channel of every EDF file: path, subject, run, channel, name, sfreq, samples."""
+    """One row per channel of every EDF file; a file that can't be read is one row whose status says why.
+
+    A file is one value while it is decoded, so files must fit in a task's memory, as recordings do.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.edf").load(root)
     files = files.where(F.contains("path", F.lit(containing))).select("path", subject_of(F.col("path")).alias("subject"), run_of(F.col("path")).alias("run"), "content")
+    columns = ["path", "subject", "run", "channel", "name", "sfreq", "samples", "status"]
 
     def decode(batches):
         for b in batches:
             for r in b.itertuples(index=False):
-                d = decode_edf(bytes(r.content))
-                yield pd.DataFrame({"path": r.path, "subject": r.subject, "run": r.run, "channel": range(len(d["names"])), "name": d["names"], "sfreq": d["sfreq"], "samples": d["samples"]})
+                try:
+                    d = decode_edf(bytes(r.content))
+                    yield pd.DataFrame({"path": r.path, "subject": r.subject, "run": r.run, "channel": range(len(d["names"])), "name": d["names"], "sfreq": d["sfreq"], "samples": d["samples"], "status": "ok"})[columns]
+                except (ValueError, IndexError, ZeroDivisionError) as e:
+                    yield pd.DataFrame([[r.path, r.subject, r.run, None, None, None, None, str(e)]], columns=columns)
 
-    return files.mapInPandas(decode, "path string, subject string, run string, channel long, name string, sfreq double, samples array<double>")
+    return files.mapInPandas(decode, "path string, subject string, run string, channel long, name string, sfreq double, samples array<double>, status string")

@@ -11,8 +11,16 @@ def signals(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("subject", "run").parquet(path)
 
 
+def labels(df: DataFrame, path: str) -> None:
+    """Onset-zone and resected channels of subjects, as lists of indices and of names.  df: subject, channel, name, soz, resected."""
+    ordered = lambda flag, c: F.transform(F.array_sort(F.collect_list(F.when(F.col(flag) == 1, F.struct("channel", "name")))), lambda x: x[c])
+    lists = [ordered(flag, c).alias(f"{flag}_{c}s") for flag in ("soz", "resected") for c in ("channel", "name")]
+    df.groupBy("subject").agg(*lists).write.mode("overwrite").parquet(path)
+
+
 def metrics(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("subject").parquet(path)
+    """Partitioned by subject, and by run where there are runs."""
+    df.write.mode("overwrite").partitionBy(*[c for c in ("subject", "run") if c in df.columns]).parquet(path)
 
 
 def log(df: DataFrame, path: str) -> None:
@@ -23,11 +31,19 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def report(df: DataFrame, path: str) -> None:
-    """A small table as one CSV file with a header, also when it has no rows."""
+def report(df: DataFrame, path: str, mark: bool = False) -> None:
+    """A small table as one CSV file with a header, also when it has no rows; with a byte order mark for spreadsheets if asked for."""
+    if mark and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def workbook(tables: dict[str, DataFrame], path: str) -> None:
+    """Several small tables below one folder, one CSV each, by names that spreadsheets can take (31 characters)."""
+    for name, df in tables.items():
+        report(df, f"{path}/{name[:31]}", True)
+
+
 def features_by_run(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("subject", "run").option("header", "true").csv(path)
 

@@ -146,7 +146,76 @@ def test_consensus_votes_by_case():
 
 
 def test_network_forward():
-    rng = np.random.default_rng(0)
-    assert K.gated_convolutions(RNG.normal(size=(4, 16)), rng).shape == (4, 10)
-    att = K.graph_attention(RNG.normal(size=(5, 4, 10)), rng)
-    assert np.allclose(att.sum(1), 1)
+    """The encoder and one step of the graph network by loops over their definitions."""
+    w = K.network_weights(3)
+    x = RNG.normal(size=(2, 16))
+    got = K.gated_convolutions(x, w)
+    assert got.shape == (2, 10)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    at = lambda h, c, t: h[c, t] if 0 <= t < h.shape[1] else 0.0
+    for r in range(2):
+        h = np.array([[max(0.0, sum(w["in"][f, k] * at(x, r, t + k - 2) for k in range(5))) for t in range(16)] for f in range(12)])
+        for level in range(3):
+            new = np.empty_like(h)
+            for f in range(12):
+                for t in range(16):
+                    a, b = (sum(w[n + str(level)][f, c, j] * at(h, c, t - (2 - j) * 2**level) for c in range(12) for j in range(3)) for n in ("filter", "gate"))
+                    new[f, t] = max(0.0, h[f, t] + np.tanh(a) * sig(b))
+            h = new
+        h = np.maximum(w["out"] @ h, 0)
+        z = np.exp(w["time"] @ np.tanh(h))
+        assert np.allclose(got[r], w["attributes"] @ (h @ (z / z.sum())))
+    att, logits = K.graph_attention(RNG.normal(size=(5, 4, 10)), w)
+    assert att.shape == (5, 4) and np.allclose(att.sum(1), 1) and logits.shape == (2,)
+    other = K.network_weights(4)
+    assert not np.allclose(K.gated_convolutions(x, other), got)
+
+
+def test_betweenness_by_enumeration():
+    for _ in range(10):
+        w = np.where(RNG.random((6, 6)) < 0.4, RNG.integers(1, 3, (6, 6)), 0).astype(float)
+        np.fill_diagonal(w, 0)
+        want = np.zeros(6)
+        for s in range(6):
+            for t in range(6):
+                if s == t:
+                    continue
+                paths = [[s]]
+                done = []
+                while paths:
+                    p = paths.pop()
+                    if p[-1] == t:
+                        done.append((sum(1 / (w[a, b] + 1e-12) for a, b in zip(p, p[1:])), p))
+                        continue
+                    paths += [[*p, v] for v in range(6) if w[p[-1], v] > 0 and v not in p]
+                if done:
+                    best = min(d for d, _ in done)
+                    short = [p for d, p in done if d <= best + 1e-9]
+                    for v in range(6):
+                        want[v] += sum(v in p[1:-1] for p in short) / len(short)
+        assert np.allclose(K.betweenness(w), want / 20)
+
+
+def test_largest_pairs_are_those_of_the_whole_matrix(monkeypatch):
+    layers = np.abs(RNG.normal(size=(30, 8, 8))) * (RNG.random((30, 8, 8)) < 0.3)
+    layers = layers + layers.transpose(0, 2, 1)
+    layers[5] = layers[6] = 0
+    for most in (None, 3):
+        want = K.multilayer_centrality(layers, 2.0, most)
+        monkeypatch.setattr(K, "MOST_DENSE", 10)
+        assert np.allclose(K.multilayer_centrality(layers, 2.0, most), want, atol=1e-5)
+        monkeypatch.undo()
+    values, vectors = K.largest_pairs(lambda v: 2.0 * v, 50, 4)  # every vector is one
+    assert np.allclose(values, 2) and np.allclose(vectors.T @ vectors, np.eye(4))
+
+
+def test_ridge_is_fixed():
+    x = RNG.normal(size=(3, 40))
+    a, b = x[:, :-1], x[:, 1:]
+    want = b @ a.T @ np.linalg.inv(a @ a.T + 1e-4 * np.eye(3))
+    assert np.allclose(K.ridge_transition(x), want)
+    grown = np.cumprod(np.full((1, 30), 1.5), axis=1)
+    assert np.abs(np.linalg.eigvals(K.ridge_transition(grown))).max() == pytest.approx(0.99)
+    with pytest.raises(ValueError):
+        K.ridge_transition(x, -1.0)
+    assert np.isfinite(K.ridge_transition(np.zeros((2, 10)), 0.0)).all()

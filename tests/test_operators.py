@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sulcus.functions import kernels as K
 from sulcus.operators import channels as C
 from sulcus.operators import connectivity as N
 from sulcus.operators import evaluation as L
@@ -38,7 +39,7 @@ def test_against_sql(spark, sf, duck, name):
     assert plain(QUERIES[name](spark, sf).toPandas()) == plain(duck.sql(ORACLE[name]).df())
 
 
-@pytest.mark.parametrize("name", ["evolution_node_metrics", "fragility_heatmap", "mlevc_quantised", "mlevc_consensus", "gnn_attention_score", "ccm_centralities", "ten_centralities", "filtered_signals"])
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"loso_random_forest", "loso_logreg", "feature_importance"}))
 def test_the_rest_runs(spark, sf, name):
     rows = QUERIES[name](spark, sf).toPandas()
     assert len(rows) and not rows.isna().any().any()
@@ -46,30 +47,39 @@ def test_the_rest_runs(spark, sf, name):
 
 @pytest.fixture(scope="module")
 def twelve(spark, tmp_path_factory):
-    """Two labels of twelve channels each."""
+    """Two labels of twelve channels each, which are two runs of six."""
     d, rng = str(tmp_path_factory.mktemp("twelve")), np.random.default_rng(3)
     spark.createDataFrame([(k, k % 2, rng.normal(size=64).tolist()) for k in range(24)], "vec_id long, label int, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
-def test_whole_edges_by_brute_force(spark, twelve):
+def test_edges_by_brute_force(spark, twelve):
+    """Every vector is a channel of one run, and a run's graph has its own channels only."""
     want = {}
-    for r in spark.read.parquet(f"{twelve}/embeddings.parquet").collect():
-        want.setdefault(r.label, []).append((r.vec_id, r.embedding))
-    want = {s: np.array([x for _, x in sorted(v)]) for s, v in want.items()}
-    got = QUERIES["fc_sliding_edges_whole"](spark, twelve).collect()
-    assert len(got) == 2 * 7 * 66
-    assert all(abs(r.w - np.corrcoef(want[r.subject][[r.i, r.j], 8 * r.window : 8 * r.window + 16])[0, 1]) < 2e-6 for r in got)
+    for r in sorted(spark.read.parquet(f"{twelve}/embeddings.parquet").collect()):
+        want.setdefault(r.label, []).append(r.embedding)
+    want = {(s, k): np.array(v[k::2]) for s, v in want.items() for k in range(2)}
+    for name in ("fc_sliding_edges", "fc_sliding_edges_kernel"):
+        got = QUERIES[name](spark, twelve).collect()
+        assert len(got) == 2 * 2 * 7 * 15
+        assert all(abs(r.w - np.corrcoef(want[r.subject, r.run][[r.i, r.j], 8 * r.window : 8 * r.window + 16])[0, 1]) < 2e-6 for r in got)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.endswith("_whole")))
-def test_whole_queries_read_every_channel(spark, twelve, name):
+RECORDINGS = "fc_sliding_edges fc_sliding_edges_exclusive fc_edge_vectors fc_node_strength fc_degree_std average_reference percentile_scale robust_zscore linspace_decimate band_power onset_crop hilbert_envelope envelope_corr_layers lagged_coherence preictal_mapped supra_adjacency evolution_operator_svd evolution_node_metrics evolution_success_rate fragility_heatmap mlevc mlevc_quantised mlevc_consensus gnn_attention_score filtered_signals".split()
+
+
+@pytest.mark.parametrize("name", RECORDINGS)
+def test_runs_stay_apart(spark, twelve, name):
+    """A run's rows are the same whether or not the subject has another run, and every channel of it is read."""
+    e = spark.read.parquet(f"{twelve}/embeddings.parquet")
     rows = QUERIES[name](spark, twelve).toPandas()
-    assert len(rows) and not rows.isna().any().any()
-    seen = {int(c) for k in ("channel", "i", "j", "node_a", "node_b") if k in rows for c in rows[k]}
-    assert seen == set(range(12)) or not seen and name in ("fc_edge_vectors_whole", "evolution_operator_svd_whole", "evolution_success_rate_whole")
-    if name == "fc_edge_vectors_whole":
-        assert set(rows.n_edges) == {66}
+    assert len(rows) and not rows.isna().any().any() and set(zip(rows.subject, rows.run)) == {(s, r) for s in range(2) for r in range(2)}
+    if "channel" in rows:
+        assert {*zip(rows.subject, rows.run, rows.channel)} == {(s, r, c) for s in range(2) for r in range(2) for c in range(6)}
+    alone = f"{twelve}/{name}"
+    e.where("label = 0 and cast((vec_id / 2) as int) % 2 = 0").write.parquet(f"{alone}/embeddings.parquet")
+    own = QUERIES[name](spark, alone).toPandas()
+    assert plain(own) == plain(rows[(rows.subject == 0) & (rows["run"] == 0)])
 
 
 @pytest.mark.parametrize("parts", ["1", "17"])
@@ -83,15 +93,40 @@ def test_partitions_do_not_matter(spark, sf, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_consensus_joins_bands(spark, twelve):
-    layers = N.coherence_layers(X.dense_wide(spark, twelve, None), 512.0, 16, 8, 32 / 512.0)
+def test_consensus_joins_runs_and_bands(spark, twelve):
+    wide = X.dense_wide(spark, twelve)
+    layers = N.coherence_layers(wide, 512.0, 16, 8, 32 / 512.0, run=X.RUN)
     assert {r.band for r in layers.select("band").distinct().collect()} == {"80-140", "140-200"}
-    assert layers.count() == 2 * 2 * 7 * 66 and layers.where("w < 0 or w > 1").count() == 0
-    rows = G.consensus(layers, (1, 5), sets=["band"]).toPandas()
-    one = G.consensus(layers.where("band = '80-140'"), (1, 5), sets=["band"]).toPandas()
-    assert len(rows) == 24 and rows.score.between(0, 1).all() and plain(rows) != plain(one)
+    assert layers.count() == 2 * 4 * 7 * 15 and layers.where("w < 0 or w > 1").count() == 0
+    rows = G.consensus(layers, (1, 5), sets=["run", "band"]).toPandas()
+    one = G.consensus(layers.where("band = '80-140'"), (1, 5), sets=["run"]).toPandas()
+    assert len(rows) == 12 and rows.score.between(0, 1).all() and plain(rows) != plain(one)
     with pytest.raises(Exception, match="same channels"):
-        G.consensus(layers.where("band = '80-140' or j < 11"), (1,), sets=["band"]).count()
+        G.consensus(layers.where("run = 0 or j < 5"), (1,), sets=["run", "band"]).count()
+
+
+def test_nodes_without_edges(spark):
+    """A node without edges has a row of zeros, and counts where the number of nodes does."""
+    e = spark.createDataFrame([("a", 0, 1, 2.0), ("a", 1, 2, 1.0)], "subject string, i long, j long, w double")
+    nodes = spark.createDataFrame([("a", c) for c in range(5)], "subject string, channel long")
+    assert {r.channel: r.strength for r in N.node_strength(e, ["subject"], nodes).collect()} == {0: 2.0, 1: 3.0, 2: 1.0, 3: 0.0, 4: 0.0}
+    w = np.array([[0, 2, 0, 0, 0], [2, 0, 1, 0, 0], [0, 1, 0, 0, 0], [0] * 5, [0] * 5], dtype=float)
+    assert {r.channel: round(r.degree_std, 9) for r in N.degree_std(e, ["subject"], nodes).collect()} == {c: round(w[c].std(), 9) for c in range(5)}
+    assert {r.channel: round(r.degree_std, 9) for r in N.degree_std(e, ["subject"]).collect()} == {c: round(w[:3, :3][c].std(), 9) for c in range(3)}
+    for metric, f in (("in_closeness", K.closeness), ("pagerank", K.pagerank), ("betweenness", K.betweenness)):
+        got = G.centralities(e, ["subject"], nodes=nodes, wanted=(metric,)).collect()
+        assert [r.value for r in sorted(got, key=lambda r: r.channel)] == pytest.approx(f(np.triu(w)).tolist())
+    rate = G.success_rate(G.node_metrics(e, ["subject"], nodes), ["subject"], spark.createDataFrame([("a",), ("b",)], "subject string"))
+    assert {r.subject: r.success_rate for r in rate.collect()} == {"a": 1.0, "b": 0.0}
+    assert {r.subject: (r.n_runs, r.mean_success_rate) for r in G.mean_success(rate).collect()} == {"a": (1, 1.0), "b": (1, 0.0)}
+
+
+def test_nan_stays_and_is_left_out(spark):
+    rows = [("a", 0, float("nan")), ("a", 1, 1.0), ("a", 2, 3.0), ("a", 3, float("inf")), ("a", 4, float("-inf")), ("b", 0, float("nan")), ("c", 0, 2.0), ("c", 1, float("nan"))]
+    x = L.minmax_metrics(spark.createDataFrame(rows, "subject string, op_window long, value double"), ["subject"])
+    got = {(r.subject, r.op_window): r.value for r in x.collect()}
+    assert np.isnan(got.pop(("a", 0))) and got == {("a", 1): 0.0, ("a", 2): 1.0, ("a", 3): 1.0, ("a", 4): 0.0, ("b", 0): 0.0, ("c", 0): 0.5, ("c", 1): 0.5}
+    assert {(r.subject, r.bin): r.value for r in L.time_bins(x, 5, ["subject"]).where("subject = 'a'").collect()}[("a", 0)] == 0.0
 
 
 def test_bursts_keep_every_event(spark, tmp_path):
