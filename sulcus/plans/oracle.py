@@ -6,8 +6,8 @@ from __future__ import annotations
 RUNS = 1_000_000
 F1 = f"""f1 AS (SELECT CAST(CAST(label AS BIGINT) * {RUNS} + rn % runs AS BIGINT) AS subject, CAST(rn // runs AS BIGINT) AS channel, y, CAST(unnest(range(0, 64)) AS BIGINT) AS sample, CAST(unnest(embedding) AS DOUBLE) AS value
  FROM (SELECT label, embedding, CAST(vec_id % 4 = 0 AS INT) AS y, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn, CAST(ceil(count(*) OVER (PARTITION BY label) / 8) AS BIGINT) AS runs FROM embeddings))"""
-F2 = """f2a AS (SELECT event_type AS subject, CAST(user_id % 8 AS BIGINT) AS channel, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 14400) AS BIGINT) AS at, sum(value) AS v FROM events GROUP BY 1, 2, 3),
- f2e AS (SELECT min(at) AS lo, max(at) AS hi FROM f2a), f2v AS (SELECT subject, channel, at - lo AS sample, v FROM f2a, f2e),
+F2 = """f2a AS (SELECT event_type AS subject, CAST(user_id % 8 AS BIGINT) AS channel, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 14400) AS BIGINT) AS bin, sum(value) AS v FROM events GROUP BY 1, 2, 3),
+ f2e AS (SELECT min(bin) AS lo, max(bin) AS hi FROM f2a), f2v AS (SELECT subject, channel, bin - lo AS sample, v FROM f2a, f2e),
  f2 AS (SELECT g.subject, g.channel, g.sample, coalesce(v, 0.0::DOUBLE) AS value FROM (SELECT subject, channel, CAST(unnest(range(0, hi - lo + 1)) AS BIGINT) AS sample FROM (SELECT DISTINCT subject, channel FROM f2v), f2e) g LEFT JOIN f2v USING (subject, channel, sample))"""
 F3 = """f3 AS (SELECT CAST(s_nationkey AS BIGINT) AS u, CAST(c_nationkey AS BIGINT) AS v, sum(l_extendedprice) / 1e6 AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey
  WHERE s_nationkey <> c_nationkey GROUP BY 1, 2)"""
