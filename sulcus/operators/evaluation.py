@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -181,11 +183,11 @@ def balance_rows(x: DataFrame, how: str, seed: int) -> DataFrame:
     return x.where(F.col("y") == few).unionByName(first_by_hash(x.where(F.col("y") == many), n[few], seed, ids))
 
 
-def loso(x: DataFrame, model: str = "forest", trees: int = 300, depth: int = 20, seed: int = 42, balance: str = "undersample", leaf: int = 2) -> dict[str, DataFrame]:
+def loso(x: DataFrame, model: str = "forest", trees: int = 300, depth: int = 20, seed: int = 42, balance: str = "undersample", leaf: int = 2, parallel: int = 4) -> dict[str, DataFrame]:
     """Leave one subject out.  x: subject, (run,) channel, features (array), y.  Gives predictions, importances, folds and skipped folds.
 
-    balance: see balance_rows; classes left unequal weigh the same.  The driver loops over subjects, of which there are tens; the rows
-    stay distributed.  With a checkpoint folder, predictions are kept there, and the trees of a fold can go.
+    balance: see balance_rows; classes left unequal weigh the same.  The driver loops over subjects, of which there are tens, and fits
+    `parallel` of them at a time; the rows stay distributed.  With a checkpoint folder, predictions are kept there, and the trees of a fold can go.
     """
     spark = x.sparkSession
     keys = [c for c in ("subject", "run", "channel") if c in x.columns]
@@ -193,29 +195,34 @@ def loso(x: DataFrame, model: str = "forest", trees: int = 300, depth: int = 20,
     x = x.withColumn("y", F.col("y").cast("double")).persist()
     first = x.first()
     n = len(first["features"]) if first else 0
-    preds, imps, folds, skipped = [], [], [], []
-    for s in sorted(r["subject"] for r in x.select("subject").distinct().collect()):
+    if model not in ("forest", "logistic"):
+        raise ValueError(f"no model called {model!r}")
+
+    def fold(s) -> tuple:
+        """Predictions, importances, row of folds and row of skipped folds."""
         raw, test = x.where(F.col("subject") != s), x.where(F.col("subject") == s)
         before = {r["y"]: r["count"] for r in raw.groupBy("y").count().collect()}
         if len(before) < 2:
-            skipped.append((s, "training data has only one class"))
-            continue
+            return [], [], [], [(s, "training data has only one class")]
         balanced = balance_rows(raw, balance, seed).persist()
         count = {r["y"]: r["count"] for r in balanced.groupBy("y").count().collect()}
         train, test = (d.withColumn("v", array_to_vector("features")) for d in standardise(balanced, test, n))
         rows = sum(count.values())
-        folds.append((s, sum(before.values()), before[1.0], rows, count[1.0]))
         train = train.withColumn("weight", F.when(F.col("y") == 1, rows / 2 / count[1.0]).otherwise(rows / 2 / count[0.0]))
+        imps = []
         if model == "forest":
-            m = RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed).fit(train)
-            imps.append([(s, k, float(v)) for k, v in enumerate(m.featureImportances.toArray())])
-        elif model == "logistic":
-            m = LogisticRegression(featuresCol="v", labelCol="y", weightCol="weight", regParam=1.0 / rows, standardization=False, maxIter=2000).fit(train)
+            m = RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", cacheNodeIds=True, seed=seed).fit(train)
+            imps = [(s, k, float(v)) for k, v in enumerate(m.featureImportances.toArray())]
         else:
-            raise ValueError(f"no model called {model!r}")
+            m = LogisticRegression(featuresCol="v", labelCol="y", weightCol="weight", regParam=1.0 / rows, standardization=False, maxIter=2000).fit(train)
         balanced.unpersist()
         p = m.transform(test).select(*keys, F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))
-        preds.append(p.checkpoint() if spark.sparkContext.getCheckpointDir() else p)
+        return [p.checkpoint() if spark.sparkContext.getCheckpointDir() else p], imps, [(s, sum(before.values()), before[1.0], rows, count[1.0])], []
+
+    subjects = sorted(r["subject"] for r in x.select("subject").distinct().collect())
+    with ThreadPool(parallel) as pool:
+        done = pool.map(fold, subjects, 1)
+    preds, imps, folds, skipped = ([r for f in done for r in f[k]] for k in range(4))
     kinds = dict(x.dtypes)
     empty = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", y int, score double"
     out = preds[0] if preds else spark.createDataFrame([], empty)
@@ -224,7 +231,7 @@ def loso(x: DataFrame, model: str = "forest", trees: int = 300, depth: int = 20,
     kind = kinds["subject"]
     return {
         "predictions": out,
-        "importances": spark.createDataFrame([r for f in imps for r in f], f"fold {kind}, feature long, importance double"),
+        "importances": spark.createDataFrame(imps, f"fold {kind}, feature long, importance double"),
         "folds": spark.createDataFrame(folds, f"subject {kind}, train_rows long, train_positives long, balanced_rows long, balanced_positives long"),
         "skipped": spark.createDataFrame(skipped, f"subject {kind}, reason string"),
     }

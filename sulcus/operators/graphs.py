@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -142,13 +144,19 @@ def consensus(layers: DataFrame, couplings=(*range(1, 11), 15), percents=tuple(r
     return whole.groupBy(*keys).applyInPandas(one, "".join(f"{c} {kinds[c]}, " for c in keys) + "channel long, score double, top boolean")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row.  A plain column would be written out again inside lambdas, and computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def standardised(wide: DataFrame) -> DataFrame:
     """Each channel centred, divided by its largest magnitude and then by its root mean square; constant channels are 0."""
-    mean = lambda f: F.aggregate("samples", F.lit(0.0), lambda a, v: a + f(v)) / F.size("samples")
-    w = wide.withColumn("_m", mean(lambda v: v)).withColumn("samples", F.transform("samples", lambda v: v - F.col("_m")))
-    w = w.withColumn("_m", F.array_max(F.transform("samples", F.abs))).withColumn("samples", F.transform("samples", lambda v: v / F.when(F.col("_m") > 0, F.col("_m")).otherwise(1.0)))
-    w = w.withColumn("_m", F.sqrt(mean(lambda v: v * v)))
-    return w.withColumn("samples", F.transform("samples", lambda v: v / F.when(F.col("_m") > 1e-12, F.col("_m")).otherwise(1.0))).drop("_m")
+    mean = lambda x, f: F.aggregate(x, F.lit(0.0), lambda a, v: a + f(v)) / F.size(x)
+    divided = lambda x, m, least: F.transform(x, lambda v: v / F.when(m > least, m).otherwise(1.0))
+    s = bound(F.col("samples"), lambda x: bound(mean(x, lambda v: v), lambda m: F.transform(x, lambda v: v - m)))
+    s = bound(s, lambda x: bound(F.array_max(F.transform(x, F.abs)), lambda m: divided(x, m, 0)))
+    s = bound(s, lambda x: bound(F.sqrt(mean(x, lambda v: v * v)), lambda m: divided(x, m, 1e-12)))
+    return wide.withColumn("samples", s)
 
 
 def fragility_heatmap(wide: DataFrame, width: int, step: int, sfreq: float, run: list[str] = RUN) -> DataFrame:
