@@ -30,13 +30,19 @@ def duck(sf):
 
 
 def plain(df):
-    cols = sorted(df.columns)
-    return sorted(tuple("" if v is None or v != v else f"{v + 0.0:.6f}" if isinstance(v, float) else str(v) for v in r) for r in df[cols].astype(object).itertuples(index=False))
+    return texts(df.columns, df.astype(object).itertuples(index=False))
+
+
+def texts(cols, rows):
+    """Rows as texts, columns by name; plain Python values, so that nullable integers stay integers on both sides."""
+    order = sorted(range(len(cols)), key=lambda k: cols[k])
+    return sorted(tuple("" if r[k] is None or r[k] != r[k] else f"{r[k] + 0.0:.6f}" if isinstance(r[k], float) else str(r[k]) for k in order) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_sql(spark, sf, duck, name):
-    assert plain(QUERIES[name](spark, sf).toPandas()) == plain(duck.sql(ORACLE[name]).df())
+    got, want = QUERIES[name](spark, sf), duck.sql(ORACLE[name])
+    assert texts(got.columns, got.collect()) == texts(want.columns, want.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"loso_random_forest", "loso_logreg", "feature_importance"}))
