@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, near_dedup, quality_rules, sentencepieces, substring_dedup, token_counts, token_files, toxicity
+from . import centroids, decontamination, exact_dedup, language, mixing, near_dedup, quality_rules, sentencepieces, substring_dedup, token_counts, token_files, toxicity
 from .common import documents, table
 
 
@@ -53,8 +53,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_substring_dedup, op4_toxicity, op5_sentencepieces, op6_token_files, op7_language, op8_mixing, op9_near_dedup, op10_token_counts)}
+    every = (
+        op1_quality_rules, op2_exact_dedup, op3_substring_dedup, op4_toxicity, op5_sentencepieces, op6_token_files, op7_language, op8_mixing, op9_near_dedup, op10_token_counts,
+        op11_centroids, op12_decontamination,
+    )
+    return {f.__name__: f for f in every}
 
 
 _WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
@@ -116,6 +128,64 @@ FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source LEFT JOIN cut ON d.sourc
 """
 
 
+def _centroid_rounds(rounds: int) -> str:
+    """Vectors v (row, x) and first centroids c0 (c, m) to the clusters a<rounds> and the centroids c<rounds>."""
+    out = []
+    for k in range(rounds + 1):
+        nearest = f"""
+a{k} AS MATERIALIZED (
+  SELECT row, arg_min(c, near) AS c, min(near)[1] AS d
+  FROM (SELECT row, c, [list_sum(list_transform(list_zip(x, m), lambda p: CAST(p[1] - p[2] AS HUGEINT) * (p[1] - p[2]))), c] AS near FROM v, c{k}) GROUP BY row
+)"""
+        moved = f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT c, coalesce(n.m, o.m) AS m FROM c{k} o LEFT JOIN (
+    SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS m
+    FROM (SELECT c, i, CAST(sum(x[i]) AS HUGEINT) AS s, CAST(count(*) AS HUGEINT) AS n FROM v JOIN a{k} USING (row), range(1, 65) AS t(i) GROUP BY c, i) GROUP BY c
+  ) n USING (c)
+)"""
+        out += [nearest, moved] if k < rounds else [nearest]
+    return ",".join(out)
+
+
+_CENTROIDS = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), first AS (
+  SELECT x, sha256('3:' || vec_id) AS h FROM v ORDER BY h NULLS LAST, x LIMIT 8
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS c, x AS m FROM first
+),{_centroid_rounds(10)}
+SELECT vec_id, CAST(c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM v JOIN a10 USING (row) JOIN c10 USING (c)
+"""
+
+_BENCHMARK_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+_DECONTAMINATION = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, {_BENCHMARK_WORDS} AS w FROM documents
+), b AS (
+  SELECT item_id, w, least(len(w), 10) AS l FROM (SELECT item_id, {_BENCHMARK_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), win AS MATERIALIZED (
+  SELECT DISTINCT item_id, l, array_to_string(w[s:s + l - 1], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS s FROM b)
+), places AS (
+  SELECT row, l, w, unnest(range(1, len(w) - l + 2)) AS s FROM d, (SELECT DISTINCT l FROM win) WHERE len(w) >= l
+), met AS MATERIALIZED (
+  SELECT row, l, s, t FROM (SELECT row, l, s, array_to_string(w[s:s + l - 1], ' ') AS t FROM places) WHERE t IN (SELECT t FROM win)
+), hit AS (
+  SELECT row, count(DISTINCT i) AS n FROM (SELECT row, unnest(range(s, s + l)) AS i FROM met) GROUP BY row
+), items AS (
+  SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM met JOIN win USING (t) WHERE item_id IS NOT NULL) GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (row) LEFT JOIN items USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For the operators whose whole result plain SQL can say; the others are tested against brute force or held-out labels."""
-    return {"op2_exact_dedup": _EXACT, "op3_substring_dedup": _SUBSTRING, "op8_mixing": _MIXING}
+    return {"op2_exact_dedup": _EXACT, "op3_substring_dedup": _SUBSTRING, "op8_mixing": _MIXING, "op11_centroids": _CENTROIDS, "op12_decontamination": _DECONTAMINATION}
