@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .edf import register
+from .office import spreadsheet
+
 #: Names under which a run file may hold each field, in order of preference.
 ALIASES = {
     "data": ("data", "X", "x", "signals", "ieeg", "eeg"),
@@ -71,7 +74,9 @@ def onset(events: DataFrame) -> DataFrame:
 
 
 def participants(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", "true").option("inferSchema", "true").csv(path).where("adopt = 1")
+    """The adopted ones of a registry, which is CSV or a workbook."""
+    table = spreadsheet(spark, path) if path.lower().endswith(".xlsx") else spark.read.option("header", "true").csv(path)
+    return table.where(F.expr("try_cast(adopt as double) = 1"))
 
 
 def decode_run(raw: bytes, default_sfreq: float | None = None) -> dict:
@@ -131,42 +136,42 @@ def dataset(spark: SparkSession, root: str, pattern: str = "*.np[yz]", sfreq: fl
     return good
 
 
-def decode_edf(raw: bytes) -> dict:
-    """An EDF file: names, rates and physical samples of its channels (annotation channels are left out)."""
-    text = lambda a, n: raw[a : a + n].decode("latin-1").strip()
-    n_records, seconds, ns = int(text(236, 8)), float(text(244, 8)), int(text(252, 4))
-    at, cols = 256, {}
-    for name, width in (("label", 16), ("transducer", 80), ("unit", 8), ("pmin", 8), ("pmax", 8), ("dmin", 8), ("dmax", 8), ("filter", 80), ("n", 8), ("reserved", 32)):
-        cols[name] = [text(at + k * width, width) for k in range(ns)]
-        at += width * ns
-    per = np.array([int(v) for v in cols["n"]])
-    data = np.frombuffer(raw, dtype="<i2", offset=at, count=n_records * int(per.sum())).reshape(n_records, -1)
-    edge, out = np.concatenate([[0], np.cumsum(per)]), []
-    for k in range(ns):
-        if "annotation" in cols["label"][k].lower():
-            continue
-        lo, hi, dlo, dhi = (float(cols[c][k]) for c in ("pmin", "pmax", "dmin", "dmax"))
-        x = data[:, edge[k] : edge[k + 1]].ravel().astype(float)
-        out.append((cols["label"][k], per[k] / seconds, (x - dlo) * (hi - lo) / (dhi - dlo) + lo))
-    return {"names": [o[0] for o in out], "sfreq": [o[1] for o in out], "samples": [o[2] for o in out]}
-
-
-def edf(spark: SparkSession, root: str, containing: str = "task-ictal") -> DataFrame:
-    """One row per channel of every EDF file; a file that can't be read is one row whose status says why.
-
-    A file is one value while it is decoded, so files must fit in a task's memory, as recordings do.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.edf").load(root)
-    files = files.where(F.contains("path", F.lit(containing))).select("path", subject_of(F.col("path")).alias("subject"), run_of(F.col("path")).alias("run"), "content")
-    columns = ["path", "subject", "run", "channel", "name", "sfreq", "samples", "status"]
+def edf_parts(spark: SparkSession, root: str, containing: str = "task-ictal", **options) -> DataFrame:
+    """EDF files below root in parts: path, subject, run, channel, name, sfreq, first, samples, status; see `edf` for the options."""
+    found = register(spark).read.format("edf").options(containing=containing, **options).load(root)
+    # Files of this kind name subjects sub-X, and X is meant.
+    subject = F.regexp_replace(subject_of(F.col("path")), "^sub-", "")
+    return found.select("path", subject.alias("subject"), run_of(F.col("path")).alias("run"), "channel", "name", "sfreq", "first", "samples", "status")
+
+
+def whole_channels(parts: DataFrame) -> DataFrame:
+    """One row per channel, its parts joined in order; a file's fault stays a row without channel."""
+    keys = [c for c in parts.columns if c not in ("first", "samples")]
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "samples"))), lambda p: p["samples"]))
+    return parts.groupBy(*keys).agg(joined.alias("samples")).select(*[c for c in parts.columns if c != "first"])
+
+
+def edf(spark: SparkSession, root: str, containing: str = "task-ictal", **options) -> DataFrame:
+    """One row per channel of every EDF file; a file that can't be read is one row whose status says why."""
+    return whole_channels(edf_parts(spark, root, containing, **options))
+
+
+def located(path: Column) -> Column:
+    """A path with one slash after its scheme, as different sources write it differently."""
+    return F.regexp_replace(path, r"^file:/+", "file:/")
+
+
+def recording_of(path: Column) -> Column:
+    """What a recording shares with the tables beside it: its folder and name without the last _word and the ending."""
+    return F.regexp_replace(located(path), r"_[A-Za-z]+\.[A-Za-z]+$", "")
 
-    def decode(batches):
-        for b in batches:
-            for r in b.itertuples(index=False):
-                try:
-                    d = decode_edf(bytes(r.content))
-                    yield pd.DataFrame({"path": r.path, "subject": r.subject, "run": r.run, "channel": range(len(d["names"])), "name": d["names"], "sfreq": d["sfreq"], "samples": d["samples"], "status": "ok"})[columns]
-                except (ValueError, IndexError, ZeroDivisionError) as e:
-                    yield pd.DataFrame([[r.path, r.subject, r.run, None, None, None, None, str(e)]], columns=columns)
 
-    return files.mapInPandas(decode, "path string, subject string, run string, channel long, name string, sfreq double, samples array<double>, status string")
+def tables_beside(spark: SparkSession, root: str, kind: str, columns: list[str]) -> DataFrame:
+    """Rows of all *_kind.tsv files below root: recording, row, and the columns by name, of each file's own header; n/a and missing ones are null."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*_{kind}.tsv").text(root, wholetext=True)
+    lines = F.filter(F.split("value", "\r\n|\n|\r"), lambda v: F.trim(v) != "")
+    f = files.select(recording_of(F.col("_metadata.file_path")).alias("recording"), lines.alias("lines")).where(F.size("lines") > 0)
+    f = f.select("recording", F.split(F.get("lines", F.lit(0)), "\t").alias("header"), F.posexplode("lines").alias("row", "line")).where("row > 0")
+    cells = F.split("line", "\t")
+    value = lambda c: F.nullif(F.trim(F.get(cells, (F.array_position("header", c) - 1).cast("int"))), F.lit("n/a"))
+    return f.select("recording", "row", *[value(c).alias(c) for c in columns])
