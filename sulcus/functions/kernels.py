@@ -122,22 +122,37 @@ def analytic(x: np.ndarray) -> np.ndarray:
 # -- windowed evolution operators ----------------------------------------------------------------
 
 
-def evolution_modes(x: np.ndarray, y: np.ndarray, modes: int = 10, rcond: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+#: Columns beyond those asked for, and power steps, of a randomised range finder.
+OVERSAMPLES, POWERS = 10, 3
+
+
+def leading_modes(q: np.ndarray, b: np.ndarray, modes: int, sketch: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, values, right) singular modes of K = q b, q having orthonormal columns: those of the small b, or of K's sketch by random vectors."""
+    if sketch is None or b.shape[0] <= modes + OVERSAMPLES:  # a sketch as wide as K's rank holds all of it
+        u, s, vt = np.linalg.svd(b, full_matrices=False)
+        return q @ u[:, :modes], s[:modes], vt[:modes].T
+    z = np.random.default_rng(sketch).normal(size=(b.shape[1], modes + OVERSAMPLES))
+    y = np.linalg.qr(b @ z)[0]
+    for _ in range(POWERS):
+        y = np.linalg.qr(b @ np.linalg.qr(b.T @ y)[0])[0]
+    u, s, vt = np.linalg.svd(y.T @ b, full_matrices=False)
+    return q @ (y @ u[:, :modes]), s[:modes], vt[:modes].T
+
+
+def evolution_modes(x: np.ndarray, y: np.ndarray, modes: int = 10, rcond: float = 1e-10, sketch: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(singular values, left [E, k], right [E, k], energy) of the least-norm K with x K = y, never forming K.
 
-    With x = P S Q', K = Q B for B = S^-1 P' y, so K's singular vectors are Q times those of the small B.
+    With x = P S Q', K = Q B for B = S^-1 P' y, so K's singular vectors are Q times those of the small B.  sketch: see `leading_modes`.
     """
     p, s, qt = np.linalg.svd(x, full_matrices=False)
     keep = s > rcond * s[0] if len(s) and s[0] > 0 else np.zeros(len(s), dtype=bool)
     if not keep.any():
         return np.zeros(0), np.zeros((x.shape[1], 0)), np.zeros((x.shape[1], 0)), 0.0
     b = (p[:, keep].T @ y) / s[keep, None]
-    u, sigma, vt = np.linalg.svd(b, full_matrices=False)
-    u = qt[keep].T @ u[:, :modes]
-    v = vt[:modes].T
+    u, sigma, v = leading_modes(qt[keep].T, b, modes, sketch)
     sign = np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
     sign[sign == 0] = 1
-    return sigma[:modes], u * sign, v * sign, float((b * b).sum())
+    return sigma, u * sign, v * sign, float((b * b).sum())
 
 
 # -- graph metrics (w: square, non-negative, zero diagonal; w[i, j] is the edge i -> j) -------------
@@ -192,9 +207,10 @@ def directed_clustering(w: np.ndarray) -> np.ndarray:
     return np.where((triangles > 0) & (pairs > 0), triangles / np.where(pairs > 0, pairs, 1), 0)
 
 
-def local_efficiency(w: np.ndarray, eps: float = 1e-12) -> np.ndarray:
+def local_efficiency(w: np.ndarray, eps: float = 1e-12, at: np.ndarray | None = None) -> np.ndarray:
+    """Of all nodes, or of those at `at` (0 elsewhere)."""
     out = np.zeros(len(w))
-    for i in range(len(w)):
+    for i in range(len(w)) if at is None else at:
         near = np.flatnonzero((w[i] > 0) | (w[:, i] > 0))
         near = near[near != i]
         if len(near) < 2:
@@ -226,6 +242,46 @@ def betweenness(w: np.ndarray, eps: float = 1e-12) -> np.ndarray:
     return out / ((n - 1) * (n - 2)) if n > 2 else out
 
 
+def shortest_from(step: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Shortest distances [source, node] by Dijkstra's method, all sources at once; inf where there is none."""
+    rows = np.arange(len(sources))
+    d = np.full((len(sources), len(step)), np.inf)
+    d[rows, sources] = 0
+    open_ = np.ones(d.shape, dtype=bool)
+    for _ in range(len(step)):
+        near = np.where(open_, d, np.inf).argmin(1)
+        open_[rows, near] = False
+        np.minimum(d, d[rows, near][:, None] + step[near], out=d)
+    return d
+
+
+def betweenness_from(w: np.ndarray, sources: np.ndarray, eps: float = 1e-12) -> np.ndarray:
+    """The share of `betweenness` that shortest paths from these sources add, not yet divided by the number of pairs."""
+    step, out = lengths(w, eps), np.zeros(len(w))
+    np.fill_diagonal(step, np.inf)
+    for s, d in zip(sources, shortest_from(step, sources)):
+        order = np.argsort(d, kind="stable")
+        order = order[np.isfinite(d[order])]
+        with np.errstate(invalid="ignore"):
+            tight = (np.abs(d[:, None] + step - d[None]) <= 1e-12 * d[None]) & np.isfinite(step)
+        paths, share = np.zeros(len(w)), np.zeros(len(w))
+        paths[s] = 1
+        for v in order[1:]:
+            paths[v] = paths @ tight[:, v]
+        for v in order[:0:-1]:
+            share += tight[:, v] * paths / paths[v] * (1 + share[v])
+            out[v] += share[v]
+    return out
+
+
+def closeness_from(w: np.ndarray, sources: np.ndarray, eps: float = 1e-12) -> np.ndarray:
+    """Out-closeness of these nodes; that of the transposed graph is in-closeness."""
+    d = shortest_from(lengths(w, eps), sources)
+    ok = np.isfinite(d)
+    reach, total = ok.sum(1) - 1, np.where(ok, d, 0).sum(1)
+    return np.where(total > 0, reach / np.where(total > 0, total, 1) * reach / max(len(w) - 1, 1), 0)
+
+
 def pagerank(w: np.ndarray, alpha: float = 0.85, tol: float = 1e-6, rounds: int = 100) -> np.ndarray:
     n = len(w)
     total = w.sum(1)
@@ -274,9 +330,14 @@ def ten_centralities(w: np.ndarray, wanted: tuple[str, ...] | None = None) -> di
 
 
 def four_metrics(w: np.ndarray) -> tuple[dict[str, np.ndarray], bool]:
-    """Strength, degree spread, eigenvector centrality and nodal efficiency of an undirected graph, and whether all went well."""
+    """Strength, degree spread, eigenvector centrality and nodal efficiency of an undirected graph, and whether all went well.
+
+    A graph with a weight that isn't finite fails, and a failed graph's metrics are 0.
+    """
     a = np.abs(w)
     try:
+        if not np.isfinite(a).all():
+            raise np.linalg.LinAlgError("a weight isn't finite")
         return {"strength": a.sum(1), "degree_std": a.std(1), "eigenvector": eigenvector_centrality(a), "global_efficiency": nodal_efficiency(a)}, True
     except np.linalg.LinAlgError:
         return {k: np.zeros(len(w)) for k in ("strength", "degree_std", "eigenvector", "global_efficiency")}, False
@@ -308,29 +369,45 @@ def delay_embedding(x: np.ndarray, dim: int, tau: int) -> np.ndarray:
     return np.stack([x[i * tau : i * tau + n] for i in range(dim)], axis=1)
 
 
-def cross_map(x: np.ndarray, dim: int = 3, tau: int = 1) -> np.ndarray:
-    """score[i, j]: how well the neighbours in channel i's embedding predict channel j.  Neighbours are found once per source."""
-    n = len(x)
-    out = np.zeros((n, n))
-    for i in range(n):
-        m = delay_embedding(x[i], dim, tau)
-        d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
-        np.fill_diagonal(d, np.inf)
-        k = min(dim + 1, len(m) - 1)
-        if k < 2:
-            continue
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        dk = np.take_along_axis(d, near, 1)
-        weight = np.exp(-dk / (dk[:, :1] + 1e-12))
-        weight /= weight.sum(1, keepdims=True)
-        target = x[:, (dim - 1) * tau :]
-        guess = (target[:, near] * weight).sum(2)
-        for j in range(n):
-            if j != i and target[j].std() >= 1e-12 and guess[j].std() >= 1e-12:
-                out[i, j] = max(0.0, np.corrcoef(target[j], guess[j])[0, 1])
+#: Embedded points whose distances to all others are held at once.
+POINTS = 256
+
+
+def neighbours(m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest other rows of each row of m, the first of equal distance first, and their distances."""
+    near, far = np.zeros((len(m), k), dtype=int), np.zeros((len(m), k))
+    for at in range(0, len(m), POINTS):
+        part = m[at : at + POINTS]
+        d = np.sqrt(sum((part[:, None, c] - m[None, :, c]) ** 2 for c in range(m.shape[1])))
+        d[np.arange(len(part)), at + np.arange(len(part))] = np.inf
+        near[at : at + POINTS] = np.argsort(d, axis=1, kind="stable")[:, :k]
+        far[at : at + POINTS] = np.take_along_axis(d, near[at : at + POINTS], 1)
+    return near, far
+
+
+def cross_map_from(x: np.ndarray, i: int, dim: int = 3, tau: int = 1) -> np.ndarray:
+    """score[j]: how well the neighbours in channel i's embedding predict channel j."""
+    out = np.zeros(len(x))
+    m = delay_embedding(x[i], dim, tau)
+    k = min(dim + 1, len(m) - 1)
+    if k < 2:
+        return out
+    near, dk = neighbours(m, k)
+    weight = np.exp(-dk / (dk[:, :1] + 1e-12))
+    weight /= weight.sum(1, keepdims=True)
+    for j in range(len(x)):
+        target = x[j, (dim - 1) * tau :]
+        guess = (target[near] * weight).sum(1)
+        if j != i and target.std() >= 1e-12 and guess.std() >= 1e-12:
+            out[j] = max(0.0, np.corrcoef(target, guess)[0, 1])
     return np.nan_to_num(out)
 
 
+def cross_map(x: np.ndarray, dim: int = 3, tau: int = 1) -> np.ndarray:
+    """score[i, j] of all channels."""
+    return np.stack([cross_map_from(x, i, dim, tau) for i in range(len(x))])
+
+
 # -- fragility ------------------------------------------------------------------------------------
 
 
@@ -364,20 +441,25 @@ def ridge_transition(x: np.ndarray, alpha: float = 1e-4, radius: float = 0.99) -
     return k * (radius / (top + 1e-12)) if top > radius else k
 
 
+#: Bytes of the systems of several angles that are solved at once.
+AT_ONCE = 1 << 24
+
+
 def perturbation_norms(a: np.ndarray, angles: int = 64) -> np.ndarray:
     """Per channel the least real row perturbation that moves an eigenvalue to the unit circle, over angles of the half circle."""
     n, best = len(a), np.full(len(a), np.inf)
-    for theta in np.linspace(0, np.pi, angles):
-        m = np.exp(1j * theta) * np.eye(n) - a
+    turn = np.exp(1j * np.linspace(0, np.pi, angles))
+    some = max(1, AT_ONCE // (16 * n * n + 1))
+    for at in range(0, angles, some):
+        m = turn[at : at + some, None, None] * np.eye(n) - a
         try:
             r = np.linalg.inv(m)
         except np.linalg.LinAlgError:
-            r = np.linalg.pinv(m)
-        re, im = r.real, r.imag
-        aa, bb, ab = (re * re).sum(0), (im * im).sum(0), (re * im).sum(0)
+            r = np.linalg.pinv(m)  # that of a regular system is its inverse
+        aa, bb, ab = (r.real**2).sum(1), (r.imag**2).sum(1), (r.real * r.imag).sum(1)
         det = aa * bb - ab * ab
         norm = np.where(bb <= 1e-12, 1 / np.sqrt(np.maximum(aa, 1e-300)), np.where(det > 1e-18, np.sqrt(np.maximum(bb, 0) / np.where(det > 1e-18, det, 1)), np.inf))
-        best = np.minimum(best, norm)
+        best = np.minimum(best, norm.min(0))
     return np.nan_to_num(best, nan=np.inf)
 
 
@@ -545,32 +627,38 @@ def three_means(v: np.ndarray) -> np.ndarray:
     return np.searchsorted([s[i], s[j]], v, side="right")
 
 
+#: Combinations of left singular vectors that are clustered.
+COMBINATIONS = [(0, 1), (0, 2), (1, 2), (0, 1, 2), (0, 1, 2, 3)]
+
+
+def consensus_case(x: np.ndarray, components: int = 4) -> tuple[np.ndarray, float]:
+    """(target, worth) of quantised centralities [channel, layer]: combinations of left singular vectors vote by what they are worth.
+
+    A channel is in the target if it has more than (m - 1) / m of the votes of m combinations (half of one's).
+    """
+    u = np.linalg.svd(x.astype(float), full_matrices=False)[0][:, :components]
+    use = [[k for k in c if k < u.shape[1]] for c in COMBINATIONS]
+    found = [target_cluster(u[:, c]) for c in use if len(c) > 1]
+    found = [(inside, worth) for inside, worth in found if worth > 0 and np.isfinite(worth)]
+    if not found:
+        return np.zeros(len(x), dtype=bool), 0.0
+    worth, m = np.array([w for _, w in found]), len(found)
+    part = np.average([inside for inside, _ in found], axis=0, weights=worth)
+    return part > ((m - 1) / m if m > 1 else 0.5), float(worth.sum())
+
+
 def consensus(mats: dict[float, list[np.ndarray]], percents=tuple(range(10, 90, 10)), components: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(score in 0..1, member of the top group) per channel.  mats: by coupling, [channel, layer] of each run and band.
 
-    A case is a coupling and a percentile, its runs and bands joined.  Feature combinations vote by what they are worth, a channel
-    is in the case's target if it has more than (m - 1) / m of the votes of m combinations, and cases weigh what theirs are worth.
+    A case is a coupling and a percentile, its runs and bands joined, and cases weigh what they are worth.
     """
-    combos = [(0, 1), (0, 2), (1, 2), (0, 1, 2), (0, 1, 2, 3)]
     mats = {c: [m] if isinstance(m, np.ndarray) else m for c, m in mats.items()}
     n = len(next(iter(mats.values()))[0])
-    votes, weights = np.zeros(n), 0.0
-    for sets in mats.values():
-        for p in percents:
-            u = np.linalg.svd(np.concatenate([quantise(m, p) for m in sets], 1).astype(float), full_matrices=False)[0][:, :components]
-            use = [[k for k in c if k < u.shape[1]] for c in combos]
-            found = [target_cluster(u[:, c]) for c in use if len(c) > 1]
-            found = [(inside, worth) for inside, worth in found if worth > 0 and np.isfinite(worth)]
-            if not found:
-                continue
-            worth = np.array([w for _, w in found])
-            m = len(found)
-            part = np.average([inside for inside, _ in found], axis=0, weights=worth)
-            votes += worth.sum() * (part > ((m - 1) / m if m > 1 else 0.5))
-            weights += worth.sum()
+    cases = [consensus_case(np.concatenate([quantise(m, p) for m in sets], 1), components) for sets in mats.values() for p in percents]
+    weights = sum(w for _, w in cases)
     if not weights:
         return np.zeros(n), np.zeros(n, dtype=bool)
-    score = votes / weights
+    score = sum(w * inside for inside, w in cases) / weights
     spread = score.max() - score.min()
     score = (score - score.min()) / (spread + 1e-12) if spread >= 1e-12 else np.zeros(n)
     return score, three_means(score) == 2
@@ -593,7 +681,8 @@ def softmax(x: np.ndarray, axis: int) -> np.ndarray:
 def network_weights(seed: int = 0, width: int = 12, wide: int = 24, attributes: int = 10, graph: int = 8, hidden: int = 32) -> dict[str, np.ndarray]:
     """Names and shapes of the network's weights, drawn at random; trained ones come as a dict of the same form (npz files hold such).
 
-    Normalisations are scale and shift per feature, as they are after training.
+    Normalisations are scale and shift per feature, as they are after training; trained networks also have biases of filters, gates and
+    attributes (see `network.trained_weights`).
     """
     rng = np.random.default_rng(seed)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(np.prod(shape[1:]) or 1), shape)
@@ -619,11 +708,11 @@ def gated_convolutions(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
         reach = 2 << k
         past = np.pad(h, ((0, 0), (0, 0), (reach, 0)))
         taps = np.stack([past[:, :, j * (1 << k) : j * (1 << k) + n] for j in range(3)], axis=-1)
-        f, g = (np.einsum("vwj,cwsj->cvs", w[name + str(k)], taps) for name in ("filter", "gate"))
+        f, g = (np.einsum("vwj,cwsj->cvs", w[name + str(k)], taps) + w.get(f"{name}_bias{k}", np.zeros(1))[:, None] for name in ("filter", "gate"))
         h = np.maximum(h + _normed(np.tanh(f) * sigmoid(g), w[f"scale{k}"], w[f"shift{k}"]), 0)
     h = np.maximum(_normed(np.einsum("vw,cws->cvs", w["out"], h), w["out_scale"], w["out_shift"]), 0)
     att = softmax(np.einsum("v,cvs->cs", w["time"], np.tanh(h)), 1)
-    return np.einsum("cvs,cs->cv", h, att) @ w["attributes"].T
+    return np.einsum("cvs,cs->cv", h, att) @ w["attributes"].T + w.get("attributes_bias", 0.0)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

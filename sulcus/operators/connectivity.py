@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,55 @@ def _typed(df: DataFrame, cols: list[str]) -> str:
     return "".join(f"{c} {kinds[c]}, " for c in cols)
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Dealt by the keys over all shuffle partitions.  Groups of few bytes cost much CPU in kernels, so partitions are not put together by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def grouped(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """f of each group of keys (none null), for many groups of few rows: groups stream past in order, many to an Arrow batch.
+
+    A task holds one batch and the group at its end.
+    """
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            new = np.zeros(len(b), dtype=bool)
+            new[0] = not held or any(held[-1][k].iloc[-1] != b[k].iloc[0] for k in keys)
+            for k in keys:
+                v = b[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            cuts = [0, *np.flatnonzero(new), len(b)]
+            out = []
+            for at, to in zip(cuts[:-1], cuts[1:]):
+                if new[at] and held:
+                    out.append(f(pd.concat(held)))
+                    held = []
+                if to > at:
+                    held.append(b.iloc[at:to])
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield f(pd.concat(held))
+
+    return spread(df, keys).sortWithinPartitions(*keys).mapInPandas(stream, schema)
+
+
+def window_chunks(wide: DataFrame, width: int, step: int, inclusive: bool, run: list[str], windows: int) -> DataFrame:
+    """(run, channel, first, x): the samples x of each channel under up to `windows` consecutive windows, the first of which is number `first`.
+
+    Neighbours overlap by width - step samples, so a sample is shipped about once.
+    """
+    starts = F.floor((F.size("samples") - width - (0 if inclusive else 1)) / step) + 1
+    c = wide.select(*run, "channel", "samples", starts.cast("int").alias("_n")).where("_n > 0")
+    c = c.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(windows))).alias("first"))
+    some = F.least(F.col("_n") - F.col("first"), F.lit(windows))
+    return c.select(*run, "channel", "first", F.slice("samples", F.col("first") * step + 1, (some - 1) * step + width).alias("x"))
+
+
 def _pairs(x: DataFrame, cols: list[str], run: list[str]) -> DataFrame:
     a = x.select(*run, "sample", F.col("channel").alias("i"), *[F.col(c).alias(f"a_{c}") for c in cols])
     b = x.select(*run, "sample", F.col("channel").alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols])
@@ -51,22 +101,44 @@ def sliding_correlation(x: DataFrame, width: int, step: int, inclusive: bool = T
     return s.select(*run, "window", "i", "j", r.alias("w"))
 
 
-def sliding_correlation_kernel(wide: DataFrame, width: int, step: int, inclusive: bool = True, run: list[str] = RUN) -> DataFrame:
-    """The same edges by one matrix product per window; for runs whose channels fit in one task."""
+def block_correlation(wide: DataFrame, width: int, step: int, inclusive: bool = True, run: list[str] = RUN, windows: int = 32) -> DataFrame:
+    """The same edges by matrix products.  wide: run, channel, samples.
+
+    A task gets the samples of `windows` consecutive windows of a run (neighbours overlap by width - step samples), makes one Gram
+    matrix of each block of gcd(width, step) samples, and adds up the blocks of each window.  So a run spreads over tasks, a
+    sample is shipped about once and multiplied once, and no row per pair and sample is made.
+    """
+    block = math.gcd(width, step)
+    per, hop = width // block, step // block
+    chunks = window_chunks(wide, width, step, inclusive, run, windows)
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("channel")
-        x, ch = np.stack(g.samples.to_numpy()), g.channel.to_numpy()
+        x, ch = np.stack(g.x.to_numpy()), g.channel.to_numpy()
+        x = x - x.mean(1, keepdims=True)
+        b = x.reshape(len(x), -1, block).transpose(1, 0, 2)  # [block, channel, sample]
+        count = (b.shape[0] - per) // hop + 1
+        add = lambda v: np.stack([v[k * hop : k * hop + per].sum(0) for k in range(count)])
+        gram, total = add(b @ b.transpose(0, 2, 1)), add(b.sum(2))
+        cov = (gram - total[:, :, None] * total[:, None] / width) / (width - 1)
+        dev = np.maximum(np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0)), 1e-10)
         i, j = np.triu_indices(len(ch), 1)
-        out = []
-        for k, at in enumerate(range(0, x.shape[1] - width + (1 if inclusive else 0), step)):
-            z = x[:, at : at + width]
-            z = (z - z.mean(1, keepdims=True)) / np.maximum(z.std(1, ddof=1, keepdims=True), 1e-10)
-            out.append(pd.DataFrame({"window": k, "i": ch[i], "j": ch[j], "w": (z @ z.T / (width - 1))[i, j]}))
-        got = pd.concat(out) if out else pd.DataFrame({"window": [], "i": [], "j": [], "w": []})
-        return got.assign(**{c: g[c].iloc[0] for c in run})
+        w = (cov / (dev[:, :, None] * dev[:, None]))[:, i, j]
+        k = g["first"].iloc[0] + np.arange(count)
+        return pd.DataFrame({"window": np.repeat(k, len(i)), "i": np.tile(ch[i], count), "j": np.tile(ch[j], count), "w": w.ravel()}).assign(**{c: g[c].iloc[0] for c in run})
 
-    return wide.groupBy(*run).applyInPandas(one, _typed(wide, run) + "window long, i long, j long, w double")
+    by = [*run, "first"]
+    return spread(chunks, by).groupBy(*by).applyInPandas(one, _typed(wide, run) + "window long, i long, j long, w double")
+
+
+def channel_pairs(nodes: DataFrame, run: list[str] = RUN) -> DataFrame:
+    """(run, edge, i, j): each run's pairs of channels, numbered as in `edge_vectors`.  nodes: run, channel."""
+    c = nodes.groupBy(*run).agg(F.array_sort(F.collect_set("channel")).alias("c"))
+    at = lambda k: F.get("c", F.col(k))
+    n = F.size("c")
+    p = c.where(n > 1).select("*", F.explode(F.sequence(F.lit(0), n - 2)).alias("a")).select("*", F.explode(F.sequence(F.col("a") + 1, n - 1)).alias("b"))
+    edge = F.col("a") * n - F.floor(F.col("a") * (F.col("a") + 1) / 2).cast("int") + F.col("b") - F.col("a") - 1
+    return p.select(*run, edge.cast("int").alias("edge"), at("a").alias("i"), at("b").alias("j"))
 
 
 def edge_vectors(edges: DataFrame, run: list[str] = RUN) -> DataFrame:
@@ -86,7 +158,7 @@ def _every_node(per_node: DataFrame, nodes: DataFrame | None, keys: list[str], v
     by = [k for k in keys if k in nodes.columns]
     rest = [k for k in keys if k not in by]
     graphs = per_node.select(*keys).distinct()
-    every = graphs.join(nodes.select(*by, "channel"), by) if by else graphs.crossJoin(F.broadcast(nodes.select("channel")))
+    every = graphs.join(nodes.select(*by, "channel"), by) if by else graphs.crossJoin(nodes.select("channel"))  # all of its rows are asked for
     return every.join(per_node, [*by, *rest, "channel"], "left").select(*keys, "channel", F.coalesce(value, F.lit(0.0)).alias(value))
 
 
@@ -119,7 +191,8 @@ def quantile_sparsify(edges: DataFrame, q: float, keys: list[str], keep_all_if_n
 
 
 def envelope_layers(env: DataFrame, width: int, step: int, q: float = 0.8, run: list[str] = RUN) -> DataFrame:
-    e = sliding_correlation(env, width, step, run=run)
+    """env: envelopes, one row per channel (samples) or per sample (value)."""
+    e = (block_correlation if "samples" in env.columns else sliding_correlation)(env, width, step, run=run)
     e = e.withColumn("w", F.abs(F.coalesce(F.nanvl("w", F.lit(0.0)), F.lit(0.0))))
     return quantile_sparsify(e, q, [*run, "window"], True)
 
@@ -154,15 +227,17 @@ def coherence_layers(wide: DataFrame, sfreq: float, width: int, step: int, onset
 
 
 def cross_mapping(wide: DataFrame, dim: int = 3, tau: int = 1, run: list[str] = RUN) -> DataFrame:
-    """Directed edges (run, i, j, w): channel i's neighbourhoods predict channel j.  One graph is one task."""
+    """Directed edges (run, i, j, w): channel i's neighbourhoods predict channel j.  A source channel and its run's channels are one task."""
+    pairs = wide.select(*run, F.col("channel").alias("i")).join(wide.select(*run, F.col("channel").alias("j"), "samples"), run)
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("channel")
-        w, ch = K.cross_map(np.stack(g.samples.to_numpy()), dim, tau), g.channel.to_numpy()
-        i, j = np.nonzero(~np.eye(len(ch), dtype=bool))
-        return pd.DataFrame({"i": ch[i], "j": ch[j], "w": w[i, j]}).assign(**{c: g[c].iloc[0] for c in run})
+        g = g.sort_values("j")
+        j, i = g.j.to_numpy(), g.i.iloc[0]
+        w = K.cross_map_from(np.stack(g.samples.to_numpy()), int(np.flatnonzero(j == i)[0]), dim, tau)
+        return pd.DataFrame({"i": i, "j": j, "w": w})[j != i].assign(**{c: g[c].iloc[0] for c in run})
 
-    return wide.groupBy(*run).applyInPandas(one, _typed(wide, run) + "i long, j long, w double")
+    by = [*run, "i"]
+    return spread(pairs, by).groupBy(*by).applyInPandas(one, _typed(wide, run) + "i long, j long, w double")
 
 
 def cross_mapping_connectivity(wide: DataFrame, sfreq: float, target: float = 50.0, most: int = 1500, dim: int = 3, tau: int = 1, run: list[str] = RUN) -> DataFrame:
@@ -177,24 +252,31 @@ def cross_mapping_connectivity(wide: DataFrame, sfreq: float, target: float = 50
     return cross_mapping(w, dim, tau, run)
 
 
-def evolution(vectors: DataFrame, width: int = 20, step: int = 5, modes: int = 10, run: list[str] = RUN) -> DataFrame:
+def evolution(vectors: DataFrame, width: int = 20, step: int = 5, modes: int = 10, run: list[str] = RUN, sketch: int | None = None, windows: int = 8) -> DataFrame:
     """Singular modes of windowed evolution operators: run, op_window, mode, sigma, energy, left, right (arrays over edges).
 
-    Windows hold width + 1 edge vectors; the last possible start is left out, as for `inclusive=False`.  A vector is sent to the
-    windows that hold it, and a window is decomposed where its vectors meet.
+    Windows hold width + 1 edge vectors; the last possible start is left out, as for `inclusive=False`.  A task decomposes up to
+    `windows` consecutive ones, so a vector is shipped about once.  sketch: the seed of a randomised range finder (see
+    `kernels.evolution_modes`); without it, decompositions are exact.
     """
     n = vectors.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"))
     first = F.greatest(F.lit(0), F.ceil((F.col("window") - width) / step)).cast("long")
     last = F.least(F.floor(F.col("window") / step), F.floor((F.col("_n") - width - 2) / step)).cast("long")
-    some = vectors.join(n, run).where(last >= first).select(*run, F.explode(F.sequence(first, last)).alias("op_window"), "window", "edge")
+    some = vectors.join(n, run).where(last >= first)
+    some = some.select(*run, "_n", F.explode(F.sequence(F.floor(first / windows), F.floor(last / windows))).alias("_c"), "window", "edge")
 
     def decompose(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g.sort_values("window").edge.to_numpy())
-        s, u, v, energy = K.evolution_modes(x[:-1], x[1:], modes)
-        rows = [(k, s[k], energy, list(u[:, k]), list(v[:, k])) for k in range(len(s))]
-        return pd.DataFrame(rows, columns=["mode", "sigma", "energy", "left", "right"]).assign(**{c: g[c].iloc[0] for c in [*run, "op_window"]})
-
-    return some.groupBy(*run, "op_window").applyInPandas(decompose, _typed(vectors, run) + "op_window long, mode long, sigma double, energy double, left array<double>, right array<double>")
+        g = g.sort_values("window")
+        x, at, rows = np.stack(g.edge.to_numpy()), g.window.iloc[0], []
+        c = g["_c"].iloc[0] * windows
+        for k in range(c, min(c + windows, (g["_n"].iloc[0] - width - 2) // step + 1)):
+            part = x[k * step - at : k * step - at + width + 1]
+            s, u, v, energy = K.evolution_modes(part[:-1], part[1:], modes, sketch=sketch)
+            rows += [(k, m, s[m], energy, u[:, m], v[:, m]) for m in range(len(s))]
+        return pd.DataFrame(rows, columns=["op_window", "mode", "sigma", "energy", "left", "right"]).assign(**{c: g[c].iloc[0] for c in run})
+
+    by = [*run, "_c"]
+    return spread(some, by).groupBy(*by).applyInPandas(decompose, _typed(vectors, run) + "op_window long, mode long, sigma double, energy double, left array<double>, right array<double>")
 
 
 def mode_statistics(modes: DataFrame, side: str = "right", run: list[str] = RUN) -> DataFrame:

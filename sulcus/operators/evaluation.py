@@ -43,11 +43,16 @@ def feature_vectors(binned: DataFrame, modes: int, metrics: int, keys: list[str]
     return binned.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(index.alias("k"), "value"))).alias("f")).select(*keys, F.col("f.value").alias("features"))
 
 
+def minmax(value: Column, over: Window) -> Column:
+    """A value by its group's range without NaN, which stays NaN; all 0 where the range is 0 or infinite, or nothing but NaN is there."""
+    v = F.when(~F.isnan(value), value)
+    lo, hi = F.min(v).over(over), F.max(v).over(over)
+    endless = lo.isNull() | (F.abs(lo) == float("inf")) | (F.abs(hi) == float("inf"))
+    return F.when(endless, 0.0).when(hi - lo < 1e-12, 0.0).otherwise((value - lo) / (hi - lo + 1e-12))
+
+
 def minmax_scores(x: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    v = F.when(~F.isnan("score"), F.col("score"))
-    lo, hi = F.min(v).over(w), F.max(v).over(w)
-    return x.withColumn("score", F.when(hi - lo < 1e-12, 0.0).otherwise((F.col("score") - lo) / (hi - lo + 1e-12)))
+    return x.withColumn("score", minmax(F.col("score"), Window.partitionBy(*keys)))
 
 
 def confusion(x: DataFrame, cut: float, keys: list[str]) -> DataFrame:

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .evaluation import minmax
 
 #: Default keys of a channel; recordings of several runs have them in their keys.
 CH = ["subject", "channel"]
 
 
 def threshold(env: DataFrame, k: float = 5.0, ch: list[str] = CH) -> DataFrame:
-    """Per channel: median + k * 1.4826 * (MAD + 1e-12) of the envelope."""
+    """Per channel: median + k * 1.4826 * (MAD + 1e-12) of the envelope, NaN left out."""
+    env = env.where(~F.isnan("env"))
     mid = env.groupBy(*ch).agg(F.median("env").alias("mid"))
     mad = env.join(mid, ch).groupBy(*ch).agg(F.median(F.abs(F.col("env") - F.col("mid"))).alias("mad"))
     return mid.join(mad, ch).select(*ch, (F.col("mid") + k * 1.4826 * (F.col("mad") + 1e-12)).alias("thr"))
@@ -49,7 +51,8 @@ def detect(x: DataFrame, env: DataFrame, sfreq: float, least: int, most: int, ga
 def detect_wide(wide: DataFrame, sfreq: float, least: int, most: int, gap: int, k: float = 5.0, ch: list[str] = CH) -> DataFrame:
     """The same events, and each channel's length and power, from whole channels: one kernel call a channel, without a shuffle.
 
-    wide: channel keys, samples (not yet centred).  A channel without events has one row of null start.
+    wide: channel keys, samples (not yet centred).  A channel without events has one row of null start.  Power is that of the samples
+    as they are, NaN left out; a channel with a NaN sample has no envelope and so no events.
     """
     kinds = dict(wide.dtypes)
     schema = "".join(f"{c} {kinds[c]}, " for c in ch) + "start long, stop long, peak_amp double, mean_amp double, power double, duration_s double, n long, band_power double"
@@ -60,8 +63,9 @@ def detect_wide(wide: DataFrame, sfreq: float, least: int, most: int, gap: int,
             for r in b.itertuples(index=False):
                 keys = [getattr(r, c) for c in ch]
                 x = np.asarray(r.samples, dtype=float)
+                known = x[~np.isnan(x)]
+                n, power = len(x), float((known * known).mean()) if len(known) else float("nan")
                 x = x - np.median(x)
-                n, power = len(x), float((x * x).mean())
                 found = K.burst_events(x, np.abs(K.analytic(x)), least, most, gap, k)
                 rows += [(*keys, *e, (e[1] - e[0]) / sfreq, n, power) for e in found] or [(*keys, None, None, None, None, None, None, n, power)]
             out = pd.DataFrame(rows, columns=[*ch, "start", "stop", "peak_amp", "mean_amp", "power", "duration_s", "n", "band_power"])
@@ -86,9 +90,4 @@ def features(found: DataFrame, sfreq: float, run: list[str] = ["subject"]) -> Da
         zero(F.median("peak_amp")).alias("peak_median"), zero(F.avg("power")).alias("power_mean"), zero(F.avg("duration_s")).alias("duration_mean"),
     )
     w = Window.partitionBy(*run)
-
-    def norm(c: str):
-        lo, hi = F.min(c).over(w), F.max(c).over(w)
-        return F.when(hi - lo < 1e-12, 0.0).otherwise((F.col(c) - lo) / (hi - lo + 1e-12)).alias(f"{c}_norm")
-
-    return g.select("*", *[norm(c) for c in ("rate", "band_power", "peak_mean", "peak_median", "power_mean", "duration_mean")])
+    return g.select("*", *[minmax(F.col(c), w).alias(f"{c}_norm") for c in ("rate", "band_power", "peak_mean", "peak_median", "power_mean", "duration_mean")])

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .connectivity import grouped, spread, window_chunks
+from .evaluation import minmax
 
 RUN = ["subject"]
 
@@ -30,12 +32,12 @@ def with_nodes(edges: DataFrame, nodes: DataFrame | None, keys: list[str], a: st
         return edges
     by = [k for k in keys if k in nodes.columns]
     graphs = edges.select(*keys).distinct()
-    every = graphs.join(nodes.select(*by, "channel"), by) if by else graphs.crossJoin(F.broadcast(nodes.select("channel"))) if keys else nodes
+    every = graphs.join(nodes.select(*by, "channel"), by) if by else graphs.crossJoin(nodes.select("channel")) if keys else nodes  # all of its rows are asked for
     return edges.select(*keys, a, b, "w").unionByName(every.select(*keys, F.col("channel").alias(a), F.col("channel").alias(b), F.lit(0.0).alias("w")))
 
 
 def per_graph(edges: DataFrame, keys: list[str], metrics, both: bool, a: str = "i", b: str = "j", nodes: DataFrame | None = None) -> DataFrame:
-    """metrics(matrix) -> {name: values}; rows (keys, channel, metric, value).  An Arrow group is one graph; see `with_nodes`."""
+    """metrics(matrix) -> {name: values}; rows (keys, channel, metric, value).  Graphs stream past a task one by one; see `with_nodes`."""
     kinds = dict(edges.dtypes)
     use = with_nodes(edges, nodes, keys, a, b)
     use = use if keys else use.withColumn("_g", F.lit(0))
@@ -47,7 +49,7 @@ def per_graph(edges: DataFrame, keys: list[str], metrics, both: bool, a: str = "
         return pd.concat(parts)
 
     schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "channel long, metric string, value double"
-    return use.groupBy(*by).applyInPandas(run, schema)
+    return grouped(use, by, run, schema)
 
 
 def directed_strength(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -64,6 +66,32 @@ def centralities(edges: DataFrame, keys: list[str], a: str = "i", b: str = "j",
     return per_graph(edges, keys, lambda w: K.ten_centralities(w, wanted), False, a, b, nodes)
 
 
+def path_centralities(edges: DataFrame, keys: list[str], a: str = "i", b: str = "j", nodes: DataFrame | None = None, block: int = 64) -> DataFrame:
+    """in_closeness, out_closeness, local_efficiency and betweenness, for graphs of any size: rows (keys, channel, metric, value).
+
+    A task has one graph and about `block` of its nodes, dealt by hash, as sources of shortest paths; what paths from different blocks
+    add to a node's betweenness is summed by Spark.
+    """
+    kinds = dict(edges.dtypes)
+    use = with_nodes(edges, nodes, keys, a, b).select(*keys, a, b, "w")
+    ends = use.select(*keys, F.explode(F.array(a, b)).alias("channel")).distinct()
+    size = ends.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    parts = use.join(size, keys).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        names, w = _dense(g, a, b, False)
+        mine = np.flatnonzero(names % g["_blocks"].iloc[0] == g["_b"].iloc[0])
+        n = len(names)
+        found = {"in_closeness": K.closeness_from(w.T, mine), "out_closeness": K.closeness_from(w, mine), "local_efficiency": K.local_efficiency(w, at=mine)[mine]}
+        rows = [pd.DataFrame({"channel": names[mine], "metric": m, "value": v}) for m, v in found.items()]
+        rows.append(pd.DataFrame({"channel": names, "metric": "betweenness", "value": K.betweenness_from(w, mine) / ((n - 1) * (n - 2) if n > 2 else 1)}))
+        return pd.concat(rows).assign(**{k: g[k].iloc[0] for k in keys})
+
+    by = [*keys, "_b"]
+    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "channel long, metric string, value double"
+    return spread(parts, by).groupBy(*by).applyInPandas(one, schema).groupBy(*keys, "channel", "metric").agg(F.sum("value").alias("value"))
+
+
 def node_metrics(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> DataFrame:
     """Strength, degree spread, eigenvector centrality and nodal efficiency, with `ok`."""
 
@@ -115,7 +143,7 @@ def multilayer_centrality(layers: DataFrame, coupling: float = 1.0, most: int |
         m = K.multilayer_centrality(x, coupling, most)
         return pd.DataFrame({"channel": np.repeat(names, len(times)), "layer": np.tile(times, len(names)), "value": m.ravel()}).assign(**{c: g[c].iloc[0] for c in run})
 
-    return layer_nodes(layers, nodes, run).groupBy(*run).applyInPandas(one, "".join(f"{c} {kinds[c]}, " for c in run) + "channel long, layer long, value double")
+    return spread(layer_nodes(layers, nodes, run), run).groupBy(*run).applyInPandas(one, "".join(f"{c} {kinds[c]}, " for c in run) + "channel long, layer long, value double")
 
 
 def quantise(x: DataFrame, percent: float, keys: list[str]) -> DataFrame:
@@ -125,23 +153,53 @@ def quantise(x: DataFrame, percent: float, keys: list[str]) -> DataFrame:
     return x.join(cut, keys).withColumn("value", level).drop("_lo", "_hi")
 
 
+def common_channels(layers: DataFrame, nodes: DataFrame, keys: list[str], among: str = "run") -> tuple[DataFrame, DataFrame]:
+    """Layers and nodes of the channels that all runs of their keys have."""
+    runs = nodes.groupBy(*keys).agg(F.count_distinct(among).alias("_runs"))
+    every = nodes.groupBy(*keys, "channel").agg(F.count_distinct(among).alias("_n")).join(runs, keys).where("_n = _runs").select(*keys, "channel")
+    for end in ("i", "j"):
+        layers = layers.join(every.withColumnRenamed("channel", end), [*keys, end], "left_semi")
+    return layers, nodes.join(every, [*keys, "channel"], "left_semi")
+
+
 def consensus(layers: DataFrame, couplings=(*range(1, 11), 15), percents=tuple(range(10, 90, 10)), sets: list[str] | None = None, keys: list[str] = RUN, nodes: DataFrame | None = None) -> DataFrame:
     """keys, channel, score, top: votes over couplings, percentiles and singular-vector combinations.
 
-    sets: columns that tell the runs and bands apart that are joined; all of them must have the same channels.
+    sets: columns that tell the runs and bands apart that are joined; all of them must have the same channels (see
+    `common_channels`).  Centralities of a set and coupling are one task, cases of a coupling another, and votes are sums.
     """
-    kinds = dict(layers.dtypes)
+    kinds, sets = dict(layers.dtypes), sets or []
+    typed = lambda cols: "".join(f"{c} {kinds[c]}, " for c in cols)
+    every = layer_nodes(layers, nodes, [*keys, *sets]).withColumn("coupling", F.explode(F.array(*[F.lit(float(c)) for c in couplings])))
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        built = [_layers(h) for _, h in g.groupby(sets)] if sets else [_layers(g)]
-        names = built[0][0]
-        if any(not np.array_equal(names, other) for other, _, _ in built):
-            raise ValueError("all runs and bands of a subject need the same channels")
-        score, top = K.consensus({c: [K.multilayer_centrality(x, c) for _, _, x in built] for c in couplings}, percents)
-        return pd.DataFrame({"channel": names, "score": score, "top": top}).assign(**{c: g[c].iloc[0] for c in keys})
+    def centralities_of(g: pd.DataFrame) -> pd.DataFrame:
+        names, times, x = _layers(g)
+        m = K.multilayer_centrality(x, float(g.coupling.iloc[0]))
+        return pd.DataFrame({"channel": np.repeat(names, len(times)), "layer": np.tile(times, len(names)), "value": m.ravel()}).assign(**{c: g[c].iloc[0] for c in by})
+
+    by = [*keys, *sets, "coupling"]
+    found = spread(every, by).groupBy(*by).applyInPandas(centralities_of, typed([*keys, *sets]) + "coupling double, channel long, layer long, value double")
+
+    def cases_of(g: pd.DataFrame) -> pd.DataFrame:
+        parts = [h.pivot(index="channel", columns="layer", values="value") for _, h in (g.groupby(sets) if sets else [(None, g)])]
+        names = parts[0].index
+        if any(not names.equals(p.index) for p in parts):
+            raise ValueError("all runs and bands that are joined need the same channels")
+        rows = []
+        for p in percents:
+            inside, worth = K.consensus_case(np.concatenate([K.quantise(m.to_numpy(), p) for m in parts], 1))
+            rows.append(pd.DataFrame({"channel": names, "vote": worth * inside, "worth": worth}))
+        return pd.concat(rows).assign(**{c: g[c].iloc[0] for c in keys})
+
+    case = [*keys, "coupling"]
+    votes = spread(found, case).groupBy(*case).applyInPandas(cases_of, typed(keys) + "channel long, vote double, worth double")
+    share = votes.groupBy(*keys, "channel").agg(F.sum("worth").alias("_w"), F.coalesce(F.try_divide(F.sum("vote"), F.sum("worth")), F.lit(0.0)).alias("score"))
+    share = share.withColumn("score", minmax(F.col("score"), Window.partitionBy(*keys)))
+
+    def top_of(g: pd.DataFrame) -> pd.DataFrame:
+        return g[[*keys, "channel", "score"]].assign(top=(K.three_means(g.score.to_numpy()) == 2) & (g["_w"] > 0))
 
-    whole = layer_nodes(layers, nodes, [*keys, *(sets or [])])
-    return whole.groupBy(*keys).applyInPandas(one, "".join(f"{c} {kinds[c]}, " for c in keys) + "channel long, score double, top boolean")
+    return share.groupBy(*keys).applyInPandas(top_of, typed(keys) + "channel long, score double, top boolean")
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -159,26 +217,30 @@ def standardised(wide: DataFrame) -> DataFrame:
     return wide.withColumn("samples", s)
 
 
-def fragility_heatmap(wide: DataFrame, width: int, step: int, sfreq: float, run: list[str] = RUN) -> DataFrame:
-    """run, window, t_sec, channel, value.  Channels are standardised as wholes; windows are spread over tasks, and one window's channels are one kernel call."""
+def fragility_heatmap(wide: DataFrame, width: int, step: int, sfreq: float, run: list[str] = RUN, windows: int = 8) -> DataFrame:
+    """run, window, t_sec, channel, value.  Channels are standardised as wholes; up to `windows` consecutive windows are one task's work."""
     kinds = dict(wide.dtypes)
-    wide = standardised(wide)
-    n = F.size("samples")
-    parts = wide.where(n >= width).select(*run, "channel", F.posexplode(F.sequence(F.lit(0), n - width, F.lit(step))).alias("window", "start"), "samples")
-    parts = parts.select(*run, F.col("window").cast("long").alias("window"), "start", "channel", F.slice("samples", F.col("start") + 1, width).alias("x"))
+    parts = window_chunks(standardised(wide), width, step, True, run, windows)
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("channel")
-        v = K.fragility(np.stack(g.x.to_numpy()))
-        return pd.DataFrame({"window": g.window.iloc[0], "t_sec": (g.start.iloc[0] + width / 2) / sfreq, "channel": g.channel, "value": v}).assign(**{c: g[c].iloc[0] for c in run})
+        x, ch = np.stack(g.x.to_numpy()), g.channel.to_numpy()
+        starts = np.arange(0, x.shape[1] - width + 1, step)
+        v = np.concatenate([K.fragility(x[:, at : at + width]) for at in starts])
+        k = g["first"].iloc[0] + np.arange(len(starts))
+        return pd.DataFrame({"window": np.repeat(k, len(ch)), "t_sec": np.repeat((k * step + width / 2) / sfreq, len(ch)), "channel": np.tile(ch, len(k)), "value": v}).assign(**{c: g[c].iloc[0] for c in run})
 
-    return parts.groupBy(*run, "window").applyInPandas(one, "".join(f"{c} {kinds[c]}, " for c in run) + "window long, t_sec double, channel long, value double")
+    by = [*run, "first"]
+    return spread(parts, by).groupBy(*by).applyInPandas(one, "".join(f"{c} {kinds[c]}, " for c in run) + "window long, t_sec double, channel long, value double")
 
 
-def attention_score(wide: DataFrame, length: int = 8, length_seq: int = 4, seed: int = 0, weights: dict[str, np.ndarray] | None = None, run: list[str] = RUN) -> DataFrame:
+def attention_score(
+    wide: DataFrame, length: int = 8, length_seq: int = 4, seed: int = 0, weights: dict[str, np.ndarray] | None = None, run: list[str] = RUN, by_subject: dict[str, dict[str, np.ndarray]] | None = None,
+) -> DataFrame:
     """Per channel the attention summed over time, scaled to 0..1, of the network's forward pass.
 
-    weights: see `kernels.network_weights`; without them they are drawn by the seed, and the score says nothing about a subject.
+    weights: see `kernels.network_weights`; by_subject: those of each subject, as `learning.train_attention` gives them.  Without
+    either they are drawn by the seed, and the score says nothing about a subject.
     """
     kinds = dict(wide.dtypes)
 
@@ -186,7 +248,9 @@ def attention_score(wide: DataFrame, length: int = 8, length_seq: int = 4, seed:
         g = g.sort_values("channel")
         x = np.stack(g.samples.to_numpy())
         x = (x - x.mean(1, keepdims=True)) / (x.std(1, keepdims=True) + 1e-6)
-        w = weights or K.network_weights(seed)
+        w = by_subject.get(str(g[run[0]].iloc[0])) if by_subject is not None else weights or K.network_weights(seed)
+        if w is None:  # nobody else to learn from
+            return pd.DataFrame({"channel": g.channel, "score": 0.0}).assign(**{c: g[c].iloc[0] for c in run})
         seq = np.array([K.gated_convolutions(x[:, k * length : (k + 1) * length], w) for k in range(x.shape[1] // length)])
         total = np.zeros(len(x))
         for t in range(length_seq, len(seq)):
@@ -194,7 +258,7 @@ def attention_score(wide: DataFrame, length: int = 8, length_seq: int = 4, seed:
         spread = total.max() - total.min()
         return pd.DataFrame({"channel": g.channel, "score": (total - total.min()) / (spread + 1e-12) if spread >= 1e-12 else 0 * total}).assign(**{c: g[c].iloc[0] for c in run})
 
-    return wide.groupBy(*run).applyInPandas(one, "".join(f"{c} {kinds[c]}, " for c in run) + "channel long, score double")
+    return spread(wide, run).groupBy(*run).applyInPandas(one, "".join(f"{c} {kinds[c]}, " for c in run) + "channel long, score double")
 
 
 def rank_channels(x: DataFrame, keys: list[str]) -> DataFrame:

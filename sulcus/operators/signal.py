@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,13 @@ def average_reference(x: DataFrame, run: list[str] = RUN) -> DataFrame:
     return x.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy(*run, "sample")))
 
 
+def array_average_reference(wide: DataFrame, run: list[str] = RUN) -> DataFrame:
+    """The same on one row per channel: the runs' mean signals are made sample by sample, and taken from whole channels."""
+    long = wide.select(*run, F.posexplode("samples").alias("sample", "value"))
+    mean = long.groupBy(*run, "sample").agg(F.avg("value").alias("value")).groupBy(*run).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "value"))), lambda v: v["value"]).alias("_mean"))
+    return wide.join(mean, run).withColumn("samples", F.zip_with("samples", "_mean", lambda v, m: v - m)).drop("_mean")
+
+
 def percentile_scale(x: DataFrame, q: float = 0.95, run: list[str] = RUN) -> DataFrame:
     """Divided by the run's exact percentile."""
     top = x.groupBy(*run).agg(F.percentile("value", F.lit(q)).alias("_top"))
@@ -85,7 +94,9 @@ def point_cap(x: DataFrame, most: int, run: list[str] = RUN) -> DataFrame:
 
 
 def band_power(x: DataFrame, run: list[str] = RUN) -> DataFrame:
-    return x.groupBy(*run, "channel").agg(F.avg(F.col("value") * F.col("value")).alias("power"))
+    """Mean square of each channel, NaN left out; NaN where nothing else is there."""
+    square = F.when(~F.isnan("value"), F.col("value") * F.col("value"))
+    return x.groupBy(*run, "channel").agg(F.coalesce(F.avg(square), F.lit(float("nan"))).alias("power"))
 
 
 def crop(x: DataFrame, sfreq: float, onset: float, before: float = 50.0, after: float = 50.0) -> DataFrame:
@@ -96,11 +107,16 @@ def crop(x: DataFrame, sfreq: float, onset: float, before: float = 50.0, after:
 def _per_channel(f) -> callable:
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: [float(y) for y in f(np.asarray(v, dtype=float))])
+        return pd.Series([np.asarray(f(np.asarray(v, dtype=float)), dtype=float) for v in s], dtype=object)
 
     return run
 
 
+def filtered(wide: DataFrame, *steps) -> DataFrame:
+    """Several kernels (functions of one channel's samples) one after another in one pass over Arrow batches."""
+    return wide.withColumn("samples", _per_channel(lambda v: functools.reduce(lambda x, f: f(x), steps, v))("samples"))
+
+
 def notch(wide: DataFrame, fs: float, freqs=(60.0, 180.0)) -> DataFrame:
     return wide.withColumn("samples", _per_channel(lambda v: K.notch(v, fs, freqs))("samples"))
 
