@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-import numpy as np
-
+from .operators.learning import load_weights
 from .plans import programs as P
 from .session import session, ship
 from .sources import readers
@@ -23,15 +22,18 @@ def parser() -> argparse.ArgumentParser:
 
     data, out = ("--data-dir", {"required": True}), ("--out-dir", {"required": True})
     files = (("--pattern", {"default": "*.np[yz]"}), ("--sfreq", {"type": float, "default": None}))
-    add("preprocess", "EDF recordings to conditioned signals and labels", data, out, ("--resample", {"type": float, "default": 500.0}), ("--before", {"type": float, "default": 50.0}), ("--after", {"type": float, "default": 50.0}))
+    add("preprocess", "EDF recordings to conditioned signals and labels", data, out, ("--resample", {"type": float, "default": 500.0}), ("--before", {"type": float, "default": 50.0}), ("--after", {"type": float, "default": 50.0}), ("--mat", {"action": "store_true", "help": "MAT files too"}))
     add("graph-features", "signals to node metrics of evolution modes", data, out, ("--participants", {"default": None}), ("--width", {"type": int, "default": 500}), ("--step", {"type": int, "default": 50}), ("--windows", {"type": int, "default": 20}), ("--hop", {"type": int, "default": 5}), ("--modes", {"type": int, "default": 10}))
     add(
         "loso", "node metrics to a leave-one-subject-out evaluation", ("--metrics", {"required": True}), ("--labels", {"required": True}), out, ("--time-bins", {"type": int, "default": 6}), ("--top-modes", {"type": int, "default": 10}),
         ("--sampling", {"choices": ["none", "undersample", "oversample"], "default": "undersample"}), ("--threshold", {"type": float, "default": 0.5}), ("--trees", {"type": int, "default": 300}), ("--depth", {"type": int, "default": 20}),
-        ("--seed", {"type": int, "default": 42}), ("--subjects", {"nargs": "+", "default": None}), ("--max-subjects", {"type": int, "default": None}),
+        ("--seed", {"type": int, "default": 42}), ("--subjects", {"nargs": "+", "default": None}), ("--max-subjects", {"type": int, "default": None}), ("--no-excel", {"action": "store_true"}),
     )
     add("baselines", "baseline features and their evaluation", data, out, *files, ("--methods", {"nargs": "+", "default": ["hfo", "fdccm", "mlevc", "fragility"]}), ("--max-points", {"type": int, "default": 1500}), ("--model", {"choices": ["forest", "logistic"], "default": "forest"}))
-    add("attention", "attention scores of a trained graph network", data, out, *files, ("--weights", {"required": True}))
+    add(
+        "attention", "attention scores of graph networks, each trained on the other subjects", data, out, *files, ("--weights", {"default": None, "help": "folder of networks of an earlier run"}),
+        ("--onset", {"type": int, "default": 50}), ("--sequence", {"type": int, "default": 20}), ("--epochs", {"type": int, "default": 10}), ("--lr", {"type": float, "default": 1e-4}), ("--hidden-dim", {"type": int, "default": 32}),
+    )
     return top
 
 
@@ -39,7 +41,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     a = parser().parse_args(argv)
     spark = spark or ship(session(a.master))
     if a.program == "preprocess":
-        P.preprocess(spark, a.data_dir, a.out_dir, a.resample, before=a.before, after=a.after)
+        P.preprocess(spark, a.data_dir, a.out_dir, a.resample, before=a.before, after=a.after, mat=a.mat)
     elif a.program == "graph-features":
         wide = spark.read.option("recursiveFileLookup", "false").parquet(a.data_dir)
         if a.participants:
@@ -51,7 +53,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
         chosen = readers.subjects(found, soz, a.subjects)
         if a.max_subjects:
             chosen = chosen.orderBy("subject").limit(a.max_subjects)
-        P.loso_classification(found.join(chosen, "subject", "left_semi"), soz, a.out_dir, a.time_bins, a.top_modes, a.sampling, a.threshold, a.trees, a.depth, a.seed)
+        P.loso_classification(found.join(chosen, "subject", "left_semi"), soz, a.out_dir, a.time_bins, a.top_modes, a.sampling, a.threshold, a.trees, a.depth, a.seed, not a.no_excel)
     else:
         wide = readers.dataset(spark, a.data_dir, a.pattern, a.sfreq)
         for rate in sorted(r["sfreq"] for r in wide.select("sfreq").distinct().collect()):  # a handful of rates
@@ -59,8 +61,8 @@ def main(argv: list[str] | None = None, spark=None) -> None:
             if a.program == "baselines":
                 P.baselines(some, rate, out, tuple(a.methods), a.max_points, a.model)
             else:
-                with np.load(a.weights, allow_pickle=False) as z:
-                    P.attention(some, rate, out, dict(z))
+                weights = load_weights(spark, a.weights) if a.weights else None
+                P.attention(some, rate, out, weights, a.onset, a.sequence, a.epochs, a.lr, a.hidden_dim)
 
 
 if __name__ == "__main__":

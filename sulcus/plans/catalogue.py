@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..operators import channels as C
 from ..operators import connectivity as N
 from ..operators import evaluation as L
 from ..operators import events as E
 from ..operators import graphs as G
+from ..operators import learning as T
 from ..operators import signal as S
 from ..session import shared_path
 from ..sources import readers, sinks
@@ -38,12 +40,13 @@ def _nodes(s, d):
 
 
 def fc(s, d, inclusive=True):
-    return N.sliding_correlation(X.dense(s, d), W, STEP, inclusive, R)
+    return N.block_correlation(X.dense_wide(s, d), W, STEP, inclusive, R)
 
 
 @query
 def fc_sliding_edges(s, d):
-    return r6(fc(s, d))
+    """By sums over the long table."""
+    return r6(N.sliding_correlation(X.dense(s, d), W, STEP, True, R))
 
 
 @query
@@ -53,7 +56,8 @@ def fc_sliding_edges_exclusive(s, d):
 
 @query
 def fc_sliding_edges_kernel(s, d):
-    return r6(N.sliding_correlation_kernel(X.dense_wide(s, d), W, STEP, run=R))
+    """By Gram matrices of blocks, three windows to a task."""
+    return r6(N.block_correlation(X.dense_wide(s, d), W, STEP, run=R, windows=3))
 
 
 @query
@@ -167,7 +171,7 @@ def hfo_features(s, d):
 
 @query
 def envelope_corr_layers(s, d):
-    return r6(N.envelope_layers(X.long_form(S.envelope(X.dense_wide(s, d))), W, STEP, run=R))
+    return r6(N.envelope_layers(S.envelope(X.dense_wide(s, d)), W, STEP, run=R))
 
 
 def _coherence(s, d):
@@ -239,10 +243,31 @@ def eigenvector_centrality(s, d):
     return r6(G.node_metrics(_undirected(s, d), [], X.nations(s, d)).where("metric = 'eigenvector'").select("channel", "value"), 4)
 
 
+def _period_graphs(s, d):
+    return N.quantile_sparsify(X.trade_graphs(s, d), 0.5, ["period"])
+
+
+@query
+def period_centralities(s, d):
+    """The ten centralities of many graphs, one for each year and order priority."""
+    return r6(G.centralities(_period_graphs(s, d), ["period"], "u", "v", X.nations(s, d)), 4)
+
+
+@query
+def period_path_metrics(s, d):
+    """Metrics of shortest paths in the same graphs, eight sources to a task."""
+    return r6(G.path_centralities(_period_graphs(s, d), ["period"], "u", "v", X.nations(s, d), 8), 4)
+
+
+@query
+def period_node_metrics(s, d):
+    """Strength, degree spread, eigenvector centrality and efficiency of the same graphs without directions."""
+    g = _period_graphs(s, d).groupBy("period", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j")).agg(F.sum("w").alias("w"))
+    return r6(G.node_metrics(g, ["period"], X.nations(s, d)).where("metric <> 'ok'"), 4)
+
+
 def _modes(s, d):
-    edges = fc(s, d, False)
-    pairs = edges.select(*R, "i", "j").distinct().groupBy(*R).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("p")).select(*R, F.posexplode("p").alias("edge", "p")).select(*R, "edge", "p.i", "p.j")
-    return N.evolution(N.edge_vectors(edges, R), OPW, 1, 2, R), pairs
+    return N.evolution(N.edge_vectors(fc(s, d, False), R), OPW, 1, 2, R), N.channel_pairs(_nodes(s, d), R)
 
 
 @query
@@ -277,6 +302,23 @@ def mean_success_rate(s, d):
     return G.mean_success(G.success_rate(_mode_metrics(s, d), R, _nodes(s, d)))
 
 
+def _odd_graph_rates(s, d):
+    """Every third graph of even subjects has weights that aren't numbers."""
+    odd = (F.col("window") % 3 == 1) & (F.col("subject") % 2 == 0)
+    edges = fc(s, d).withColumn("w", F.when(odd, float("nan")).otherwise(F.col("w")))
+    return G.success_rate(G.node_metrics(edges, [*R, "window"], _nodes(s, d)), R, _nodes(s, d))
+
+
+@query
+def odd_success_rate(s, d):
+    return r6(_odd_graph_rates(s, d))
+
+
+@query
+def odd_mean_success(s, d):
+    return r6(G.mean_success(_odd_graph_rates(s, d)))
+
+
 @query
 def ccm_scores(s, d):
     return r6(N.cross_mapping(X.bursts_wide(s, d), 2, 1), 5)
@@ -295,7 +337,7 @@ def fragility_heatmap(s, d):
 
 @query
 def mlevc(s, d):
-    return r6(G.multilayer_centrality(N.envelope_layers(X.long_form(S.envelope(X.dense_wide(s, d))), W, STEP, run=R), run=R, nodes=_nodes(s, d)), 5)
+    return r6(G.multilayer_centrality(N.envelope_layers(S.envelope(X.dense_wide(s, d)), W, STEP, run=R), run=R, nodes=_nodes(s, d)), 5)
 
 
 @query
@@ -309,6 +351,14 @@ def mlevc_consensus(s, d):
     return r6(G.consensus(layers, sets=["band"], keys=R, nodes=_nodes(s, d)), 5)
 
 
+@query
+def subject_consensus(s, d):
+    """Over all runs and bands of a subject, by the channels that its runs have in common."""
+    layers = N.coherence_layers(X.dense_wide(s, d), 512.0, W, STEP, 32 / 512.0, run=R)
+    layers, nodes = G.common_channels(layers, _nodes(s, d), ["subject"])
+    return r6(G.consensus(layers, couplings=(1, 5, 15), percents=(20, 40), sets=["run", "band"], keys=["subject"], nodes=nodes), 5)
+
+
 def _known(c: str):
     """NaN as null, which both engines compare alike."""
     return F.when(~F.isnan(c), F.col(c))
@@ -339,6 +389,19 @@ def normalize_scores(s, d):
     return r6(L.minmax_scores(X.scores(s, d), ["subject"]))
 
 
+@query
+def normalize_scores_odd(s, d):
+    """Subjects with NaN, infinite or no other than NaN scores."""
+    x = X.odd_scores(s, d)
+    return r6(L.minmax_scores(x, ["subject"]).withColumn("score", _known("score")))
+
+
+@query
+def band_power_odd(s, d):
+    """Signals in which samples are NaN, in one channel all of them."""
+    return r6(S.band_power(X.odd_signals(s, d), R).withColumn("power", _known("power")))
+
+
 @query
 def confusion_metrics(s, d):
     return r6(L.confusion(X.scores(s, d), 2.5, ["subject"]))
@@ -445,9 +508,19 @@ def gnn_attention_score(s, d):
     return r6(G.attention_score(X.dense_wide(s, d), run=R), 5)
 
 
+@query
+def gnn_loso_attention(s, d):
+    """The graph network trained on the other subjects, and its attention on each subject's channels."""
+    wide = X.dense_wide(s, d)
+    weights, _ = T.train_attention(wide.withColumn("samples", F.col("samples").cast("array<double>")), 8, 4, 6, epochs=2, rate=1e-3, hidden=8, per_update=1000)
+    return r6(G.attention_score(wide, 8, 4, run=R, by_subject=weights), 5)
+
+
 @query
 def filtered_signals(s, d):
-    w = S.resample(S.butterworth(S.bandpass(S.notch(X.dense_wide(s, d), 512.0), 512.0), 512.0, 80.0, 200.0), 512.0, 500.0)
+    sections = K.butter_sections(512.0, 80.0, 200.0)
+    steps = (lambda v: K.notch(v, 512.0), lambda v: K.bandpass(v, 512.0), lambda v: K.sections_both_ways(v, sections), lambda v: K.fft_resample(v, round(len(v) * 500 / 512)))
+    w = S.filtered(X.dense_wide(s, d), *steps)
     return r6(X.long_form(w).select(*R, "channel", "sample", "value"), 5)
 
 

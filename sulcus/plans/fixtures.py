@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,12 +48,22 @@ def bursts_wide(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("subject", "channel", F.col("s.value").alias("samples"))
 
 
+def trade_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """period, u, v, w: a directed weighted graph between nations for each year and order priority."""
+    return _trade(spark, d, F.concat_ws("-", F.year("o_orderdate").cast("string"), F.substring("o_orderpriority", 1, 1)).alias("period"))
+
+
 def trade_graph(spark: SparkSession, d: str) -> DataFrame:
     """u, v, w: directed weighted edges between nations."""
+    return _trade(spark, d)
+
+
+def _trade(spark: SparkSession, d: str, *keys: Column) -> DataFrame:
     line, orders, supp, cust = (_read(spark, d, t) for t in ("lineitem", "orders", "supplier", "customer"))
-    j = line.select("l_orderkey", "l_suppkey", "l_extendedprice").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = line.select("l_orderkey", "l_suppkey", "l_extendedprice").join(orders.select("o_orderkey", "o_custkey", *keys), F.col("l_orderkey") == F.col("o_orderkey"))
     j = j.join(supp.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(cust.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    return j.where("s_nationkey <> c_nationkey").groupBy(F.col("s_nationkey").cast("long").alias("u"), F.col("c_nationkey").cast("long").alias("v")).agg((F.sum("l_extendedprice") / 1e6).alias("w"))
+    names = ["period"] if keys else []
+    return j.where("s_nationkey <> c_nationkey").groupBy(*names, F.col("s_nationkey").cast("long").alias("u"), F.col("c_nationkey").cast("long").alias("v")).agg((F.sum("l_extendedprice") / 1e6).alias("w"))
 
 
 def nations(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +86,19 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(labels, "doc_id").select(F.col("source").alias("subject"), F.col("lang").alias("run"), F.col("doc_id").alias("channel"), F.col("toxic").cast("int").alias("y"), (F.col("n_chars") / 1000.0).cast("double").alias("score"))
 
 
+def odd_scores(spark: SparkSession, d: str) -> DataFrame:
+    """scores with NaN for every seventh channel, an infinite one in src1, a negative infinite one in src2, and nothing but NaN in src3."""
+    k = F.col("channel") % 7
+    odd = F.when((k == 0) | (F.col("subject") == "src3"), float("nan")).when((k == 1) & (F.col("subject") == "src1"), float("inf")).when((k == 1) & (F.col("subject") == "src2"), float("-inf"))
+    return scores(spark, d).withColumn("score", odd.otherwise(F.col("score")))
+
+
+def odd_signals(spark: SparkSession, d: str) -> DataFrame:
+    """dense with NaN for every fifth sample of channel 1 and all samples of channel 2."""
+    odd = ((F.col("channel") == 1) & (F.col("sample") % 5 == 0)) | (F.col("channel") == 2)
+    return dense(spark, d).withColumn("value", F.when(odd, float("nan")).otherwise(F.col("value")))
+
+
 def channels(spark: SparkSession, d: str) -> DataFrame:
     """subject, name, status, status_description."""
     p = _read(spark, d, "part")

@@ -147,6 +147,10 @@ _X1 = "round(value, 6) AS value"
 _MM = f"{F4}, mn AS (SELECT subject, metric, min(value) FILTER (isfinite(value)) AS lo, max(value) FILTER (isfinite(value)) AS hi FROM f4 GROUP BY ALL), mm AS (SELECT subject, channel, op_window, mode, metric, y, CASE WHEN lo IS NULL THEN 0 WHEN hi = lo THEN 0.5 WHEN isnan(value) THEN NULL ELSE least(greatest((value - lo) / (hi - lo), 0), 1) END AS value FROM f4 JOIN mn USING (subject, metric))"
 _BINS = "bn AS (SELECT op_window, CAST(ntile(3) OVER (ORDER BY op_window) - 1 AS BIGINT) AS bin FROM (SELECT DISTINCT op_window FROM f4))"
 
+#: Runs' success rates where every third graph of even subjects fails.
+_ODD_RATES = f"""WITH {F1}, {_corr('f1')}, graphs AS (SELECT DISTINCT subject, win FROM fc)
+SELECT subject, avg(CASE WHEN win % 3 = 1 AND subject // {RUNS} % 2 = 0 THEN 0.0::DOUBLE ELSE 1.0 END) AS success_rate FROM graphs GROUP BY subject"""
+
 ORACLE: dict[str, str] = {
     "fc_sliding_edges": f"WITH {F1}, {_corr('f1')} {_EDGES}",
     "fc_sliding_edges_kernel": f"WITH {F1}, {_corr('f1')} {_EDGES}",
@@ -168,7 +172,7 @@ ORACLE: dict[str, str] = {
     "hilbert_envelope": f"WITH {F1}, {_hilbert('f1', 64)} SELECT subject, channel, sample, round(sqrt(re * re + im * im), 6) AS env FROM an",
     "hfo_events": f"{_HFO} SELECT subject, channel, start, stop, round(peak_amp, 6) AS peak_amp, round(mean_amp, 6) AS mean_amp, round(power, 6) AS power, round(duration_s, 6) AS duration_s FROM ev",
     "hfo_rate": f"{_HFO} SELECT m.subject, m.channel, count(start) AS n_events, round(count(start) / (1.8 / 60), 6) AS rate FROM md m LEFT JOIN ev ON ev.subject = m.subject AND ev.channel = m.channel GROUP BY m.subject, m.channel",
-    "hfo_features": f"{_HFO}, bp AS (SELECT subject, channel, avg(value * value) AS b FROM cx GROUP BY ALL), hf AS (SELECT m.subject, m.channel, count(start) AS n_events, count(start) / (1.8 / 60) AS rate, max(b) AS band_power, coalesce(avg(peak_amp), 0) AS peak_mean, coalesce(median(peak_amp), 0) AS peak_median, coalesce(avg(power), 0) AS power_mean, coalesce(avg(duration_s), 0) AS duration_mean FROM bp m LEFT JOIN ev ON ev.subject = m.subject AND ev.channel = m.channel GROUP BY m.subject, m.channel) SELECT subject, channel, n_events, "
+    "hfo_features": f"{_HFO}, bp AS (SELECT subject, channel, avg(value * value) AS b FROM f2 GROUP BY ALL), hf AS (SELECT m.subject, m.channel, count(start) AS n_events, count(start) / (1.8 / 60) AS rate, max(b) AS band_power, coalesce(avg(peak_amp), 0) AS peak_mean, coalesce(median(peak_amp), 0) AS peak_median, coalesce(avg(power), 0) AS power_mean, coalesce(avg(duration_s), 0) AS duration_mean FROM bp m LEFT JOIN ev ON ev.subject = m.subject AND ev.channel = m.channel GROUP BY m.subject, m.channel) SELECT subject, channel, n_events, "
     + ", ".join(f"round({c}, 6) AS {c}, round(CASE WHEN max({c}) OVER w - min({c}) OVER w < 1e-12 THEN 0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w + 1e-12) END, 6) AS {c}_norm" for c in ("rate", "band_power", "peak_mean", "peak_median", "power_mean", "duration_mean"))
     + " FROM hf WINDOW w AS (PARTITION BY subject)",
     "envelope_corr_layers": f"WITH {_ENVFC}, q AS (SELECT subject, win, quantile_cont(abs(w), 0.8) AS t FROM fc WHERE w <> 0 GROUP BY ALL) SELECT subject, win AS \"window\", i, j, round(abs(w), 6) AS w FROM fc JOIN q USING (subject, win) WHERE abs(w) >= t",
@@ -192,10 +196,16 @@ ORACLE: dict[str, str] = {
     "mean_success_rate": "SELECT CAST(label AS BIGINT) AS subject, CAST(ceil(count(*) / 8) AS BIGINT) AS n_runs, 1.0::DOUBLE AS mean_success_rate FROM embeddings GROUP BY label",
     "nodal_efficiency": f"""WITH {_sparse(0.9)}, un AS (SELECT least(u, v) AS i, greatest(u, v) AS j, sum(w) AS w FROM sp GROUP BY ALL), ub AS (SELECT i AS u, j AS v, w FROM un UNION ALL SELECT j, i, w FROM un), {_minplus('ub', '1e-8')}
 SELECT nd.a AS channel, round(coalesce(avg(1 / d) FILTER (d > 0), 0), 6) AS value FROM nd LEFT JOIN d5 ON d5.a = nd.a GROUP BY nd.a""",
+    "odd_success_rate": f"SELECT subject, round(success_rate, 6) AS success_rate FROM ({_ODD_RATES})",
     "minmax_metrics": f"WITH {_MM} SELECT subject, channel, op_window, mode, metric, {_X1} FROM mm",
     "time_bins": f"WITH {_MM}, {_BINS} SELECT subject, channel, mode, metric, bin, round(coalesce(avg(value), 0), 6) AS value FROM mm JOIN bn USING (op_window) GROUP BY ALL",
     "feature_vectors": f"WITH {_MM}, {_BINS} SELECT subject, channel, y, CAST((bin * 2 + mode) * 2 + metric AS BIGINT) AS k, round(coalesce(avg(value), 0), 6) AS value FROM mm JOIN bn USING (op_window) GROUP BY subject, channel, y, bin, mode, metric",
     "normalize_scores": f"WITH {F5} SELECT subject, run, channel, y, round(CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-12) END, 6) AS score FROM f5 WINDOW w AS (PARTITION BY subject)",
+    "normalize_scores_odd": f"""WITH {F5}, odd AS (
+  SELECT subject, run, channel, y, CASE WHEN channel % 7 = 0 OR subject = 'src3' THEN NULL WHEN channel % 7 = 1 AND subject = 'src1' THEN 'inf'::DOUBLE WHEN channel % 7 = 1 AND subject = 'src2' THEN '-inf'::DOUBLE ELSE score END AS v FROM f5
+), r AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM odd WINDOW w AS (PARTITION BY subject))
+SELECT subject, run, channel, y, round(CASE WHEN lo IS NULL OR isinf(lo) OR isinf(hi) OR hi - lo < 1e-12 THEN 0 ELSE (v - lo) / (hi - lo + 1e-12) END, 6) AS score FROM r""",
+    "band_power_odd": f"WITH {F1} SELECT subject, channel, round(avg(value * value) FILTER (channel <> 2 AND (channel <> 1 OR sample % 5 <> 0)), 6) AS power FROM f1 GROUP BY ALL",
     "confusion_metrics": f"WITH {_CONF} SELECT subject, tp, fp, fn, tn, round(acc, 6) AS acc, round(sen, 6) AS sen, round(spec, 6) AS spec FROM cm",
     "roc_auc": f"WITH {F5}, r AS (SELECT subject, y, rank() OVER (PARTITION BY subject ORDER BY score) + (count(*) OVER (PARTITION BY subject, score) - 1) / 2 AS ar FROM f5) SELECT subject, round(coalesce((sum(ar * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0), 0.5), 6) AS auc FROM r GROUP BY subject",
     "average_precision": f"WITH {F5}, g AS (SELECT subject, score, sum(y) AS p, count(*) AS n FROM f5 GROUP BY ALL), c AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER (PARTITION BY subject) AS tp FROM g WINDOW w AS (PARTITION BY subject ORDER BY score DESC)) SELECT subject, round(sum(p / tp * cp / cn), 6) AS ap FROM c WHERE tp > 0 GROUP BY subject",
@@ -247,3 +257,119 @@ _TEN = {"in_strength": f"WITH {_sparse(0.9)}, {ND} SELECT a AS channel, coalesce
 _TEN |= {k: ORACLE[k].replace(", 6) AS value", ", 9) AS value") for k in ("in_closeness", "out_closeness", "clustering", "local_efficiency", "betweenness", "pagerank", "hubs", "authorities")}
 ORACLE["ten_centralities"] = " UNION ALL ".join(f"SELECT channel, '{k}' AS metric, round(value, 4) AS value FROM ({q})" for k, q in _TEN.items())
 ORACLE |= {name: f'SELECT subject // {RUNS} AS subject, subject % {RUNS} AS run, * EXCLUDE (subject) FROM ({sql})' for name, sql in ORACLE.items() if F1 in sql}
+
+ORACLE["odd_mean_success"] = f"SELECT subject // {RUNS} AS subject, count(*) AS n_runs, round(avg(success_rate), 6) AS mean_success_rate FROM ({_ODD_RATES}) GROUP BY 1"
+
+
+# -- the same metrics for many graphs, by period
+
+
+def _period_steps(edges: str, eps: str, name: str, levels: int = 5) -> str:
+    """Shortest distances within each period as <name><levels>(g, a, b, d), by repeated min-plus squaring."""
+    out = f"""{name}0 AS MATERIALIZED (
+  SELECT g, a, b, min(d) AS d FROM (SELECT g, u AS a, v AS b, 1 / (w + {eps}) AS d FROM {edges} UNION ALL SELECT g, a, a, 0.0 FROM gn) GROUP BY g, a, b
+)"""
+    for k in range(levels):
+        out += f""", {name}{k + 1} AS MATERIALIZED (
+  SELECT x.g, x.a, y.b, min(x.d + y.d) AS d FROM {name}{k} x JOIN {name}{k} y ON x.g = y.g AND x.b = y.a GROUP BY x.g, x.a, y.b
+)"""
+    return out
+
+
+def _period_leading(name: str, matrix: str, rounds: int = 400) -> str:
+    """<name>(g, a, x): the leading eigenvector of each period's matrix(g, a, b, m), of sum 1 if the matrix has any row."""
+    return f"""{name}m AS MATERIALIZED ({matrix}), {name}t AS (SELECT g, max(m) AS t FROM (SELECT g, a, sum(m) AS m FROM {name}m GROUP BY g, a) GROUP BY g), {name}i AS (
+  SELECT 0 AS k, g, a, 1.0::DOUBLE AS x FROM (SELECT DISTINCT g, a FROM {name}m)
+  UNION ALL
+  SELECT k + 1, g, a, x FROM (SELECT i.k, m.g, m.a, sum(m.m / t.t * i.x) AS x FROM {name}i i JOIN {name}m m ON m.g = i.g AND m.b = i.a JOIN {name}t t ON t.g = m.g WHERE i.k < {rounds} GROUP BY i.k, m.g, m.a)
+), {name} AS (
+  SELECT g, a, x, x / sqrt(sum(x * x) OVER (PARTITION BY g)) AS unit FROM (SELECT g, a, x / sum(x) OVER (PARTITION BY g) AS x FROM {name}i WHERE k = {rounds})
+)"""
+
+
+_PERIODS = """gf AS (
+  SELECT CAST(year(o_orderdate) AS VARCHAR) || '-' || substr(o_orderpriority, 1, 1) AS g, CAST(s_nationkey AS BIGINT) AS u, CAST(c_nationkey AS BIGINT) AS v, sum(l_extendedprice) / 1e6 AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2, 3
+), gq AS (
+  SELECT g, quantile_cont(w, 0.5) AS t FROM gf WHERE w > 0 GROUP BY g
+), gs AS MATERIALIZED (
+  SELECT gf.* FROM gf JOIN gq USING (g) WHERE w > 0 AND w >= t
+), gn AS MATERIALIZED (
+  SELECT g, CAST(n_nationkey AS BIGINT) AS a, count(*) OVER (PARTITION BY g) AS n FROM (SELECT DISTINCT g FROM gs), nation
+)"""
+
+
+def _period_closeness(a: str, b: str) -> str:
+    return f"""SELECT gn.g, gn.a, CASE WHEN t > 0 THEN r / t * r / (n - 1) ELSE 0 END AS value
+  FROM gn JOIN (SELECT g, {a} AS a, count(*) - 1 AS r, sum(d) AS t FROM d5 GROUP BY 1, 2) USING (g, a)"""
+
+
+_PERIOD_METRICS = {
+    "in_strength": "SELECT gn.g, gn.a, coalesce(s, 0) AS value FROM gn LEFT JOIN (SELECT g, v AS a, sum(w) AS s FROM gs GROUP BY 1, 2) USING (g, a)",
+    "out_strength": "SELECT gn.g, gn.a, coalesce(s, 0) AS value FROM gn LEFT JOIN (SELECT g, u AS a, sum(w) AS s FROM gs GROUP BY 1, 2) USING (g, a)",
+    "in_closeness": _period_closeness("b", "a"),
+    "out_closeness": _period_closeness("a", "b"),
+    "clustering": """SELECT gn.g, gn.a, CASE WHEN coalesce(t, 0) > 0 AND k * (k - 1) - 2 * coalesce(m, 0) > 0 THEN t / (k * (k - 1) - 2 * coalesce(m, 0)) ELSE 0 END AS value
+  FROM gn LEFT JOIN tri USING (g, a) LEFT JOIN (SELECT g, a, count(*) AS k FROM (SELECT g, u AS a FROM gs UNION ALL SELECT g, v FROM gs) GROUP BY 1, 2) USING (g, a)
+  LEFT JOIN (SELECT x.g, x.u AS a, count(*) AS m FROM gs x JOIN gs y ON x.g = y.g AND x.u = y.v AND x.v = y.u GROUP BY 1, 2) USING (g, a)""",
+    "local_efficiency": """SELECT gn.g, gn.a, coalesce(s / nullif(m * (m - 1), 0), 0) AS value
+  FROM gn LEFT JOIN (SELECT g, c AS a, count(*) AS m FROM nb GROUP BY 1, 2) USING (g, a) LEFT JOIN (SELECT g, c AS a, sum(1 / d) AS s FROM e5 WHERE e5.a <> e5.b GROUP BY 1, 2) USING (g, a)""",
+    "betweenness": """SELECT gn.g, gn.a, coalesce(k, 0) / ((n - 1) * (n - 2)) AS value FROM gn LEFT JOIN (
+    SELECT x.g, x.b AS a, count(*) AS k FROM d5 x JOIN d5 y ON x.g = y.g AND x.b = y.a JOIN d5 z ON z.g = x.g AND z.a = x.a AND z.b = y.b
+    WHERE x.a <> x.b AND y.a <> y.b AND x.a <> y.b AND abs(x.d + y.d - z.d) <= 1e-9 * z.d GROUP BY 1, 2
+  ) USING (g, a)""",
+    "pagerank": """SELECT g, a, x AS value FROM pr JOIN (
+    -- Rounds end when they change less than a millionth per node.
+    SELECT y.g, y.k FROM pr x JOIN pr y ON x.g = y.g AND x.a = y.a AND y.k = x.k + 1 GROUP BY y.g, y.k HAVING sum(abs(y.x - x.x)) < 1e-6 * count(*) QUALIFY row_number() OVER (PARTITION BY y.g ORDER BY y.k) = 1
+  ) USING (g, k)""",
+    "hubs": "SELECT gn.g, gn.a, coalesce(x, 0) AS value FROM gn LEFT JOIN hub USING (g, a)",
+    "authorities": "SELECT gn.g, gn.a, coalesce(x, 0) AS value FROM gn LEFT JOIN aut USING (g, a)",
+}
+
+_NEAR = """nb AS (
+  SELECT g, u AS c, v AS a FROM gs UNION SELECT g, v, u FROM gs
+), e0 AS MATERIALIZED (
+  SELECT x.g, x.c, s.u AS a, s.v AS b, 1 / (s.w + 1e-12) AS d FROM nb x JOIN gs s ON s.g = x.g AND s.u = x.a JOIN nb y ON y.g = x.g AND y.c = x.c AND y.a = s.v UNION ALL SELECT g, c, a, a, 0.0 FROM nb
+)"""
+for _k in range(5):
+    _NEAR += f""", e{_k + 1} AS MATERIALIZED (
+  SELECT x.g, x.c, x.a, y.b, min(x.d + y.d) AS d FROM e{_k} x JOIN e{_k} y ON x.g = y.g AND x.c = y.c AND x.b = y.a GROUP BY x.g, x.c, x.a, y.b
+)"""
+
+ORACLE["period_centralities"] = f"""
+WITH RECURSIVE {_PERIODS}, {_period_steps("gs", "1e-12", "d")}, {_NEAR}, cube AS (
+  SELECT g, u, v, cbrt(w / max(w) OVER (PARTITION BY g)) AS c FROM gs
+), both_ways AS (
+  SELECT g, u, v, sum(c) AS c FROM (SELECT g, u, v, c FROM cube UNION ALL SELECT g, v, u, c FROM cube) GROUP BY g, u, v
+), tri AS (
+  SELECT x.g, x.u AS a, sum(x.c * y.c * z.c) / 2 AS t FROM both_ways x JOIN both_ways y ON x.g = y.g AND x.v = y.u JOIN both_ways z ON z.g = y.g AND y.v = z.u AND z.v = x.u GROUP BY x.g, x.u
+), moves AS MATERIALIZED (
+  SELECT g, u, v, w / sum(w) OVER (PARTITION BY g, u) AS p FROM gs
+  UNION ALL SELECT x.g, x.a, y.a, 1.0 / x.n FROM gn x JOIN gn y ON x.g = y.g WHERE (x.g, x.a) NOT IN (SELECT g, u FROM gs)
+  UNION ALL SELECT g, a, a, 0.0 FROM gn  -- so that no node is lost on the way
+), pr AS (
+  SELECT 0 AS k, g, a, n, 1.0::DOUBLE / n AS x FROM gn
+  UNION ALL
+  SELECT k + 1, g, a, n, x FROM (SELECT i.k, i.g, m.v AS a, max(i.n) AS n, 0.85 * sum(i.x * m.p) + 0.15 / max(i.n) AS x FROM pr i JOIN moves m ON m.g = i.g AND m.u = i.a WHERE i.k < 60 GROUP BY i.k, i.g, m.v)
+), {_period_leading("hub", "SELECT x.g, x.u AS a, y.u AS b, sum(x.w * y.w) AS m FROM gs x JOIN gs y ON x.g = y.g AND x.v = y.v GROUP BY ALL")},
+{_period_leading("aut", "SELECT x.g, x.v AS a, y.v AS b, sum(x.w * y.w) AS m FROM gs x JOIN gs y ON x.g = y.g AND x.u = y.u GROUP BY ALL")}
+""" + " UNION ALL ".join(f"SELECT g AS period, a AS channel, '{k}' AS metric, round(value, 4) AS value FROM ({q})" for k, q in _PERIOD_METRICS.items())
+
+_PATHS = ("in_closeness", "out_closeness", "local_efficiency", "betweenness")
+ORACLE["period_path_metrics"] = f"WITH {_PERIODS}, {_period_steps('gs', '1e-12', 'd')}, {_NEAR} " + " UNION ALL ".join(
+    f"SELECT g AS period, a AS channel, '{k}' AS metric, round(value, 4) AS value FROM ({_PERIOD_METRICS[k]})" for k in _PATHS
+)
+
+_PERIOD_NODES = {
+    "strength": "SELECT gn.g, gn.a, coalesce(sum(w), 0) AS value FROM gn LEFT JOIN ub ON ub.g = gn.g AND ub.u = gn.a GROUP BY gn.g, gn.a",
+    "degree_std": "SELECT gn.g, gn.a, sqrt(greatest(coalesce(sum(w * w), 0) / max(n) - pow(coalesce(sum(w), 0) / max(n), 2), 0)) AS value FROM gn LEFT JOIN ub ON ub.g = gn.g AND ub.u = gn.a GROUP BY gn.g, gn.a",
+    "eigenvector": "SELECT gn.g, gn.a, coalesce(unit, 0) AS value FROM gn LEFT JOIN eig USING (g, a)",
+    "global_efficiency": "SELECT gn.g, gn.a, coalesce(avg(1 / d) FILTER (d > 0), 0) AS value FROM gn LEFT JOIN d5 ON d5.g = gn.g AND d5.a = gn.a GROUP BY gn.g, gn.a",
+}
+ORACLE["period_node_metrics"] = f"""
+WITH RECURSIVE {_PERIODS}, un AS (
+  SELECT g, least(u, v) AS i, greatest(u, v) AS j, sum(w) AS w FROM gs GROUP BY ALL
+), ub AS MATERIALIZED (
+  SELECT g, i AS u, j AS v, w FROM un UNION ALL SELECT g, j, i, w FROM un
+), {_period_steps("ub", "1e-8", "d")}, {_period_leading("eig", "SELECT x.g, x.u AS a, y.v AS b, sum(x.w * y.w) AS m FROM ub x JOIN ub y ON x.g = y.g AND x.v = y.u GROUP BY ALL")}
+""" + " UNION ALL ".join(f"SELECT g AS period, a AS channel, '{k}' AS metric, round(value, 4) AS value FROM ({q})" for k, q in _PERIOD_NODES.items())

@@ -12,8 +12,9 @@ from ..operators import connectivity as N
 from ..operators import evaluation as L
 from ..operators import events as E
 from ..operators import graphs as G
+from ..operators import learning as T
 from ..operators import signal as S
-from ..sources import readers, sinks
+from ..sources import office, readers, sinks
 
 RUN = ["subject", "run"]
 METRICS = ["strength", "degree_std", "eigenvector", "global_efficiency"]
@@ -34,39 +35,64 @@ def condition(wide: DataFrame, onsets: DataFrame, sfreq: float, target: float =
     return S.average_reference(x, RUN)
 
 
-def preprocess(spark: SparkSession, root: str, out: str, target: float = 500.0, least: float = 500.0, before: float = 50.0, after: float = 50.0) -> DataFrame:
-    """EDF recordings with their events and channel tables to conditioned signals and labels below `out`; returns what became of each file."""
-    rec = readers.edf(spark, root)
-    bad = rec.where("status <> 'ok'").select("path", "subject", "run", "status")
-    good = rec.where("status = 'ok'").drop("status")
-    fast = C.fast_enough(good.select("subject", "run", "sfreq").distinct(), least).select("subject").distinct()
-    slow = good.join(fast, "subject", "left_anti").select("path", "subject", "run", F.lit(f"sampling rate below {least:g} Hz").alias("status")).distinct()
-    good = good.join(fast, "subject", "left_semi")
-    stem = lambda c: F.regexp_replace(c, r"_[a-z]+\\.(edf|tsv)$", "")
-    tables = {k: readers.tsv(spark, f"{root}/**/*_{k}.tsv").withColumn("path", stem(F.input_file_name())) for k in ("events", "channels")}
-    onsets = tables["events"].withColumn("_r", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by(F.col("onset").cast("double"), "_r").alias("onset"))
-    good = good.withColumn("path", stem(F.col("path")))
-    described = good.join(tables["channels"].select("path", "name", "status", "status_description"), ["path", "name"]).where("status = 'good'").drop("status")
-    described = described.join(onsets, "path")
-    for rate in [r["sfreq"] for r in described.select("sfreq").distinct().collect()]:  # a handful of rates
-        some = described.where(F.col("sfreq") == rate)
-        x = condition(some.select(*RUN, "channel", "name", "samples"), some.select(*RUN, "onset").distinct(), rate, target, before=before, after=after)
+def recordings(spark: SparkSession, root: str, least: float = 500.0, **options) -> tuple[DataFrame, DataFrame]:
+    """EDF files below root with the tables beside them.
+
+    (channels, status): recording, subject, run, channel, name, sfreq, onset, status_description, samples of the good channels of
+    recordings that can be conditioned; and path, subject, run, status of every file.
+    """
+    parts = readers.edf_parts(spark, root, **options).withColumn("recording", readers.recording_of(F.col("path")))
+    facts = parts.groupBy("path", "recording", *RUN).agg(F.max("sfreq").alias("sfreq"), F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("fault"))
+    events = readers.tables_beside(spark, root, "events", ["onset"])
+    onsets = events.groupBy("recording").agg(F.min_by(F.col("onset").try_cast("double"), "row").alias("onset"), F.lit(True).alias("has_events"))
+    described = readers.tables_beside(spark, root, "channels", ["name", "status", "status_description"])
+    good = described.where("status = 'good'").select("recording", "name", "status_description").distinct()
+    tabled = described.groupBy("recording").agg(F.lit(True).alias("has_channels"))
+    matched = parts.where("status = 'ok'").select("recording", "name").distinct().join(good, ["recording", "name"], "left_semi").select("recording").distinct().withColumn("has_good", F.lit(True))
+    # The subject's first run decides on its sampling rate.
+    fast = C.fast_enough(facts.where("fault IS NULL").select(*RUN, "sfreq"), least).select("subject").distinct().withColumn("fast", F.lit(True))
+    known = facts.join(onsets, "recording", "left").join(tabled, "recording", "left").join(matched, "recording", "left").join(fast, "subject", "left")
+    status = (
+        F.when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("fast").isNull(), f"sampling rate below {least:g} Hz").when(F.col("has_events").isNull(), "no events table")
+        .when(F.col("onset").isNull(), "no onset").when(F.col("has_channels").isNull(), "no channels table").when(F.col("has_good").isNull(), "no good channel").otherwise("ok")
+    )
+    known = known.withColumn("status", status)
+    use = known.where("status = 'ok'").select("recording", "onset")
+    # Parts of bad channels go before channels are put together.
+    some = parts.where("status = 'ok'").drop("status", "path").join(good, ["recording", "name"]).join(use, "recording")
+    return readers.whole_channels(some), known.select("path", *RUN, "status")
+
+
+def preprocess(spark: SparkSession, root: str, out: str, target: float = 500.0, least: float = 500.0, before: float = 50.0, after: float = 50.0, low: float = 80.0, high: float = 200.0, mat: bool = False, **options) -> DataFrame:
+    """EDF recordings with their events and channel tables to conditioned signals, labels and a status row for every file, below `out`; returns the status.
+
+    With `mat`, signals and labels are written as MAT files too.
+    """
+    channels, status = recordings(spark, root, least, **options)
+    sinks.log(status, f"{out}/status")
+    status = spark.read.schema("path string, subject string, run string, status string").json(f"{out}/status")
+    for rate in [r["sfreq"] for r in channels.select("sfreq").distinct().collect()]:  # a handful of rates
+        some = channels.where(F.col("sfreq") == rate)
+        x = condition(some.select(*RUN, "channel", "name", "samples"), some.select(*RUN, "onset").distinct(), rate, target, low, high, before, after)
         wide = x.groupBy(*RUN, "channel", "name").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("s")).select(*RUN, "channel", "name", F.lit(target).alias("sfreq"), F.col("s.value").alias("samples"))
         sinks.signals(wide, f"{out}/signals/sfreq-{rate:g}")
+        if mat:
+            office.mat_signals(spark.read.schema("channel long, name string, sfreq double, samples array<double>, subject string, run string").parquet(f"{out}/signals/sfreq-{rate:g}"), f"{out}/mat/sfreq-{rate:g}")
     has = lambda word: F.coalesce(F.contains("status_description", F.lit(word)), F.lit(False)).cast("int")
-    sinks.labels(described.select("subject", "channel", "name", has("soz").alias("soz"), has("resect").alias("resected")).distinct(), f"{out}/labels")
-    done = good.select("path", *RUN).distinct().join(described.select(*RUN).distinct(), RUN, "left_semi").withColumn("status", F.lit("ok"))
-    status = done.unionByName(bad).unionByName(slow)
-    sinks.log(status, f"{out}/status")
+    said = channels.select("subject", "run", "channel", "name", has("soz").alias("soz"), has("resect").alias("resected"))
+    first = said.groupBy("subject").agg(F.min("run").alias("run"))  # a subject's labels are those of its first run
+    sinks.labels(said.join(first, ["subject", "run"], "left_semi"), f"{out}/labels")
+    if mat:
+        office.mat_labels(spark.read.parquet(f"{out}/labels"), f"{out}/mat")
     return status
 
 
 def graph_features(wide: DataFrame, out: str, width: int = 500, step: int = 50, windows: int = 20, hop: int = 5, modes: int = 10) -> DataFrame:
     """Signals to node metrics of evolution modes: correlation graphs, evolution operators, their modes as graphs.  Writes metrics and a log."""
     began = dt.datetime.now(dt.timezone.utc)
-    edges = N.sliding_correlation(S.average_reference(long_form(wide.select(*RUN, "channel", "samples")), RUN), width, step, False, RUN)
+    edges = N.block_correlation(S.array_average_reference(wide.select(*RUN, "channel", "samples"), RUN), width, step, False, RUN)
     nodes = wide.select(*RUN, "channel")
-    pairs = edges.select(*RUN, "i", "j").distinct().groupBy(*RUN).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("p")).select(*RUN, F.posexplode("p").alias("edge", "p")).select(*RUN, "edge", "p.i", "p.j")
+    pairs = N.channel_pairs(nodes, RUN)
     found = G.node_metrics(N.mode_graphs(N.evolution(N.edge_vectors(edges, RUN), windows, hop, modes, RUN), pairs, run=RUN), [*RUN, "op_window", "mode"], nodes)
     sinks.metrics(found, f"{out}/node_metrics")
     done = wide.sparkSession.read.parquet(f"{out}/node_metrics")
@@ -76,8 +102,8 @@ def graph_features(wide: DataFrame, out: str, width: int = 500, step: int = 50,
     return done
 
 
-def loso_classification(metrics: DataFrame, soz: DataFrame, out: str, bins: int = 6, modes: int = 10, sampling: str = "undersample", cut: float = 0.5, trees: int = 300, depth: int = 20, seed: int = 42) -> dict[str, DataFrame]:
-    """Node metrics and labels to the tables of a leave-one-subject-out evaluation, as CSV."""
+def loso_classification(metrics: DataFrame, soz: DataFrame, out: str, bins: int = 6, modes: int = 10, sampling: str = "undersample", cut: float = 0.5, trees: int = 300, depth: int = 20, seed: int = 42, excel: bool = True) -> dict[str, DataFrame]:
+    """Node metrics and labels to the tables of a leave-one-subject-out evaluation, as CSV and as a workbook."""
     place = F.array_position(F.array(*[F.lit(m) for m in METRICS]), F.col("metric")) - 1
     x = L.subject_runs(metrics.where(F.col("metric").isin(METRICS)).withColumn("metric", place.cast("long")), soz, bins, modes, len(METRICS))
     some = x.groupBy("subject", "run").agg(F.max("y").alias("y"))
@@ -90,6 +116,9 @@ def loso_classification(metrics: DataFrame, soz: DataFrame, out: str, bins: int
     names = x.sparkSession.createDataFrame(L.feature_names(bins, modes, METRICS), "feature long, bin long, mode long, metric string")
     tables |= {k: tables[k].join(names, "feature") for k in ("feature_importance_by_fold", "feature_importance_mean")}
     sinks.workbook(tables, out)
+    if excel:
+        names = {"summary_metrics": "summary", "subject_metrics": "subject_metrics", "run_metrics": "run_metrics", "channel_predictions": "channel_predictions", "skipped_subjects": "skipped"}
+        office.workbook({sheet: tables[k] for k, sheet in names.items()}, f"{out}/metric_loso_soz_results.xlsx")
     return tables
 
 
@@ -110,8 +139,7 @@ def baseline_features(wide: DataFrame, sfreq: float, method: str, points: int =
         g = N.quantile_sparsify(N.cross_mapping_connectivity(x, sfreq, most=points, run=RUN), 0.9, RUN)
         return G.centralities(g, RUN, nodes=nodes).select(*RUN, "channel", F.col("metric").alias("feature"), "value")
     if method == "mlevc":
-        env = long_form(S.envelope(x))
-        layers = N.envelope_layers(env, round(0.5 * sfreq), round(0.25 * sfreq), run=RUN)
+        layers = N.envelope_layers(S.envelope(x), round(0.5 * sfreq), round(0.25 * sfreq), run=RUN)
         return _named(G.multilayer_centrality(layers, run=RUN, nodes=nodes), "mlevc", "layer")
     if method == "fragility":
         return _named(G.fragility_heatmap(x, round(0.25 * sfreq), round(0.125 * sfreq), sfreq, RUN), "fragility", "window")
@@ -143,9 +171,20 @@ def baselines(wide: DataFrame, sfreq: float, out: str, methods: tuple[str, ...]
     return means
 
 
-def attention(wide: DataFrame, sfreq: float, out: str, weights: dict | None = None) -> DataFrame:
-    """Attention scores of the graph network on whole seconds, with metrics per subject.  Weights are trained elsewhere: see `graphs.train_attention`."""
-    score = G.attention_score(wide.select(*RUN, "channel", "samples"), round(sfreq), 20, weights=weights, run=RUN)
+def attention(wide: DataFrame, sfreq: float, out: str, weights: dict | None = None, onset: int = 50, sequence: int = 20, epochs: int = 10, rate: float = 1e-4, hidden: int = 32, seed: int = 0) -> DataFrame:
+    """Attention scores of the graph network on whole seconds, with metrics per subject.
+
+    Each subject's network is trained on the other subjects' runs, whose onset lies at segment `onset`; the networks and their losses
+    are written too.  weights: those of an earlier run, by subject.
+    """
+    x = wide.select(*RUN, "channel", "samples")
+    if weights is None:
+        weights, losses = T.train_attention(x, round(sfreq), sequence, onset, epochs, rate, hidden, seed=seed)
+        T.save_weights(wide.sparkSession, weights, f"{out}/weights")
+        sinks.report(losses, f"{out}/losses")
+    if not weights:
+        raise ValueError("networks are trained on other subjects' runs with segments before and after the onset, and there are none")
+    score = G.attention_score(x, round(sfreq), sequence, run=RUN, by_subject=weights)
     p = L.scores_of_runs(wide.select(*RUN, "channel", "name", "y"), score)
     sinks.report(p, f"{out}/attention_predictions")
     met = L.ranking_metrics(p)
