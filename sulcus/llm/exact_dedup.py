@@ -16,7 +16,7 @@ pass through `filter_documents`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WS, materialize
@@ -67,12 +67,11 @@ def _marked(docs: DataFrame, salts: int, p: str) -> DataFrame:
 
 def assign(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    # Dealt anew before the window: a window on the join's own partitioning would keep a hot digest from being split.
-    m = _marked(docs.select("doc_id", "text"), salts, "").drop("text").repartition("doc_id", "sha")
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("keep_len"))
-    # Rows that repeat both doc_id and text are the only ties left; one of them stays.
-    nth = F.row_number().over(Window.partitionBy("sha", "doc_id").orderBy(F.col("len").desc()))
-    return m.withColumn("nth", nth).select("doc_id", "keep_id", "group_size", (first & (F.col("nth") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
+    # Rows of one doc_id, content and length have equal results but for which of them stays, so they are counted, also where their key is hot.
+    m = _marked(docs.select("doc_id", "text"), salts, "").groupBy("doc_id", "sha", "len", "keep_id", "keep_len", "group_size").agg(F.count(F.lit(1)).alias("copies"))
+    m = m.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("keep_len")) & (F.col("nth") == 1)
+    return m.select("doc_id", "keep_id", "group_size", first.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def filter_documents(docs: DataFrame, salts: int = SALTS) -> DataFrame:

@@ -677,3 +677,19 @@ def test_token_counts(docs, fixture_rows, empty):
         want.append((r[0], sum(w.values()), sum(n * count("▁" + x) for x, n in w.items())))
     assert sorted(map(tuple, token_counts.token_counts(docs).collect()), key=str) == sorted(want, key=str)
     assert token_counts.token_counts(empty).count() == 0
+
+
+def test_toxicity_nested_entries():
+    """One entry for each evidence along a word; entries of other evidence stay."""
+    found = {"tras": (9, 1, 2.0), "trash": (9, 1, 2.0), "trash$": (9, 1, 2.0), "path": (5, 0, 3.0), "pathetic$": (5, 0, 3.0), "patho": (4, 0, 3.0), "tra": (9, 1, 2.0), "oath": (9, 1, 2.0), "moron$": (6, 0, 1.5)}
+    assert toxicity.without_nested(found) == {"trash": 2.0, "path": 3.0, "patho": 3.0, "oath": 2.0, "moron$": 1.5}
+
+
+def test_exact_dedup_hot_null_id(spark):
+    """Rows of null doc_id and one text are counted, not gathered; one of them stays."""
+    rows = [(None, "a b")] * 300 + [(None, "ab")] * 20 + [(1, " ab"), (1, "a b"), (2, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.assign(d).collect())
+    assert got == {(None, 1, 322, False): 320, (1, 1, 322, True): 1, (1, 1, 322, False): 1, (2, 2, 1, True): 1}
+    only = Counter((r.doc_id, r.kept) for r in exact_dedup.assign(d.where("doc_id is null")).collect())
+    assert only == {(None, False): 319, (None, True): 1}
