@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_TRAINING = 8_000
-MAX_ENTRIES = 2_000
 STEM = (4, 9)
 LEAST_DOCS, LEAST_Z, LEAST_WEIGHT = 5, 3.2, 1.2
 
@@ -225,6 +224,22 @@ def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(keys, pa.string()), pa.array([by[1][k] for k in keys], pa.int64()), pa.array([by[0][k] for k in keys], pa.int64())], names=["stem", "bad", "fine"])
 
 
+def without_nested(found: dict[str, tuple[int, int, float]]) -> dict[str, float]:
+    """Weights of entries (bad, fine, weight), one for each evidence along a word: of stems within each other that occur in as many
+    documents of either label the longest stays, and a whole word only where no stem says the same."""
+    by: dict[tuple, list[str]] = {}
+    for x, (bad, fine, _) in found.items():
+        by.setdefault((bad, fine), []).append(x)
+    out = {}
+    for same in by.values():
+        stems = [x for x in same if not x.endswith("$")]
+        for x in same:
+            nested = any(x.startswith(s) for s in stems) if x.endswith("$") else any(s != x and s.startswith(x) for s in stems)
+            if not nested:
+                out[x] = found[x][2]
+    return out
+
+
 def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton steps; the constant comes last."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -294,8 +309,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING, wi
         best = stems.where(F.col("bad") >= LEAST_DOCS).withColumn("weight", odds).withColumn("z", odds / spread)
         # Words of the grammar's own lists are no insults.
         listed = [w + "$" for ws in (THREATS, TARGETS, NEGATIONS, REPORTS) for w in ws]
-        best = best.where((F.col("z") >= LEAST_Z) & (F.col("weight") >= LEAST_WEIGHT) & ~F.col("stem").isin(listed)).orderBy(F.desc("z"), "stem").limit(MAX_ENTRIES).collect()
-        insults |= {r["stem"]: round(r["weight"], 4) for r in best}
+        best = best.where((F.col("z") >= LEAST_Z) & (F.col("weight") >= LEAST_WEIGHT) & ~F.col("stem").isin(listed)).collect()  # of a bounded sample's words
+        insults |= without_nested({r["stem"]: (r["bad"], r["fine"], round(r["weight"], 4)) for r in best})
         shared = spark.sparkContext.broadcast(insults)
 
         def seen_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
