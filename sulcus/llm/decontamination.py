@@ -170,7 +170,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     # Spans in order of start: each adds the words beyond the furthest stop so far.
     add = lambda a, s: F.struct((a["hit"] + F.greatest(F.lit(0), s["stop"] - F.greatest(s["start"], a["upto"]))).alias("hit"), F.greatest(a["upto"], s["stop"]).alias("upto"))
     hit = F.aggregate("spans", F.struct(F.lit(0).alias("hit"), F.lit(0).alias("upto")), add, lambda a: a["hit"].cast("long"))
-    out = texts.withColumn("n_hit", hit).join(_lists(texts, items), "signature", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    counted = texts.withColumn("n_hit", hit)
+    # Texts that met no set have no signature; in the join they would all meet in one task.
+    listed = counted.where("signature IS NOT NULL").join(_lists(texts, items), "signature", "left")
+    bare = counted.where("signature IS NULL").withColumns({"n_items": F.lit(0).cast("long"), "items_sha256": F.lit(None).cast("string")})
+    out = listed.unionByName(bare).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select(
         "doc_id", F.col("n").cast("long").alias("n_words"), "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans",
