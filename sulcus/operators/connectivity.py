@@ -151,6 +151,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(*keep, "i", "j").unionByName(edges.select(*keep, F.col("j").alias("i"), F.col("i").alias("j")))
 
 
+def matrix_rows(edges: DataFrame, order: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each graph's matrix as a plot shows them: keys, place, channel, row (array).  order: some of the keys, channel, place; missing edges and the diagonal are 0."""
+    by = [k for k in keys if k in order.columns]
+    graphs = edges.select(*keys).distinct().join(order, by)
+    to = order.select(*by, F.col("channel").alias("j"), F.col("place").alias("_to"))
+    cells = graphs.join(to, by).join(both_ways(edges).withColumnRenamed("i", "channel"), [*keys, "channel", "j"], "left")
+    row = F.transform(F.array_sort(F.collect_list(F.struct("_to", F.coalesce("w", F.lit(0.0)).alias("w")))), lambda c: c["w"])
+    return cells.groupBy(*keys, "place", "channel").agg(row.alias("row"))
+
+
 def _every_node(per_node: DataFrame, nodes: DataFrame | None, keys: list[str], value: str) -> DataFrame:
     """Rows of the nodes (some of the keys, channel) that no edge has: the value is 0 in each graph."""
     if nodes is None:

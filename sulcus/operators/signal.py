@@ -78,6 +78,14 @@ def sequence_targets(n_segments: DataFrame, length: int, onset_segment: int) ->
     return out.withColumns({"first": F.col("target") - length, "last": F.col("target") - 1, "y": (F.col("target") >= onset_segment).cast("int")}).drop("n")
 
 
+def sequences(segments: DataFrame, length: int, onset_segment: int, run: list[str] = RUN) -> DataFrame:
+    """segments: run columns, channel, segment (from 0, without gaps), value.  For each target from `length` on: the values of the `length` segments before it, in order, and y."""
+    w = Window.partitionBy(*run, "channel").orderBy("segment")
+    before = F.collect_list("value").over(w.rowsBetween(-length, -1))
+    out = segments.select(*run, "channel", F.col("segment").alias("target"), before.alias("sequence"))
+    return out.where(F.col("target") >= length).withColumn("y", (F.col("target") >= onset_segment).cast("int"))
+
+
 def delay_embedding(x: DataFrame, dim: int, tau: int, run: list[str] = RUN) -> DataFrame:
     """Coordinates e0.. of each sample that has all of them."""
     w = Window.partitionBy(*run, "channel").orderBy("sample")

@@ -17,7 +17,9 @@ from ..operators import learning as T
 from ..operators import signal as S
 from ..session import shared_path
 from ..sources import readers, sinks
+from . import file_queries, kernel_queries
 from . import fixtures as X
+from .oracle import ORACLE
 
 #: Keys of recordings in F1.
 R = X.RUN
@@ -627,3 +629,8 @@ def ranking_metrics(s, d):
 @query
 def run_metrics(s, d):
     return r6(L.with_auc(X.scores(s, d), 2.5, ["subject", "run"]))
+
+
+# The other modules' queries and their SQL.
+QUERIES |= kernel_queries.QUERIES | file_queries.QUERIES
+ORACLE |= kernel_queries.ORACLE_KERNELS | file_queries.ORACLE_FILES
