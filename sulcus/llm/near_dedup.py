@@ -13,8 +13,9 @@ probability Jaccard similarity of their weights.  Documents that agree in all re
   their smallest doc_id;
 * a bucket is open while its members are of several classes.  Which members of open buckets can still link classes is
   said by an exact prefix filter (see `prefixes`): shingles that one class has to itself count against a member, and two
-  members meet only at a shingle that is rare enough in both.  First each shingle's most promising member meets the
-  others, which merges most of what belongs together; then all pairs that the filter leaves are compared.
+  members meet only at a shingle that is rare enough in both, and only if counts of their shingles by remainder leave room
+  for enough in common.  First each shingle's most promising member meets the others, which merges most of what belongs
+  together; then all pairs that the filter leaves are compared.
 
 So two documents that share a bucket are in one class if they are similar enough, whatever the first step met.  Pairs are
 never made by bucket: what the filter leaves is what may be similar by weight.  Aggregates are map-side combined and ways
@@ -45,6 +46,8 @@ LEAST = 0.8
 ROUNDING = 1e-9
 BANDS = 20
 ROWS = 5
+#: Remainders by which a text's shingles are counted.
+SKETCH = 128
 REGISTERS = BANDS * ROWS
 
 
@@ -176,17 +179,21 @@ def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in slices(norms):
             own, h, n = shingles(*hash_words(norms[lo:hi]))
             size = np.bincount(own, n, hi - lo).astype(np.int64)
-            yield pa.record_batch([pa.array(ids[lo:hi][own]), pa.array(h.view(np.int64)), pa.array(n), pa.array(size[own])], names=["b", "h", "n", "size"])
+            spot = own * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64)
+            counts = np.bincount(spot, minlength=(hi - lo) * SKETCH).reshape(-1, SKETCH).astype(np.int32)
+            first = np.diff(own, prepend=-1) > 0  # the sketch stands at a text's first shingle only
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(first, SKETCH, 0))]).astype(np.int32)), pa.array(counts[own[first]].reshape(-1)))
+            yield pa.record_batch([pa.array(ids[lo:hi][own]), pa.array(h.view(np.int64)), pa.array(n), pa.array(size[own]), lists], names=["b", "h", "n", "size", "sketch"])
 
 
 def weights(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(b, h, n, size): each member's shingles, their counts, and the sum of its counts."""
+    """(b, h, n, size, sketch): each member's shingles, their counts, and the sum of its counts; once a member, how many of its shingles have each remainder of h."""
     here = texts.join(members.select(F.col("b").alias("node")).distinct().hint("merge"), "node", "left_semi")
-    return here.mapInArrow(_weights, "b long, h long, n long, size long")
+    return here.mapInArrow(_weights, "b long, h long, n long, size long, sketch array<int>")
 
 
 def prefixes(members: DataFrame, weighted: DataFrame) -> DataFrame:
-    """(h, class, b, a, size, left, extra): the shingles at which a member can meet a similar member of another class.
+    """(h, class, b, a, size, left, extra, sketch): the shingles at which a member can meet a similar member of another class.
 
     Let D be what members x and y of different classes have in common, and f(x) D's share of x's weight.  With weights
     scaled to a sum of 1, the inner sum of `similarity` is (1 - f(x)) / x_d + (1 - f(y)) / y_d and the largest of the two
@@ -198,7 +205,7 @@ def prefixes(members: DataFrame, weighted: DataFrame) -> DataFrame:
     most; a counts the shingles left out.  From there on x has `left` shingles, whose counts add up to `extra` more.
     """
     mine = members.select("b", "class").distinct()
-    rows = weighted.join(mine, "b")
+    rows = weighted.drop("sketch").join(mine, "b")
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("of"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("h", "of")
     rows = rows.join(shared, "h")
     # These windows hold one document's own shingles.
@@ -206,16 +213,25 @@ def prefixes(members: DataFrame, weighted: DataFrame) -> DataFrame:
     rest = F.sum("n").over(whole) - F.sum("n").over(upto) + F.col("n")
     rows = rows.withColumn("rest", rest).withColumn("left", F.count(F.lit(1)).over(whole) - F.count(F.lit(1)).over(upto) + 1)
     rows = rows.select("h", "class", "b", (1 - F.col("rest") / F.col("size")).alias("a"), "size", "left", (F.col("rest") - F.col("left")).alias("extra"))
-    return rows.where(F.col("a") <= 1 - LEAST + ROUNDING)
+    rows = rows.where(F.col("a") <= 1 - LEAST + ROUNDING)
+    return rows.join(weighted.where(F.size("sketch") > 0).select("b", "sketch").hint("merge"), "b").select("h", "class", "b", "a", "size", "left", "extra", "sketch")
 
 
 def may_link(x: str, y: str) -> Column:
     """Whether members may be similar enough whose first common shingle is this one: prefixes of the columns of both sides.
 
-    D is at most what either has from here on, and has no more of y's weight than the shingles that x has left can carry.
+    D is at most what either has from here on, and has no more of y's weight than the shingles that x has left can carry.  Nor has
+    it more shingles of a remainder than the one of x and y that has fewer of them; counts above 1 may all be in it.
     """
-    share = [F.least(1 - F.col(f"{p}a"), (F.col(f"{q}left") + F.col(f"{p}extra")) / F.col(f"{p}size")) for p, q in ((x, y), (y, x))]
-    return 1 / share[0] + 1 / share[1] <= 1 + 1 / LEAST + ROUNDING
+    def small(shares: list[Column]) -> Column:
+        return 1 / shares[0] + 1 / shares[1] <= 1 + 1 / LEAST + ROUNDING
+
+    total = lambda v: F.aggregate(v, F.lit(0), lambda a, n: a + n)
+    sides = ((x, y), (y, x))
+    share = [F.least(1 - F.col(f"{p}a"), (F.col(f"{q}left") + F.col(f"{p}extra")) / F.col(f"{p}size")) for p, q in sides]
+    both = total(F.zip_with(f"{x}sketch", f"{y}sketch", lambda a, b: F.least(a, b)))
+    again = [F.least(s, (both + F.col(f"{p}size") - total(f"{p}sketch")) / F.col(f"{p}size")) for s, (p, _) in zip(share, sides)]
+    return small(share) & small(again)
 
 
 def _sided(rows: DataFrame, side: str) -> DataFrame:
@@ -229,7 +245,7 @@ def _met(x: DataFrame, y: DataFrame) -> DataFrame:
 
 def least_pairs(rows: DataFrame) -> DataFrame:
     """Distinct pairs of each shingle's member with the least weight before it with the members of other classes: linear."""
-    best = rows.groupBy("h").agg(F.min(F.struct("a", "class", "b", "size", "left", "extra")).alias("best")).select("h", "best.*")
+    best = rows.groupBy("h").agg(F.min(F.struct("a", "class", "b", "size", "left", "extra", "sketch")).alias("best")).select("h", "best.*")
     return _met(best, rows)
 
 

@@ -583,6 +583,26 @@ def test_near_dedup_filter_is_linear_on_private_changes(spark):
     assert near_dedup.filtered_pairs(near_dedup.prefixes(m, near_dedup.weights(m, texts))).count() == 0
 
 
+def test_near_dedup_filter_on_a_template_with_shared_blocks(spark):
+    """Texts of one template and six of forty blocks look alike and are mostly too far apart: pairs that are left don't grow with their square."""
+    squeeze, left = zstandard.ZstdCompressor(), {}
+    for n in (150, 300):
+        rng = random.Random(9)
+        template = [f"t{i}" for i in range(150)]
+        blocks = [[f"b{k}x{i}" for i in range(10)] for k in range(40)]
+        rows = [(k, " ".join(template + [w for b in rng.sample(blocks, 6) for w in b])) for k in range(n)]
+        texts = spark.createDataFrame([(i, bytearray(squeeze.compress(t.encode()))) for i, t in rows], "node long, z binary")
+        m = spark.createDataFrame([(i, i, 1) for i, _ in rows], "b long, class long, key long")
+        got = {tuple(r) for r in near_dedup.filtered_pairs(near_dedup.prefixes(m, near_dedup.weights(m, texts))).collect()}
+        sets = shingle_sets(rows)
+        # Similar texts have 8/9 of either's shingles in common at least, so the others need no sum.
+        close = [(a, b) for b in sets for a in range(b) if len(sets[a].keys() & sets[b].keys()) >= 0.88 * max(len(sets[a]), len(sets[b]))]
+        want = {(a, b) for a, b in close if probability_jaccard(sets[a], sets[b]) >= 0.8}
+        assert want <= got
+        left[n] = len(got)
+    assert left[300] <= 300, left
+
+
 def test_near_dedup_doc_id_of_several_texts(spark):
     """A doc_id's several texts each bring their near copies into its class."""
     rng = random.Random(8)
