@@ -15,24 +15,35 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--master", default="local[*]")
     sub = top.add_subparsers(dest="program", required=True)
 
-    def add(name: str, help: str, *options: tuple[str, dict]) -> None:
+    def add(name: str, help: str, *flags: str, **options: tuple) -> argparse.ArgumentParser:
+        """A program with flags that are required, and options (name: type and default)."""
         p = sub.add_parser(name, help=help)
-        for flag, how in options:
-            p.add_argument(flag, **how)
+        for flag in flags:
+            p.add_argument(flag, required=True)
+        for name, (kind, default) in options.items():
+            p.add_argument("--" + name.replace("_", "-"), type=kind, default=default)
+        return p
 
-    data, out = ("--data-dir", {"required": True}), ("--out-dir", {"required": True})
-    files = (("--pattern", {"default": "*.np[yz]"}), ("--sfreq", {"type": float, "default": None}))
-    add("preprocess", "EDF recordings to conditioned signals and labels", data, out, ("--resample", {"type": float, "default": 500.0}), ("--before", {"type": float, "default": 50.0}), ("--after", {"type": float, "default": 50.0}), ("--mat", {"action": "store_true", "help": "MAT files too"}))
-    add("graph-features", "signals to node metrics of evolution modes", data, out, ("--participants", {"default": None}), ("--width", {"type": int, "default": 500}), ("--step", {"type": int, "default": 50}), ("--windows", {"type": int, "default": 20}), ("--hop", {"type": int, "default": 5}), ("--modes", {"type": int, "default": 10}))
+    files = {"pattern": (str, "*.np[yz]"), "sfreq": (float, None)}
+    p = add("preprocess", "EDF recordings to conditioned signals and labels", "--data-dir", "--out-dir", resample=(float, 500.0), before=(float, 50.0), after=(float, 50.0))
+    p.add_argument("--mat", action="store_true", help="MAT files too")
     add(
-        "loso", "node metrics to a leave-one-subject-out evaluation", ("--metrics", {"required": True}), ("--labels", {"required": True}), out, ("--time-bins", {"type": int, "default": 6}), ("--top-modes", {"type": int, "default": 10}),
-        ("--sampling", {"choices": ["none", "undersample", "oversample"], "default": "undersample"}), ("--threshold", {"type": float, "default": 0.5}), ("--trees", {"type": int, "default": 300}), ("--depth", {"type": int, "default": 20}),
-        ("--seed", {"type": int, "default": 42}), ("--subjects", {"nargs": "+", "default": None}), ("--max-subjects", {"type": int, "default": None}), ("--no-excel", {"action": "store_true"}),
+        "graph-features", "signals to node metrics of evolution modes", "--data-dir", "--out-dir",
+        participants=(str, None), width=(int, 500), step=(int, 50), windows=(int, 20), hop=(int, 5), modes=(int, 10),
     )
-    add("baselines", "baseline features and their evaluation", data, out, *files, ("--methods", {"nargs": "+", "default": ["hfo", "fdccm", "mlevc", "fragility"]}), ("--max-points", {"type": int, "default": 1500}), ("--model", {"choices": ["forest", "logistic"], "default": "forest"}))
+    p = add(
+        "loso", "node metrics to a leave-one-subject-out evaluation", "--metrics", "--labels", "--out-dir",
+        time_bins=(int, 6), top_modes=(int, 10), threshold=(float, 0.5), trees=(int, 300), depth=(int, 20), seed=(int, 42), max_subjects=(int, None),
+    )
+    p.add_argument("--sampling", choices=["none", "undersample", "oversample"], default="undersample")
+    p.add_argument("--subjects", nargs="+")
+    p.add_argument("--no-excel", action="store_true")
+    p = add("baselines", "baseline features and their evaluation", "--data-dir", "--out-dir", **files, max_points=(int, 1500))
+    p.add_argument("--methods", nargs="+", default=["hfo", "fdccm", "mlevc", "fragility"])
+    p.add_argument("--model", choices=["forest", "logistic"], default="forest")
     add(
-        "attention", "attention scores of graph networks, each trained on the other subjects", data, out, *files, ("--weights", {"default": None, "help": "folder of networks of an earlier run"}),
-        ("--onset", {"type": int, "default": 50}), ("--sequence", {"type": int, "default": 20}), ("--epochs", {"type": int, "default": 10}), ("--lr", {"type": float, "default": 1e-4}), ("--hidden-dim", {"type": int, "default": 32}),
+        "attention", "attention scores of graph networks, each trained on the other subjects, or of an earlier run's", "--data-dir", "--out-dir", **files,
+        weights=(str, None), onset=(int, 50), sequence=(int, 20), epochs=(int, 10), lr=(float, 1e-4), hidden_dim=(int, 32),
     )
     return top
 

@@ -117,6 +117,35 @@ def test_config_file(spark, tmp_path):
         support.settings(spark, "burst_windows", f"file://{tmp_path}/bad.json")
 
 
+class Kept:
+    """A session that outlives the command line that stops it."""
+
+    def __init__(self, spark):
+        self.spark, self.stopped = spark, 0
+
+    def __getattr__(self, name):
+        return getattr(self.spark, name)
+
+    def stop(self):
+        self.stopped += 1
+
+
+def test_command_lines(spark, sf, tmp_path, monkeypatch):
+    """Paths, settings and the session's end; an error ends it too."""
+    kept = Kept(spark)
+    monkeypatch.setattr(support, "session", lambda master: kept)
+    (tmp_path / "c.json").write_text(json.dumps({"hours": 24}))
+    support.main("burst_windows", "", ("events",), burst_windows.run, ["--events", f"{sf}/events.parquet", "--out", f"{tmp_path}/one", "--config", f"{tmp_path}/c.json"])
+    whole = burst_windows.output(spark, f"{tmp_path}/one")
+    assert kept.stopped == 1 and whole.selectExpr("sum(n)").first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert whole.select("day").distinct().count() == whole.select("window").distinct().count()
+    support.main("label_audit", "", ("documents", "labels"), label_audit.run, ["--documents", f"{sf}/documents.parquet", "--labels", f"{sf}/labels.parquet", "--out", f"{tmp_path}/two"])
+    assert kept.stopped == 2 and label_audit.output(spark, f"{tmp_path}/two").count() == spark.read.parquet(f"{sf}/labels.parquet").count()
+    with pytest.raises(Exception, match="(?i)path"):
+        support.main("burst_windows", "", ("events",), burst_windows.run, ["--events", f"{tmp_path}/absent", "--out", f"{tmp_path}/three"])
+    assert kept.stopped == 3
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_against_sql(spark, sf, name):
     con = duckdb.connect()
