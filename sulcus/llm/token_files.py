@@ -14,7 +14,7 @@ under a name of the attempt and renamed, so a lost executor's repetition leaves
 
 Defined cases: null and empty texts hold the end id alone; null doc_ids come first; rows that repeat a doc_id follow one
 another; a long text is one frame, encoded whole; an empty table gives files without frames and an empty result; columns
-other than doc_id and text are not read.
+other than doc_id and text, of whatever names, are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ and a logistic curve from a document's clause scores to its probability.
 Defined cases: null and empty texts get the probability of a text without matches; no labels, or of one class, leave the
 built-in lexicon, the prior factors and a fixed curve; null labels are left out; a labelled doc_id of several texts teaches by
 the first in their order; repeated rows are each scored; a long text is read once, whole; an empty table gives an empty
-result; no column but text is an input of a score.
+result; other columns, of whatever names, are not read, and no column but text is an input of a score.
 """
 
 from __future__ import annotations
