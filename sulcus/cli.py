@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sampling", choices=["none", "undersample", "oversample"], default="undersample")
     p.add_argument("--subjects", nargs="+")
     p.add_argument("--no-excel", action="store_true")
-    p = add("baselines", "baseline features and their evaluation", "--data-dir", "--out-dir", **files, max_points=(int, 1500))
+    p = add("baselines", "baseline features and their evaluation", "--data-dir", "--out-dir", **files, max_points=(int, 1500), onset=(float, 50.0))
     p.add_argument("--methods", nargs="+", default=["hfo", "fdccm", "mlevc", "fragility"])
     p.add_argument("--model", choices=["forest", "logistic"], default="forest")
     add(
@@ -70,7 +70,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
         for rate in sorted(r["sfreq"] for r in wide.select("sfreq").distinct().collect()):  # a handful of rates
             some, out = wide.where(wide.sfreq == rate), f"{a.out_dir}/sfreq-{rate:g}"
             if a.program == "baselines":
-                P.baselines(some, rate, out, tuple(a.methods), a.max_points, a.model)
+                P.baselines(some, rate, out, tuple(a.methods), a.max_points, a.model, a.onset)
             else:
                 weights = load_weights(spark, a.weights) if a.weights else None
                 P.attention(some, rate, out, weights, a.onset, a.sequence, a.epochs, a.lr, a.hidden_dim)

@@ -123,7 +123,7 @@ def channel_tables(s, d):
 @query
 def registry(s, d):
     """Adopted participants of a registry that is a workbook: every customer of a balance above 0."""
-    people = X._read(s, d, "customer").select(F.concat(F.lit("HUP"), "c_custkey").alias("participant_id"), F.col("c_nationkey").alias("all_nodes"), (F.col("c_acctbal") > 0).cast("int").alias("adopt"))
+    people = X._read(s, d, "customer").select(F.concat(F.lit("P"), "c_custkey").alias("participant_id"), F.col("c_nationkey").alias("all_nodes"), (F.col("c_acctbal") > 0).cast("int").alias("adopt"))
     office.workbook({"participants": people}, path := f"{shared_path(s, 'registry')}/participants.xlsx")
     return readers.participants(s, path).select("participant_id", F.col("all_nodes").cast("long").alias("all_nodes"))
 
@@ -169,7 +169,7 @@ SELECT 'sub-' || (subject // {RUNS}) AS subject, 'run-0' AS run, true AS filled
 SELECT subject, channel, 'C' || channel AS name, 32.0::DOUBLE AS sfreq, CAST(sum(v) AS BIGINT) AS steps, CAST(sum(v * sample) AS BIGINT) AS weighted FROM q GROUP BY subject, channel"""),
     "channel_tables": f"""WITH {F6}
 SELECT translate(subject, '_#', '--') AS subject, row_number() OVER (PARTITION BY subject ORDER BY row) AS row, name, status, status_description, true AS absent FROM f6""",
-    "registry": "SELECT 'HUP' || c_custkey AS participant_id, CAST(c_nationkey AS BIGINT) AS all_nodes FROM customer WHERE c_acctbal > 0",
+    "registry": "SELECT 'P' || c_custkey AS participant_id, CAST(c_nationkey AS BIGINT) AS all_nodes FROM customer WHERE c_acctbal > 0",
     "workbook_round_trip": ORACLE["confusion_metrics"],
     "metric_round_trip": ORACLE["fc_node_strength"],
     "feature_csv_round_trip": f"WITH {F5} SELECT subject, run, channel, 'score' AS feature, round(score, 6) AS value FROM f5",

@@ -35,20 +35,20 @@ def condition(wide: DataFrame, onsets: DataFrame, sfreq: float, target: float =
     return S.average_reference(x, RUN)
 
 
-def recordings(spark: SparkSession, root: str, least: float = 500.0, **options) -> tuple[DataFrame, DataFrame]:
-    """EDF files below root with the tables beside them.
+def recordings(spark: SparkSession, root: str, least: float = 500.0, **options) -> tuple[DataFrame, DataFrame, list[float]]:
+    """EDF files below root with the tables beside them; all but the samples is known from headers alone.
 
-    (channels, status): recording, subject, run, channel, name, sfreq, onset, status_description, samples of the good channels of
-    recordings that can be conditioned; and path, subject, run, status of every file.
+    (channels, status, rates): recording, subject, run, channel, name, sfreq, onset, status_description, samples of the good channels of
+    recordings that can be conditioned; path, subject, run, status of every file; and the good channels' sampling rates.
     """
-    parts = readers.edf_parts(spark, root, **options).withColumn("recording", readers.recording_of(F.col("path")))
-    facts = parts.groupBy("path", "recording", *RUN).agg(F.max("sfreq").alias("sfreq"), F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("fault"))
+    heads, parts = (readers.edf_parts(spark, root, **o, **options).withColumn("recording", readers.recording_of(F.col("path"))) for o in ({"headers": "true"}, {}))
+    facts = heads.groupBy("path", "recording", *RUN).agg(F.max("sfreq").alias("sfreq"), F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("fault"))
     events = readers.tables_beside(spark, root, "events", ["onset"])
     onsets = events.groupBy("recording").agg(F.min_by(F.col("onset").try_cast("double"), "row").alias("onset"), F.lit(True).alias("has_events"))
     described = readers.tables_beside(spark, root, "channels", ["name", "status", "status_description"])
     good = described.where("status = 'good'").select("recording", "name", "status_description").distinct()
     tabled = described.groupBy("recording").agg(F.lit(True).alias("has_channels"))
-    matched = parts.where("status = 'ok'").select("recording", "name").distinct().join(good, ["recording", "name"], "left_semi").select("recording").distinct().withColumn("has_good", F.lit(True))
+    matched = heads.where("status = 'ok'").select("recording", "name").distinct().join(good, ["recording", "name"], "left_semi").select("recording").distinct().withColumn("has_good", F.lit(True))
     # The subject's first run decides on its sampling rate.
     fast = C.fast_enough(facts.where("fault IS NULL").select(*RUN, "sfreq"), least).select("subject").distinct().withColumn("fast", F.lit(True))
     known = facts.join(onsets, "recording", "left").join(tabled, "recording", "left").join(matched, "recording", "left").join(fast, "subject", "left")
@@ -60,7 +60,8 @@ def recordings(spark: SparkSession, root: str, least: float = 500.0, **options)
     use = known.where("status = 'ok'").select("recording", "onset")
     # Parts of bad channels go before channels are put together.
     some = parts.where("status = 'ok'").drop("status", "path").join(good, ["recording", "name"]).join(use, "recording")
-    return readers.whole_channels(some), known.select("path", *RUN, "status")
+    rates = heads.where("status = 'ok'").join(good, ["recording", "name"], "left_semi").join(use, "recording", "left_semi").select("sfreq").distinct()
+    return readers.whole_channels(some), known.select("path", *RUN, "status"), sorted(r["sfreq"] for r in rates.collect())  # a handful
 
 
 def preprocess(spark: SparkSession, root: str, out: str, target: float = 500.0, least: float = 500.0, before: float = 50.0, after: float = 50.0, low: float = 80.0, high: float = 200.0, mat: bool = False, **options) -> DataFrame:
@@ -68,10 +69,10 @@ def preprocess(spark: SparkSession, root: str, out: str, target: float = 500.0,
 
     With `mat`, signals and labels are written as MAT files too.
     """
-    channels, status = recordings(spark, root, least, **options)
+    channels, status, rates = recordings(spark, root, least, **options)
     sinks.log(status, f"{out}/status")
     status = spark.read.schema("path string, subject string, run string, status string").json(f"{out}/status")
-    for rate in [r["sfreq"] for r in channels.select("sfreq").distinct().collect()]:  # a handful of rates
+    for rate in rates:
         some = channels.where(F.col("sfreq") == rate)
         x = condition(some.select(*RUN, "channel", "name", "samples"), some.select(*RUN, "onset").distinct(), rate, target, low, high, before, after)
         wide = x.groupBy(*RUN, "channel", "name").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("s")).select(*RUN, "channel", "name", F.lit(target).alias("sfreq"), F.col("s.value").alias("samples"))
@@ -118,7 +119,7 @@ def loso_classification(metrics: DataFrame, soz: DataFrame, out: str, bins: int
     sinks.workbook(tables, out)
     if excel:
         names = {"summary_metrics": "summary", "subject_metrics": "subject_metrics", "run_metrics": "run_metrics", "channel_predictions": "channel_predictions", "skipped_subjects": "skipped"}
-        office.workbook({sheet: tables[k] for k, sheet in names.items()}, f"{out}/metric_loso_soz_results.xlsx")
+        office.workbook({sheet: tables[k] for k, sheet in names.items()}, f"{out}/loso_results.xlsx")
     return tables
 
 
@@ -128,8 +129,8 @@ def _named(x: DataFrame, name: str, index: str | None = None) -> DataFrame:
     return x.select(*RUN, "channel", feature.alias("feature"), F.col("value").cast("double").alias("value"))
 
 
-def baseline_features(wide: DataFrame, sfreq: float, method: str, points: int = 1500) -> DataFrame:
-    """One baseline's features in long form: hfo, fdccm, mlevc or fragility."""
+def baseline_features(wide: DataFrame, sfreq: float, method: str, points: int = 1500, onset: float = 50.0) -> DataFrame:
+    """One baseline's features in long form: hfo, fdccm, mlevc, consensus (over a subject's runs, whose onset is at `onset` seconds) or fragility."""
     x, nodes = wide.select(*RUN, "channel", "samples"), wide.select(*RUN, "channel")
     if method == "hfo":  # signals are band-passed by now
         least, most, gap = max(round(0.02 * sfreq), round(4 / 200 * sfreq)), round(0.2 * sfreq), round(0.01 * sfreq)
@@ -141,6 +142,11 @@ def baseline_features(wide: DataFrame, sfreq: float, method: str, points: int =
     if method == "mlevc":
         layers = N.envelope_layers(S.envelope(x), round(0.5 * sfreq), round(0.25 * sfreq), run=RUN)
         return _named(G.multilayer_centrality(layers, run=RUN, nodes=nodes), "mlevc", "layer")
+    if method == "consensus":
+        layers = N.coherence_layers(x, sfreq, round(0.5 * sfreq), round(0.25 * sfreq), onset, run=RUN)
+        layers, common = G.common_channels(layers, nodes, ["subject"])
+        score = G.consensus(layers, sets=["run", "band"], keys=["subject"], nodes=common)
+        return _named(nodes.join(score.withColumnRenamed("score", "value"), ["subject", "channel"]), "mlevc_consensus")
     if method == "fragility":
         return _named(G.fragility_heatmap(x, round(0.25 * sfreq), round(0.125 * sfreq), sfreq, RUN), "fragility", "window")
     raise ValueError(f"no baseline called {method!r}")
@@ -155,11 +161,11 @@ def feature_frame(long: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.select(*RUN, "channel", "y").join(got, [*RUN, "channel"], "left").select(*RUN, "channel", "y", full.alias("features"))
 
 
-def baselines(wide: DataFrame, sfreq: float, out: str, methods: tuple[str, ...] = ("hfo", "fdccm", "mlevc", "fragility"), points: int = 1500, model: str = "forest") -> DataFrame:
+def baselines(wide: DataFrame, sfreq: float, out: str, methods: tuple[str, ...] = ("hfo", "fdccm", "mlevc", "fragility"), points: int = 1500, model: str = "forest", onset: float = 50.0) -> DataFrame:
     """Signals with labels (y) to features, predictions, metrics per subject and a summary of each method."""
     means = None
     for m in methods:
-        long = baseline_features(wide, sfreq, m, points)
+        long = baseline_features(wide, sfreq, m, points, onset)
         sinks.features_by_run(long, f"{out}/features/{m}")
         result = L.baseline(feature_frame(long, wide), model)
         sinks.report(result["predictions"], f"{out}/{m}_predictions")

@@ -49,6 +49,8 @@ def test_edf_in_parts(spark, tree, tmp_path):
     cut = {(r["run"], r["name"]): r for r in readers.whole_channels(parts).collect()}
     assert set(cut) == {(r, c) for r in ("run-01", "run-02") for c in ("A1", "A3")}
     assert all(cut[k].samples == whole[k].samples and cut[k].channel == whole[k].channel for k in cut)
+    heads = readers.edf_parts(spark, at, headers="true", split_bytes=9000)
+    assert heads.count() == 8 and {(r["run"], r["name"], r.sfreq, r.channel) for r in heads.collect()} == {(*k, float(RATE), r.channel) for k, r in whole.items()}
     every = readers.edf(spark, str(root)).where("status <> 'ok'").select("subject", "status", "channel", "samples").collect()
     assert sorted((r.subject, r.channel) for r in every) == [("c4", None), ("c7", None)] and all(not r.samples for r in every)
     names = sorted((r["channel"], r["name"]) for r in readers.edf(spark, f"{root}/sub-b1").collect())
@@ -118,6 +120,16 @@ def test_baselines_and_attention(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, met.collect()))
 
 
+def test_consensus_over_runs(spark):
+    """A subject's runs vote together, by the channels that all of them have; every run gets the subject's scores."""
+    a = some_runs(spark, 1, 5, 1600)
+    b = some_runs(spark, 1, 4, 1600, seed=2).withColumn("run", F.lit("run-02"))
+    got = P.baseline_features(a.unionByName(b), 512.0, "consensus", onset=1.5).collect()
+    by = {r.channel: r.value for r in got if r["run"] == "run-01"}
+    assert set(by) == {0, 1, 2, 3} and by == {r.channel: r.value for r in got if r["run"] == "run-02"}
+    assert {r.feature for r in got} == {"mlevc_consensus"} and all(0 <= v <= 1 for v in by.values())
+
+
 def test_command_line(spark, tree, tmp_path):
     cli.main(["preprocess", "--data-dir", f"{tree[0]}/sub-a1", "--out-dir", f"{tmp_path}/p", "--before", "1", "--after", "2"], spark)
     cli.main(["graph-features", "--data-dir", f"{tmp_path}/p/signals/sfreq-512", "--out-dir", f"{tmp_path}/g", "--width", "200", "--step", "50", "--windows", "5", "--hop", "2", "--modes", "2"], spark)
