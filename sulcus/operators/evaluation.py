@@ -216,7 +216,10 @@ def loso(x: DataFrame, model: str = "forest", trees: int = 300, depth: int = 20,
         train = train.withColumn("weight", F.when(F.col("y") == 1, rows / 2 / count[1.0]).otherwise(rows / 2 / count[0.0]))
         imps = []
         if model == "forest":
-            m = RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", cacheNodeIds=True, seed=seed).fit(train)
+            m = (
+                RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", cacheNodeIds=True, seed=seed)
+                .fit(train)
+            )
             imps = [(s, k, float(v)) for k, v in enumerate(m.featureImportances.toArray())]
         else:
             m = LogisticRegression(featuresCol="v", labelCol="y", weightCol="weight", regParam=1.0 / rows, standardization=False, maxIter=2000).fit(train)

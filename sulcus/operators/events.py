@@ -42,7 +42,11 @@ def detect(x: DataFrame, env: DataFrame, sfreq: float, least: int, most: int, ga
     found = merge_gaps(islands(above, ch), gap, ch).where(F.col("stop") - F.col("start") >= least).where(F.col("stop") - F.col("start") <= most)
     # Samples meet events by an equi-join on the samples an event covers, not by a range.
     cover = found.select(*ch, "start", "stop", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("sample"))
-    g = cover.join(both, [*ch, "sample"]).groupBy(*ch, "start", "stop").agg(F.max("env").alias("peak_amp"), F.avg("env").alias("mean_amp"), F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("_s"))
+    g = (
+        cover.join(both, [*ch, "sample"])
+        .groupBy(*ch, "start", "stop")
+        .agg(F.max("env").alias("peak_amp"), F.avg("env").alias("mean_amp"), F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("_s"))
+    )
     # An event has `most` samples at most; squares are added in their order, so reruns agree to the last digit.
     g = g.withColumn("power", F.aggregate("_s", F.lit(0.0), lambda a, v: a + v["value"] * v["value"]) / F.size("_s")).drop("_s")
     return g.withColumn("duration_s", (F.col("stop") - F.col("start")) / sfreq)

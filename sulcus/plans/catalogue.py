@@ -33,8 +33,13 @@ def query(f):
     return f
 
 
-def r6(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes])
+def r6(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
+    """Doubles rounded to `digits`, or to a column's own number of digits.
+
+    Mean squares of bursts have nine: values of two decimals have means that lie exactly between two numbers of six digits, and
+    either engine rounds those either way from run to run.
+    """
+    return df.select(*[F.round(c, own.get(c, digits)).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
 def _nodes(s, d):
@@ -151,13 +156,13 @@ def hfo_events(s, d):
     mid = X.long_form(wide).groupBy("subject", "channel").agg(F.median("value").alias("mid"))
     centred = wide.join(mid, ["subject", "channel"]).withColumn("samples", F.transform("samples", lambda v: v - F.col("mid"))).drop("mid")
     env = X.long_form(S.envelope(centred)).withColumnRenamed("value", "env")
-    return r6(E.detect(X.long_form(centred), env, 100.0, 2, 10, 1, 1.5))
+    return r6(E.detect(X.long_form(centred), env, 100.0, 2, 10, 1, 1.5), power=9)
 
 
 @query
 def hfo_events_kernel(s, d):
     """By one kernel call a channel."""
-    return r6(_hfo(s, d).where("start is not null").drop("n", "band_power"))
+    return r6(_hfo(s, d).where("start is not null").drop("n", "band_power"), power=9)
 
 
 @query
@@ -177,7 +182,11 @@ def envelope_corr_layers(s, d):
 
 
 def _coherence(s, d):
-    z = S.analytic(X.dense_wide(s, d)).select(*R, "channel", F.posexplode(F.arrays_zip("re", "im")).alias("sample", "z")).select(*R, "channel", F.col("sample").cast("long").alias("sample"), "z.re", "z.im")
+    z = (
+        S.analytic(X.dense_wide(s, d))
+        .select(*R, "channel", F.posexplode(F.arrays_zip("re", "im")).alias("sample", "z"))
+        .select(*R, "channel", F.col("sample").cast("long").alias("sample"), "z.re", "z.im")
+    )
     return N.lagged_coherence(z, W, STEP, R)
 
 

@@ -63,7 +63,11 @@ def _trade(spark: SparkSession, d: str, *keys: Column) -> DataFrame:
     j = line.select("l_orderkey", "l_suppkey", "l_extendedprice").join(orders.select("o_orderkey", "o_custkey", *keys), F.col("l_orderkey") == F.col("o_orderkey"))
     j = j.join(supp.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(cust.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     names = ["period"] if keys else []
-    return j.where("s_nationkey <> c_nationkey").groupBy(*names, F.col("s_nationkey").cast("long").alias("u"), F.col("c_nationkey").cast("long").alias("v")).agg((F.sum("l_extendedprice") / 1e6).alias("w"))
+    return (
+        j.where("s_nationkey <> c_nationkey")
+        .groupBy(*names, F.col("s_nationkey").cast("long").alias("u"), F.col("c_nationkey").cast("long").alias("v"))
+        .agg((F.sum("l_extendedprice") / 1e6).alias("w"))
+    )
 
 
 def nations(spark: SparkSession, d: str) -> DataFrame:
@@ -74,16 +78,25 @@ def nations(spark: SparkSession, d: str) -> DataFrame:
 def metric_tensor(spark: SparkSession, d: str) -> DataFrame:
     """subject, channel, op_window, mode, metric, value, y; some values are NaN or infinite, and one metric of a subject is constant."""
     rn = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    e = _read(spark, d, "embeddings").select(F.col("label").cast("long").alias("subject"), (rn - 1).cast("long").alias("channel"), F.col("embedding").cast("array<double>").alias("samples"), (F.col("vec_id") % 4 == 0).cast("int").alias("y"), "vec_id")
+    e = (
+        _read(spark, d, "embeddings")
+        .select(F.col("label").cast("long").alias("subject"), (rn - 1).cast("long").alias("channel"), F.col("embedding").cast("array<double>").alias("samples"), (F.col("vec_id") % 4 == 0).cast("int").alias("y"), "vec_id")
+    )
     p, odd = F.col("sample"), (F.col("vec_id") * 64 + F.col("sample")) % 997
     value = F.when(odd == 0, float("nan")).when(odd == 1, float("inf")).when(odd == 2, float("-inf")).when((F.col("subject") == 9) & (p % 2 == 1), 0.25).otherwise(F.col("value"))
-    return long_form(e).select("subject", "channel", F.floor(p / 4).cast("long").alias("op_window"), F.floor(p % 4 / 2).cast("long").alias("mode"), (p % 2).cast("long").alias("metric"), value.alias("value"), "y")
+    return (
+        long_form(e)
+        .select("subject", "channel", F.floor(p / 4).cast("long").alias("op_window"), F.floor(p % 4 / 2).cast("long").alias("mode"), (p % 2).cast("long").alias("metric"), value.alias("value"), "y")
+    )
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
     """subject, run, channel, y, score."""
     docs, labels = _read(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), _read(spark, d, "labels")
-    return docs.join(labels, "doc_id").select(F.col("source").alias("subject"), F.col("lang").alias("run"), F.col("doc_id").alias("channel"), F.col("toxic").cast("int").alias("y"), (F.col("n_chars") / 1000.0).cast("double").alias("score"))
+    return (
+        docs.join(labels, "doc_id")
+        .select(F.col("source").alias("subject"), F.col("lang").alias("run"), F.col("doc_id").alias("channel"), F.col("toxic").cast("int").alias("y"), (F.col("n_chars") / 1000.0).cast("double").alias("score"))
+    )
 
 
 def odd_scores(spark: SparkSession, d: str) -> DataFrame:

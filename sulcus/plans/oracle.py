@@ -327,7 +327,7 @@ p AS (SELECT CAST(k AS BIGINT) AS point, CAST(floor(k * 63 / 24.0) AS BIGINT) AS
     "onset_crop": f"WITH {F1} SELECT subject, channel, sample, {_X1} FROM f1 WHERE sample / 16.0 BETWEEN 1.0 AND 2.5",
     "hilbert_envelope": f"WITH {F1}, {_hilbert('f1', 64)} SELECT subject, channel, sample, round(sqrt(re * re + im * im), 6) AS env FROM an",
     "hfo_events": f"""{_HFO}
-  SELECT subject, channel, start, stop, round(peak_amp, 6) AS peak_amp, round(mean_amp, 6) AS mean_amp, round(power, 6) AS power, round(duration_s, 6) AS duration_s
+  SELECT subject, channel, start, stop, round(peak_amp, 6) AS peak_amp, round(mean_amp, 6) AS mean_amp, round(power, 9) AS power, round(duration_s, 6) AS duration_s
   FROM ev""",
     "hfo_rate": f"""{_HFO}
   SELECT m.subject, m.channel, count(start) AS n_events, round(count(start) / (1.8 / 60), 6) AS rate

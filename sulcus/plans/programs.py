@@ -75,7 +75,11 @@ def preprocess(spark: SparkSession, root: str, out: str, target: float = 500.0,
     for rate in rates:
         some = channels.where(F.col("sfreq") == rate)
         x = condition(some.select(*RUN, "channel", "name", "samples"), some.select(*RUN, "onset").distinct(), rate, target, low, high, before, after)
-        wide = x.groupBy(*RUN, "channel", "name").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("s")).select(*RUN, "channel", "name", F.lit(target).alias("sfreq"), F.col("s.value").alias("samples"))
+        wide = (
+            x.groupBy(*RUN, "channel", "name")
+            .agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("s"))
+            .select(*RUN, "channel", "name", F.lit(target).alias("sfreq"), F.col("s.value").alias("samples"))
+        )
         sinks.signals(wide, f"{out}/signals/sfreq-{rate:g}")
         if mat:
             office.mat_signals(spark.read.schema("channel long, name string, sfreq double, samples array<double>, subject string, run string").parquet(f"{out}/signals/sfreq-{rate:g}"), f"{out}/mat/sfreq-{rate:g}")
@@ -98,7 +102,10 @@ def graph_features(wide: DataFrame, out: str, width: int = 500, step: int = 50,
     sinks.metrics(found, f"{out}/node_metrics")
     done = wide.sparkSession.read.parquet(f"{out}/node_metrics")
     rates = G.success_rate(done, RUN, nodes)
-    log = G.mean_success(rates).withColumns({"metrics_computed": F.array(*[F.lit(m) for m in METRICS]), "modes": F.lit(modes), "start_time": F.lit(began.isoformat()), "completion_time": F.lit(dt.datetime.now(dt.timezone.utc).isoformat())})
+    log = (
+        G.mean_success(rates)
+        .withColumns({"metrics_computed": F.array(*[F.lit(m) for m in METRICS]), "modes": F.lit(modes), "start_time": F.lit(began.isoformat()), "completion_time": F.lit(dt.datetime.now(dt.timezone.utc).isoformat())})
+    )
     sinks.log(log, f"{out}/log")
     return done
 
