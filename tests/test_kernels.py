@@ -101,6 +101,21 @@ def test_multilayer_and_clusters():
     assert 0 <= score.min() and score.max() <= 1
 
 
+def test_three_means_of_many_values():
+    rng = np.random.default_rng(4)
+    for n in (3, 4, 7, 12):
+        v = np.round(rng.normal(size=n), 1)
+        u = np.unique(v)
+        if len(u) > 2:
+            spread = lambda part: ((part - part.mean()) ** 2).sum()
+            cost = lambda i, j: sum(spread(p) for p in (v[v < u[i]], v[(v >= u[i]) & (v < u[j])], v[v >= u[j]]))
+            i, j = min(((i, j) for i in range(1, len(u) - 1) for j in range(i + 1, len(u))), key=lambda c: cost(*c))
+            assert K.three_means(v).tolist() == ((v >= u[i]).astype(int) + (v >= u[j])).tolist()
+            assert K.three_means(*np.unique(v, return_counts=True)).tolist() == ((u >= u[i]).astype(int) + (u >= u[j])).tolist()
+    many = K.three_means(np.concatenate([rng.normal(m, 0.1, 20000) for m in (0, 5, 9)]))  # every pair of cuts would take hours
+    assert np.bincount(many).tolist() == [20000] * 3
+
+
 def test_target_cluster_weights():
     x = np.array([[0.0, 0], [0.1, 90], [0, -80], [0.1, 10], [0.05, 50], [5, 4000], [5.2, 4100]])
     inside, worth = K.target_cluster(x)
