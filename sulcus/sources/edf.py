@@ -2,7 +2,7 @@
 
 A recording is a header and records of equal size, each with some samples of every channel one after another.  The driver lists
 files and their sizes only; each partition reads the header and its own range of records, so a file larger than a task's memory
-is read in parts, and a part is cut into rows of about `row_bytes` of samples.  Options: `path` (a folder, searched with all
+is read in parts, parts of small files go to one task together, and a part is cut into rows of about `row_bytes` of samples.  Options: `path` (a folder, searched with all
 folders below, or a file; any file system that pyarrow reaches), `containing` (part of the path that files must have),
 `channels` (names, comma-separated; others are not decoded), `headers` (true: one row per channel without samples, and nothing
 but headers is read), `split_bytes` and `row_bytes`.
@@ -27,6 +27,8 @@ _ARROW = pa.schema([("path", pa.string()), ("channel", pa.int64()), ("name", pa.
 #: The fields of a header's channel part, and their widths in bytes.
 FIELDS = (("label", 16), ("transducer", 80), ("unit", 8), ("pmin", 8), ("pmax", 8), ("dmin", 8), ("dmax", 8), ("filter", 80), ("n", 8), ("reserved", 32))
 HEAD = 256
+#: Bytes that could be read while a file is opened, and that a task should read; tasks that there are before parts are put together.
+OPEN, TASK, TASKS = 1 << 20, 64 << 20, 128
 
 
 @dataclasses.dataclass
@@ -83,6 +85,31 @@ class Part(InputPartition):
     part: int
     parts: int
 
+    @property
+    def cost(self) -> int:
+        """Bytes to read, and what it takes to open a file."""
+        return self.length // self.parts + OPEN
+
+
+@dataclasses.dataclass
+class Bundle(InputPartition):
+    """What one task reads: one large part, or parts of many small files."""
+
+    parts: list[Part]
+
+
+def bundles(parts: list[Part], most: int) -> list[Bundle]:
+    """Neighbours put together as long as they cost no more than `most`."""
+    out: list[Bundle] = []
+    total = 0
+    for p in parts:
+        total += p.cost
+        if not out or total > most:
+            out.append(Bundle([]))
+            total = p.cost
+        out[-1].parts.append(p)
+    return out
+
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path, and the path within it."""
@@ -102,7 +129,7 @@ class EdfReader(DataSourceReader):
         if self.split < 1 or self.row < 1:
             raise ValueError("split_bytes and row_bytes must be positive")
 
-    def partitions(self) -> list[Part]:
+    def partitions(self) -> list[Bundle]:
         system, at = file_system(self.path)
         at = at.rstrip("/")
         info = system.get_file_info(at)
@@ -116,16 +143,15 @@ class EdfReader(DataSourceReader):
                 path = f"file:{f.path}" if local else self.path + f.path[len(at) :]  # as Spark's own sources name files
                 parts = 1 if self.headers else max(1, -(-f.size // self.split))
                 out += [Part(path, f.size, k, parts) for k in range(parts)]
-        return out or [Part("", 0, 0, 0)]
-
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        if not partition.parts:
-            return
-        try:
-            yield from self._rows(partition)
-        except (ValueError, OSError) as e:
-            if partition.part == 0:  # every part of a file meets its faults; one row says so
-                yield pa.RecordBatch.from_pylist([{"path": partition.path, "status": str(e)}], _ARROW)
+        return bundles(out, min(TASK, sum(p.cost for p in out) // TASKS)) or [Bundle([])]
+
+    def read(self, partition: Bundle) -> Iterator[pa.RecordBatch]:
+        for p in partition.parts:
+            try:
+                yield from self._rows(p)
+            except (ValueError, OSError) as e:
+                if p.part == 0:  # every part of a file meets its faults; one row says so
+                    yield pa.RecordBatch.from_pylist([{"path": p.path, "status": str(e)}], _ARROW)
 
     def _rows(self, p: Part) -> Iterator[pa.RecordBatch]:
         system, at = file_system(p.path)

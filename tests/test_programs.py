@@ -13,7 +13,7 @@ from sulcus.operators import graphs as G
 from sulcus.operators import learning as T
 from sulcus.operators import signal as S
 from sulcus.plans import programs as P
-from sulcus.sources import readers
+from sulcus.sources import edf, readers, sinks
 
 RATE = 512
 
@@ -258,3 +258,14 @@ def test_grouped_streams_groups(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, x.groupBy("k", "s").count().collect()))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_small_edf_files_share_a_task(tmp_path):
+    for k in range(400):
+        (tmp_path / f"{k}.edf").write_bytes(b"-" * 3000)
+    reader = edf.EdfReader({"path": str(tmp_path), "split_bytes": "2500"})
+    parts = reader.partitions()
+    assert len(parts) < 160 and sum(len(b.parts) for b in parts) == 800  # a task for each part before
+    large = [edf.Part("x", 640 << 20, k, 10) for k in range(10)]
+    assert [len(b.parts) for b in edf.bundles(large, edf.TASK)] == [1] * 10
+    assert [r.to_pylist()[0]["path"].rsplit("/")[-1] for b in parts for r in reader.read(b)] == sorted(f"{k}.edf" for k in range(400))
