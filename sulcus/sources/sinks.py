@@ -19,8 +19,9 @@ def labels(df: DataFrame, path: str) -> None:
 
 
 def metrics(df: DataFrame, path: str) -> None:
-    """Partitioned by subject, and by run where there are runs."""
-    df.write.mode("overwrite").partitionBy(*[c for c in ("subject", "run") if c in df.columns]).parquet(path)
+    """Partitioned by subject.  Runs are many and small, so a subject's runs lie in its files one after another; reads of some runs skip the rest of a file."""
+    keys = [c for c in ("subject", "run") if c in df.columns]
+    df.repartition(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("subject").parquet(path)
 
 
 def log(df: DataFrame, path: str) -> None:
@@ -45,7 +46,8 @@ def workbook(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def features_by_run(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("subject", "run").option("header", "true").csv(path)
+    """One file for each run."""
+    df.repartition("subject", "run").write.mode("overwrite").partitionBy("subject", "run").option("header", "true").csv(path)
 
 
 def model(fitted, path: str) -> None:

@@ -269,3 +269,10 @@ def test_small_edf_files_share_a_task(tmp_path):
     large = [edf.Part("x", 640 << 20, k, 10) for k in range(10)]
     assert [len(b.parts) for b in edf.bundles(large, edf.TASK)] == [1] * 10
     assert [r.to_pylist()[0]["path"].rsplit("/")[-1] for b in parts for r in reader.read(b)] == sorted(f"{k}.edf" for k in range(400))
+
+
+def test_metrics_of_many_runs_lie_in_few_files(spark, tmp_path):
+    x = spark.range(400).selectExpr("id % 2 as subject", "id div 2 as run", "id as channel", "0.5 as value").repartition(7)
+    sinks.metrics(x, f"{tmp_path}/m")
+    assert len(list(tmp_path.glob("m/**/*.parquet"))) <= 2 * 4  # shuffle partitions; a file for each run and task before
+    assert spark.read.parquet(f"{tmp_path}/m").select("run").distinct().count() == 200
