@@ -6,10 +6,11 @@ import io
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .edf import register
+from .edf import file_system, register
 from .office import spreadsheet
 
 #: Names under which a run file may hold each field, in order of preference.
@@ -73,9 +74,14 @@ def onset(events: DataFrame) -> DataFrame:
     return e.groupBy("path").agg(F.min_by("onset", "_r").alias("onset"))
 
 
+def _workbooks(path: str) -> bool:
+    system, at = file_system(path)
+    return system.get_file_info(at).type == fs.FileType.Directory and any(f.path.lower().endswith(".xlsx") for f in system.get_file_info(fs.FileSelector(at)))
+
+
 def participants(spark: SparkSession, path: str) -> DataFrame:
-    """The adopted ones of a registry, which is CSV or a workbook."""
-    table = spreadsheet(spark, path) if path.lower().endswith(".xlsx") else spark.read.option("header", "true").csv(path)
+    """The adopted ones of a registry, which is CSV, a workbook, or a folder of workbooks."""
+    table = spreadsheet(spark, path) if path.lower().endswith(".xlsx") or _workbooks(path) else spark.read.option("header", "true").csv(path)
     return table.where(F.expr("try_cast(adopt as double) = 1"))
 
 

@@ -95,3 +95,15 @@ def test_registry(spark, tmp_path):
             out.writestr(n, raw)
         out.writestr("xl/sharedStrings.xml", f'<sst xmlns="{office.MAIN}"><si><t>no</t></si><si><r><t>P</t></r><r><t>9</t></r></si></sst>')
     assert [r.participant_id for r in readers.participants(spark, str(shared)).collect()] == ["P1", "P9"]
+
+
+def test_long_registry_in_several_workbooks(spark, tmp_path):
+    people = spark.range(250).selectExpr("concat('P', id) as participant_id", "id % 25 as all_nodes", "cast(id % 2 as int) as adopt")
+    office.workbooks(people, at := f"{tmp_path}/registry", "participants", rows=40)
+    assert len(list(tmp_path.glob("registry/*.xlsx"))) >= 7
+    got = readers.participants(spark, at).select("participant_id", "all_nodes").collect()
+    assert sorted(map(tuple, got)) == sorted((f"P{k}", str(k % 25)) for k in range(1, 250, 2))
+    rows = office.sheet_rows(next(tmp_path.glob("registry/*.xlsx")).read_bytes())
+    assert next(rows) == ["participant_id", "all_nodes", "adopt"] and not isinstance(rows, list)  # the whole sheet before
+    office.workbooks(people.where("adopt > 1"), at := f"{tmp_path}/none", "participants")
+    assert readers.participants(spark, at).columns == people.columns and readers.participants(spark, at).count() == 0
