@@ -214,6 +214,23 @@ def test_loso_sizes_and_balance(spark, monkeypatch):
     assert set(made) == {(300, 20)} and scores[0] != scores[1]
 
 
+def test_learners_pass_over_few_partitions(spark, monkeypatch):
+    rows = [(s, c, [float((7 * c + s) % 11), float(c % 5)], int(c % 4 == 0)) for s in range(3) for c in range(400)]
+    x = spark.createDataFrame(rows, "subject long, channel long, features array<double>, y int").repartition(40)
+    parts = []
+    for name in ("RandomForestClassifier", "LogisticRegression"):
+
+        class Seen(getattr(L, name)):
+            def fit(self, train):
+                parts.append(train.rdd.getNumPartitions())
+                return super().fit(train)
+
+        monkeypatch.setattr(L, name, Seen)
+    for kind in ("forest", "logistic"):
+        assert L.loso(x, kind, 3, 3)["predictions"].count() == 1200
+    assert len(parts) == 6 and max(parts) <= 4  # 120, of ten rows or fewer each, before
+
+
 def test_channels(spark):
     f = spark.createDataFrame([("a", 0), ("a", 1)], "subject string, channel long")
     soz = spark.createDataFrame([("a", 1), ("a", 9)], "subject string, channel long")
