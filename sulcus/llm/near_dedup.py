@@ -293,9 +293,12 @@ def packed_texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFra
 
 
 def links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of exact similarity LEAST or more."""
-    met = pairs.join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
-    met = met.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
+    """The pairs of exact similarity LEAST or more.
+
+    The same plan at every size: pairs grow with the documents, so they are not broadcast while they are few.
+    """
+    met = pairs.join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")).hint("merge"), "b")
+    met = met.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")).hint("merge"), "a")
     return met.select("a", "b", "za", "zb").mapInArrow(_verified, "a long, b long")
 
 

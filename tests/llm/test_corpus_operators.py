@@ -713,3 +713,13 @@ def test_exact_dedup_hot_null_id(spark):
     assert got == {(None, 1, 322, False): 320, (1, 1, 322, True): 1, (1, 1, 322, False): 1, (2, 2, 1, True): 1}
     only = Counter((r.doc_id, r.kept) for r in exact_dedup.assign(d.where("doc_id is null")).collect())
     assert only == {(None, False): 319, (None, True): 1}
+
+
+def test_near_dedup_links_have_one_plan_at_every_size(spark):
+    """Few pairs were broadcast, so that shuffles grew faster than the documents once they were not."""
+    from sulcus.llm import near_dedup
+
+    texts = spark.range(1, 3).selectExpr("id as node", "cast('x' as binary) as z")
+    pairs = spark.range(1, 2).selectExpr("id as a", "id + 1 as b")
+    plan = near_dedup.links(texts, pairs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
