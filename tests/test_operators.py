@@ -231,6 +231,33 @@ def test_learners_pass_over_few_partitions(spark, monkeypatch):
     assert len(parts) == 6 and max(parts) <= 4  # 120, of ten rows or fewer each, before
 
 
+def test_forests_grow_in_parts(spark, monkeypatch):
+    assert L.parts_of_forest(300, 200) == [300] and sum(L.parts_of_forest(300, 46_000)) == 300
+    assert max(L.parts_of_forest(300, 46_000)) * 46_000 <= L.AT_ONCE and L.parts_of_forest(3, 10**9) == [1, 1, 1]
+    rng = np.random.default_rng(0)
+    rows = [(s, c, [float(rng.normal() + 3 * (c % 3 == 0)), float(rng.normal())], int(c % 3 == 0)) for s in range(3) for c in range(400)]
+    x = spark.createDataFrame(rows, "subject long, channel long, features array<double>, y int").persist()
+    grown = []
+
+    class Seen(L.RandomForestClassifier):
+        def fit(self, train):
+            grown.append((self.getNumTrees(), train.rdd.getNumPartitions()))
+            return super().fit(train)
+
+    monkeypatch.setattr(L, "RandomForestClassifier", Seen)
+    whole = L.loso(x, "forest", 40, 4)
+    monkeypatch.setattr(L, "AT_ONCE", 6_000)
+    parts = L.loso(x, "forest", 40, 4)
+    # One partition each; before, a fold's 40 trees grew at once over several partitions.
+    assert {p for _, p in grown} == {1} and [n for n, _ in grown[:3]] == [40] * 3
+    assert sum(n for n, _ in grown[3:]) == 120 and max(n for n, _ in grown[3:]) <= 11
+    a, b = (r["predictions"].orderBy("subject", "channel").toPandas() for r in (whole, parts))
+    assert len(a) == len(b) == 1200 and list(a.columns) == list(b.columns) and (a.channel == b.channel).all()
+    assert np.abs(a.score - b.score).mean() < 0.03 and b.score.between(0, 1).all()
+    sums = parts["importances"].groupBy("fold").agg(F.sum("importance").alias("s")).toPandas().s
+    assert np.allclose(sums, 1)
+
+
 def test_channels(spark):
     f = spark.createDataFrame([("a", 0), ("a", 1)], "subject string, channel long")
     soz = spark.createDataFrame([("a", 1), ("a", 9)], "subject string, channel long")
