@@ -1,5 +1,7 @@
 """The programs over files, from recordings to evaluations, and the sources that they read."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -205,6 +207,37 @@ def test_gradients_by_finite_differences():
     assert np.allclose(K.gated_convolutions(segments[0], W.trained_weights(p, W.statistics(kept))), a)
 
 
+def test_gradients_of_many_runs_at_once(monkeypatch):
+    """Sums over runs are those of single runs, whole blocks of runs or one segment after another; before, each run was a call of its own."""
+    rng = np.random.default_rng(2)
+    segments, p = rng.normal(size=(9, 8, 5, 6)), W.initial(3, 4)
+    targets, y = (np.stack(v) for v in zip(*[W.balanced_targets(8, 3, 5, k) for k in range(9)]))
+    alone = [W.run_gradient(segments[k], p, targets[k], y[k], 3) for k in range(9)]
+    for limit, some in ((1 << 30, 9), (3 * W.AT_ONCE // W.runs_at_once(8, 5, 6), 3), (1, 0)):
+        monkeypatch.setattr(W, "AT_ONCE", limit)
+        assert min(9, W.runs_at_once(8, 5, 6)) == some
+        for at, got in enumerate(W.runs_gradient(segments, p, targets, y, 3)):
+            assert np.allclose(got, sum(a[at] for a in alone), rtol=1e-9, atol=1e-12)
+
+
+def test_runs_of_other_shapes_share_a_step(spark):
+    """A step's loss is the mean over all runs, of any shape, that the fold's subject has not given; runs without targets teach nothing."""
+    wide = some_runs(spark, 3, 3, 320).unionByName(some_runs(spark, 3, 2, 260).withColumn("run", F.concat(F.lit("x"), "run"))).unionByName(some_runs(spark, 3, 2, 60).withColumn("run", F.concat(F.lit("z"), "run")))
+    _, losses = T.train_attention(wide, 20, 4, 8, epochs=1, hidden=4, per_update=1000)
+    got = {r["subject"]: (r["n_runs"], r["loss"]) for r in losses.collect()}
+    runs: dict = {}
+    for r in wide.orderBy("channel").collect():
+        runs.setdefault((r["subject"], r["run"]), []).append(r["samples"])
+    for k, s in enumerate(sorted({s for s, _ in runs})):
+        p, own = W.initial(k, 4), []
+        for (subject, run), x in runs.items():
+            seg = T.run_segments(np.array([x], dtype=float), 20)[0]
+            targets, y = W.balanced_targets(len(seg), 4, 8, zlib.crc32(f"0/{subject}/{run}".encode()))
+            if subject != s and len(y):
+                own.append(W.run_gradient(seg, p, targets, y, 4)[0])
+        assert got[s][0] == len(own) and abs(got[s][1] - np.mean(own)) < 1e-9
+
+
 def test_training_lowers_the_loss(spark):
     """Late segments differ from early ones, and networks learn to tell them apart; each subject's network has not seen it."""
     wide = some_runs(spark, 3, 3, 640)
