@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sulcus.functions import forest as T
 from sulcus.operators import evaluation as L
 from sulcus.operators import forests
+from sulcus.plans.catalogue import QUERIES
 
 
 def mixed(y, times, weights):
@@ -111,3 +112,17 @@ def test_repeated_keys_and_odd_rows(spark, labelled):
         bad = labelled.unionByName(spark.createDataFrame([(0, 999, odd, 1)], "subject long, channel long, features array<double>, y int"))
         with pytest.raises(Exception, match="features, or one that is null|NULL_ELEMENT|null"):
             scores(bad, 2, 2)
+
+
+def test_importance_query_makes_few_jobs(spark, sf):
+    def jobs():
+        return set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+
+    folds = spark.read.parquet(f"{sf}/embeddings.parquet").select("label").distinct().count()
+    before = jobs()
+    rows = QUERIES["feature_importance"](spark, sf).collect()
+    made = len(jobs() - before)
+    means = [r["mean"] for r in rows]
+    assert sorted(r["feature"] for r in rows) == list(range(12)) and means == sorted(means, reverse=True) and abs(sum(means) - 1) < 1e-5
+    # Each level of a forest that grows by passes is a job or two.
+    assert made < 25 * folds, (made, folds)
